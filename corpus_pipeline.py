@@ -1,8 +1,52 @@
-"""Placeholder order of the stages; each is added with its operator."""
+"""From raw documents to packed token sequences: quality, near-duplicates, personal data, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and all that the stage before it kept. The runner writes
+each result as Parquet and gives the next stage the table it reads back.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ledgerlark.llm.common import documents, saved
+from ledgerlark.llm.encoder import vocabulary_path
+from ledgerlark.llm.near_dedup import near_duplicates
+from ledgerlark.llm.packing import pack
+from ledgerlark.llm.pii import mask_pii
+from ledgerlark.llm.quality import line_frequency, without_lines
+
+
+def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are not mostly common lines; their common lines are gone."""
+    return without_lines(docs, line_frequency(docs))
+
+
+def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each component of near-duplicates (five words, 80 per cent); rows with a null doc_id stay, repeated rows of a kept document too."""
+    dropped = near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def pii(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    return mask_pii(docs)
+
+
+def packing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 4096 tokens, with their ids."""
+    return pack(docs, vocabulary_path())
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("pii", pii), ("packing", packing)]
+
+#: MinHash and subset sums have no SQL form; tests/llm/test_pipeline.py holds run() against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark, sf_dir: str) -> DataFrame:
+    """All stages over the table ``documents``."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir).withColumn("ids_crc32", F.crc32("ids"))

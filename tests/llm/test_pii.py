@@ -1,0 +1,78 @@
+import hashlib
+import random
+import re
+
+import pytest
+
+from ledgerlark.llm.pii import find_pii, mask_pii
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+ALPHABET = "abz@@..--__09 19 +() 25555 é\U0001f600\x01\n%"
+
+
+def luhn(digits):
+    total = 0
+    for k, d in enumerate(reversed(digits)):
+        n = int(d) * (1 + k % 2)
+        total += n - 9 * (n > 9)
+    return total % 10 == 0
+
+
+def holds(kind, match):
+    digits = re.sub("[^0-9]", "", match)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in match.split("."))
+    if kind == "card":
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    return kind != "phone" or 9 <= len(digits) <= 15
+
+
+def brute(text):
+    found = []
+    for rank, (kind, pattern) in enumerate(BASE.items()):
+        found += [(m.start(), rank, kind, m.end()) for m in re.finditer(pattern, text or "", re.ASCII) if holds(kind, m[0])]
+    return sorted(found)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(5)
+    made = ["".join(rng.choices(ALPHABET, k=rng.randint(0, 60))) for _ in range(1500)]
+    cards = "x 4539 1488 0343 6467, 4539148803436467 4539-1488-0343-6468 +1 (988) 555-2485 1.2.3.4.5 256.1.1.1 0001.02.3.255"
+    return [*made, None, "", cards, "a.b@c.d_e@f.gh..i@j.k", "9" * 20_000, "a" * 20_000 + "@b.c", "1-" * 20_000, "a@" + "b." * 20_000, "+1" + " " * 5_000]
+
+
+def test_base_spans_equal_the_plain_patterns(spark, texts):
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, kind int")
+    for row in find_pii(docs).collect():
+        base = [(s.start, s.rank, s.kind, s.end) for s in row.pii if s.kind in BASE]
+        assert base == brute(row.text), row.text[:200]
+
+
+def test_other_kinds_need_their_checksum_or_context(spark):
+    docs = spark.createDataFrame([(1, "IBAN GB82 WEST 1234 5698 7654 32, not GB83 WEST 1234 5698 7654 32"), (2, "ssn 123-45-6789"), (3, "part 123-45-6789")], "doc_id long, text string")
+    kinds = {r.doc_id: [s.kind for s in r.pii if s.kind in ("iban", "ssn")] for r in find_pii(docs).collect()}
+    assert kinds == {1: ["iban"], 2: ["ssn"], 3: []}
+
+
+def test_masked_texts_lose_their_spans_only(spark):
+    rows = [(1, "mail é me@x.org, call +1 (988) 555-2485!", 7), (2, "nothing", 7), (3, None, None), (None, "1.2.3.4", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in mask_pii(docs).collect()}
+    assert got == {1: ("mail é <EMAIL>, call <PHONE>!", 29), 2: ("nothing", 7), 3: (None, None), None: ("<IP>", 4)}
+    assert mask_pii(docs.limit(0)).count() == 0
+
+
+def test_query_lists_spans_in_order(spark, tmp_path):
+    from ledgerlark.llm.pii import op7_pii_spans
+
+    spark.createDataFrame([(1, "x@y.z 1.2.3.4"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op7_pii_spans(spark, str(tmp_path)).collect()}
+    assert got[1].base_sha256 == hashlib.sha256(b"email:0:5,ip:6:13").hexdigest()
+    assert (got[1].spans, got[1].n_email, got[1].n_ip) == ("email:0:5,ip:6:13", 1, 1)
+    assert (got[2].spans, got[2].base_sha256) == ("", hashlib.sha256(b"").hexdigest())
