@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -50,6 +50,19 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with its rows numbered 0, 1, 2, ... in ``column``, by partition and then by place in it.
+
+    The rows are written once, so the numbers hold. What is broadcast is one row per partition.
+    """
+    written = saved(df.withColumn("_row", F.monotonically_increasing_id()), "numbered").withColumn("_part", F.shiftright("_row", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = written.groupBy("_part").agg(F.count("*").alias("_n"))
+    firsts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    number = F.col("_first") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    return written.join(F.broadcast(firsts), "_part").withColumn(column, number).drop("_row", "_part", "_first")
+
+
 def let(value, body):
     """``body(value)`` as a column, with ``value`` evaluated once however often ``body`` uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
