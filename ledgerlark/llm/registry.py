@@ -6,11 +6,12 @@ from ledgerlark.llm.fingerprints import op5_fingerprints
 from ledgerlark.llm.licenses import op9_license_scan
 from ledgerlark.llm.near_dedup import op1_near_duplicates
 from ledgerlark.llm.packing import op8_pack_sequences
+from ledgerlark.llm.pieces import op4_piece_ids
 from ledgerlark.llm.pii import op7_pii_spans
 from ledgerlark.llm.quality import op6_line_quality
 from ledgerlark.llm.sharding import op2_balanced_shards
 from ledgerlark.llm.token_counts import op10_token_counts
 from ledgerlark.llm.token_index import op3_token_index
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_balanced_shards, op3_token_index, op5_fingerprints, op6_line_quality, op7_pii_spans, op8_pack_sequences, op9_license_scan, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_balanced_shards, op3_token_index, op4_piece_ids, op5_fingerprints, op6_line_quality, op7_pii_spans, op8_pack_sequences, op9_license_scan, op10_token_counts)}
 ORACLES: dict[str, str] = {}
