@@ -5,9 +5,11 @@ classes into buckets. Candidate pairs compare their signatures batch by batch; a
 as soon as its matches so far make a similarity of the threshold or more less probable than the
 chosen miss probability, and what survives is verified on the full shingle sets.
 
-Pairs within a bucket are not all listed. First each member meets the bucket's smallest member;
-then buckets that still hold several components are compared block by block, and only pairs of
-different components that survive leave a block.
+Pairs within a bucket are not all listed. First each member meets the bucket's smallest member and
+one that a hash picks; then buckets that still hold several components are compared block by
+block, and only pairs of different components that survive leave a block. Where those are more
+than the blocks have members, the full sets come to the blocks instead, and only verified links
+that join components leave.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import functools
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.common import documents, hash_words, lower_words_of, mix64, saved, window_hashes
@@ -71,15 +73,15 @@ def fewest_matches(threshold_percent: int, miss: float) -> np.ndarray:
     return np.array(out)
 
 
-def survivors(a: np.ndarray, b: np.ndarray, fewest: np.ndarray) -> np.ndarray:
-    """Which rows of two equally long signature matrices survive all batches."""
+def survivors(a: np.ndarray, b: np.ndarray, fewest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of two equally long signature matrices survive all batches, and their numbers of matches."""
     alive, matches = np.arange(len(a)), np.zeros(len(a), np.int32)
     for k, least in enumerate(fewest):
         part = slice(k * BATCH, (k + 1) * BATCH)
         matches = matches + (a[alive, part] == b[alive, part]).sum(axis=1)
         good = matches >= least
         alive, matches = alive[good], matches[good]
-    return alive
+    return alive, matches
 
 
 def describe(docs: DataFrame, width: int) -> DataFrame:
@@ -136,11 +138,10 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union.
+def _shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, shingles) of the documents in ``ids`` (id), made again from their texts and written.
 
-    The sets are made again from the texts of the documents in question; the small table of their
-    ids is broadcast only below a million ids (8 MB).
+    The small table of ids is broadcast only below a million ids (8 MB).
     """
 
     def sets(batches):
@@ -148,29 +149,83 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
 
         for batch in batches:
             made = [shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["id", "shingles"])
+
+    wanted = saved(ids, "wanted")
+    few = wanted.count() < 1_000_000
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
+    return saved(texts.mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"]), "shingles")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough."""
 
     def compare(batches):
         import pyarrow as pa
 
         for batch in batches:
-            a, b, left, right = (c.to_pylist() for c in batch.columns)
-            linked = []
-            for x, y in zip(left, right, strict=True):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(u) + len(v) - len(np.union1d(u, v))
-                linked.append(100 * both >= percent * (len(u) + len(v) - both))
-            keep = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()).filter(keep), pa.array(b, pa.int64()).filter(keep)], names=["a", "b"])
-
-    wanted = saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
-    few = wanted.count() < 1_000_000
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    found = saved(texts.mapInArrow(sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "shingles")
-    left, right = (found.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
+            left, right = (c.to_pylist() for c in batch.columns[2:])
+            keep = pa.array([linked_sets(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(left, right, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    found = _shingle_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), width)
+    left, right = (found.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
 
 
+def linked_sets(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    both = len(u) + len(v) - len(np.union1d(u, v))
+    return 100 * both >= percent * (len(u) + len(v) - both)
+
+
+class BlockPair:
+    """Two blocks of one bucket, whose members are compared with each other; or a block and itself."""
+
+    def __init__(self, row: dict, percent: int):
+        self.row, sides = row, "ab"
+        self.ids, self.components, sizes = ([np.array(row[f"{k}_{s}"], np.int64) for s in sides] for k in ("ids", "components", "sizes"))
+        self.signatures = [np.frombuffer(b"".join(row[f"signatures_{s}"]), "<u2").reshape(-1, HASHES) for s in sides]
+        bands = [np.array(row[f"bands_{s}"], np.int64).reshape(-1, BANDS) for s in sides]
+        apart = self.components[0][:, None] != self.components[1][None, :]
+        apart &= 100 * np.minimum.outer(*sizes) >= percent * np.maximum.outer(*sizes)
+        apart &= (self.ids[0][:, None] != row["first"]) & (self.ids[1][None, :] != row["first"])
+        if row["chunk_a"] == row["chunk_b"]:
+            apart &= self.ids[0][:, None] < self.ids[1][None, :]
+        column = int(np.flatnonzero(bands[0][0] == row["band"])[0])
+        for k in range(column):  # two documents that share several buckets are compared in the first
+            apart &= bands[0][:, k][:, None] != bands[1][:, k][None, :]
+        self.pairs = np.nonzero(apart)
+
+    def candidates(self, fewest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of either block, and matches, of the pairs that survive."""
+        found = []
+        for k in range(0, len(self.pairs[0]), 1 << 15):
+            x, y = (p[k : k + (1 << 15)] for p in self.pairs)
+            alive, matches = survivors(self.signatures[0][x], self.signatures[1][y], fewest)
+            found.append((x[alive], y[alive], matches))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, int),) * 3
+
+    def links(self, fewest: np.ndarray, percent: int) -> list[tuple[int, int]]:
+        """Links, verified on the full sets, that join all components which any surviving pair links; the likeliest pairs first."""
+        sets = [[np.frombuffer(x, np.uint64) for x in self.row[f"shingles_{s}"]] for s in "ab"]
+        root, out = {}, []
+
+        def find(c):
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        x, y, matches = self.candidates(fewest)
+        for k in np.argsort(-matches, kind="stable"):
+            i, j = x[k], y[k]
+            one, other = find(self.components[0][i]), find(self.components[1][j])
+            if one != other and linked_sets(sets[0][i], sets[1][j], percent):
+                root[max(one, other)] = min(one, other)
+                out.append((int(self.ids[0][i]), int(self.ids[1][j])))
+        return out
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id it is linked with, over any number of links) and kept (it is that one).
 
@@ -189,67 +244,104 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
     heads = usable.join(classes.select("set_hi", "set_lo", F.col("class_id").alias("doc_id")), ["set_hi", "set_lo", "doc_id"], "left_semi").dropDuplicates(["set_hi", "set_lo"])
     heads = saved(heads.select(F.col("doc_id").alias("id"), "n_shingles", "signature", "bands"), "heads")
     members = heads.select("id", "n_shingles", F.explode("bands").alias("band"))
-    buckets = saved(members.groupBy("band").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "buckets")
+    by_hash = F.struct(F.xxhash64("id", "band"), "id")
+    buckets = saved(members.groupBy("band").agg(F.min("id").alias("first"), F.min(by_hash)["id"].alias("other"), F.count("*").alias("n")).filter("n > 1"), "buckets")
     members = saved(members.join(buckets, "band"), "members")
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
-    signatures = heads.select("id", "n_shingles", "signature")
+    links = saved(_verified(docs, _met(heads, members, percent, miss), width, percent), "verified")
+    labels = components(links)
+    more, dense = _across(heads, members, labels, percent, miss)
+    found = [_verified(docs, more, width, percent)] if not more.isEmpty() else []
+    if not dense.isEmpty():
+        found.append(_within(docs, dense, width, percent, miss))
+    if found:
+        extra = saved(functools.reduce(DataFrame.union, found), "verified")
+        labels = components(links.union(extra)) if not extra.isEmpty() else labels
+
+    joined = classes.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").select("set_hi", "set_lo", F.coalesce("component", "class_id").alias("class_component"))
+    placed = described.select("doc_id", "n_shingles", "set_hi", "set_lo").join(joined, ["set_hi", "set_lo"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id"))
+    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def _met(heads: DataFrame, members: DataFrame, percent: int, miss: float, likeliest: int = 4) -> DataFrame:
+    """Surviving pairs of each member with its buckets' smallest members, and with the ``likeliest`` of the members that a hash picks in each bucket."""
     fewest = fewest_matches(percent, miss)
 
     def prune(batches):
         import pyarrow as pa
 
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, HASHES) for k in (2, 3))
-            alive = pa.array(survivors(a, b, fewest))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(alive), batch.column(1).take(alive)], names=["a", "b"])
-
-    with_first = members.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    right = signatures.select(F.col("id").alias("b"), F.col("signature").alias("s_b"), F.col("n_shingles").alias("n_b"))
-    left = signatures.select(F.col("id").alias("a"), F.col("signature").alias("s_a"), F.col("n_shingles").alias("n_a"))
-    met = with_first.join(right, "b").join(left, "a").filter(fits(F.col("n_a"), F.col("n_b"))).select("a", "b", "s_a", "s_b")
-    links = saved(_verified(docs, saved(met.mapInArrow(prune, "a long, b long"), "candidates"), width, percent), "verified")
-    labels = components(links)
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, HASHES) for k in (3, 4))
+            alive, matches = survivors(a, b, fewest)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(alive)) for k in range(3)), pa.array(matches, pa.int32())], names=["a", "b", "first", "matches"])
+
+    pairs = [members.filter(F.col("id") != F.col(c)).select(F.col(c).alias("a"), F.col("id").alias("b"), F.lit(c == "first").alias("first")) for c in ("first", "other")]
+    pairs = pairs[0].union(pairs[1]).groupBy("a", "b").agg(F.max("first").alias("first"))
+    left, right = (heads.select(F.col("id").alias(c), F.col("signature").alias(f"s_{c}"), F.col("n_shingles").alias(f"n_{c}")) for c in "ab")
+    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    alive = pairs.join(right, "b").join(left, "a").filter(fits).select("a", "b", "first", "s_a", "s_b").mapInArrow(prune, "a long, b long, first boolean, matches int")
+    ranked = alive.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("matches"), "a")))
+    return saved(ranked.filter(F.col("first") | (F.col("rank") <= likeliest)).select("a", "b"), "candidates")
 
+
+def _across(heads: DataFrame, members: DataFrame, labels: DataFrame, percent: int, miss: float) -> tuple[DataFrame, DataFrame]:
+    """What is left to compare in buckets that hold several components: surviving pairs (a, b), and the pairs of blocks with more of them than members.
+
+    A bucket is dealt into blocks of about BLOCK members; its blocks meet each other, not its members.
+    """
+    fewest = fewest_matches(percent, miss)
     labelled = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
-    rest = labelled.join(split, "band").join(signatures.select("id", "signature"), "id")
+    rest = labelled.join(split, "band").join(heads.select("id", "signature", "bands"), "id")
     chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).cast("int")
-    packed = rest.groupBy("band", chunk.alias("chunk"), "first").agg(F.collect_list("id").alias("ids"), F.collect_list("component").alias("components"), F.collect_list("n_shingles").alias("sizes"), F.collect_list("signature").alias("signatures"))
-    blocks = saved(packed, "blocks")
+    lists = {"ids": "id", "components": "component", "sizes": "n_shingles", "signatures": "signature", "bands": "bands"}
+    blocks = saved(rest.groupBy("band", chunk.alias("chunk"), "first").agg(*(F.collect_list(c).alias(k) for k, c in lists.items())), "blocks")
 
-    def across(batches):
+    def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            found = []
+            rows = []
             for row in batch.to_pylist():
-                ids, comps, sizes = ([np.array(row[f"{k}_{s}"], np.int64) for s in "ab"] for k in ("ids", "components", "sizes"))
-                sigs = [np.frombuffer(b"".join(row[f"signatures_{s}"]), "<u2").reshape(-1, HASHES) for s in "ab"]
-                apart = comps[0][:, None] != comps[1][None, :]
-                least, most = np.minimum.outer(sizes[0], sizes[1]), np.maximum.outer(sizes[0], sizes[1])
-                apart &= 100 * least >= percent * most
-                apart &= (ids[0][:, None] != row["first"]) & (ids[1][None, :] != row["first"])
-                if row["chunk_a"] == row["chunk_b"]:
-                    apart &= ids[0][:, None] < ids[1][None, :]
-                i, j = np.nonzero(apart)
-                for k in range(0, len(i), 1 << 15):
-                    x, y = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
-                    alive = survivors(sigs[0][x], sigs[1][y], fewest)
-                    found += zip(np.minimum(ids[0][x[alive]], ids[1][y[alive]]).tolist(), np.maximum(ids[0][x[alive]], ids[1][y[alive]]).tolist(), strict=True)
-            a, b = zip(*set(found), strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    sides = [blocks.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("chunk", "ids", "components", "sizes", "signatures")), *(["first"] if s == "a" else [])) for s in "ab"]
+                pair = BlockPair(row, percent)
+                x, y, _ = pair.candidates(fewest)
+                if len(x) > len(pair.ids[0]) + len(pair.ids[1]):
+                    rows.append((None, None, row["band"], row["chunk_a"], row["chunk_b"]))
+                else:
+                    rows += [(min(a, b), max(a, b), None, None, None) for a, b in zip(pair.ids[0][x].tolist(), pair.ids[1][y].tolist(), strict=True)]
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.int32()] * 2, strict=True)], names=["a", "b", "band", "chunk_a", "chunk_b"])
+
+    sides = [blocks.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("chunk", *lists)), *(["first"] if s == "a" else [])) for s in "ab"]
     crossed = sides[0].join(sides[1], "band").filter("chunk_a <= chunk_b")
-    more = saved(crossed.mapInArrow(across, "a long, b long").distinct(), "candidates")
-    if not more.isEmpty():
-        labels = components(links.union(_verified(docs, more, width, percent)))
+    found = saved(crossed.mapInArrow(run, "a long, b long, band long, chunk_a int, chunk_b int"), "candidates")
+    dense = found.filter("band IS NOT NULL").select("band", "chunk_a", "chunk_b").join(sides[0], ["band", "chunk_a"]).join(sides[1], ["band", "chunk_b"])
+    return found.filter("band IS NULL").select("a", "b").distinct(), dense
 
-    joined = classes.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").select("set_hi", "set_lo", F.coalesce("component", "class_id").alias("class_component"))
-    placed = described.select("doc_id", "n_shingles", "set_hi", "set_lo").join(joined, ["set_hi", "set_lo"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id"))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+def _within(docs: DataFrame, dense: DataFrame, width: int, percent: int, miss: float) -> DataFrame:
+    """Verified links (a, b) within pairs of blocks: their members' full sets are brought to the blocks, and only links that join components leave them."""
+    fewest = fewest_matches(percent, miss)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [link for row in batch.to_pylist() for link in BlockPair(row, percent).links(fewest, percent)]
+            a, b = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    keys = ["band", "chunk_a", "chunk_b"]
+    ids = [dense.select("band", F.col(f"chunk_{s}").alias("chunk"), F.explode(f"ids_{s}").alias("id")) for s in "ab"]
+    members = saved(ids[0].union(ids[1]).distinct(), "dense-members")
+    sets = _shingle_sets(docs, members.select("id").distinct(), width)
+    known = saved(members.join(sets, "id").groupBy("band", "chunk").agg(F.map_from_entries(F.collect_list(F.struct("id", "shingles"))).alias("sets")), "dense-sets")
+    for s in "ab":
+        own = known.select("band", F.col("chunk").alias(f"chunk_{s}"), F.col("sets").alias("sets"))
+        dense = dense.join(own, ["band", f"chunk_{s}"]).withColumn(f"shingles_{s}", F.transform(f"ids_{s}", lambda i: F.element_at("sets", i))).drop("sets")
+    columns = [*keys, "first", *(f"{c}_{s}" for s in "ab" for c in ("ids", "components", "sizes", "signatures", "bands", "shingles"))]
+    return dense.select(columns).mapInArrow(run, "a long, b long")
 
 
 def op1_near_duplicates(spark, sf_dir):

@@ -70,7 +70,7 @@ def test_components_equal_all_pairs(spark):
         assert got == sorted(brute(rows, width, 80), key=key)
 
 
-def test_large_groups_are_compared_block_by_block(spark, monkeypatch):
+def test_large_groups_are_compared_block_by_block(spark):
     rng = random.Random(9)
     base = [f"w{i}" for i in range(120)]
     rows = []
