@@ -25,6 +25,10 @@ def contract(spark: SparkSession, rules) -> DataFrame:
     return spark.createDataFrame(rules, RULE)
 
 
+def _prefixed(words: str):
+    return lambda k: F.concat(F.lit(words), k)
+
+
 def violations(payloads: DataFrame, rules: list[tuple], payload: str = "payload") -> DataFrame:
     """``payloads`` with ``violations``: every breach of the rules, sorted; empty if the payload conforms.
 
@@ -38,7 +42,8 @@ def violations(payloads: DataFrame, rules: list[tuple], payload: str = "payload"
         held = F.get_json_object(text, path) if path != "$" else text
         keys = F.json_object_keys(held)
         there = keys.isNotNull()
-        found.append(F.when(there, F.transform(F.array_except(keys, F.array(*(F.lit(k) for _, k, *_ in own))), lambda k, p=path: F.concat(F.lit(f"{p}: extra "), k))))
+        extra = F.array_except(keys, F.array(*(F.lit(k) for _, k, *_ in own)))
+        found.append(F.when(there, F.transform(extra, _prefixed(f"{path}: extra "))))
         for _, key, kind, const, required in own:
             value = F.try_variant_get(root, f"{path}.{key}", "variant")
             has = there & F.array_contains(keys, key)

@@ -52,7 +52,7 @@ def text_trades(filings: DataFrame) -> DataFrame:
     may_wrap = ~F.col("is_row") & ~F.col("is_meta") & F.col("amount").rlike(r"[-–]\s*$") & (F.size(money) > 0)
     lines = lines.withColumn("wrap", F.min(F.when(may_wrap, F.col("pos"))).over(whole))
     last = F.element_at(money, -1)
-    head = F.left("line", F.length("line") - F.locate(F.reverse(last), F.reverse("line")) - F.length(last) + 1)
+    head = F.left("line", F.length("line") - F.position(F.reverse(last), F.reverse("line")) - F.length(last) + 1)
     name = F.when(F.col("is_row"), part(2)).when(F.col("is_meta") | F.col("closed"), None).when(F.col("pos") == F.col("wrap"), s.strip(head)).otherwise(F.col("line"))
     lines = lines.withColumn("name", s.blank_to_null(name)).withColumn("completed", F.when(F.col("pos") == F.col("wrap"), last))
     rows = lines.groupBy("filing_id", "gid").agg(

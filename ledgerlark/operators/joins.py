@@ -12,10 +12,11 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_day: str, right_d
     """``left`` with the last ``right`` row of the same ``by`` on or before ``left_day``: its day as ``out_day`` and its value as ``out_value``; null if there is none.
 
     Rows are sorted within (by, period), so one key with most of the rows is spread over its
-    months. Into each period goes the last row of the periods before it, found among one row per
+    months; null keys and days find nothing. Into each period goes the last row of the periods before it, found among one row per
     key and period. Of several right rows on one day the largest value counts.
     """
     entry = F.struct(F.col(right_day).alias("day"), F.col(value).alias("value"))
+    right = right.filter(F.col(by).isNotNull() & F.col(right_day).isNotNull())
     known = right.groupBy(F.col(by).alias("_by"), F.trunc(right_day, period).alias("_period")).agg(F.max(entry).alias("_last"))
     asked = left.select(F.col(by).alias("_by"), F.trunc(left_day, period).alias("_period")).distinct()
     before = Window.partitionBy("_by").orderBy("_period").rowsBetween(Window.unboundedPreceding, -1)
