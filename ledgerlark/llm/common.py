@@ -1,68 +1,22 @@
-"""What the operators of this subpackage share: scratch tables, words and hashes."""
+"""What the operators of this subpackage share: words and hashes, beside the library's scratch tables."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlark.operators.scratch import numbered, saved, scratch_dir
+
+__all__ = ["documents", "hash_words", "let", "lower_words_of", "mix64", "numbered", "saved", "scratch_dir", "window_hashes", "words_of"]
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table ``documents`` under ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where that is unset (local tests), a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlark-"))
-            found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        shared = found.get()
-    return shared.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-    except Exception:  # noqa: BLE001 - the session may already be gone when the interpreter ends
-        return
-
-
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs only the tasks after this table. The table goes
-    when the driver's interpreter ends.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def numbered(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with its rows numbered 0, 1, 2, ... in ``column``, by partition and then by place in it.
-
-    The rows are written once, so the numbers hold. What is broadcast is one row per partition.
-    """
-    written = saved(df.withColumn("_row", F.monotonically_increasing_id()), "numbered").withColumn("_part", F.shiftright("_row", 33))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = written.groupBy("_part").agg(F.count("*").alias("_n"))
-    firsts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    number = F.col("_first") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
-    return written.join(F.broadcast(firsts), "_part").withColumn(column, number).drop("_row", "_part", "_first")
-
-
 def let(value, body):
     """``body(value)`` as a column, with ``value`` evaluated once however often ``body`` uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
