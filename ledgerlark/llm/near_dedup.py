@@ -347,3 +347,20 @@ def _within(docs: DataFrame, dense: DataFrame, width: int, percent: int, miss: f
 def op1_near_duplicates(spark, sf_dir):
     """Components of all documents by 2-word shingles at 80 per cent."""
     return near_duplicates(documents(spark, sf_dir), width=2)
+
+
+#: The same in DuckDB, by comparing all pairs that share a shingle.
+ORACLE = """
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS shingle FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    t AS (SELECT s.doc_id, shingle, n FROM s JOIN n USING (doc_id)),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) + any_value(b.n) AS sizes, count(*) AS shared
+          FROM t a JOIN t b ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+    e AS (SELECT x, y FROM p WHERE 100 * shared >= 80 * (sizes - shared)),
+    links AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+    r AS (SELECT x AS doc_id, x AS reached FROM links UNION SELECT r.doc_id, links.y FROM r JOIN links ON r.reached = links.x)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.low, d.doc_id) AS component_id, coalesce(c.low, d.doc_id) = d.doc_id AS kept
+    FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(reached) AS low FROM r GROUP BY doc_id) c USING (doc_id)
+"""

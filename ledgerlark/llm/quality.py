@@ -7,28 +7,39 @@ words are rejected, as are documents that fail the base rules (too short, or rep
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import documents, hash_words, mix64, saved, window_hashes, words_of
+from ledgerlark.llm.common import documents, hash_words, saved, window_hashes, words_of
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 PROFILE = f"row_key long, host string, doc_id long, {MEASURES}, version long, lines array<struct<hash:long,words:int>>"
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
 
 
-def line_hashes(text: str) -> tuple[list[str], np.ndarray, list[int]]:
-    """The \\n-split lines with a word, the hash of each line's lower-cased words, and their numbers of words."""
+def line_digest(words: list[bytes]) -> bytes:
+    """The MD5 digest of a line's words, A-Z lower-cased and one blank apart."""
+    return hashlib.md5(b" ".join(words).lower(), usedforsecurity=False).digest()
+
+
+def line_key(digest: bytes) -> int:
+    """The 64 bits of a digest that stand for the line."""
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
+def line_digests(text: str) -> tuple[list[str], list[bytes], list[int]]:
+    """The \\n-split lines with a word, their digests, and their numbers of words."""
     lines, keys, words = [], [], []
     for line in text.split("\n"):
         if own := words_of(line):
             lines.append(line)
-            keys.append(b" ".join(own).lower())
+            keys.append(line_digest(own))
             words.append(len(own))
-    return lines, hash_words(keys), words
+    return lines, keys, words
 
 
 def repeated_words(words: list[bytes], width: int = 3) -> int:
@@ -48,14 +59,16 @@ def measure(text: str | None) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a whole text, then its version and its lines as (hash, words)."""
     text = text or ""
     words = words_of(text)
-    lines, hashes, sizes = line_hashes(text)
+    lines, digests, sizes = line_digests(text)
     chars = len(text) - sum(map(text.count, "\t\n\v\f\r "))
     base = len(words), chars, len(SYMBOLS.findall(text.encode("utf-8", "surrogatepass"))), len(lines) - len(set(lines)), repeated_words(words)
-    if not len(hashes):
+    if not digests:
         return *base, 0, []
-    distinct, first, counts = np.unique(hashes, return_index=True, return_counts=True)
-    version = mix64(mix64(distinct[:1]) + distinct[-1:])
-    return *base, int(version.view(np.int64)[0]), [{"hash": int(h), "words": int(sizes[i]) * int(n)} for h, i, n in zip(distinct.view(np.int64), first, counts, strict=True)]
+    version = line_key(hashlib.md5(min(digests) + max(digests), usedforsecurity=False).digest())
+    own: dict[int, int] = {}
+    for digest, n in zip(digests, sizes, strict=True):
+        own[line_key(digest)] = own.get(line_key(digest), 0) + n
+    return *base, version, [{"hash": k, "words": n} for k, n in own.items()]
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
@@ -77,7 +90,7 @@ def line_frequency(docs: DataFrame, min_docs: int = 20, share: float = 0.05, kee
 
     A line (its lower-cased words) is common on a host when more distinct documents of the host
     have it than ``min_docs`` and than ``share`` of the host's documents. Documents whose smallest
-    and largest line hashes agree are versions of one document and count once, so a group of
+    and largest line digests agree are versions of one document and count once, so a group of
     copies does not make its own lines common. A document is kept if it passes the base rules
     (``min_words`` words; at most half its words in repeated 3-word windows) and at least
     ``keep_share`` of its words are in other lines. ``common_lines`` are the hashes of its
@@ -113,7 +126,7 @@ def without_lines(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
         common, kept = set(common), []
         for line in text.split("\n"):
             own = words_of(line)
-            if not own or int(hash_words([b" ".join(own).lower()]).view(np.int64)[0]) not in common:
+            if not own or line_key(line_digest(own)) not in common:
                 kept.append(line)
         return "\n".join(kept)
 
@@ -132,3 +145,31 @@ def op6_line_quality(spark, sf_dir):
     """The measures and verdict of every document."""
     verdicts = line_frequency(documents(spark, sf_dir))
     return verdicts.select("doc_id", *(c.split()[0] for c in MEASURES.split(", ")), "base_failed", "kept", "removed_words")
+
+
+#: The same in DuckDB, with the lines themselves in place of their keys.
+ORACLE = """
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+    windows AS (SELECT rid, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2)),
+    repeats AS (SELECT rid, i FROM windows QUALIFY count(*) OVER (PARTITION BY rid, a, b, c) > 1),
+    covered AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM repeats) GROUP BY rid),
+    lines AS (SELECT rid, host, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS own
+              FROM (SELECT rid, host, unnest(string_split(text, chr(10))) AS line FROM d)),
+    keyed AS (SELECT rid, host, line, len(own) AS k, array_to_string(own, ' ') AS key FROM lines WHERE len(own) > 0),
+    doubled AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM keyed GROUP BY rid),
+    versions AS (SELECT rid, host, min(md5(key)) || max(md5(key)) AS version FROM keyed GROUP BY rid, host),
+    hosts AS (SELECT host, count(DISTINCT version) AS n FROM versions GROUP BY host),
+    common AS (SELECT host, key FROM (SELECT k.host, k.key, count(DISTINCT version) AS n FROM keyed k JOIN versions v ON k.rid = v.rid GROUP BY k.host, k.key) f
+               JOIN hosts h USING (host) WHERE f.n > 20 AND f.n > CAST(0.05 AS DOUBLE) * h.n),
+    removed AS (SELECT rid, sum(k) AS n FROM keyed JOIN common USING (host, key) GROUP BY rid),
+    m AS (SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
+            length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(doubled.n, 0) AS n_dup_lines,
+            coalesce(covered.n, 0) AS n_repeat_words, coalesce(removed.n, 0) AS removed_words
+          FROM w LEFT JOIN covered USING (rid) LEFT JOIN doubled USING (rid) LEFT JOIN removed USING (rid)),
+    j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+    SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+           CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+           NOT base_failed AND n_words - removed_words >= CAST(0.3 AS DOUBLE) * n_words AS kept, CAST(removed_words AS BIGINT) AS removed_words
+    FROM j
+"""

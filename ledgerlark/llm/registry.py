@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ledgerlark.llm import near_dedup, quality
 from ledgerlark.llm.fingerprints import op5_fingerprints
 from ledgerlark.llm.licenses import op9_license_scan
 from ledgerlark.llm.near_dedup import op1_near_duplicates
@@ -14,4 +15,4 @@ from ledgerlark.llm.token_counts import op10_token_counts
 from ledgerlark.llm.token_index import op3_token_index
 
 QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_balanced_shards, op3_token_index, op4_piece_ids, op5_fingerprints, op6_line_quality, op7_pii_spans, op8_pack_sequences, op9_license_scan, op10_token_counts)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_near_duplicates": near_dedup.ORACLE, "op6_line_quality": quality.ORACLE}
