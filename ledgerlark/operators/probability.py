@@ -169,3 +169,42 @@ def simulate(matrix: DataFrame, n: int = 200_000, seed: int = 42, key: str = "ma
     hit = draws.select(key, F.floor(at / F.col("side")).alias("i"), (at % F.col("side")).alias("j"))
     share = lambda condition, name: (F.count_if(condition) / F.count("*")).alias(name)
     return hit.groupBy(key).agg(share(F.col("i") > F.col("j"), "p_home"), share(F.col("i") == F.col("j"), "p_draw"), share(F.col("i") < F.col("j"), "p_away"))
+
+
+def extra_markets(matches: DataFrame, key: str = "match_id") -> DataFrame:
+    """(key, market, mean, line, over, under) of corners and cards, for matches that give ``corners`` or ``cards``; missing parts by default."""
+    corners = matches.filter("corners IS NOT NULL").select(key, F.lit("corners").alias("market"), corners_total("corners.home_corners", "corners.away_corners").alias("mean"), F.array(*map(F.lit, CORNER_LINES)).alias("lines"))
+    cards = matches.filter("cards IS NOT NULL").select(key, F.lit("cards"), cards_mean("cards.referee_yellow_avg", "cards.wc_discount", "cards.mismatch_bump"), F.array(*map(F.lit, CARD_LINES)))
+    tails = F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: poisson_pmf(k, "mean"))
+    rows = corners.union(cards).withColumn("tails", tails).select("*", F.explode("lines").alias("line"))
+    over = F.aggregate(F.slice("tails", (F.floor("line") + 2).cast("int"), F.lit(31)), F.lit(0.0), lambda a, p: a + p)
+    return rows.select(key, "market", "mean", "line", over.alias("over"), (1 - over).alias("under"))
+
+
+def validation_rows(predictions: DataFrame, key: str = "match_id") -> DataFrame:
+    """(key, place, source, home, draw, away): the model's probabilities, the market's and a third source's, where there are such."""
+    own = predictions.select(key, F.lit(0).alias("place"), F.lit("Own model").alias("source"), F.col("p_home").alias("home"), F.col("p_draw").alias("draw"), F.col("p_away").alias("away"))
+    market = predictions.filter("fair IS NOT NULL").select(key, F.lit(1), F.lit("Market (de-vig)"), "fair.home", "fair.draw", "fair.away")
+    out = own.union(market)
+    if "supercomputer" in predictions.columns:
+        third = predictions.filter("size(supercomputer) = 3").select(key, F.lit(2), F.lit("Supercomputer"), *(F.element_at("supercomputer", k) for k in (1, 2, 3)))
+        out = out.union(third)
+    return out
+
+
+def convergence(matrix: DataFrame, n: int = 200_000, seed: int = 42, key: str = "match_id") -> DataFrame:
+    """By match the exact and drawn probabilities of home, draw and away and their largest difference."""
+    exact = markets(matrix, key, ()).select(key, "p_home", "p_draw", "p_away")
+    drawn = simulate(matrix, n, seed, key).select(key, *(F.col(f"p_{c}").alias(f"mc_{c}") for c in ("home", "draw", "away")))
+    gap = F.greatest(*(F.abs(F.col(f"p_{c}") - F.col(f"mc_{c}")) for c in ("home", "draw", "away")))
+    return exact.join(drawn, key).withColumn("max_difference", gap)
+
+
+def calibration_text(predictions: DataFrame) -> Column:
+    """A line for each side on how its mean score came about."""
+
+    def side(us: str, them: str) -> Column:
+        given = [F.format_string("%.2f", F.coalesce(F.col(c), F.lit(d))) for c, d in ((f"base_{us}", DEFAULTS[f"base_{us}"]), (f"{us}_attack", 1.0), (f"{them}_defense", 1.0), (f"{us}_context", 1.0))]
+        return F.concat(F.col(us), F.lit(": base "), given[0], F.lit(" x attack "), given[1], F.lit(" x opposing defence "), given[2], F.lit(" x context "), given[3], F.lit(" -> "), F.format_string("%.3f", F.col(f"lam_{us}")))
+
+    return F.concat_ws("\n", side("home", "away"), side("away", "home"))

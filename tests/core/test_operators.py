@@ -132,3 +132,21 @@ def test_confidence_and_predictions(spark):
     assert got[2].lam_home == 3.0 and got[2].divergence is None and got[2].recommended.result == "Home" and got[2].confidence.level == "MEDIUM"
     over = spark.range(1).select(probability.poisson_over(probability.corners_total(F.lit(None).cast("double"), F.lit(4.0)), 9.5), probability.cards_mean(*[F.lit(None).cast("double")] * 3), probability.style_rho(F.lit("open")), probability.style_rho(F.lit("?"))).first()
     assert 0.3 < over[0] < 0.6 and over[1] == pytest.approx(3.4) and (over[2], over[3]) == (-0.04, -0.06)
+
+
+def test_extra_markets_and_validation(spark):
+    import math
+
+    rows = [(1, (5.0, None), None), (2, None, (4.0, None, 1.1))]
+    m = spark.createDataFrame(rows, "match_id int, corners struct<home_corners:double,away_corners:double>, cards struct<referee_yellow_avg:double,wc_discount:double,mismatch_bump:double>")
+    got = {(r.match_id, r.line): r for r in probability.extra_markets(m).collect()}
+    over = lambda mean, line: sum(math.exp(-mean) * mean**k / math.factorial(k) for k in range(31) if k > line)
+    assert len(got) == 6 and got[1, 9.5].over == pytest.approx(over(9.3, 9.5)) and got[2, 3.5].over == pytest.approx(over(4 * 0.85 * 1.1, 3.5))
+    p = spark.createDataFrame([(1, 0.5, 0.3, 0.2, (0.4, 0.3, 0.3), [0.6, 0.2, 0.2]), (2, 0.5, 0.3, 0.2, None, None)], "match_id int, p_home double, p_draw double, p_away double, fair struct<home:double,draw:double,away:double>, supercomputer array<double>")
+    assert sorted((r.match_id, r.place) for r in probability.validation_rows(p).collect()) == [(1, 0), (1, 1), (1, 2), (2, 0)]
+
+
+def test_entry_points(spark, capsys):
+    from ledgerlark.__main__ import main
+
+    assert main(["quick", "1.5", "1.0"]) == 0 and "p_home" in capsys.readouterr().out
