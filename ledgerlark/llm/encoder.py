@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
-
-import numpy as np
+import struct
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -15,20 +14,32 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: How byte-level tokenizers write bytes: printable ones as themselves, the others from U+0100 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_CHARS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer that never joins characters across ASCII white space.
 
+    The tokenizer must also lower-case, and part letters from punctuation, as word_bpe_49k does.
+    A word of Latin letters alone is one unit for its model, which then is asked directly.
     For such a tokenizer the ids of a text are the ids of its white-space-separated chunks, in
     order, so a chunk met before costs one dictionary lookup. The memory is bounded: at most
     ``limit`` chunks of up to 64 bytes are remembered, then the memory starts anew. Longer chunks
     are never remembered beyond their text.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.limit = limit
         self.known: dict[bytes, bytes] = {}
 
@@ -39,14 +50,53 @@ class WordEncoder:
             return b"".join(map(self.known.__getitem__, chunks)) + end
         except KeyError:
             pass
-        missing = [c for c in set(chunks) if c not in self.known]
-        if len(self.known) + len(missing) > self.limit:
+        missing = set(chunks).difference(self.known)
+        if len(self.known) + 2 * len(missing) > self.limit:
             self.known.clear()
-            missing = list(set(chunks))
-        found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in missing], add_special_tokens=False)
-        own = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(missing, found, strict=True)}
-        self.known.update((c, ids) for c, ids in own.items() if len(c) <= 64)
-        return b"".join([own[c] if c in own else self.known[c] for c in chunks]) + end
+            missing = set(chunks)
+        self._learn(missing)
+        ids = b"".join(map(self.known.__getitem__, chunks)) + end
+        for c in missing:
+            if len(c) > 64:
+                del self.known[c]
+        return ids
+
+    def _learn(self, chunks: set[bytes]) -> None:
+        known, tokenize, others = self.known, self.model.tokenize, []
+        for mark in (b",", b"."):
+            if mark not in known:
+                known[mark] = self._ids([mark.decode()])[0]
+        for chunk in chunks:
+            stem, mark = self._stem(chunk)
+            ids = known.get(stem)
+            if ids is None:
+                word = stem.decode("utf-8", "replace")
+                if stem.isalpha():
+                    ids = _packed([t.id for t in tokenize(word)])
+                elif word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:
+                    ids = _packed([t.id for t in tokenize(word.lower().encode().decode("latin-1").translate(_BYTE_CHARS))])
+                else:
+                    others.append((chunk, stem, mark, word))
+                    continue
+                if len(stem) <= 64:
+                    known[stem] = ids
+            known[chunk] = ids + known[mark] if mark else ids
+        for (chunk, stem, mark, _), ids in zip(others, self._ids([word for *_, word in others]), strict=True):
+            known[chunk] = ids + known[mark] if mark else ids
+            if mark and len(stem) <= 64:
+                known[stem] = ids
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    @staticmethod
+    def _stem(chunk: bytes) -> tuple[bytes, bytes]:
+        """The chunk without a final comma or full stop after an ASCII letter, and that mark; their ids are the chunk's. ASCII is lower-cased as the tokenizer does."""
+        if chunk.isascii() and b"<|" not in chunk:
+            chunk = chunk.lower()
+        if chunk[-1:] in (b",", b".") and chunk[-2:-1].isalpha():
+            return chunk[:-1], chunk[-1:]
+        return chunk, b""
 
 
 @functools.lru_cache(maxsize=2)
