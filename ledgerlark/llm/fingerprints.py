@@ -3,14 +3,13 @@
 A sketch adds each digest to one cell in each of three rows of cells: a count, the exclusive-or of
 the digests and of their checks. Subtracting two versions' sketches cancels what they share;
 peeling cells that hold one digest recovers the digests in which they differ. If peeling stops
-early, both versions are sketched with four times the cells.
+early, both versions are sketched with eight times the cells.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,7 +22,7 @@ ROWS = 3
 CELLS = 24
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_SALTS = np.arange(1, ROWS + 1, dtype=np.uint64)[:, None] * _GOLDEN
+_SHIFTS, _LOW = np.arange(0, 21 * ROWS, 21, dtype=np.uint64)[:, None], np.uint64((1 << 21) - 1)
 
 
 def paragraph_digests(text: str, words: int = 8) -> np.ndarray:
@@ -38,9 +37,13 @@ def paragraph_digests(text: str, words: int = 8) -> np.ndarray:
     pieces = [p for p in pieces if p]
     if not pieces:
         return np.empty(0, np.uint64)
-    hashes = np.sort(pd.util.hash_array(np.array([*pieces, None], dtype=object)[:-1], categorize=False))
-    starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
-    rank = np.arange(len(hashes)) - np.repeat(starts, np.diff(np.r_[starts, len(hashes)]))
+    hashes = pd.util.hash_array(np.array([*pieces, None], dtype=object)[:-1], categorize=False)
+    hashes.sort()
+    new = hashes[1:] != hashes[:-1]
+    if new.all():
+        return mix64(hashes)
+    starts = np.flatnonzero(np.concatenate([[True], new]))
+    rank = np.arange(len(hashes)) - np.repeat(starts, np.diff(np.append(starts, len(hashes))))
     return mix64(hashes + rank.astype(np.uint64) * _GOLDEN)
 
 
@@ -48,30 +51,29 @@ def _checks(digests: np.ndarray) -> np.ndarray:
     return mix64(digests ^ _GOLDEN)
 
 
-def _cells(digests: np.ndarray, cells: int) -> np.ndarray:
-    """The ROWS cells of each digest."""
+def _cells(checks: np.ndarray, cells: int) -> np.ndarray:
+    """The cells, one in each of ROWS rows, of digests with these checks: 21 bits of the check for each row."""
     row = cells // ROWS
-    return (mix64(digests + _SALTS) % np.uint64(row)).astype(np.int64) + np.arange(ROWS)[:, None] * row
+    return ((checks >> _SHIFTS & _LOW) % np.uint64(row)).astype(np.int64) + np.arange(0, cells, row)[:, None]
 
 
-@dataclass
 class Sketch:
-    counts: np.ndarray
-    keys: np.ndarray
-    checks: np.ndarray
+    """Cells of counts, exclusive-ors of digests and exclusive-ors of checks."""
+
+    def __init__(self, counts: np.ndarray, keys: np.ndarray, checks: np.ndarray):
+        self.counts, self.keys, self.checks = counts, keys, checks
 
     @classmethod
-    def of(cls, digests: np.ndarray, cells: int) -> Sketch:
+    def of(cls, digests: np.ndarray, cells: int, checks: np.ndarray | None = None) -> Sketch:
         out = cls(np.zeros(cells, np.int32), np.zeros(cells, np.uint64), np.zeros(cells, np.uint64))
-        out.add(digests, np.ones(len(digests), np.int32))
+        out.add(digests, np.ones(len(digests), np.int32), _checks(digests) if checks is None else checks)
         return out
 
-    def add(self, digests: np.ndarray, signs: np.ndarray) -> None:
-        checks = _checks(digests)
-        for at in _cells(digests, len(self.counts)):
-            np.add.at(self.counts, at, signs)
-            np.bitwise_xor.at(self.keys, at, digests)
-            np.bitwise_xor.at(self.checks, at, checks)
+    def add(self, digests: np.ndarray, signs, checks: np.ndarray) -> None:
+        at = _cells(checks, len(self.counts)).ravel()
+        np.add.at(self.counts, at, np.tile(signs, ROWS))
+        np.bitwise_xor.at(self.keys, at, np.tile(digests, ROWS))
+        np.bitwise_xor.at(self.checks, at, np.tile(checks, ROWS))
 
     def minus(self, other: Sketch) -> Sketch:
         return Sketch(self.counts - other.counts, self.keys ^ other.keys, self.checks ^ other.checks)
@@ -80,14 +82,15 @@ class Sketch:
         """The digests that only the first and only the second version has; None if some stay tangled."""
         found, signs = [np.empty(0, np.uint64)], [np.empty(0, np.int32)]
         while True:
-            pure = np.flatnonzero((np.abs(self.counts) == 1) & (self.checks == _checks(self.keys)))
+            single = np.flatnonzero(np.abs(self.counts) == 1)
+            pure = single[self.checks[single] == _checks(self.keys[single])]
             if not len(pure):
                 break
             digests, first = np.unique(self.keys[pure], return_index=True)
             own = self.counts[pure][first]
             found.append(digests)
             signs.append(own)
-            self.add(digests, -own)
+            self.add(digests, -own, _checks(digests))
         if self.counts.any() or self.keys.any():
             return None
         digests, own = np.concatenate(found), np.concatenate(signs)
@@ -98,21 +101,38 @@ class Sketch:
         return base64.b64encode(self.counts.astype("<i4").tobytes() + self.keys.astype("<u8").tobytes() + self.checks.astype("<u8").tobytes()).decode()
 
 
-def differing(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
-    """The digests that only ``a`` and only ``b`` has, from sketches of ``cells`` cells and then four times as many until they peel."""
+class Version:
+    """A text's digests, and its sketches of every size asked for so far."""
+
+    def __init__(self, digests: np.ndarray):
+        self.digests, self.checks, self.sketches = digests, _checks(digests), {}
+
+    def sketch(self, cells: int) -> Sketch:
+        if cells not in self.sketches:
+            self.sketches[cells] = Sketch.of(self.digests, cells, self.checks)
+        return self.sketches[cells]
+
+
+def differing(a: Version, b: Version, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
+    """The digests that only ``a`` and only ``b`` has, from sketches of ``cells`` cells and then eight times as many until they peel.
+
+    Sketches with fewer cells than the versions' numbers of digests differ by cannot peel, and are passed over.
+    """
     while True:
-        found = Sketch.of(a, cells).minus(Sketch.of(b, cells)).peel()
-        if found is not None:
-            return found
-        cells *= 4
+        if cells >= abs(len(a.digests) - len(b.digests)):
+            found = a.sketch(cells).minus(b.sketch(cells)).peel()
+            if found is not None:
+                return found
+        cells *= 8
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+def likeness(a: Version, b: Version) -> float:
     """Twice the shared digests over all digests of two versions, 0 to 1; 1 if neither has any."""
-    if not len(a) + len(b):
+    total = len(a.digests) + len(b.digests)
+    if not total:
         return 1.0
     only_a, only_b = differing(a, b)
-    return (len(a) + len(b) - len(only_a) - len(only_b)) / (len(a) + len(b))
+    return (total - len(only_a) - len(only_b)) / total
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -143,11 +163,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             text, after = text or "", after or ""
             quarter = len(text) // 4
             edited = text[: len(text) - quarter] + after[:quarter]
-            own = last[1] if last[0] == text else paragraph_digests(text)
-            changed, following = paragraph_digests(edited), paragraph_digests(after)
+            own = last[1] if last[0] == text else Version(paragraph_digests(text))
+            changed, following = Version(paragraph_digests(edited)), Version(paragraph_digests(after))
             last = after, following
             sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-            rows.append((doc_id, len(text), sha, Sketch.of(own, CELLS).text(), Sketch.of(changed, CELLS).text(), likeness(own, changed), likeness(own, following)))
+            rows.append((doc_id, len(text), sha, own.sketch(CELLS).text(), changed.sketch(CELLS).text(), likeness(own, changed), likeness(own, following)))
             if len(rows) >= 2000:
                 yield flush()
         if rows:

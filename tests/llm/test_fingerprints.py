@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from ledgerlark.llm.fingerprints import Sketch, differing, fingerprints, paragraph_digests
+from ledgerlark.llm.fingerprints import Sketch, Version, differing, fingerprints, paragraph_digests
 from ledgerlark.llm.ordering import successive, with_successors
 
 
@@ -26,7 +26,7 @@ def test_peeling_recovers_the_difference():
     rng = np.random.default_rng(1)
     for n in (0, 1, 5, 40, 700):
         shared, a, b = (rng.integers(1, 2**64, k, np.uint64) for k in (300, n, n // 2))
-        only_a, only_b = differing(np.r_[shared, a], np.r_[shared, b])
+        only_a, only_b = differing(Version(np.r_[shared, a]), Version(np.r_[shared, b]))
         assert set(only_a) == set(a) and set(only_b) == set(b)
     assert Sketch.of(rng.integers(1, 2**64, 500, np.uint64), 24).peel() is None
 
