@@ -152,3 +152,29 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, min_votes: int = 3, cover
 def op9_license_scan(spark, sf_dir):
     """Licence phrases and labels of all documents."""
     return license_scan(documents(spark, sf_dir))
+
+
+def oracle_sql(templates=TEMPLATES, coverage: float = 0.7) -> str:
+    """The same in DuckDB: every template at every place, without an index."""
+    listed = lambda text: "[" + ", ".join(f"'{w.decode()}'" for w in license_words(text)) + "]"
+    notices = ", ".join(f"({t}, '{label}', {listed(phrase)}, {listed(text)})" for t, (label, phrase, text) in enumerate(templates))
+    bases = ", ".join(f"('{label}', {listed(phrase)})" for phrase, label in BASE_PHRASES.items())
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+    w AS (SELECT rid, generate_subscripts(ws, 1) - 1 AS pos, unnest(ws) AS word FROM d),
+    notice AS (SELECT * FROM (VALUES {notices}) n(t, label, phrase, words)),
+    base AS (SELECT * FROM (VALUES {bases}) b(label, phrase)),
+    base_word AS (SELECT label, len(phrase) AS k, generate_subscripts(phrase, 1) - 1 AS place, unnest(phrase) AS word FROM base),
+    base_place AS (SELECT rid, label, pos - place AS start FROM w JOIN base_word USING (word) GROUP BY rid, label, pos - place HAVING count(*) = any_value(k)),
+    notice_word AS (SELECT t, len(words) AS k, generate_subscripts(words, 1) - 1 AS place, unnest(words) AS word FROM notice),
+    aligned AS (SELECT rid, t, pos - place AS shift, any_value(k) AS k, count(*) / CAST(any_value(k) AS DOUBLE) AS share FROM w JOIN notice_word USING (word) GROUP BY rid, t, pos - place HAVING share >= CAST({coverage} AS DOUBLE)),
+    phrase_word AS (SELECT t, len(phrase) AS k, generate_subscripts(phrase, 1) - 1 AS place, unnest(phrase) AS word FROM notice),
+    phrase_place AS (SELECT rid, t, pos - place AS start, any_value(k) AS k FROM w JOIN phrase_word USING (word) GROUP BY rid, t, pos - place HAVING count(*) = any_value(k)),
+    accepted AS (SELECT a.rid, n.label, max(a.share) AS share FROM aligned a JOIN phrase_place p ON p.rid = a.rid AND p.t = a.t AND p.start >= a.shift AND p.start + p.k <= a.shift + a.k JOIN notice n ON n.t = a.t GROUP BY a.rid, n.label),
+    b AS (SELECT rid, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base_place GROUP BY rid),
+    l AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM base_place UNION SELECT rid, label FROM accepted) GROUP BY rid),
+    s AS (SELECT rid, max(share) AS score FROM accepted GROUP BY rid)
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+           coalesce(b.labels, '') AS base_labels, coalesce(l.labels, '') AS labels, coalesce(score, CASE WHEN n_base > 0 THEN CAST(0.5 AS DOUBLE) ELSE 0 END) AS score
+    FROM d LEFT JOIN b USING (rid) LEFT JOIN l USING (rid) LEFT JOIN s USING (rid)
+    """
