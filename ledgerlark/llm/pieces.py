@@ -32,7 +32,7 @@ CHUNKS = "row long, doc_id long, chunk int, start long, n_chars long, text strin
 class PieceModel:
     """A SentencePiece byte-pair model with byte fallback: its vocabulary, and the lattice of a text."""
 
-    def __init__(self, path: str, remember: int = 1_000_000):
+    def __init__(self, path: str, remember: int = 700_000):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -139,9 +139,24 @@ class PieceModel:
         return np.array(ids, "<u4").tobytes()
 
     def whole(self, text: str) -> list[str]:
-        """The pieces of a text by one pass over its lattice."""
-        sets, n = self.reach(text, {(0, 0): 1}, len(text)), len(text)
-        return self.path(text, (0, 0), next((s, n) for s in range(n - 1, -1, -1) if (s, n) in sets), sets)
+        """The pieces of a closed run of text: its one compatible path, tried longest piece first.
+
+        Each place is reached by one compatible path at most, so a place given up is dead for good.
+        """
+        out, at, n, dead = [], 0, len(text), set()
+        waiting = [self.ends(text, 0)]
+        while at < n:
+            if waiting[-1]:
+                end = waiting[-1].pop()
+                if end not in dead and (not out or self.compatible(out[-1], text[at:end])):
+                    out.append(text[at:end])
+                    at = end
+                    waiting.append(self.ends(text, at) if at < n else [])
+            else:
+                waiting.pop()
+                dead.add(at)
+                at -= len(out.pop())
+        return out
 
     def word_ids(self, word: str) -> bytes:
         """The ids of a run between word marks, cut where no piece of the vocabulary crosses."""
@@ -322,8 +337,8 @@ def _scanned(chunks: DataFrame, vocabulary: str, size: int) -> DataFrame:
 def encode_pieces(docs: DataFrame, vocabulary: str, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """One row per document: doc_id and ids, the model's ids of its whole text (little-endian unsigned 32-bit).
 
-    The ids are those that the SentencePiece library gives. Texts over ``giant`` characters are
-    scanned in chunks of ``chunk`` side by side; what meets in one task of those are the matrices
+    The ids are those that the SentencePiece library gives, whose part is only to normalise. Texts
+    over ``giant`` characters are scanned in chunks of ``chunk`` side by side; what meets in one task of those are the matrices
     and then the ids of one document. Null and empty texts have no ids. Every row gives one row,
     null doc_ids and repeated rows too; other columns are not read.
     """
