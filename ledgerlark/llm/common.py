@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.operators.scratch import numbered, saved, scratch_dir
 
-__all__ = ["documents", "hash_words", "let", "lower_words_of", "mix64", "numbered", "saved", "scratch_dir", "window_hashes", "words_of"]
+__all__ = ["documents", "hash_words", "let", "lower_words_of", "mix64", "numbered", "saved", "scratch_dir", "slices", "window_hashes", "words_of"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,13 @@ def let(value, body):
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def slices(batches, rows: int = 256):
+    """The Arrow batches in slices of few rows, so that a task never holds a whole batch as Python objects."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The runs of ``[^\\x20\\x09-\\x0D]`` of a text, as UTF-8 bytes; bytes.split() parts at exactly these six characters."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import documents, saved
+from ledgerlark.llm.common import documents, saved, slices
 from ledgerlark.llm.encoder import vocabulary_path
 
 GIANT = 16_384
@@ -30,9 +30,13 @@ CHUNKS = "row long, doc_id long, chunk int, start long, n_chars long, text strin
 
 
 class PieceModel:
-    """A SentencePiece byte-pair model with byte fallback: its vocabulary, and the lattice of a text."""
+    """A SentencePiece byte-pair model with byte fallback: its vocabulary, and the lattice of a text.
 
-    def __init__(self, path: str, remember: int = 700_000):
+    Runs and pairs met before are remembered, ``remember`` of each and as many of the generation
+    before, which is where those in use are found again once a generation is full.
+    """
+
+    def __init__(self, path: str, remember: int = 250_000):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -48,7 +52,9 @@ class PieceModel:
         self.starts_word = all(MARK not in p.lstrip(MARK) for p in self.ids)
         self.remember = remember
         self.known: dict[str, bytes] = {}
+        self.known_before: dict[str, bytes] = {}
         self.agree: dict[tuple[str, str], bool] = {}
+        self.agree_before: dict[tuple[str, str], bool] = {}
         words = f"{MARK}+[^{MARK}]*|[^{MARK}]+" if self.starts_word else "(?s:.+)"
         self.words = re.compile(words)
 
@@ -74,9 +80,12 @@ class PieceModel:
             return True
         found = self.agree.get((left, right))
         if found is None:
+            found = self.agree_before.get((left, right))
+            if found is None:
+                found = self.merged(left + right) == [left, right]
             if len(self.agree) >= self.remember:
-                self.agree.clear()
-            found = self.agree[left, right] = self.merged(left + right) == [left, right]
+                self.agree, self.agree_before = {}, self.agree
+            self.agree[left, right] = found
         return found
 
     def ends(self, text: str, start: int) -> list[int]:
@@ -162,13 +171,15 @@ class PieceModel:
         """The ids of a run between word marks, cut where no piece of the vocabulary crosses."""
         found = self.known.get(word)
         if found is None:
-            cuts = [0, *(k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.bigrams), len(word)]
-            if len(cuts) > 2:
-                found = b"".join([self.word_ids(word[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
-            else:
-                found = self.piece_ids(self.whole(word))
+            found = self.known_before.get(word)
+            if found is None:
+                cuts = [0, *(k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.bigrams), len(word)]
+                if len(cuts) > 2:
+                    found = b"".join([self.word_ids(word[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
+                else:
+                    found = self.piece_ids(self.whole(word))
             if len(self.known) >= self.remember:
-                self.known.clear()
+                self.known, self.known_before = {}, self.known
             if len(word) <= 64:
                 self.known[word] = found
         return found
@@ -249,7 +260,7 @@ def _whole_texts(docs: DataFrame, vocabulary: str) -> DataFrame:
         import pyarrow as pa
 
         model = piece_model(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [model.encode(model.normalize(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
@@ -265,7 +276,7 @@ def _chunks(docs: DataFrame, vocabulary: str, size: int) -> DataFrame:
 
         model, row = piece_model(vocabulary), TaskContext.get().partitionId() << 33
         names = [c.split()[0] for c in CHUNKS.split(", ")]
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = model.normalize(text)
                 starts = range(0, len(text), size)
@@ -306,7 +317,7 @@ def _scanned(chunks: DataFrame, vocabulary: str, size: int) -> DataFrame:
         import pyarrow as pa
 
         model = piece_model(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             row, _, chunk, *rest = (c.to_pylist() for c in batch.columns)
             rows = [[str(x) for x in _chunk(model, size, *args).matrix()] for args in zip(*rest, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(chunk, pa.int32()), pa.array(rows, pa.list_(pa.string()))], names=["row", "chunk", "matrix"])
@@ -322,7 +333,7 @@ def _scanned(chunks: DataFrame, vocabulary: str, size: int) -> DataFrame:
         import pyarrow as pa
 
         model = piece_model(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             row, doc_id, chunk, start, n_chars, text, entry, exit_ = (c.to_pylist() for c in batch.columns)
             ids = [_chunk(model, size, s, n, t).ids(a, b) for s, n, t, a, b in zip(start, n_chars, text, entry, exit_, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(chunk, pa.int32()), pa.array(ids, pa.binary())], names=["row", "doc_id", "chunk", "ids"])
@@ -338,8 +349,8 @@ def encode_pieces(docs: DataFrame, vocabulary: str, giant: int = GIANT, chunk: i
     """One row per document: doc_id and ids, the model's ids of its whole text (little-endian unsigned 32-bit).
 
     The ids are those that the SentencePiece library gives, whose part is only to normalise. Texts
-    over ``giant`` characters are scanned in chunks of ``chunk`` side by side; what meets in one task of those are the matrices
-    and then the ids of one document. Null and empty texts have no ids. Every row gives one row,
+    over ``giant`` characters are scanned in chunks of ``chunk`` side by side; what meets in one task
+    of those are the matrices and then the ids of one document. Null and empty texts have no ids. Every row gives one row,
     null doc_ids and repeated rows too; other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -355,7 +366,7 @@ def decode_pieces(encoded: DataFrame, vocabulary: str) -> DataFrame:
         import pyarrow as pa
 
         model = piece_model(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if ids is None else model.decode(ids) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
@@ -374,7 +385,7 @@ def op4_piece_ids(spark, sf_dir):
         import pyarrow as pa
 
         model = piece_model(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(1).to_pylist()
             digests = [hashlib.sha256(model.decode(x).encode("utf-8", "surrogatepass")).hexdigest() for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(zlib.crc32, ids), pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256"])
