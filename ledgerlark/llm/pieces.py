@@ -185,7 +185,8 @@ class PieceModel:
         return found
 
     def encode(self, normalized: str) -> bytes:
-        return b"".join(map(self.word_ids, self.words.findall(normalized)))
+        known = self.known.get
+        return b"".join([known(word) or self.word_ids(word) for word in self.words.findall(normalized)])
 
     def decode(self, ids: bytes) -> str:
         """The text of little-endian unsigned 32-bit ids."""
@@ -216,22 +217,27 @@ class Chunk:
         self.model, self.text, self.low, self.high = model, text, halo, halo + body
         self.entries = model.states(text, self.low) if halo else [(0, 0)]
         self.exits = [(s, e) for s, e in model.states(text, self.high) if not ends or e == len(text)]
-        self.cuts = [k for k in range(self.low + 1, self.high) if text[k - 1 : k + 1] not in model.bigrams]
+
+    def cuts(self, low: int, high: int) -> tuple[int, int] | None:
+        """The first and the last place within the chunk, from ``low`` to ``high``, that no piece crosses."""
+        text, bigrams = self.text, self.model.bigrams
+        places = range(max(self.low + 1, low), min(self.high - 1, high) + 1)
+        first = next((k for k in places if text[k - 1 : k + 1] not in bigrams), None)
+        return None if first is None else (first, next(k for k in reversed(places) if text[k - 1 : k + 1] not in bigrams))
 
     def matrix(self) -> list[int]:
         """For each entry the set of exits that it reaches. Where no piece crosses some place in the chunk, all entries reach the same."""
         model, text, bits = self.model, self.text, {e: 1 << k for k, e in enumerate(self.entries)}
         pos = {span: k for k, span in enumerate(self.exits)}
-        cut = self.cuts[-1] if self.cuts and self.cuts[-1] >= max(e for _, e in self.entries) else None
-        if cut is not None:
-            sets = model.reach(text, {(cut, cut): 1}, self.high)
+        if found := self.cuts(max(e for _, e in self.entries), self.high):
+            first, last = found
+            sets = model.reach(text, {(last, last): 1}, self.high)
             row = sum(1 << k for span, k in pos.items() if span in sets)
-            first = next(k for k in self.cuts if k >= max(e for _, e in self.entries))
             head = model.reach(text, bits, first)
             alive = 0
-            for (_, e), found in head.items():
+            for (_, e), reached in head.items():
                 if e == first:
-                    alive |= found
+                    alive |= reached
             return [row if alive >> k & 1 else 0 for k in range(len(self.entries))]
         sets = model.reach(text, bits, self.high)
         return [sum(1 << pos[span] for span in pos if sets.get(span, 0) >> k & 1) for k in range(len(self.entries))]
@@ -241,10 +247,10 @@ class Chunk:
         model, text, first, last = self.model, self.text, self.entries[entry], self.exits[exit_]
         if first == last:
             return b""
-        inside = [k for k in self.cuts if first[1] <= k <= last[0]]
-        if not inside:
+        found = self.cuts(first[1], last[0])
+        if not found:
             return model.piece_ids(model.path(text, first, last))
-        a, b = inside[0], inside[-1]
+        a, b = found
         head = [] if first[1] == a else model.path(text, first, self._into(first, a))
         tail = model.path(text, (b, b), last)
         return model.piece_ids(head) + model.encode(text[a:b]) + model.piece_ids(tail)
