@@ -64,7 +64,7 @@ def measure(text: str | None) -> tuple:
     base = len(words), chars, len(SYMBOLS.findall(text.encode("utf-8", "surrogatepass"))), len(lines) - len(set(lines)), repeated_words(words)
     if not digests:
         return *base, 0, []
-    version = line_key(hashlib.md5(min(digests) + max(digests), usedforsecurity=False).digest())
+    version = line_key(hashlib.md5(b"".join(sorted(set(digests))), usedforsecurity=False).digest())
     own: dict[int, int] = {}
     for digest, n in zip(digests, sizes, strict=True):
         own[line_key(digest)] = own.get(line_key(digest), 0) + n
@@ -89,9 +89,9 @@ def line_frequency(docs: DataFrame, min_docs: int = 20, share: float = 0.05, kee
     """One row per document: row_key, doc_id, the measures, base_failed, removed_words, common_lines and kept.
 
     A line (its lower-cased words) is common on a host when more distinct documents of the host
-    have it than ``min_docs`` and than ``share`` of the host's documents. Documents whose smallest
-    and largest line digests agree are versions of one document and count once, so a group of
-    copies does not make its own lines common. A document is kept if it passes the base rules
+    have it than ``min_docs`` and than ``share`` of the host's documents. Documents with the same
+    set of lines are versions of one document and count once, so a group of copies does not make
+    its own lines common; pages that differ in any line are distinct documents. A document is kept if it passes the base rules
     (``min_words`` words; at most half its words in repeated 3-word windows) and at least
     ``keep_share`` of its words are in other lines. ``common_lines`` are the hashes of its
     common lines, for without_lines().

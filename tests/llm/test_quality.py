@@ -42,3 +42,13 @@ def test_lines_of_many_documents_go_and_depleted_documents_too(spark):
     assert texts[3] == (own(3, 60), len(own(3, 60))) and texts[31][0] == f"{common}\n{own(31, 60)}"
     assert 20 not in texts and None in texts
     assert line_frequency(docs.limit(0)).count() == 0
+
+
+def test_pages_of_a_template_are_distinct_documents(spark):
+    lines = lambda name, n: "\n".join(f"{name}a{i} {name}b{i} {name}c{i}" for i in range(n))
+    rows = [(k, f"{lines('t', 40)}\n{lines(f'own{k}', 1)}", "a", 1) for k in range(400)]
+    rows += [(400 + k, lines(f"page{k}", 20), "a", 1) for k in range(3600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    removed = {r.doc_id: (r.removed_words, r.kept) for r in line_frequency(docs).collect()}
+    assert all(removed[k] == (120, False) for k in range(400))
+    assert all(removed[400 + k] == (0, True) for k in range(3600))
