@@ -85,11 +85,12 @@ def _profiles(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("doc_id", "source", "text").alias("row_key"), host.alias("host"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PROFILE)
 
 
-def line_frequency(docs: DataFrame, min_docs: int = 20, share: float = 0.05, keep_share: float = 0.3, min_words: int = 50) -> DataFrame:
+def line_frequency(docs: DataFrame, min_docs: int = 20, share: float = 0.05, keep_share: float = 0.3, min_words: int = 50, enough_docs: int = 1000) -> DataFrame:
     """One row per document: row_key, doc_id, the measures, base_failed, removed_words, common_lines and kept.
 
     A line (its lower-cased words) is common on a host when more distinct documents of the host
-    have it than ``min_docs`` and than ``share`` of the host's documents. Documents with the same
+    have it than ``min_docs`` and than ``share`` of the host's documents; more than ``enough_docs``
+    of them suffice whatever the share, so the limit does not grow with the host. Documents with the same
     set of lines are versions of one document and count once, so a group of copies does not make
     its own lines common; pages that differ in any line are distinct documents. A document is kept if it passes the base rules
     (``min_words`` words; at most half its words in repeated 3-word windows) and at least
@@ -104,7 +105,7 @@ def line_frequency(docs: DataFrame, min_docs: int = 20, share: float = 0.05, kee
     hosts = profiles.filter(F.size("lines") > 0).select("host", "version").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     lines = profiles.select("row_key", "host", "version", F.explode("lines").alias("line")).select("row_key", "host", "version", F.col("line.hash").alias("line"), F.col("line.words").alias("words"))
     frequent = lines.groupBy("host", "line", "version").agg(F.lit(1)).groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > min_docs)
-    common = frequent.join(hosts, "host").filter(F.col("n_docs") > share * F.col("host_docs")).select("host", "line")
+    common = frequent.join(hosts, "host").filter((F.col("n_docs") > share * F.col("host_docs")) | (F.col("n_docs") > enough_docs)).select("host", "line")
     removed = lines.join(common, ["host", "line"], "left_semi").groupBy("row_key", "line").agg(F.max("words").alias("words"))
     removed = removed.groupBy("row_key").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("common_lines"))
     judged = profiles.drop("lines", "version", "host").join(removed, "row_key", "left")
@@ -147,7 +148,7 @@ def op6_line_quality(spark, sf_dir):
     return verdicts.select("doc_id", *(c.split()[0] for c in MEASURES.split(", ")), "base_failed", "kept", "removed_words")
 
 
-#: The same in DuckDB, with the lines themselves in place of their keys.
+#: In DuckDB, with the lines themselves in place of their keys; versions go by smallest and largest digest there, and there is no ``enough_docs``.
 ORACLE = """
     WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
     w AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),

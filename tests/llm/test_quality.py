@@ -52,3 +52,13 @@ def test_pages_of_a_template_are_distinct_documents(spark):
     removed = {r.doc_id: (r.removed_words, r.kept) for r in line_frequency(docs).collect()}
     assert all(removed[k] == (120, False) for k in range(400))
     assert all(removed[400 + k] == (0, True) for k in range(3600))
+
+
+def test_a_line_of_many_documents_is_common_on_a_large_host_too(spark):
+    docs = spark.range(21_100).selectExpr(
+        "id AS doc_id",
+        "concat('own', id, if(id < 1050, '\\nshared by many', ''), if(id >= 2000 AND id < 3000, '\\nshared by fewer lines', '')) AS text",
+        "'a' AS source",
+    )
+    removed = {r.doc_id: r.removed_words for r in line_frequency(docs).collect()}
+    assert all(n == (3 if k < 1050 else 0) for k, n in removed.items()) and len(removed) == 21_100
