@@ -23,7 +23,10 @@ SPAN = "array<struct<start:int,rank:int,kind:string,end:int,score:double>>"
 
 @dataclass(frozen=True)
 class Kind:
-    """pattern: what proposes a span; hint: what a text must match to be searched at all; confirm: a check of the matched text; score without context; words nearby that raise it."""
+    """pattern: what proposes a span; hint: what a text must match to be searched at all; confirm: a check of the matched text; score without context; words nearby that raise it.
+
+    With ``fit`` the pattern only marks where a span may start: ``fit`` gives the span at the head of the ``reach`` characters from there, or an empty string.
+    """
 
     name: str
     pattern: str
@@ -32,6 +35,8 @@ class Kind:
     context: str
     confirm: object = None
     base: bool = True
+    fit: object = None
+    reach: int = 0
 
 
 def _digits(match: Column) -> Column:
@@ -50,16 +55,32 @@ def _phone(match: Column) -> Column:
     return F.length(_digits(match)).between(9, 15)
 
 
-def _iban(match: Column) -> Column:
+#: The countries of the IBAN registry by the length of their numbers.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban(plain: Column) -> Column:
     """Country and check digits moved to the end, letters read as 10 to 35: the number is 1 modulo 97."""
+    turned = F.concat(F.substr(plain, F.lit(5)), F.substr(plain, F.lit(1), F.lit(4)))
+    codes = F.transform(F.split(turned, ""), lambda c: F.when(F.ascii(c) >= 65, F.ascii(c) - 55).otherwise(F.ascii(c) - 48))
+    return F.aggregate(codes, F.lit(0), lambda r, n: (r * F.when(n >= 10, 100).otherwise(10) + n) % 97) == 1
+
 
-    def rest(text):
-        turned = F.concat(F.substr(text, F.lit(5)), F.substr(text, F.lit(1), F.lit(4)))
-        codes = F.transform(F.split(turned, ""), lambda c: F.when(F.ascii(c) >= 65, F.ascii(c) - 55).otherwise(F.ascii(c) - 48))
-        return F.aggregate(codes, F.lit(0), lambda r, n: (r * F.when(n >= 10, 100).otherwise(10) + n) % 97)
+def _iban_at_head(text: Column) -> Column:
+    """The IBAN that ``text`` starts with: of its country's length if there is one, else the longest that is 1 modulo 97."""
 
-    plain = F.regexp_replace(match, " ", "")
-    return F.length(plain).between(15, 34) & (let(plain, rest) == 1)
+    def of_length(n):
+        head = F.regexp_extract(text, f"^[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])", 0)
+        own = F.substr(text, F.lit(1), F.lit(2)).isin(IBAN_LENGTHS.get(n, "").split()) if n in IBAN_LENGTHS else F.lit(False)
+        return F.struct(own.alias("own"), F.lit(n).alias("n"), head.alias("match"))
+
+    valid = F.filter(F.array(*map(of_length, range(15, 35))), lambda c: (c["match"] != "") & let(F.regexp_replace(c["match"], " ", ""), _iban))
+    return F.coalesce(F.array_max(valid)["match"], F.lit(""))
 
 
 #: The first four kinds are the base kinds, in the order in which ties are listed.
@@ -68,7 +89,7 @@ KINDS = (
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", 0.6, r"(?i)\bip\b|host|server|login|address", _ip),
     Kind("card", r"(?:\G|(?<![0-9]))[0-9](?:[ -]?[0-9])++", r"[0-9][ -]?[0-9]", 0.7, r"(?i)card|visa|credit|pay|account", _card),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", 0.6, r"(?i)phone|call|tel|mobile|fax", _phone),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", 0.8, r"(?i)iban|bank|account|konto", _iban, False),
+    Kind("iban", r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9]))", r"[A-Z]{2}[0-9]{2}", 0.8, r"(?i)iban|bank|account|konto", None, False, _iban_at_head, 66),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-", 0.3, r"(?i)ssn|social|security|tax", None, False),
 )
 
@@ -76,20 +97,37 @@ KINDS = (
 def _spans(text: Column, kind: Kind, rank: int) -> Column:
     """The confirmed spans of one kind in one text, in order; positions are code points from 0, ends exclusive."""
 
-    def walk(parts):
-        none = F.expr("CAST(array() AS array<struct<start:int,end:int,match:string,before:string>>)")
-        start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.lit("").alias("before"), none.alias("found"))
-
-        def step(state, part):
-            end = state["at"] + F.length(part)
-            span = F.struct(state["at"].alias("start"), end.alias("end"), part.alias("match"), state["before"].alias("before"))
-            found = F.when(state["inside"], F.concat(state["found"], F.array(span))).otherwise(state["found"])
-            return F.struct(end.alias("at"), (~state["inside"]).alias("inside"), F.right(part, F.lit(CONTEXT)).alias("before"), found.alias("found"))
+    found_type = "array<struct<start:int,end:int,match:string,before:string,rest:string>>"
 
-        return F.aggregate(parts, start, step, lambda state: state["found"])
-
-    marked = F.regexp_replace(text, f"({kind.pattern})", f"{MARK}$1{MARK}")
+    def walk(parts):
+        """``parts`` come in threes: the text before a match, the match, and the characters from its end on."""
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), F.expr(f"CAST(array() AS {found_type})").alias("found"))
+
+        def step(state, k):
+            outside, match, rest = (F.get(parts, 3 * k + i) for i in range(3))
+            begin = state["at"] + F.length(outside)
+            end = begin + F.length(match)
+            before = F.right(outside, F.lit(CONTEXT))
+            span = F.struct(begin.alias("start"), end.alias("end"), match.alias("match"), before.alias("before"), rest.alias("rest"))
+            return F.struct(end.alias("at"), before.alias("before"), F.concat(state["found"], F.array(span)).alias("found"))
+
+        matches = F.floor(F.size(parts) / 3).cast("int")
+        return F.aggregate(F.slice(F.sequence(F.lit(0), matches), F.lit(1), matches), start, step, lambda state: state["found"])
+
+    def fitted(s):
+        end = lambda match: s["start"] + F.length(match)
+        rest = lambda match: F.substr(s["rest"], F.length(match) + 1)
+        return let(kind.fit(s["rest"]), lambda m: F.struct(s["start"].alias("start"), end(m).alias("end"), m.alias("match"), s["before"].alias("before"), rest(m).alias("rest")))
+
+    def apart(spans):
+        """``spans`` without those that start within an earlier one."""
+        last = lambda kept: F.coalesce(F.try_element_at(kept, F.lit(-1))["end"], F.lit(0))
+        return F.aggregate(spans, F.expr(f"CAST(array() AS {found_type})"), lambda kept, s: F.when(s["start"] >= last(kept), F.concat(kept, F.array(s))).otherwise(kept))
+
+    marked = F.regexp_replace(text, f"({kind.pattern})(?=((?s:.{{0,{kind.reach + CONTEXT}}})))", f"{MARK}$1{MARK}$2{MARK}")
     found = let(F.split(marked, MARK, -1), walk)
+    if kind.fit is not None:
+        found = apart(F.filter(F.transform(found, fitted), lambda s: s["match"] != ""))
     if kind.confirm is not None:
         found = F.filter(found, lambda s: kind.confirm(s["match"]))
 

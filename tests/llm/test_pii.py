@@ -60,6 +60,15 @@ def test_other_kinds_need_their_checksum_or_context(spark):
     assert kinds == {1: ["iban"], 2: ["ssn"], 3: []}
 
 
+def test_ibans_end_before_a_capitalised_word_or_a_number(spark):
+    de, short, gb, no = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"
+    tails = [("{} Bank", de), ("{} PLEASE", short), ("{} 5 days", de), ("{} 2026", no), ("{} A1 B2 C3 D4 E5 F6", gb), ("{}, then", de), ("{}", short)]
+    rows = [(k, "pay " + tail.format(iban)) for k, (tail, iban) in enumerate(tails)] + [(90, f"{de} {gb} {no}"), (91, f"{de}x {de[:-1]}1 Bank")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [r.text[s.start : s.end] for s in r.pii if s.kind == "iban"] for r in find_pii(docs).collect()}
+    assert found == {k: [iban] for k, (_, iban) in enumerate(tails)} | {90: [de, gb, no], 91: []}
+
+
 def test_masked_texts_lose_their_spans_only(spark):
     rows = [(1, "mail é me@x.org, call +1 (988) 555-2485!", 7), (2, "nothing", 7), (3, None, None), (None, "1.2.3.4", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
