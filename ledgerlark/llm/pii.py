@@ -1,10 +1,10 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust the score.
 
 All of it is DataFrame functions, without a shuffle or a Python worker. A pattern's matches are
-wrapped in a mark that the text does not hold; splitting at the mark gives the pieces outside and
-inside the matches in turn, and the running sum of their lengths gives each match its place.
-Patterns use possessive repeats, and start only at the head of a run or where the last match
-ended, so the time stays in proportion to the text.
+wrapped in a mark that the text does not hold, with a copy of the characters that follow; splitting
+at the mark gives the piece before a match, the match and that copy in turn, and the running sum of
+the lengths gives each match its place. Patterns use possessive repeats or bounded ones, and start
+only at the head of a run or where the last match ended, so the time stays in proportion to the text.
 """
 
 from __future__ import annotations
@@ -107,9 +107,9 @@ def _spans(text: Column, kind: Kind, rank: int) -> Column:
             outside, match, rest = (F.get(parts, 3 * k + i) for i in range(3))
             begin = state["at"] + F.length(outside)
             end = begin + F.length(match)
-            before = F.right(outside, F.lit(CONTEXT))
+            before = F.right(F.concat(state["before"], outside), F.lit(CONTEXT))
             span = F.struct(begin.alias("start"), end.alias("end"), match.alias("match"), before.alias("before"), rest.alias("rest"))
-            return F.struct(end.alias("at"), before.alias("before"), F.concat(state["found"], F.array(span)).alias("found"))
+            return F.struct(end.alias("at"), F.right(F.concat(before, match), F.lit(CONTEXT)).alias("before"), F.concat(state["found"], F.array(span)).alias("found"))
 
         matches = F.floor(F.size(parts) / 3).cast("int")
         return F.aggregate(F.slice(F.sequence(F.lit(0), matches), F.lit(1), matches), start, step, lambda state: state["found"])
@@ -132,7 +132,8 @@ def _spans(text: Column, kind: Kind, rank: int) -> Column:
         found = F.filter(found, lambda s: kind.confirm(s["match"]))
 
     def scored(s):
-        score = F.lit(kind.score) + F.when(s["before"].rlike(kind.context), 1 - kind.score).otherwise(0.0) * 0.5
+        near = s["before"].rlike(kind.context) | F.substr(s["rest"], F.lit(1), F.lit(CONTEXT)).rlike(kind.context)
+        score = F.lit(kind.score) + F.when(near, 1 - kind.score).otherwise(0.0) * 0.5
         return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), s["end"].alias("end"), score.alias("score"))
 
     return F.when(text.rlike(kind.hint), F.transform(found, scored)).otherwise(F.expr(f"CAST(array() AS {SPAN})"))
@@ -143,7 +144,8 @@ def find_pii(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
 
     Base kinds (email, ip, card, phone) stay whatever their score; spans of the other kinds (iban,
     confirmed modulo 97, and ssn, which needs a context word) stay from ``min_score`` on. A word of
-    the kind's context within 48 characters before a span moves its score halfway to 1.
+    the kind's context in the 48 characters before a span or after it moves its score halfway to 1,
+    other spans in between or not.
 
     Null and empty texts have no spans. Every row gives one row. Spans of different kinds may
     overlap; those of one kind do not.

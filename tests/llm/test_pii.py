@@ -69,6 +69,15 @@ def test_ibans_end_before_a_capitalised_word_or_a_number(spark):
     assert found == {k: [iban] for k, (_, iban) in enumerate(tails)} | {90: [de, gb, no], 91: []}
 
 
+def test_context_is_read_by_place_on_both_sides(spark):
+    far = "x" * 50
+    rows = [(1, "SSN: 123-45-6789, 987-65-4321"), (2, "123-45-6789 (SSN)"), (3, "ssn\n123-45-6789\n987-65-4321\n111-22-3333"), (4, f"ssn {far} 123-45-6789 {far} ssn"), (5, "123-45-6789, 987-65-4321 are tax numbers")]
+    rows += [(6, "DE89 3704 0044 0532 0130 00 is the IBAN"), (7, f"DE89 3704 0044 0532 0130 00 {far} IBAN")]
+    found = {r.doc_id: [(s.kind, round(s.score, 2)) for s in r.pii if s.kind in ("iban", "ssn")] for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    ssn = ("ssn", 0.65)
+    assert found == {1: [ssn] * 2, 2: [ssn], 3: [ssn] * 3, 4: [], 5: [ssn] * 2, 6: [("iban", 0.9)], 7: [("iban", 0.8)]}
+
+
 def test_masked_texts_lose_their_spans_only(spark):
     rows = [(1, "mail é me@x.org, call +1 (988) 555-2485!", 7), (2, "nothing", 7), (3, None, None), (None, "1.2.3.4", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
