@@ -9,13 +9,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Paths of the tables that saved() has written and that are still there, in the order of writing.
+_written: list[str] = []
+
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (local tests), a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset and all runs on this machine, a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         context = spark.sparkContext._jsc.sc()
         if context.getCheckpointDir().isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlark-"))
         shared = context.getCheckpointDir().get()
     return shared.rstrip("/")
@@ -30,12 +35,30 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back; it goes when the driver's interpreter ends."""
+    """Write ``df`` as Parquet into the shared folder and read it back; it goes with release(), or when the driver's interpreter ends."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _written:
+        atexit.register(release, spark)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def mark() -> int:
+    """Where release() may begin: at the tables that saved() writes from now on."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete the tables that saved() has written since ``since``, but for those of ``keep``. Nothing that still reads them may be used any more."""
+    kept = [df._saved_at for df in keep]
+    for path in _written[since:]:
+        if path not in kept:
+            _remove(spark, path)
+    _written[since:] = [path for path in _written[since:] if path in kept]
 
 
 def numbered(df: DataFrame, column: str) -> DataFrame:
