@@ -7,9 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.operators.scratch import numbered, saved, scratch_dir
+from ledgerlark.operators.scratch import mark, numbered, release, saved, scratch_dir
 
-__all__ = ["documents", "hash_words", "let", "lower_words_of", "mix64", "numbered", "saved", "scratch_dir", "slices", "window_hashes", "words_of"]
+__all__ = ["documents", "hash_words", "let", "lower_words_of", "mark", "mix64", "numbered", "release", "saved", "scratch_dir", "slices", "small_batches", "window_hashes", "words_of"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,14 @@ def let(value, body):
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def small_batches(docs: DataFrame, size: str = "8m") -> DataFrame:
+    """``docs``; their session then hands texts to Python in Arrow batches of 8 MB at most, unless it has a bound of its own. The JVM and Python hold a batch each, and Spark's 64 MB are much for an executor of few GB."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == "67108864b":
+        conf.set(key, size)
+    return docs
+
+
 def slices(batches, rows: int = 256):
     """The Arrow batches in slices of few rows, so that a task never holds a whole batch as Python objects."""
     for batch in batches:

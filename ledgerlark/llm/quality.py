@@ -9,15 +9,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from ledgerlark.llm.common import documents, hash_words, saved, window_hashes, words_of
+from ledgerlark.llm.common import documents, hash_words, mark, release, saved, slices, small_batches, window_hashes, words_of
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-PROFILE = f"row_key long, host string, doc_id long, {MEASURES}, version long, lines array<struct<hash:long,words:int>>"
+PROFILE = f"host string, digest binary, doc_id long, {MEASURES}, version long, lines array<struct<hash:long,words:int>>"
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
 
 
@@ -71,75 +73,138 @@ def measure(text: str | None) -> tuple:
     return *base, version, [{"hash": k, "words": n} for k, n in own.items()]
 
 
+@dataclass(frozen=True)
+class Limits:
+    """When a line is common on a host, and when a document is kept; see line_frequency()."""
+
+    min_docs: int = 20
+    share: float = 0.05
+    enough_docs: int = 1000
+    keep_share: float = 0.3
+    min_words: int = 50
+
+    def failed(self, n_words, n_repeat_words):
+        return (n_words < self.min_words) | (100 * n_repeat_words > 50 * n_words)
+
+
+def _host() -> Column:
+    return F.coalesce(F.col("source").cast("string"), F.lit(""))
+
+
+def _digest() -> Column:
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+
 def _profiles(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
         struct = pa.list_(pa.struct([("hash", pa.int64()), ("words", pa.int32())]))
-        for batch in batches:
-            rows = [measure(t) for t in batch.column(3).to_pylist()]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], struct)], names=["row_key", "host", "doc_id", *(c.split()[0] for c in MEASURES.split(", ")), "version", "lines"])
+        for batch in slices(batches):
+            columns = list(zip(*map(measure, batch.column(3).to_pylist()), strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], struct)], names=["host", "digest", "doc_id", *(c.split()[0] for c in MEASURES.split(", ")), "version", "lines"])
 
-    host = F.coalesce("source", F.lit(""))
-    return docs.select(F.xxhash64("doc_id", "source", "text").alias("row_key"), host.alias("host"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PROFILE)
+    measured = small_batches(docs).select(_host().alias("host"), _digest().alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PROFILE)
+    return saved(measured.withColumn("place", F.monotonically_increasing_id()), "line-profiles")
 
 
-def line_frequency(docs: DataFrame, min_docs: int = 20, share: float = 0.05, keep_share: float = 0.3, min_words: int = 50, enough_docs: int = 1000) -> DataFrame:
-    """One row per document: row_key, doc_id, the measures, base_failed, removed_words, common_lines and kept.
+def _lines(profiles: DataFrame) -> DataFrame:
+    exploded = profiles.select("place", "host", "digest", "version", F.explode("lines").alias("line"))
+    return exploded.select("place", "host", "digest", "version", F.col("line.hash").alias("line"), F.col("line.words").alias("words"))
 
-    A line (its lower-cased words) is common on a host when more distinct documents of the host
-    have it than ``min_docs`` and than ``share`` of the host's documents; more than ``enough_docs``
-    of them suffice whatever the share, so the limit does not grow with the host. Documents with the same
-    set of lines are versions of one document and count once, so a group of copies does not make
-    its own lines common; pages that differ in any line are distinct documents. A document is kept if it passes the base rules
-    (``min_words`` words; at most half its words in repeated 3-word windows) and at least
-    ``keep_share`` of its words are in other lines. ``common_lines`` are the hashes of its
-    common lines, for without_lines().
-
-    Null texts are empty (and fail the base rules); a null source is a host of its own; rows with
-    null doc_ids and repeated rows each give a row (repeated ones with equal verdicts); an empty
-    table gives none. Only hashes are shuffled, and counts are combined before they are.
-    """
-    profiles = saved(_profiles(docs), "line-profiles")
+
+def _common(profiles: DataFrame, limits: Limits) -> DataFrame:
+    """(host, line) of the lines above the limits."""
     hosts = profiles.filter(F.size("lines") > 0).select("host", "version").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    lines = profiles.select("row_key", "host", "version", F.explode("lines").alias("line")).select("row_key", "host", "version", F.col("line.hash").alias("line"), F.col("line.words").alias("words"))
-    frequent = lines.groupBy("host", "line", "version").agg(F.lit(1)).groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > min_docs)
-    common = frequent.join(hosts, "host").filter((F.col("n_docs") > share * F.col("host_docs")) | (F.col("n_docs") > enough_docs)).select("host", "line")
-    removed = lines.join(common, ["host", "line"], "left_semi").groupBy("row_key", "line").agg(F.max("words").alias("words"))
-    removed = removed.groupBy("row_key").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("common_lines"))
-    judged = profiles.drop("lines", "version", "host").join(removed, "row_key", "left")
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    left = F.col("n_words") - F.coalesce("removed_words", F.lit(0))
-    return judged.withColumns({"base_failed": failed, "removed_words": F.coalesce("removed_words", F.lit(0).cast("long")), "kept": ~failed & (left >= keep_share * F.col("n_words"))})
+    once = _lines(profiles).groupBy("host", "line", "version").agg(F.lit(1))
+    frequent = once.groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > limits.min_docs)
+    above = (F.col("n_docs") > limits.share * F.col("host_docs")) | (F.col("n_docs") > limits.enough_docs)
+    return frequent.join(hosts, "host").filter(above).select("host", "line")
 
 
-def without_lines(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The kept documents with their common lines taken out of ``text`` (and ``n_chars`` counted anew); same columns as ``docs``.
+def line_frequency(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008 - frozen
+    """One row per document: doc_id, the measures, base_failed, removed_words and kept.
 
-    A document without common lines keeps its text as it is. Repeated rows stay repeated.
+    A line (its lower-cased words) is common on a host when more distinct documents of the host
+    have it than ``min_docs`` and than ``share`` of the host's documents; more than ``enough_docs``
+    of them suffice whatever the share, so the limit does not grow with the host. Documents with
+    the same set of lines are versions of one document and count once, so a group of copies does
+    not make its own lines common; pages that differ in any line are distinct documents. A
+    document is kept if it passes the base rules (``min_words`` words; at most half its words in
+    repeated 3-word windows) and at least ``keep_share`` of its words are in other lines.
+
+    Null texts are empty (and fail the base rules); a null source is the host "". Rows with null
+    doc_ids and repeated rows each give a row (repeated ones with equal verdicts). An empty table
+    gives none. Very long texts are measured whole, one at a time in their task. Columns other
+    than doc_id, source and text are not read, whatever their names. Only hashes are shuffled, and
+    counts are combined before they are.
+    """
+    profiles = _profiles(docs)
+    removed = _lines(profiles).join(_common(profiles, limits), ["host", "line"], "left_semi").groupBy("place").agg(F.sum("words").alias("removed_words"))
+    judged = profiles.drop("lines", "version", "host", "digest").join(removed, "place", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
+    failed = limits.failed(F.col("n_words"), F.col("n_repeat_words"))
+    enough = F.col("n_words") - F.col("removed_words") >= limits.keep_share * F.col("n_words")
+    return judged.withColumns({"base_failed": failed, "kept": ~failed & enough}).drop("place")
+
+
+def judge(text: str | None, common, limits: Limits) -> str | None:
+    """``text`` without its lines whose keys are in ``common``; None if the document is rejected."""
+    n_words, *_, repeated, _, lines = measure(text)
+    if limits.failed(n_words, repeated):
+        return None
+    removed = {x["hash"]: x["words"] for x in lines if x["hash"] in common}
+    if n_words - sum(removed.values()) < limits.keep_share * n_words:
+        return None
+    if not removed:
+        return text
+    return "\n".join(line for line in text.split("\n") if not (own := words_of(line)) or line_key(line_digest(own)) not in removed)
+
+
+def clean_documents(docs: DataFrame, limits: Limits = Limits(), few: int = 200_000) -> DataFrame:  # noqa: B008 - frozen
+    """The documents that line_frequency() keeps, with their common lines taken out of ``text`` (and ``n_chars`` counted anew if there is such a column); same columns as ``docs``.
+
+    Each document is judged where its text is. Up to ``few`` common lines (some 20 MB in a worker)
+    are broadcast, and no text is shuffled. Where there are more, each document's own ones are
+    brought to it by host and digest of the text, for which texts are shuffled once.
+
+    A document without common lines keeps its text as it is. Repeated rows stay repeated. Nulls,
+    empty and very long texts and an empty table go as in line_frequency(); all other columns are
+    passed through, whatever their names.
     """
+    began = mark()
+    profiles = _profiles(docs)
+    common = saved(_common(profiles, limits), "common-lines")
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest"), "text", _host().alias("host"))
+    shared = None
+    if common.count() <= few:
+        of_host = common.groupBy("host").agg(F.collect_list("line").alias("lines")).collect()
+        shared = docs.sparkSession.sparkContext.broadcast({r.host: frozenset(r.lines) for r in of_host})
+        rows = rows.withColumn("own", F.lit(None).cast("array<bigint>"))
+        release(docs.sparkSession, began)
+    else:
+        own = _lines(profiles).join(common, ["host", "line"], "left_semi").groupBy("host", "digest").agg(F.collect_set("line").alias("own"))
+        rows = rows.withColumn("digest", _digest()).join(own, ["host", "digest"], "left").select("rest", "text", "host", "own")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches):
+            hosts, own = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            common = [shared.value.get(h, ()) for h in hosts] if shared else [frozenset(k or ()) for k in own]
+            before = batch.column(1).to_pylist()
+            after = [judge(t, c, limits) for t, c in zip(before, common, strict=True)]
+            keep = pa.array([t is not None for t in after], pa.bool_())
+            cut = pa.array([a is not b for a, b in zip(after, before, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), pa.array(after, pa.string()).filter(keep), cut.filter(keep)], names=["rest", "text", "cut"])
 
-    @F.udf("string")
-    def strip(text, common):
-        if text is None:
-            return None
-        common, kept = set(common), []
-        for line in text.split("\n"):
-            own = words_of(line)
-            if not own or line_key(line_digest(own)) not in common:
-                kept.append(line)
-        return "\n".join(kept)
-
-    columns = docs.columns
-    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "source", "text"))
-    kept = verdicts.filter("kept").select(F.col("row_key").alias("_row_key"), F.col("common_lines").alias("_common")).dropDuplicates(["_row_key"])
-    joined = keyed.join(kept, "_row_key").withColumn("_cut", strip(F.when(F.col("_common").isNotNull(), F.col("text")), "_common"))
-    out = joined.withColumn("text", F.coalesce("_cut", "text"))
-    if "n_chars" in columns:
-        counted = F.when(F.col("_cut").isNotNull(), F.length("_cut")).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", counted.cast(docs.schema["n_chars"].dataType))
-    return out.select(columns)
+    rest = StructType([docs.schema[c] for c in others])
+    schema = StructType([StructField("rest", rest), StructField("text", StringType()), StructField("cut", BooleanType())])
+    kept = rows.mapInArrow(run, schema)
+    columns = {c: F.col("rest").getField(c) for c in others} | {"text": F.col("text")}
+    if "n_chars" in others:
+        columns["n_chars"] = F.when(F.col("cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return kept.select(*(columns[c].alias(c) for c in docs.columns))
 
 
 def op6_line_quality(spark, sf_dir):
@@ -148,7 +213,7 @@ def op6_line_quality(spark, sf_dir):
     return verdicts.select("doc_id", *(c.split()[0] for c in MEASURES.split(", ")), "base_failed", "kept", "removed_words")
 
 
-#: In DuckDB, with the lines themselves in place of their keys; versions go by smallest and largest digest there, and there is no ``enough_docs``.
+#: In DuckDB, with the lines themselves in place of their keys.
 ORACLE = """
     WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
     w AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
@@ -159,10 +224,10 @@ ORACLE = """
               FROM (SELECT rid, host, unnest(string_split(text, chr(10))) AS line FROM d)),
     keyed AS (SELECT rid, host, line, len(own) AS k, array_to_string(own, ' ') AS key FROM lines WHERE len(own) > 0),
     doubled AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM keyed GROUP BY rid),
-    versions AS (SELECT rid, host, min(md5(key)) || max(md5(key)) AS version FROM keyed GROUP BY rid, host),
+    versions AS (SELECT rid, host, md5(string_agg(DISTINCT md5(key), '' ORDER BY md5(key))) AS version FROM keyed GROUP BY rid, host),
     hosts AS (SELECT host, count(DISTINCT version) AS n FROM versions GROUP BY host),
     common AS (SELECT host, key FROM (SELECT k.host, k.key, count(DISTINCT version) AS n FROM keyed k JOIN versions v ON k.rid = v.rid GROUP BY k.host, k.key) f
-               JOIN hosts h USING (host) WHERE f.n > 20 AND f.n > CAST(0.05 AS DOUBLE) * h.n),
+               JOIN hosts h USING (host) WHERE f.n > 20 AND (f.n > CAST(0.05 AS DOUBLE) * h.n OR f.n > 1000)),
     removed AS (SELECT rid, sum(k) AS n FROM keyed JOIN common USING (host, key) GROUP BY rid),
     m AS (SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
             length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(doubled.n, 0) AS n_dup_lines,
