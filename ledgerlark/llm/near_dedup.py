@@ -6,10 +6,12 @@ as soon as its matches so far make a similarity of the threshold or more less pr
 chosen miss probability, and what survives is verified on the full shingle sets.
 
 Pairs within a bucket are not all listed. First each member meets the bucket's smallest member and
-one that a hash picks; then buckets that still hold several components are compared block by
-block, and only pairs of different components that survive leave a block. Where those are more
-than the blocks have members, the full sets come to the blocks instead, and only verified links
-that join components leave.
+one that a hash picks. Then buckets that still hold several components are dealt into blocks: a
+component of a block's size or more has blocks of its own, smaller ones share blocks, and blocks
+of one and the same component don't meet. So a bucket of near copies and a few strays costs as
+many block pairs as it has blocks. Only pairs of different components that survive leave a block
+pair. Where those are more than the blocks have members, the full sets come to the blocks instead,
+and only verified links that join components leave.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import documents, hash_words, lower_words_of, mix64, saved, window_hashes
+from ledgerlark.llm.common import documents, hash_words, lower_words_of, mark, mix64, release, saved, slices, small_batches, window_hashes
 
 BANDS, ROWS = 32, 6
 HASHES = BANDS * ROWS
@@ -92,7 +94,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
         import xxhash
 
         offsets = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
-        for batch in batches:
+        for batch in slices(batches):
             n, hi, lo, signatures, bands = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 shingles = shingle_set(text, width)
@@ -109,7 +111,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
             lists = pa.array(bands, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(signatures, pa.binary()), lists], names=["doc_id", "n_shingles", "set_hi", "set_lo", "signature", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, DESCRIBED)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, DESCRIBED)
 
 
 def window_hashes_by_band(low: np.ndarray) -> np.ndarray:
@@ -128,48 +130,55 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = saved(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
     labels = saved(both.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("component")), "labels")
+    began, spark = mark(), edges.sparkSession
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         low = labels.join(near, "id").select("id", F.least("component", "near").alias("low"), F.col("component").alias("old"))
         up = labels.select(F.col("id").alias("low"), F.col("component").alias("up"))
         moved = saved(low.join(up, "low").select("id", F.least("low", "up").alias("component"), "old"), "labels")
+        release(spark, began, (moved,))
         labels = moved.select("id", "component")
+        labels._saved_at = moved._saved_at
         if moved.filter("component <> old").isEmpty():
             return labels
 
 
-def _shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+def _shingle_sets(docs: DataFrame, ids: DataFrame, width: int, few: int = 1_000_000) -> DataFrame:
     """(id, shingles) of the documents in ``ids`` (id), made again from their texts and written.
 
-    The small table of ids is broadcast only below a million ids (8 MB).
+    Fewer than ``few`` ids (8 MB at the default) are broadcast to the texts; for more, ids and texts are shuffled.
     """
 
     def sets(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             made = [shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["id", "shingles"])
 
     wanted = saved(ids, "wanted")
-    few = wanted.count() < 1_000_000
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
+    small = wanted.count() < few
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(wanted) if small else wanted, "id", "left_semi")
     return saved(texts.mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"]), "shingles")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The distinct ids (id) of ``pairs`` (a, b)."""
+    return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets, from ``sets`` (id, shingles), are similar enough."""
 
     def compare(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             left, right = (c.to_pylist() for c in batch.columns[2:])
             keep = pa.array([linked_sets(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(left, right, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    found = _shingle_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), width)
-    left, right = (found.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
+    left, right = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
 
 
@@ -189,8 +198,8 @@ class BlockPair:
         bands = [np.array(row[f"bands_{s}"], np.int64).reshape(-1, BANDS) for s in sides]
         apart = self.components[0][:, None] != self.components[1][None, :]
         apart &= 100 * np.minimum.outer(*sizes) >= percent * np.maximum.outer(*sizes)
-        apart &= (self.ids[0][:, None] != row["first"]) & (self.ids[1][None, :] != row["first"])
-        if row["chunk_a"] == row["chunk_b"]:
+        apart &= (self.ids[0][:, None] != row["first_a"]) & (self.ids[1][None, :] != row["first_a"])
+        if (row["owner_a"], row["chunk_a"]) == (row["owner_b"], row["chunk_b"]):
             apart &= self.ids[0][:, None] < self.ids[1][None, :]
         column = int(np.flatnonzero(bands[0][0] == row["band"])[0])
         for k in range(column):  # two documents that share several buckets are compared in the first
@@ -231,13 +240,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
 
     Two documents are linked if the Jaccard similarity of their sets of ``width``-word shingles
     (A-Z lower-cased; fewer words make one shingle) is ``percent`` per cent or more. ``miss`` is
-    the probability with which the signature comparison may prune such a pair; at 80 per cent the
-    bands miss one with probability 6e-5, at 85 per cent with 1e-7.
+    the probability with which each of the HASHES / BATCH batches of the signature comparison may
+    prune such a pair; at 80 per cent the bands miss one with probability 6e-5, at 85 per cent
+    with 1e-7.
 
     Documents without words, null texts among them, are linked with nothing. Rows with a null
     doc_id are linked with nothing, have a null component_id and are kept. Repeated rows have
-    equal sets, so they share a component. Other columns are not read. An empty table gives no rows.
+    equal sets, so they share a component. Of very long texts the whole set is compared, made in
+    one task each. Ties (equal sets) go to the smallest doc_id. Other columns, whatever their
+    names, are not read. An empty table gives no rows.
+
+    Texts are read once for the signatures and once for the candidates' sets, and shuffled only
+    where there are more than a million candidates; a third time for members of blocks that were no candidates before.
     """
+    began = mark()
     described = saved(describe(docs, width), "signatures")
     usable = described.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = saved(usable.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("class_id")), "classes")
@@ -248,15 +264,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
     buckets = saved(members.groupBy("band").agg(F.min("id").alias("first"), F.min(by_hash)["id"].alias("other"), F.count("*").alias("n")).filter("n > 1"), "buckets")
     members = saved(members.join(buckets, "band"), "members")
 
-    links = saved(_verified(docs, _met(heads, members, percent, miss), width, percent), "verified")
+    met = _met(heads, members, percent, miss)
+    sets = _shingle_sets(docs, _ends(met), width)
+    links = saved(_verified(met, sets, percent), "verified")
     labels = components(links)
     more, dense = _across(heads, members, labels, percent, miss)
-    found = [_verified(docs, more, width, percent)] if not more.isEmpty() else []
-    if not dense.isEmpty():
-        found.append(_within(docs, dense, width, percent, miss))
+    in_blocks = saved(dense.select(*_SIDES["a"], F.explode("ids_a").alias("id")).union(dense.select(*_SIDES["b"], F.explode("ids_b"))).distinct(), "dense-members")
+    new = saved(_ends(more).union(in_blocks.select("id")).distinct().join(sets.select("id"), "id", "left_anti"), "new")
+    if not new.isEmpty():
+        sets = sets.union(_shingle_sets(docs, new, width))
+    found = [f for pairs, f in ((more, _verified(more, sets, percent)), (dense, _within(dense, in_blocks, sets, percent, miss))) if not pairs.isEmpty()]
     if found:
         extra = saved(functools.reduce(DataFrame.union, found), "verified")
         labels = components(links.union(extra)) if not extra.isEmpty() else labels
+    release(docs.sparkSession, began, (described, classes, labels))
 
     joined = classes.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").select("set_hi", "set_lo", F.coalesce("component", "class_id").alias("class_component"))
     placed = described.select("doc_id", "n_shingles", "set_hi", "set_lo").join(joined, ["set_hi", "set_lo"], "left")
@@ -285,63 +306,93 @@ def _met(heads: DataFrame, members: DataFrame, percent: int, miss: float, likeli
     return saved(ranked.filter(F.col("first") | (F.col("rank") <= likeliest)).select("a", "b"), "candidates")
 
 
-def _across(heads: DataFrame, members: DataFrame, labels: DataFrame, percent: int, miss: float) -> tuple[DataFrame, DataFrame]:
-    """What is left to compare in buckets that hold several components: surviving pairs (a, b), and the pairs of blocks with more of them than members.
+#: What names a block: its bucket, the component that it is a part of (SHARED if of several) and its number. And the payload of a block.
+_BLOCK = ("band", "owner", "chunk")
+_SIDES = {"a": ("band", "owner_a", "chunk_a"), "b": ("band", "owner_b", "chunk_b")}
+_LISTS = {"ids": "id", "components": "component", "sizes": "n_shingles", "signatures": "signature", "bands": "bands"}
+SHARED = -(1 << 63)
+
+
+def _side(blocks: DataFrame, side: str, *columns: str) -> DataFrame:
+    """``blocks`` with its columns but ``band`` named for one side of a pair."""
+    return blocks.select("band", *(F.col(c).alias(f"{c}_{side}") for c in ("owner", "chunk", *columns)))
 
-    A bucket is dealt into blocks of about BLOCK members; its blocks meet each other, not its members.
+
+def block_pairs(cells: DataFrame) -> DataFrame:
+    """The pairs (band, owner_a, chunk_a, owner_b, chunk_b) of blocks of a bucket that may hold different components.
+
+    Shared blocks meet each other, themselves and the components' own blocks; blocks of one
+    component meet those of another. Only names of blocks are joined, and no pair is made that
+    isn't needed.
     """
+    shared, owned = cells.filter(F.col("owner") == SHARED), cells.filter(F.col("owner") != SHARED)
+    among = _side(shared, "a").join(_side(shared, "b"), "band").filter("chunk_a <= chunk_b")
+    beside = _side(shared, "a").join(_side(owned, "b"), "band")
+    owners = owned.select("band", "owner").distinct()
+    two = owners.select("band", F.col("owner").alias("owner_a")).join(owners.select("band", F.col("owner").alias("owner_b")), "band").filter("owner_a < owner_b")
+    apart = two.join(_side(owned, "a"), ["band", "owner_a"]).join(_side(owned, "b"), ["band", "owner_b"])
+    return functools.reduce(DataFrame.unionByName, (among, beside, apart))
+
+
+def _with_blocks(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``pairs`` with both blocks' payloads, and the bucket's first member (``first_a``)."""
+    return pairs.join(_side(blocks, "a", "first", *_LISTS), list(_SIDES["a"])).join(_side(blocks, "b", *_LISTS), list(_SIDES["b"]))
+
+
+def _across(heads: DataFrame, members: DataFrame, labels: DataFrame, percent: int, miss: float) -> tuple[DataFrame, DataFrame]:
+    """What is left to compare in buckets that hold several components: surviving pairs (a, b), and the pairs of blocks with more of them than members."""
     fewest = fewest_matches(percent, miss)
-    labelled = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
-    rest = labelled.join(split, "band").join(heads.select("id", "signature", "bands"), "id")
-    chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).cast("int")
-    lists = {"ids": "id", "components": "component", "sizes": "n_shingles", "signatures": "signature", "bands": "bands"}
-    blocks = saved(rest.groupBy("band", chunk.alias("chunk"), "first").agg(*(F.collect_list(c).alias(k) for k, c in lists.items())), "blocks")
+    labelled = members.select("id", "n_shingles", "band", "first").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    shares = saved(labelled.groupBy("band", "component").agg(F.count("*").alias("n_own")), "shares")
+    small = F.sum(F.when(F.col("n_own") < BLOCK, F.col("n_own")).otherwise(0))
+    split = shares.groupBy("band").agg(F.count("*").alias("parts"), small.alias("n_small")).filter("parts > 1").select("band", "n_small")
+    dealt = shares.join(split, "band").withColumn("owner", F.when(F.col("n_own") < BLOCK, F.lit(SHARED)).otherwise(F.col("component")))
+    dealt = dealt.withColumn("chunks", F.ceil(F.when(F.col("owner") == SHARED, F.col("n_small")).otherwise(F.col("n_own")) / BLOCK)).select("band", "component", "owner", "chunks")
+    rest = labelled.join(dealt, ["band", "component"]).join(heads.select("id", "signature", "bands"), "id")
+    chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    blocks = saved(rest.groupBy("band", "owner", chunk.alias("chunk"), "first").agg(*(F.collect_list(c).alias(k) for k, c in _LISTS.items())), "blocks")
+    pairs = saved(block_pairs(blocks.select(*_BLOCK)), "block-pairs")
+
+    names = {"a": "bigint", "b": "bigint", "band": "bigint", "owner_a": "bigint", "chunk_a": "int", "owner_b": "bigint", "chunk_b": "int"}
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, 4):
             rows = []
             for row in batch.to_pylist():
                 pair = BlockPair(row, percent)
                 x, y, _ = pair.candidates(fewest)
                 if len(x) > len(pair.ids[0]) + len(pair.ids[1]):
-                    rows.append((None, None, row["band"], row["chunk_a"], row["chunk_b"]))
+                    rows.append((None, None, *(row[c] for c in list(names)[2:])))
                 else:
-                    rows += [(min(a, b), max(a, b), None, None, None) for a, b in zip(pair.ids[0][x].tolist(), pair.ids[1][y].tolist(), strict=True)]
-            columns = zip(*rows, strict=True) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.int32()] * 2, strict=True)], names=["a", "b", "band", "chunk_a", "chunk_b"])
+                    rows += [(min(a, b), max(a, b), *[None] * 5) for a, b in zip(pair.ids[0][x].tolist(), pair.ids[1][y].tolist(), strict=True)]
+            columns = zip(*rows, strict=True) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if t == "int" else pa.int64()) for c, t in zip(columns, names.values(), strict=True)], names=list(names))
 
-    sides = [blocks.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("chunk", *lists)), *(["first"] if s == "a" else [])) for s in "ab"]
-    crossed = sides[0].join(sides[1], "band").filter("chunk_a <= chunk_b")
-    found = saved(crossed.mapInArrow(run, "a long, b long, band long, chunk_a int, chunk_b int"), "candidates")
-    dense = found.filter("band IS NOT NULL").select("band", "chunk_a", "chunk_b").join(sides[0], ["band", "chunk_a"]).join(sides[1], ["band", "chunk_b"])
-    return found.filter("band IS NULL").select("a", "b").distinct(), dense
+    found = saved(_with_blocks(pairs, blocks).mapInArrow(run, ", ".join(f"{c} {t}" for c, t in names.items())), "candidates")
+    dense = saved(found.filter("band IS NOT NULL").drop("a", "b"), "dense-pairs")
+    return found.filter("band IS NULL").select("a", "b").distinct(), _with_blocks(dense, blocks)
 
 
-def _within(docs: DataFrame, dense: DataFrame, width: int, percent: int, miss: float) -> DataFrame:
-    """Verified links (a, b) within pairs of blocks: their members' full sets are brought to the blocks, and only links that join components leave them."""
+def _within(dense: DataFrame, members: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Verified links (a, b) within pairs of blocks: the full sets of their ``members`` are brought to the blocks, and only links that join components leave them."""
     fewest = fewest_matches(percent, miss)
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, 1):
             found = [link for row in batch.to_pylist() for link in BlockPair(row, percent).links(fewest, percent)]
             a, b = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    keys = ["band", "chunk_a", "chunk_b"]
-    ids = [dense.select("band", F.col(f"chunk_{s}").alias("chunk"), F.explode(f"ids_{s}").alias("id")) for s in "ab"]
-    members = saved(ids[0].union(ids[1]).distinct(), "dense-members")
-    sets = _shingle_sets(docs, members.select("id").distinct(), width)
-    known = saved(members.join(sets, "id").groupBy("band", "chunk").agg(F.map_from_entries(F.collect_list(F.struct("id", "shingles"))).alias("sets")), "dense-sets")
+    members = members.toDF(*_BLOCK, "id")
+    known = saved(members.join(sets, "id").groupBy(*_BLOCK).agg(F.map_from_entries(F.collect_list(F.struct("id", "shingles"))).alias("sets")), "dense-sets")
     for s in "ab":
-        own = known.select("band", F.col("chunk").alias(f"chunk_{s}"), F.col("sets").alias("sets"))
-        dense = dense.join(own, ["band", f"chunk_{s}"]).withColumn(f"shingles_{s}", F.transform(f"ids_{s}", lambda i: F.element_at("sets", i))).drop("sets")
-    columns = [*keys, "first", *(f"{c}_{s}" for s in "ab" for c in ("ids", "components", "sizes", "signatures", "bands", "shingles"))]
-    return dense.select(columns).mapInArrow(run, "a long, b long")
+        dense = dense.join(_side(known, s, "sets").withColumnRenamed(f"sets_{s}", "sets"), list(_SIDES[s]))
+        dense = dense.withColumn(f"shingles_{s}", F.transform(f"ids_{s}", lambda i: F.element_at("sets", i))).drop("sets")
+    return dense.mapInArrow(run, "a long, b long")
 
 
 def op1_near_duplicates(spark, sf_dir):
