@@ -29,19 +29,21 @@ class WordEncoder:
     The tokenizer must also lower-case, and part letters from punctuation, as word_bpe_49k does.
     A word of Latin letters alone is one unit for its model, which then is asked directly.
     For such a tokenizer the ids of a text are the ids of its white-space-separated chunks, in
-    order, so a chunk met before costs one dictionary lookup. The memory is bounded: at most
-    ``limit`` chunks of up to 64 bytes are remembered, then the memory starts anew. Longer chunks
-    are never remembered beyond their text.
+    order, so a chunk met before costs one dictionary lookup. The memory is bounded: a generation
+    of about ``limit`` bytes of chunks, and the one before it, which is where those in use are
+    found again once a generation is full. No chunk of more than 64 bytes is remembered beyond its text.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 48_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.limit = limit
+        self.limit, self.size = limit, 0
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        self.marks = {mark: self._ids([mark.decode()])[0] for mark in (b",", b".")} | {b"": b""}
 
     def encode(self, text: str | None, end: bytes = b"") -> bytes:
         """The ids as little-endian unsigned 32-bit integers, then ``end``. A null text is empty."""
@@ -50,22 +52,26 @@ class WordEncoder:
             return b"".join(map(self.known.__getitem__, chunks)) + end
         except KeyError:
             pass
-        missing = set(chunks).difference(self.known)
-        if len(self.known) + 2 * len(missing) > self.limit:
-            self.known.clear()
-            missing = set(chunks)
-        self._learn(missing)
+        if self.size > self.limit:
+            self.known, self.before, self.size = {}, self.known, 0
+        lacking = set(chunks).difference(self.known)
+        new = lacking.difference(self.before)
+        for chunk in lacking.difference(new):
+            self._keep(chunk, self.before[chunk])
+        self._learn(new)
         ids = b"".join(map(self.known.__getitem__, chunks)) + end
-        for c in missing:
-            if len(c) > 64:
-                del self.known[c]
+        for chunk in new:
+            if len(chunk) > 64:
+                del self.known[chunk]
+        return ids
+
+    def _keep(self, chunk: bytes, ids: bytes) -> bytes:
+        self.size += len(chunk) + len(ids) + 200
+        self.known[chunk] = ids
         return ids
 
     def _learn(self, chunks: set[bytes]) -> None:
         known, tokenize, others = self.known, self.model.tokenize, []
-        for mark in (b",", b"."):
-            if mark not in known:
-                known[mark] = self._ids([mark.decode()])[0]
         for chunk in chunks:
             stem, mark = self._stem(chunk)
             ids = known.get(stem)
@@ -79,12 +85,12 @@ class WordEncoder:
                     others.append((chunk, stem, mark, word))
                     continue
                 if len(stem) <= 64:
-                    known[stem] = ids
-            known[chunk] = ids + known[mark] if mark else ids
+                    self._keep(stem, ids)
+            self._keep(chunk, ids + self.marks[mark])
         for (chunk, stem, mark, _), ids in zip(others, self._ids([word for *_, word in others]), strict=True):
-            known[chunk] = ids + known[mark] if mark else ids
-            if mark and len(stem) <= 64:
-                known[stem] = ids
+            self._keep(chunk, ids + self.marks[mark])
+            if len(stem) <= 64:
+                self._keep(stem, ids)
 
     def _ids(self, words: list[str]) -> list[bytes]:
         return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]

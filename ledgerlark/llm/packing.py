@@ -13,7 +13,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import documents
+from ledgerlark.llm.common import documents, slices, small_batches
 from ledgerlark.llm.encoder import encoder, vocabulary_path
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -86,8 +86,10 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2
     id alone. Documents longer than ``capacity`` are cut into full sequences and a rest; each task
     packs rests once ``pool`` of them wait, and cuts only when its input has ended and no subset
     fills a sequence, so that only a task's last sequence needs padding. Each row of the input is
-    packed once, repeated rows and null doc_ids too; an empty table gives no rows. A sequence lies
-    in one task: its number is the task's partition times 2**32 plus its rank there.
+    packed once, repeated rows and null doc_ids too; an empty table gives no rows. Very long texts
+    are encoded whole. Of pieces of one length the last that came goes first; of subsets that come
+    as near, that of longer pieces. Other columns, whatever their names, are not read. A sequence
+    lies in one task: its number is the task's partition times 2**32 plus its rank there.
     """
     end = end_id.to_bytes(4, "little")
 
@@ -116,7 +118,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2
             held = 0
             return batch
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encode(text, end)
                 total, start = len(ids) // 4, 0
@@ -136,7 +138,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2
         if rows:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
 
 
 def op8_pack_sequences(spark, sf_dir):
