@@ -9,32 +9,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import documents, saved
+from ledgerlark.llm.common import documents, mark, release, saved
 from ledgerlark.llm.encoder import vocabulary_path
 from ledgerlark.llm.near_dedup import near_duplicates
 from ledgerlark.llm.packing import pack
 from ledgerlark.llm.pii import mask_pii
-from ledgerlark.llm.quality import line_frequency, without_lines
+from ledgerlark.llm.quality import clean_documents
 
 
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not mostly common lines; their common lines are gone."""
-    return without_lines(docs, line_frequency(docs))
+    """Documents that pass the base rules and are not mostly common lines; their common lines are gone.
+
+    Null and empty texts fail the base rules and go; repeated rows and null doc_ids are judged
+    like others and stay; an empty table gives none. A null source is the host "".
+    """
+    return clean_documents(docs)
 
 
 def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each component of near-duplicates (five words, 80 per cent); rows with a null doc_id stay, repeated rows of a kept document too."""
-    dropped = near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """The smallest doc_id of each component of near-duplicates (five words, 80 per cent).
+
+    Rows with a null doc_id and documents without words stay; so do repeated rows of a kept
+    doc_id. An empty table gives none. Up to a million ids to drop (8 MB) are broadcast; of more,
+    ids and rows are shuffled.
+    """
+    dropped = saved(near_duplicates(docs).filter("NOT kept").select("doc_id").distinct(), "dropped")
+    few = dropped.count() <= 1_000_000
+    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(docs.columns)
 
 
 def pii(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind."""
+    """All documents, with personal data replaced by its kind; null, empty and repeated rows stay as they are."""
     return mask_pii(docs)
 
 
 def packing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 4096 tokens, with their ids."""
+    """The pieces of all documents in sequences of 4096 tokens, with their ids; a null or empty text is its end id alone, each repeated row is packed."""
     return pack(docs, vocabulary_path())
 
 
@@ -45,8 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    """All stages over the table ``documents``."""
-    docs = documents(spark, sf_dir)
+    """All stages over the table ``documents``; what a stage has read goes once the next one's rows are written."""
+    docs, began = documents(spark, sf_dir), mark()
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, began, (docs,))
     return STAGES[-1][1](spark, docs, sf_dir).withColumn("ids_crc32", F.crc32("ids"))
