@@ -6,6 +6,10 @@ and lengths, and the shard's place in the order of all ids. ``index``: one row p
 with a hash function that gives each of its keys another slot of 0..n-1, and for each slot a
 32-bit fingerprint of its key, the shard, the offset there and the length. A lookup hashes
 the key to a bucket and a slot and compares one fingerprint, whatever the number of documents.
+
+The key of a document is its doc_id and its occurrence: 0 for the first document with that doc_id,
+1 for the second, and so on. So every row can be read, and a doc_id that most rows have is spread
+over shards, tasks and buckets like any others.
 """
 
 from __future__ import annotations
@@ -16,29 +20,41 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import documents, mix64, scratch_dir
+from ledgerlark.llm.common import documents, mix64, scratch_dir, slices, small_batches
 from ledgerlark.llm.encoder import encoder, vocabulary_path
 
 SHARD_IDS = 1 << 20
 BUCKET_KEYS = 1 << 14
 NULL_KEY = -(1 << 63)
-PAYLOAD = "part int, shard long, shard_start long, n_ids long, width int, doc_ids binary, lengths binary, ids binary"
-INDEX = "bucket int, n_keys int, displacements binary, fingerprints binary, shards binary, offsets binary, lengths binary"
+PAYLOAD = "part int, shard long, shard_start long, n_ids long, first_key long, first_seen long, last_key long, last_seen long, width int, doc_ids binary, lengths binary, ids binary"
+INDEX = "bucket int, n_keys int, seed int, displacements binary, fingerprints binary, shards binary, offsets binary, lengths binary"
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_KEY_SALT, _PRINT_SALT = np.uint64(0x51ED270B270B4F13), np.uint64(0xD1B54A32D192ED03)
+_KEY_SALT, _PRINT_SALT, _BUCKET_SALT = np.uint64(0x51ED270B270B4F13), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
+
+
+def key_hash(keys: np.ndarray, seen: np.ndarray, salt: np.uint64) -> np.ndarray:
+    """A 64-bit hash of keys and occurrences."""
+    return mix64(mix64(keys.astype(np.int64).view(np.uint64) ^ salt) + seen.astype(np.uint64) * _GOLDEN)
+
 
+def key_fingerprint(keys: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    return (key_hash(keys, seen, _PRINT_SALT) >> np.uint64(32)).astype(np.uint32)
 
-def key_hash(keys: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of integer keys, another one for every key."""
-    return mix64(keys.astype(np.int64).view(np.uint64) ^ _KEY_SALT)
 
+def bucket_of(keys: np.ndarray, seen: np.ndarray, buckets: int) -> np.ndarray:
+    return ((key_hash(keys, seen, _BUCKET_SALT) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
 
-def key_fingerprint(keys: np.ndarray) -> np.ndarray:
-    return (mix64(keys.astype(np.int64).view(np.uint64) ^ _PRINT_SALT) >> np.uint64(32)).astype(np.uint32)
 
+def seeded(keys: np.ndarray, seen: np.ndarray, seed: int) -> np.ndarray:
+    """What a bucket's perfect hash is built from; another seed where two of its keys should meet."""
+    return key_hash(keys, seen, _KEY_SALT + np.uint64(seed))
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((key_hash(keys) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+
+def occurrences(keys: np.ndarray, first_seen: int) -> np.ndarray:
+    """The place of each of sorted ``keys`` among equal ones, those of the first key counted from ``first_seen``."""
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    seen = np.arange(len(keys)) - np.repeat(starts, np.diff(np.r_[starts, len(keys)]))
+    return seen + np.where(keys == keys[0], first_seen, 0)
 
 
 @dataclass
@@ -89,9 +105,13 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, s
     """Encode the documents in ascending doc_id order, each followed by ``end_id``, and write payload and index under ``path``.
 
     ``path`` may be in any store that Spark writes. A shard holds whole documents, up to
-    ``shard_ids`` ids or one longer document. Null texts are empty. A null doc_id is written
-    first, under NULL_KEY; of rows with equal doc_ids, the index has the first. The
-    texts are shuffled once; the index is built from keys and lengths alone, by bucket.
+    ``shard_ids`` ids or one longer document, whatever its length. Null texts are empty. Null
+    doc_ids come first, under NULL_KEY (which no doc_id may be). Of equal doc_ids, null ones too,
+    the order is by a hash of the text, and of equal texts, whose ids are the same anyway, by their
+    place in the table. Other columns are not read. Of an empty table both tables are empty.
+
+    Texts are shuffled once, by ranges of doc_id, hash and place, so that rows of one doc_id are
+    spread as well; the index is built from keys and lengths alone, by bucket.
     """
 
     def shards(batches):
@@ -102,18 +122,20 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, s
         dtype = "<u2" if encoder(vocabulary).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         end = end_id.to_bytes(4, "little")
         names = [c.split()[0] for c in PAYLOAD.split(", ")]
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        start, number, keys, lengths, parts, held = 0, 0, [], [], [], 0
+        types = [pa.int32(), *[pa.int64()] * 7, pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        start, number, keys, lengths, parts, held, last, seen = 0, 0, [], [], [], 0, None, 0
 
         def flush():
-            nonlocal start, number, held
+            nonlocal start, number, held, last, seen
             known = np.array([NULL_KEY if k is None else k for k in keys], "<i8")
-            row = (part, (part << 32) + number, start, held, int(dtype[-1]), known.tobytes(), np.array(lengths, "<i8").tobytes(), b"".join(parts))
+            first_seen = seen + 1 if last == known[0] else 0
+            last, seen = int(known[-1]), int(occurrences(known, first_seen)[-1])
+            row = (part, (part << 32) + number, start, held, int(known[0]), first_seen, last, seen, int(dtype[-1]), known.tobytes(), np.array(lengths, "<i8").tobytes(), b"".join(parts))
             start, number, held = start + held, number + 1, 0
             keys.clear(), lengths.clear(), parts.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.frombuffer(encode(text, end), "<u4")
                 if keys and held + len(ids) > shard_ids:
@@ -123,98 +145,125 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, s
         if keys:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"))
+    order = [F.asc_nulls_first("doc_id"), F.asc("hash"), F.asc("place")]
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     ordered.mapInArrow(shards, PAYLOAD).write.option("compression", "zstd").parquet(f"{path}/payload")
-    payload = docs.sparkSession.read.schema(PAYLOAD).parquet(f"{path}/payload").select("shard", "doc_ids", "lengths")
-    n_docs = payload.agg(F.sum(F.length("doc_ids") / 8)).first()[0] or 0
-    buckets = max(1, int(n_docs) // BUCKET_KEYS)
+    keys = stored_keys(docs.sparkSession, path)
+    buckets = max(1, keys.count() // BUCKET_KEYS)
 
-    def entries(batches):
-        import pyarrow as pa
+    @F.pandas_udf("int")
+    def bucket(ids, seen):
+        import pandas as pd
 
-        for batch in batches:
-            for shard, keys, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys, lengths = np.frombuffer(keys, "<i8"), np.frombuffer(lengths, "<i8")
-                offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                known = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-                own = keys[known]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket_of(own, buckets)), pa.array(own), pa.array(np.full(len(own), shard, np.int64)), pa.array(offsets[known]), pa.array(lengths[known])], names=["bucket", "doc_id", "shard", "offset", "length"])
+        return pd.Series(bucket_of(ids.to_numpy(), seen.to_numpy(), buckets))
 
     def build(rows):
         import pandas as pd
 
-        rows = rows.sort_values(["doc_id", "shard", "offset"]).drop_duplicates("doc_id")
-        keys = rows["doc_id"].to_numpy()
-        hashed = key_hash(keys)
+        keys, seen = rows["key"].to_numpy(), rows["occurrence"].to_numpy()
+        seed = next(k for k in range(1 << 16) if len(np.unique(seeded(keys, seen, k))) == len(keys))
+        hashed = seeded(keys, seen, seed)
         perfect = PerfectHash.of(hashed)
         order = np.argsort(perfect.slots(hashed))
         column = lambda x, t: x[order].astype(t).tobytes()
-        values = (int(rows["bucket"].iloc[0]), len(keys), perfect.displacements.astype("<i4").tobytes(), column(key_fingerprint(keys), "<u4"), *(column(rows[c].to_numpy(), "<i8") for c in ("shard", "offset", "length")))
+        values = (int(rows["bucket"].iloc[0]), len(keys), seed, perfect.displacements.astype("<i4").tobytes(), column(key_fingerprint(keys, seen), "<u4"), *(column(rows[c].to_numpy(), "<i8") for c in ("shard", "offset", "length")))
         return pd.DataFrame([values], columns=[c.split()[0] for c in INDEX.split(", ")])
 
-    placed = payload.mapInArrow(entries, "bucket int, doc_id long, shard long, offset long, length long")
+    placed = keys.withColumn("bucket", bucket("key", "occurrence"))
     placed.groupBy("bucket").applyInPandas(build, INDEX).write.option("compression", "zstd").parquet(f"{path}/index")
 
 
+def _parts(payload: DataFrame) -> DataFrame:
+    """(part, base, first_key, carried): the number of ids before each part, and of rows before it that have its first key. One row per task that wrote."""
+    last = F.max_by(F.struct("last_key", "last_seen"), "shard")
+    parts = payload.groupBy("part").agg(F.sum("n_ids").alias("n_ids"), F.min_by("first_key", "shard").alias("first_key"), last.alias("last"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.select("part", "first_key", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    tails = parts.select(F.col("part").alias("earlier"), F.col("last.last_key").alias("first_key"), (F.col("last.last_seen") + 1).alias("n"))
+    carried = bases.join(tails, "first_key").filter("earlier < part").groupBy("part").agg(F.sum("n").alias("carried"))
+    return bases.join(carried, "part", "left").withColumn("carried", F.coalesce("carried", F.lit(0)))
+
+
+def stored_keys(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, occurrence, key, shard, offset, length) of every document written under ``path``; ``key`` is the doc_id, or NULL_KEY for null."""
+    payload = spark.read.schema(PAYLOAD).parquet(f"{path}/payload").drop("ids")
+    known = payload.join(_parts(payload).select("part", F.col("first_key").alias("part_key"), "carried"), "part")
+
+    def entries(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches, 16):
+            for shard, first_seen, part_key, carried, keys, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys, lengths = np.frombuffer(keys, "<i8"), np.frombuffer(lengths, "<i8")
+                offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+                seen = occurrences(keys, first_seen) + np.where(keys == part_key, carried, 0)
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (keys, seen, np.full(len(keys), shard), offsets, lengths)], names=["key", "occurrence", "shard", "offset", "length"])
+
+    found = known.select("shard", "first_seen", "part_key", "carried", "doc_ids", "lengths").mapInArrow(entries, "key long, occurrence long, shard long, offset long, length long")
+    return found.select(F.nullif("key", F.lit(NULL_KEY)).alias("doc_id"), "occurrence", "key", "shard", "offset", "length")
+
+
 def _located(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """(doc_id, shard, offset, length) of those keys that the index under ``path`` has."""
+    """(key, occurrence, shard, offset, length) of those keys that the index under ``path`` has."""
     index = spark.read.schema(INDEX).parquet(f"{path}/index")
     buckets = (index.agg(F.max("bucket")).first()[0] or 0) + 1
+    names = ["key", "occurrence", "shard", "offset", "length"]
 
     @F.pandas_udf("int")
-    def bucket(ids):
+    def bucket(ids, seen):
         import pandas as pd
 
-        return pd.Series(bucket_of(ids.to_numpy(), buckets))
+        return pd.Series(bucket_of(ids.to_numpy(), seen.to_numpy(), buckets))
 
     def find(wanted, blobs):
         import pandas as pd
 
-        ids = wanted["doc_id"].to_numpy()
+        ids, seen = wanted["key"].to_numpy(), wanted["occurrence"].to_numpy()
         if not len(blobs) or not len(ids):
-            return pd.DataFrame({c: np.empty(0, np.int64) for c in ("doc_id", "shard", "offset", "length")})
+            return pd.DataFrame({c: np.empty(0, np.int64) for c in names})
         row = blobs.iloc[0]
-        slots = PerfectHash(np.frombuffer(row.displacements, "<i4"), int(row.n_keys)).slots(key_hash(ids))
-        hit = np.frombuffer(row.fingerprints, "<u4")[slots] == key_fingerprint(ids)
-        columns = {c: np.frombuffer(row[f"{c}s"], "<i8")[slots[hit]] for c in ("shard", "offset", "length")}
-        return pd.DataFrame({"doc_id": ids[hit]} | columns)
+        slots = PerfectHash(np.frombuffer(row.displacements, "<i4"), int(row.n_keys)).slots(seeded(ids, seen, int(row.seed)))
+        hit = np.frombuffer(row.fingerprints, "<u4")[slots] == key_fingerprint(ids, seen)
+        columns = {c: np.frombuffer(row[f"{c}s"], "<i8")[slots[hit]] for c in names[2:]}
+        return pd.DataFrame({"key": ids[hit], "occurrence": seen[hit]} | columns)
 
-    wanted = keys.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("doc_id")).withColumn("bucket", bucket("doc_id"))
-    return wanted.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(find, "doc_id long, shard long, offset long, length long")
+    seen = F.col("occurrence").cast("long") if "occurrence" in keys.columns else F.lit(0).cast("long")
+    wanted = keys.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), seen.alias("occurrence")).withColumn("bucket", bucket("key", "occurrence"))
+    return wanted.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(find, ", ".join(f"{c} long" for c in names))
 
 
 def read_tokens(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) for each row of ``keys`` (doc_id) that the index under ``path`` has.
+    """(doc_id, occurrence, start, n_tokens, ids) for each row of ``keys`` that the index under ``path`` has.
 
-    ``start`` is the number of ids of all documents before it, ``ids`` little-endian unsigned
-    32-bit integers. Unknown keys give no row, but for one in 2**32; repeated keys give a row each.
+    ``keys``: doc_id and, if there is such a column, occurrence; without it the first document of
+    each doc_id is meant. ``start`` is the number of ids of all documents before it, ``ids``
+    little-endian unsigned 32-bit integers. Unknown keys give no row, but for one in 2**32; keys
+    asked for several times give a row each.
     """
     payload = spark.read.schema(PAYLOAD).parquet(f"{path}/payload")
-    parts = payload.groupBy("part").agg(F.sum("n_ids").alias("n_ids"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = parts.select("part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    shards = payload.join(bases, "part").select("shard", (F.col("base") + F.col("shard_start")).alias("shard_start"), "width", "ids")
+    shards = payload.join(_parts(payload.drop("ids")).select("part", "base"), "part").select("shard", (F.col("base") + F.col("shard_start")).alias("shard_start"), "width", "ids")
 
     def cut(wanted, shard):
         import pandas as pd
 
-        names = ["doc_id", "start", "n_tokens", "ids"]
+        names = ["doc_id", "occurrence", "start", "n_tokens", "ids"]
         if not len(wanted) or not len(shard):
             return pd.DataFrame({c: [] for c in names})
         row = shard.iloc[0]
         ids = np.frombuffer(row.ids, f"<u{row.width}")
-        slices = [ids[o : o + n].astype("<u4").tobytes() for o, n in zip(wanted["offset"], wanted["length"], strict=True)]
-        return pd.DataFrame({"doc_id": wanted["doc_id"], "start": row.shard_start + wanted["offset"], "n_tokens": wanted["length"], "ids": slices})
+        cuts = [ids[o : o + n].astype("<u4").tobytes() for o, n in zip(wanted["offset"], wanted["length"], strict=True)]
+        return pd.DataFrame({"doc_id": wanted["key"], "occurrence": wanted["occurrence"], "start": row.shard_start + wanted["offset"], "n_tokens": wanted["length"], "ids": cuts})
 
-    found = _located(spark, path, keys).groupBy("shard").cogroup(shards.groupBy("shard")).applyInPandas(cut, "doc_id long, start long, n_tokens long, ids binary")
+    found = _located(spark, path, keys).groupBy("shard").cogroup(shards.groupBy("shard")).applyInPandas(cut, "doc_id long, occurrence long, start long, n_tokens long, ids binary")
     return found.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_KEY)))
 
 
 def op3_token_index(spark, sf_dir):
-    """All documents written as token ids and read back by key."""
+    """All documents written as token ids and read back by key, each occurrence of a doc_id its own."""
     import uuid
 
-    docs = documents(spark, sf_dir)
     path = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_tokens(docs, path, vocabulary_path())
-    return read_tokens(spark, path, docs.select("doc_id")).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    write_tokens(documents(spark, sf_dir), path, vocabulary_path())
+    found = read_tokens(spark, path, stored_keys(spark, path).select("doc_id", "occurrence"))
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "occurrence")

@@ -1,36 +1,65 @@
 import random
+import zlib
 
 import numpy as np
 from tokenizers import Tokenizer
 
 from ledgerlark.llm.encoder import vocabulary_path
-from ledgerlark.llm.token_index import PerfectHash, key_hash, read_tokens, write_tokens
+from ledgerlark.llm.token_index import PerfectHash, op3_token_index, read_tokens, seeded, stored_keys, write_tokens
 
 
 def test_perfect_hash_is_minimal():
     for n in (1, 2, 3, 10, 1000, 20000):
-        hashes = key_hash(np.random.default_rng(n).permutation(10**6)[:n])
+        hashes = seeded(np.random.default_rng(n).permutation(10**6)[:n], np.arange(n) % 3, 0)
         assert sorted(PerfectHash.of(hashes).slots(hashes).tolist()) == list(range(n))
 
 
-def test_written_ids_come_back_by_key(spark, tmp_path):
+def expected(rows):
+    """(doc_id, start, n_tokens, crc32 of the ids) of rows (doc_id, text), by whole-text encoding; equal doc_ids in any order of their texts."""
+    whole, start, out = Tokenizer.from_file(vocabulary_path()), 0, []
+    for doc_id, text in rows:
+        ids = np.array([*whole.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        out.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    return out
+
+
+def made():
     rng = random.Random(1)
     words = ["One", "two,", "<|endoftext|>", "É", "12", "don't"]
-    rows = [(k, " ".join(rng.choices(words, k=rng.randint(0, 40))), 1) for k in rng.sample(range(-500, 10**6), 400)]
-    rows += [(10**7, None, 1), (10**7 + 1, "", 1), (10**7 + 2, "same", 1), (10**7 + 2, "same", 1), (None, "no key", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, start int").repartition(6)
+    rows = [(k, " ".join(rng.choices(words, k=rng.randint(0, 40)))) for k in rng.sample(range(-500, 10**6), 400)]
+    rows += [(10**7, None), (10**7 + 1, ""), (10**7 + 2, "same"), (10**7 + 2, "same"), (77, "one two"), (77, "three four five six"), (None, "no key"), (None, "no key either"), (None, None)]
+    rows += [(5 * 10**6, " ".join(rng.choices(words, k=rng.randint(0, 40)))) for _ in range(900)]  # one key of most rows
+    return rows
+
+
+def by_place(rows, order):
+    """``rows`` in ascending doc_id order, null first, equal doc_ids in that of ``order``."""
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, order[r[0], r[1]]))
+
+
+def test_every_row_comes_back_with_its_place(spark, tmp_path):
+    rows = made()
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, start int").repartition(6)
+    hashes = {(r.doc_id, r.text): r.h for r in docs.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()}
     write_tokens(docs, f"{tmp_path}/t", vocabulary_path(), shard_ids=300)
-    got = {r.doc_id: r for r in read_tokens(spark, f"{tmp_path}/t", docs).collect()}
-    assert read_tokens(spark, f"{tmp_path}/t", docs).count() == len(rows)
-    whole, start = Tokenizer.from_file(vocabulary_path()), 0
-    for doc_id, text, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
-        ids = [*whole.encode(text or "", add_special_tokens=False).ids, 2]
-        r = got[doc_id]
-        assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.n_tokens == len(ids)
-        assert r.start == start or doc_id == 10**7 + 2
-        start += len(ids)
-    unknown = spark.createDataFrame([(987654321,), (rows[0][0],)], "doc_id long")
-    assert [r.doc_id for r in read_tokens(spark, f"{tmp_path}/t", unknown).collect()] == [rows[0][0]]
+    keys = stored_keys(spark, f"{tmp_path}/t")
+    assert spark.read.parquet(f"{tmp_path}/t/payload").select("part").distinct().count() > 2
+    got = sorted((r.start, r.doc_id, r.n_tokens, zlib.crc32(bytes(r.ids))) for r in read_tokens(spark, f"{tmp_path}/t", keys).collect())
+    assert got == [(start, doc_id, n, crc) for doc_id, start, n, crc in expected(by_place(rows, hashes))]
+    seen = {(r.doc_id, r.occurrence) for r in keys.collect()}
+    assert {k for d, k in seen if d is None} == {0, 1, 2} and {k for d, k in seen if d == 5 * 10**6} == set(range(900)) and len(seen) == len(rows)
+    asked = spark.createDataFrame([(987654321,), (rows[0][0],)], "doc_id long")
+    assert [(r.doc_id, r.occurrence) for r in read_tokens(spark, f"{tmp_path}/t", asked).collect()] == [(rows[0][0], 0)]
+
+
+def test_query_equals_whole_text_encoding(spark, tmp_path):
+    rows = made()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    hashes = {(r.doc_id, r.text): r.h for r in docs.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()}
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in op3_token_index(spark, str(tmp_path)).collect())
+    assert got == [(start, doc_id, n, crc) for doc_id, start, n, crc in expected(by_place(rows, hashes))]
 
 
 def test_empty_table(spark, tmp_path):
