@@ -11,23 +11,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import documents, numbered, saved
+from ledgerlark.llm.common import documents, mark, numbered, release, saved
 
 
-def equal_text_links(nodes: DataFrame, largest: int) -> DataFrame:
-    """Links (a, b) that join equal texts of ``nodes`` (node, text_key), as stars: each document with the smallest node of its group.
+#: A key that more than one in so many rows have is a hot one; there are fewer hot keys than that.
+HOT_SHARE = 1000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """``rows`` joined with ``table`` (one row a key): rows of the few ``hot`` keys meet a broadcast of those keys' rows where they are, the others are shuffled."""
+    few = F.broadcast(table.join(F.broadcast(hot.select(key)), key, "left_semi"))
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key)
+    return rows.join(few, key).unionByName(others)
+
+
+def equal_text_links(nodes: DataFrame, total: int, largest: int) -> DataFrame:
+    """Links (a, b) that join equal texts of the ``total`` nodes (node, text_key), as stars: each document with the smallest node of its group.
 
     A group of more than ``largest`` documents, which no shard could hold, is dealt at random
-    into as many stars as it takes, whose centres are linked with the first one's.
+    into as many stars as it takes, whose centres are linked with the first one's. Groups of more
+    than one in HOT_SHARE documents, of which there are fewer than HOT_SHARE, are broadcast to
+    their documents, so none is gathered in one task.
     """
-    groups = nodes.groupBy("text_key").agg(F.count("*").alias("n")).filter("n > 1")
+    groups = saved(nodes.groupBy("text_key").agg(F.count("*").alias("n"), F.min("node").alias("first")).filter("n > 1"), "groups")
+    bound = min(total // HOT_SHARE, largest)
+    hot, cold = groups.filter(F.col("n") > bound), groups.filter(F.col("n") <= bound)
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / largest)).alias("chunk")
-    members = saved(nodes.join(groups, "text_key").select("node", "text_key", chunk), "group-members")
-    centres = saved(members.groupBy("text_key", "chunk").agg(F.min("node").alias("centre")), "group-centres")
-    firsts = centres.groupBy("text_key").agg(F.min("centre").alias("b"))
-    spokes = members.join(centres, ["text_key", "chunk"]).select(F.col("node").alias("a"), F.col("centre").alias("b"))
-    hubs = centres.join(firsts, "text_key").select(F.col("centre").alias("a"), "b")
-    return spokes.union(hubs).filter("a <> b").distinct()
+    members = saved(nodes.join(F.broadcast(hot), "text_key").select("node", "text_key", "first", chunk), "group-members")
+    centres = saved(members.groupBy("text_key", "chunk", "first").agg(F.min("node").alias("centre")), "group-centres")
+    large = members.join(F.broadcast(centres.drop("first")), ["text_key", "chunk"]).select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    hubs = centres.select(F.col("centre").alias("a"), F.col("first").alias("b"))
+    rest = nodes.join(F.broadcast(hot.select("text_key")), "text_key", "left_anti").join(cold, "text_key").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return large.union(hubs).union(rest).filter("a <> b").distinct()
 
 
 def room_for(total: int, shards: int) -> list[int]:
@@ -125,32 +140,45 @@ def first_labels(nodes: DataFrame, capacity: list[int]) -> DataFrame:
     return labels[0].union(labels[1]).union(labels[2])
 
 
-def propagate(links: DataFrame, capacity: list[int], rounds: int = 8) -> DataFrame:
+def cut_links(links: DataFrame, labels: DataFrame, hot: DataFrame) -> int:
+    """How many ``links`` (a, b) join nodes of different shards."""
+    ends = links.select("a", "b")
+    for c in "ab":
+        ends = spread_join(ends, labels.select(F.col("node").alias(c), F.col("shard").alias(f"shard_{c}")), c, hot.select(F.col("node").alias(c)))
+    return ends.filter("shard_a <> shard_b").count()
+
+
+def propagate(links: DataFrame, capacity: list[int], patience: int = 4) -> DataFrame:
     """(node, shard) of every node of ``links`` (a, b), with at most ``capacity[s]`` nodes in shard s.
 
     It begins with first_labels(). In odd rounds a node with one link may follow its neighbour
     (of two such nodes, the one with the larger number), in even rounds half of the others may
     move. quotas() of the numbers that want from each shard into each other says how many may;
-    the moves that save most links go first. It ends after ``rounds`` rounds, or two in a row
-    without a move. The driver gets those numbers, as many as pairs of shards, and the nodes with
-    most links, at most 200 a shard.
+    the moves that save most links go first. It ends when no link is cut, after two rounds in a
+    row without a move, or when the cut links have not become fewer for ``patience`` rounds; the
+    labels with fewest cut links are the result. The driver gets those numbers, as many as pairs
+    of shards, and the nodes with most links, at most 200 a shard.
     """
-    shards = len(capacity)
+    shards, began = len(capacity), mark()
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degrees = saved(both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"), F.max("b").alias("other")), "degrees")
+    heavy = saved(degrees.filter(F.col("degree") > max(1, links.count() * 2 // HOT_SHARE)).select("node"), "heavy")
+    at = lambda c: heavy.select(F.col("node").alias(c))
     other = degrees.select(F.col("node").alias("other"), F.col("degree").alias("other_degree"))
-    follows = degrees.filter("degree = 1").join(other, "other").filter("other_degree > 1 OR node > other").select("node", F.lit(True).alias("follows"))
+    follows = spread_join(degrees.filter("degree = 1"), other, "other", at("other")).filter("other_degree > 1 OR node > other").select("node", F.lit(True).alias("follows"))
     nodes = saved(degrees.select("node", "degree").join(follows, "node", "left").withColumn("follows", F.coalesce("follows", F.lit(False))), "nodes")
-    labels = saved(first_labels(nodes, capacity), "labels")
-    links_of = saved(both.join(nodes.select(F.col("node").alias("a"), "follows"), "a"), "links")
-    idle = 0
-    for step in range(1, rounds + 1):
+    labels = first = saved(first_labels(nodes, capacity), "labels")
+    links_of = saved(spread_join(both, nodes.select(F.col("node").alias("a"), "follows"), "a", at("a")).select("a", "b", "follows"), "links")
+    fewest, best, idle, stale, step = cut_links(links, labels, heavy), labels, 0, 0, 0
+    each = mark()
+    while fewest and idle < 2 and stale < patience:
+        step += 1
         active = F.col("follows") if step % 2 else ~F.col("follows") & (F.pmod(F.xxhash64("a", F.lit(step)), F.lit(2)) == 0)
-        near = links_of.filter(active).join(labels.select(F.col("node").alias("b"), F.col("shard").alias("near")), "b")
+        near = spread_join(links_of.filter(active).select("a", "b"), labels.select(F.col("node").alias("b"), F.col("shard").alias("near")), "b", at("b"))
         votes = near.groupBy("a", "near").agg(F.count("*").alias("n")).join(labels.select(F.col("node").alias("a"), "shard"), "a")
         own = F.max(F.when(F.col("near") == F.col("shard"), F.col("n")).otherwise(0))
-        best = votes.groupBy("a", "shard").agg(F.max(F.struct("n", (-F.col("near")).alias("near"))).alias("best"), own.alias("own"))
-        movers = best.filter("best.n > own").select(F.col("a").alias("node"), F.col("shard").alias("old"), (-F.col("best.near")).alias("new"), (F.col("best.n") - F.col("own")).alias("gain"))
+        wish = votes.groupBy("a", "shard").agg(F.max(F.struct("n", (-F.col("near")).alias("near"))).alias("best"), own.alias("own"))
+        movers = wish.filter("best.n > own").select(F.col("a").alias("node"), F.col("shard").alias("old"), (-F.col("best.near")).alias("new"), (F.col("best.n") - F.col("own")).alias("gain"))
         order = ["old", "new", F.desc("gain"), F.xxhash64("node")]
         movers = numbered(movers.repartitionByRange(*order).sortWithinPartitions(*order), "rank")
         wanted = [[0] * shards for _ in capacity]
@@ -158,12 +186,10 @@ def propagate(links: DataFrame, capacity: list[int], rounds: int = 8) -> DataFra
             wanted[r.old][r.new] = r.n
         loads = {r.shard: r.n for r in labels.groupBy("shard").agg(F.count("*").alias("n")).collect()}
         allowed = quotas(wanted, [c - loads.get(s, 0) for s, c in enumerate(capacity)])
-        idle = 0 if any(map(any, allowed)) else idle + 1
-        if idle == 2:
-            break
-        if idle:
+        if not any(map(any, allowed)):
+            idle += 1
             continue
-        ends, total = [], 0
+        idle, ends, total = 0, [], 0
         for row, may in zip(wanted, allowed, strict=True):
             for n, k in zip(row, may, strict=True):
                 ends.append(total + k)
@@ -171,10 +197,16 @@ def propagate(links: DataFrame, capacity: list[int], rounds: int = 8) -> DataFra
         end = F.element_at(F.array(*(F.lit(e).cast("long") for e in ends)), (F.col("old") * shards + F.col("new") + 1).cast("int"))
         moves = movers.filter(F.col("rank") < end).select("node", "new")
         labels = saved(labels.join(moves, "node", "left").select("node", F.coalesce("new", "shard").alias("shard")), "labels")
-    return labels
+        cut = cut_links(links, labels, heavy)
+        stale = 0 if cut < fewest else stale + 1
+        if cut < fewest:
+            fewest, best = cut, labels
+        release(links.sparkSession, each, (best, labels) if best is not first else (labels,))
+    release(links.sparkSession, began, (best,))
+    return best
 
 
-def balanced_shards(docs: DataFrame, shards: int = 40, rounds: int = 8) -> DataFrame:
+def balanced_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot and grown_shard.
 
     The law is ``rows``: the shards' numbers of documents are at most one apart. Equal texts are
@@ -182,16 +214,19 @@ def balanced_shards(docs: DataFrame, shards: int = 40, rounds: int = 8) -> DataF
     from 0 without gaps; ``size`` is the text's UTF-8 bytes plus 16; ``grown_shard`` is null.
 
     A null text is an empty one. Rows are told apart by their place, not their doc_id, so null
-    doc_ids and repeated rows each get a slot. An empty table gives no rows. Texts are not
-    shuffled, only their 128-bit digests.
+    doc_ids and repeated rows each get a slot. Texts of any length count as one document. Ties
+    between moves that save as many links go by a hash of the node, ties between shards to the
+    lower one. Other columns, whatever their names, are not read. An empty table gives no rows.
+    Texts are not shuffled, only their 128-bit digests.
     """
     text = F.coalesce("text", F.lit(""))
     crc = F.crc32(text.cast("binary")).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), crc.alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("text_key"))
     nodes = saved(numbered(rows, "node"), "nodes")
-    capacity = room_for(nodes.count(), shards)
-    links = saved(equal_text_links(nodes.select("node", "text_key"), max(1, min(capacity) * 9 // 10)), "links")
-    labels = propagate(links, capacity, rounds)
+    total = nodes.count()
+    capacity = room_for(total, shards)
+    links = saved(equal_text_links(nodes.select("node", "text_key"), total, max(1, min(capacity) * 9 // 10)), "links")
+    labels = propagate(links, capacity)
     loads = {r.shard: r.n for r in labels.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     linked = [loads.get(s, 0) for s in range(shards)]
     free = [capacity[s] - linked[s] for s in range(shards)]

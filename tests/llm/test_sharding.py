@@ -28,11 +28,11 @@ def test_propagation_keeps_to_the_quotas_and_cuts_fewer_links(spark):
     edges = {(a, b) for c in range(12) for a in range(10 * c, 10 * c + 10) for b in rng.sample(range(10 * c, 10 * c + 10), 4) if a < b}
     links = spark.createDataFrame([*edges, (3, 57), (20, 99)], "a long, b long")
     cut = {}
-    for rounds in (0, 12):
-        shard = {r.node: r.shard for r in propagate(links, [25] * 6, rounds).collect()}
+    for patience in (0, 4):
+        shard = {r.node: r.shard for r in propagate(links, [25] * 6, patience).collect()}
         assert max(Counter(shard.values()).values()) <= 25
-        cut[rounds] = sum(shard[a] != shard[b] for a, b in edges)
-    assert cut[12] < cut[0]
+        cut[patience] = sum(shard[a] != shard[b] for a, b in edges)
+    assert cut[4] < 0.6 * cut[0]
 
 
 def test_few_documents_and_none(spark):
