@@ -5,8 +5,11 @@ neighbours are all compatible: two pieces are if merging their joined text gives
 With weight 0 for a compatible step and minus infinity for any other, encoding is a best path in
 the max-plus semiring. A giant document is cut into chunks anywhere. The states at a cut are the
 pieces that may hold the character before it; a chunk's transfer matrix says which states at its
-end each state at its start can reach. The matrices of a document are combined from both ends,
-which leaves one state at every cut, and then each chunk finds its own part of the path.
+end each state at its start can reach. Matrices are multiplied, which is associative, by stretches
+of FAN neighbours, and their products again, until FAN or fewer are left of a document; then the
+states at the ends of each stretch settle those within it, level by level, which leaves one state
+at every cut, and each chunk finds its own part of the path. So no task holds more than FAN
+matrices of a document at a time, however long it is.
 
 As all weights are 0 or minus infinity, a row of a matrix is a set, held as the bits of a number.
 """
@@ -20,11 +23,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import documents, saved, slices
+from ledgerlark.llm.common import documents, saved, slices, small_batches
 from ledgerlark.llm.encoder import vocabulary_path
 
 GIANT = 16_384
 CHUNK = 4_096
+FAN = 64
 MARK = "▁"
 CHUNKS = "row long, doc_id long, chunk int, start long, n_chars long, text string"
 
@@ -298,26 +302,64 @@ def _chunk(model: PieceModel, size: int, start: int, n_chars: int, text: str) ->
     return Chunk(model, text, min(start, model.longest), min(size, n_chars - start), start + size >= n_chars)
 
 
-def scan_states(matrices: list[list[int]]) -> list[tuple[int, int]]:
-    """(entry, exit) of each chunk on the one path from the first chunk's only entry to an exit of the last."""
-    before = [1]
-    for m in matrices:
+def product(first: list[int], then: list[int]) -> list[int]:
+    """The transfer matrix of two neighbours: which states at the end of the second each state at the start of the first reaches."""
+    out = []
+    for row in first:
         reached = 0
-        for k, row in enumerate(m):
-            if before[-1] >> k & 1:
-                reached |= row
-        before.append(reached)
-    at, out = before[-1] & -before[-1], []
+        while row:
+            k = row.bit_length() - 1
+            reached |= then[k]
+            row ^= 1 << k
+        out.append(reached)
+    return out
+
+
+def scan_states(matrices: list[list[int]], entry: int = 0, exit_: int | None = None) -> list[tuple[int, int]]:
+    """(entry, exit) of each of neighbouring matrices on a path from ``entry`` of the first to ``exit_`` of the last, the lowest that is reached if none is given."""
+    before = [1 << entry]
+    for m in matrices:
+        before += product(before[-1:], m)
+    at, out = before[-1] & -before[-1] if exit_ is None else 1 << exit_, []
     for k in range(len(matrices) - 1, -1, -1):
-        exit_ = at.bit_length() - 1
-        entries = [i for i, row in enumerate(matrices[k]) if before[k] >> i & 1 and row >> exit_ & 1]
-        out.append((entries[0], exit_))
-        at = 1 << entries[0]
+        last = at.bit_length() - 1
+        start = next(i for i, row in enumerate(matrices[k]) if before[k] >> i & 1 and row >> last & 1)
+        out.append((start, last))
+        at = 1 << start
     return out[::-1]
 
 
-def _scanned(chunks: DataFrame, vocabulary: str, size: int) -> DataFrame:
-    """(doc_id, ids) of chunked documents: matrices by chunk, their scan by document, and each chunk's path."""
+def _settled(matrices: DataFrame, last: int, fan: int) -> DataFrame:
+    """(row, place, entry, exit) of the matrices (row, place, matrix; places 0 to ``last`` at most) on the one path of each row."""
+    stretch = F.floor(F.col("place") / fan).cast("int")
+    numbers = lambda column: [[int(x) for x in m] for m in column]
+
+    def multiply(own):
+        import pandas as pd
+
+        own = own.sort_values("place")
+        total = functools.reduce(product, numbers(own["matrix"]))
+        return pd.DataFrame({"row": own["row"].iloc[:1], "place": own["stretch"].iloc[:1], "matrix": [[str(x) for x in total]]})
+
+    def scan(own):
+        import pandas as pd
+
+        own = own.sort_values("place")
+        ends = (int(own["first"].iloc[0]), int(own["last"].iloc[0])) if "first" in own else ()
+        entries, exits = zip(*scan_states(numbers(own["matrix"]), *ends), strict=True)
+        return pd.DataFrame({"row": own["row"], "place": own["place"], "entry": entries, "exit": exits})
+
+    states = "row long, place int, entry int, exit int"
+    if last < fan:
+        return matrices.groupBy("row").applyInPandas(scan, states)
+    matrices = saved(matrices, "matrices")
+    products = matrices.withColumn("stretch", stretch).groupBy("row", "stretch").applyInPandas(multiply, "row long, place int, matrix array<string>")
+    ends = _settled(products, last // fan, fan).select("row", F.col("place").alias("stretch"), F.col("entry").alias("first"), F.col("exit").alias("last"))
+    return matrices.withColumn("stretch", stretch).join(ends, ["row", "stretch"]).groupBy("row", "stretch").applyInPandas(scan, states)
+
+
+def _scanned(chunks: DataFrame, vocabulary: str, size: int, fan: int) -> DataFrame:
+    """(doc_id, ids) of chunked documents: matrices by chunk, their scan, and each chunk's path."""
 
     def transfer(batches):
         import pyarrow as pa
@@ -326,14 +368,7 @@ def _scanned(chunks: DataFrame, vocabulary: str, size: int) -> DataFrame:
         for batch in slices(batches):
             row, _, chunk, *rest = (c.to_pylist() for c in batch.columns)
             rows = [[str(x) for x in _chunk(model, size, *args).matrix()] for args in zip(*rest, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(chunk, pa.int32()), pa.array(rows, pa.list_(pa.string()))], names=["row", "chunk", "matrix"])
-
-    def scan(own):
-        import pandas as pd
-
-        own = own.sort_values("chunk")
-        entries, exits = zip(*scan_states([[int(x) for x in m] for m in own["matrix"]]), strict=True)
-        return pd.DataFrame({"row": own["row"], "chunk": own["chunk"], "entry": entries, "exit": exits})
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(chunk, pa.int32()), pa.array(rows, pa.list_(pa.string()))], names=["row", "place", "matrix"])
 
     def trace(batches):
         import pyarrow as pa
@@ -344,25 +379,25 @@ def _scanned(chunks: DataFrame, vocabulary: str, size: int) -> DataFrame:
             ids = [_chunk(model, size, s, n, t).ids(a, b) for s, n, t, a, b in zip(start, n_chars, text, entry, exit_, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(chunk, pa.int32()), pa.array(ids, pa.binary())], names=["row", "doc_id", "chunk", "ids"])
 
-    states = chunks.mapInArrow(transfer, "row long, chunk int, matrix array<string>").groupBy("row").applyInPandas(scan, "row long, chunk int, entry int, exit int")
+    last = chunks.agg(F.max("chunk")).first()[0] or 0
+    states = _settled(chunks.mapInArrow(transfer, "row long, place int, matrix array<string>"), last, fan).withColumnRenamed("place", "chunk")
     traced = chunks.join(states, ["row", "chunk"]).select("row", "doc_id", "chunk", "start", "n_chars", "text", "entry", "exit").mapInArrow(trace, "row long, doc_id long, chunk int, ids binary")
-    parts = traced.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
-    joined = F.aggregate("parts", F.lit(b""), lambda ids, p: F.concat(ids, p["ids"]))
-    return parts.select("doc_id", joined.alias("ids"))
+    return traced.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.expr("listagg(ids) WITHIN GROUP (ORDER BY chunk)").alias("ids")).select("doc_id", "ids")
 
 
-def encode_pieces(docs: DataFrame, vocabulary: str, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+def encode_pieces(docs: DataFrame, vocabulary: str, giant: int = GIANT, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """One row per document: doc_id and ids, the model's ids of its whole text (little-endian unsigned 32-bit).
 
     The ids are those that the SentencePiece library gives, whose part is only to normalise. Texts
     over ``giant`` characters are scanned in chunks of ``chunk`` side by side; what meets in one task
-    of those are the matrices and then the ids of one document. Null and empty texts have no ids. Every row gives one row,
-    null doc_ids and repeated rows too; other columns are not read.
+    of those are ``fan`` matrices and, at last, the ids of one document. Null and empty texts have no ids. Every row gives one row,
+    null doc_ids and repeated rows too; an empty table gives none. The path is unique, so there are no ties. Other columns, whatever
+    their names, are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     long_ = F.coalesce(F.length("text") > giant, F.lit(False))
     chunks = saved(_chunks(rows.filter(long_), vocabulary, chunk), "chunks")
-    return _whole_texts(rows.filter(~long_), vocabulary).union(_scanned(chunks, vocabulary, chunk))
+    return _whole_texts(rows.filter(~long_), vocabulary).union(_scanned(chunks, vocabulary, chunk, fan))
 
 
 def decode_pieces(encoded: DataFrame, vocabulary: str) -> DataFrame:

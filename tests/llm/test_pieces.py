@@ -1,11 +1,15 @@
+import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from ledgerlark.llm.encoder import vocabulary_path
-from ledgerlark.llm.pieces import Chunk, PieceModel, decode_pieces, encode_pieces, scan_states
+from ledgerlark.llm.pieces import Chunk, PieceModel, decode_pieces, encode_pieces, op4_piece_ids, product, scan_states
 
 PATH = vocabulary_path("piece_bpe_32k.model")
 ALPHABET = "ab ▁ ▁▁  theingér☃\n你12..,,\x00s"
@@ -43,9 +47,33 @@ def test_giant_and_short_documents_come_back(spark, model):
     texts = [None, "", " ", "x  y\n", "theing" * 300, "no▁mark"] + ["".join(rng.choices("aeth ing\né☃", k=rng.choice([10, 700]))) for _ in range(60)]
     rows = [(k, t, "x") for k, t in enumerate(texts)] + [(None, "the " * 200, "x"), (4, texts[4], "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
-    encoded = encode_pieces(docs, PATH, giant=200, chunk=64)
-    got = Counter((r.doc_id, bytes(r.ids)) for r in encoded.collect())
-    assert got == Counter((d, library_ids(model, t)) for d, t, _ in rows)
+    for fan in (64, 3):  # one level of matrices, and several
+        encoded = encode_pieces(docs, PATH, giant=200, chunk=64, fan=fan)
+        got = Counter((r.doc_id, bytes(r.ids)) for r in encoded.collect())
+        assert got == Counter((d, library_ids(model, t)) for d, t, _ in rows)
     texts_back = Counter((r.doc_id, r.text) for r in decode_pieces(encoded, PATH).collect())
     assert texts_back == Counter((d, (t or "").replace("▁", " ")) for d, t, _ in rows)
     assert encode_pieces(docs.limit(0), PATH).count() == 0
+
+
+def test_query_equals_the_library(spark, model, tmp_path):
+    rng = random.Random(8)
+    rows = [(1, None), (2, ""), (3, "x  y é☃"), (None, "null id"), (3, "x  y é☃"), (9, "".join(rng.choices("aeth ing\n", k=40_000)))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter(tuple(r) for r in op4_piece_ids(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_crc32", "decoded_sha256").collect())
+    ids = [library_ids(model, t) for _, t in rows]
+    assert got == Counter((d, len(x) // 4, zlib.crc32(x), hashlib.sha256((t or "").encode()).hexdigest()) for (d, t), x in zip(rows, ids, strict=True))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 6), min_size=4, max_size=4), st.randoms())
+def test_products_of_matrices_are_associative(sizes, rng):
+    a, b, c = ([rng.getrandbits(m) for _ in range(n)] for n, m in zip(sizes, sizes[1:], strict=False))
+    assert product(product(a, b), c) == product(a, product(b, c))
+    for entry in range(sizes[0]):
+        for exit_ in range(sizes[3]):
+            if product(product(a, b), c)[entry] >> exit_ & 1:
+                path = scan_states([a, b, c], entry, exit_)
+                assert path[0][0] == entry and path[-1][1] == exit_
+                assert all(m[i] >> j & 1 for m, (i, j) in zip((a, b, c), path, strict=True))
+                assert all(x[1] == y[0] for x, y in zip(path, path[1:], strict=False))
