@@ -4,6 +4,11 @@ A sketch adds each digest to one cell in each of three rows of cells: a count, t
 the digests and of their checks. Subtracting two versions' sketches cancels what they share;
 peeling cells that hold one digest recovers the digests in which they differ. If peeling stops
 early, both versions are sketched with eight times the cells.
+
+What is returned as a fingerprint is the smallest sketch, of CELLS cells, which peels for some
+dozen differences. The likeness of two versions comes from sketches of as many cells as their
+difference takes, whose number is returned beside it; larger sketches are not returned, as they
+would grow with the texts.
 """
 
 from __future__ import annotations
@@ -15,36 +20,43 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ledgerlark.llm.common import documents, mix64
+from ledgerlark.llm.common import documents, mix64, small_batches
 from ledgerlark.llm.ordering import successive, with_successors
 
 ROWS = 3
 CELLS = 24
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, cells_edited long, cells_next long"
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_EMPTY = pd.util.hash_array(np.array(["", None], dtype=object)[:-1], categorize=False)[0]
 _SHIFTS, _LOW = np.arange(0, 21 * ROWS, 21, dtype=np.uint64)[:, None], np.uint64((1 << 21) - 1)
 
 
 def paragraph_digests(text: str, words: int = 8) -> np.ndarray:
-    """A 64-bit digest of each paragraph: a line, or where it is longer each run of ``words`` blank-separated words in it.
+    """A 64-bit digest of each paragraph: a line, or where it has more than ``words`` blank-separated words the runs of them that end with a word whose hash ``words`` divides.
 
-    The k-th of equal paragraphs has a digest of its own, so the digests are a set.
+    As the words themselves say where a run ends, one put in or taken out changes one run or two
+    and no other. The k-th of equal paragraphs has a digest of its own, so the digests are a set.
     """
-    pieces = []
+    flat, sizes = [], []
     for line in text.split("\n"):
         own = line.split(" ")
-        pieces += [line] if len(own) <= words else [" ".join(own[k : k + words]) for k in range(0, len(own), words)]
-    pieces = [p for p in pieces if p]
-    if not pieces:
-        return np.empty(0, np.uint64)
-    hashes = pd.util.hash_array(np.array([*pieces, None], dtype=object)[:-1], categorize=False)
-    hashes.sort()
-    new = hashes[1:] != hashes[:-1]
+        flat += own
+        sizes.append(len(own))
+    sizes = np.array(sizes)
+    hashed = pd.util.hash_array(np.array([*flat, None], dtype=object)[:-1], categorize=False)
+    last = np.repeat(sizes > words, sizes) & (hashed % np.uint64(words) == 0)
+    last[np.cumsum(sizes) - 1] = True
+    starts = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
+    lengths = np.diff(np.append(starts, len(flat)))
+    place = np.arange(len(flat)) - np.repeat(starts, lengths)
+    digests = np.add.reduceat(mix64(hashed + (place + 1).astype(np.uint64) * _GOLDEN), starts)
+    digests = np.sort(digests[(lengths > 1) | (hashed[starts] != _EMPTY)])
+    new = digests[1:] != digests[:-1]
     if new.all():
-        return mix64(hashes)
-    starts = np.flatnonzero(np.concatenate([[True], new]))
-    rank = np.arange(len(hashes)) - np.repeat(starts, np.diff(np.append(starts, len(hashes))))
-    return mix64(hashes + rank.astype(np.uint64) * _GOLDEN)
+        return mix64(digests)
+    firsts = np.flatnonzero(np.concatenate([[True], new]))
+    rank = np.arange(len(digests)) - np.repeat(firsts, np.diff(np.append(firsts, len(digests))))
+    return mix64(digests + rank.astype(np.uint64) * _GOLDEN)
 
 
 def _checks(digests: np.ndarray) -> np.ndarray:
@@ -113,8 +125,8 @@ class Version:
         return self.sketches[cells]
 
 
-def differing(a: Version, b: Version, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
-    """The digests that only ``a`` and only ``b`` has, from sketches of ``cells`` cells and then eight times as many until they peel.
+def differing(a: Version, b: Version, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, int]:
+    """The digests that only ``a`` and only ``b`` has, from sketches of ``cells`` cells and then eight times as many until they peel, and the number of cells that did.
 
     Sketches with fewer cells than the versions' numbers of digests differ by cannot peel, and are passed over.
     """
@@ -122,36 +134,37 @@ def differing(a: Version, b: Version, cells: int = CELLS) -> tuple[np.ndarray, n
         if cells >= abs(len(a.digests) - len(b.digests)):
             found = a.sketch(cells).minus(b.sketch(cells)).peel()
             if found is not None:
-                return found
+                return *found, cells
         cells *= 8
 
 
-def likeness(a: Version, b: Version) -> float:
-    """Twice the shared digests over all digests of two versions, 0 to 1; 1 if neither has any."""
+def likeness(a: Version, b: Version) -> tuple[float, int]:
+    """Twice the shared digests over all digests of two versions, 0 to 1 (1 if neither has any), and the number of cells that it took."""
     total = len(a.digests) + len(b.digests)
     if not total:
-        return 1.0
-    only_a, only_b = differing(a, b)
-    return (total - len(only_a) - len(only_b)) / total
+        return 1.0, CELLS
+    only_a, only_b, cells = differing(a, b)
+    return (total - len(only_a) - len(only_b)) / total, cells
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next.
+    """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next, and the numbers of cells that these two took.
 
     The edited text has its last quarter (floor of n_chars / 4 code points) replaced by as many
     code points of the head of the next document in doc_id order, or all that it has; the document
     after the last is the first. A fingerprint is the sketch with 24 cells, so equal texts have
     equal ones; likeness comes from sketches as large as recovering the difference takes.
 
-    Null texts are empty. Null doc_ids come first, and rows with equal doc_ids follow each other
-    by a hash of the text; every row gives one row, and a table of one row is its own next. The
-    texts are shuffled once.
+    Null texts are empty; very long ones are sketched whole. Null doc_ids come first, and rows with
+    equal doc_ids follow each other by a hash of the text; every row gives one row, and a table of
+    one row is its own next. An empty table gives none. Other columns, whatever their names, are
+    not read. The texts are shuffled once.
     """
 
     def run(batches):
         import pyarrow as pa
 
-        types = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
+        types = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64(), pa.int64(), pa.int64()]
         rows, last = [], (None, None)
 
         def flush():
@@ -167,13 +180,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             changed, following = Version(paragraph_digests(edited)), Version(paragraph_digests(after))
             last = after, following
             sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-            rows.append((doc_id, len(text), sha, own.sketch(CELLS).text(), changed.sketch(CELLS).text(), likeness(own, changed), likeness(own, following)))
+            (near_edited, cells_edited), (near_next, cells_next) = likeness(own, changed), likeness(own, following)
+            rows.append((doc_id, len(text), sha, own.sketch(CELLS).text(), changed.sketch(CELLS).text(), near_edited, near_next, cells_edited, cells_next))
             if len(rows) >= 2000:
                 yield flush()
         if rows:
             yield flush()
 
-    return with_successors(docs).mapInArrow(run, SCHEMA)
+    return with_successors(small_batches(docs)).mapInArrow(run, SCHEMA)
 
 
 def op5_fingerprints(spark, sf_dir):

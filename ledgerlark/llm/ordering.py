@@ -7,13 +7,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlark.llm.common import slices
+
 
 def with_successors(docs: DataFrame, parts_per_task: int = 4) -> DataFrame:
     """(part, tail, doc_id, text) such that within a task the rows of each part come in ascending doc_id order, and then the tail: the first row of the next part.
 
     The last part's tail is the table's first row. Null doc_ids come first; rows with equal
     doc_ids go by a hash of their texts. Parts are cut at approximate percentiles of doc_id that
-    are doc_ids themselves, so the only things gathered are as many numbers as there are parts.
+    are doc_ids themselves, so the only things gathered are as many numbers as there are parts, and
+    neighbouring parts go to a task together, as many to each.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -40,14 +43,14 @@ def with_successors(docs: DataFrame, parts_per_task: int = 4) -> DataFrame:
     end = F.when(is_first, F.struct(F.lit(last).alias("part"), F.lit(True).alias("tail")))
     placed = rows.withColumn("_part", part_of("doc_id")).withColumn("_head", F.coalesce(heads_part("doc_id"), F.lit(False)))
     placed = placed.withColumn("_at", F.explode(F.array_compact(F.array(own, before, end))))
-    dealt = placed.select("_at.part", "_at.tail", "doc_id", "text").repartition(tasks, "part")
+    dealt = placed.select("_at.part", "_at.tail", "doc_id", "text").repartitionByRange(tasks, "part")
     return dealt.sortWithinPartitions("part", "tail", F.asc_nulls_first("doc_id"), F.xxhash64("text"))
 
 
 def successive(batches):
     """From batches of with_successors(), (doc_id, text, next_text) of each row."""
     held = None
-    for batch in batches:
+    for batch in slices(batches):
         for part, tail, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if held is not None and held[0] == part:
                 yield held[1], held[2], text

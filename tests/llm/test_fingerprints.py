@@ -3,16 +3,22 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 
-from ledgerlark.llm.fingerprints import Sketch, Version, differing, fingerprints, paragraph_digests
+from ledgerlark.llm.fingerprints import Sketch, Version, differing, fingerprints, likeness as near, op5_fingerprints, paragraph_digests
 from ledgerlark.llm.ordering import successive, with_successors
 
 
+def hashed(word):
+    return int(pd.util.hash_array(np.array([word], dtype=object), categorize=False)[0])
+
+
 def paragraphs(text):
     out = []
     for line in text.split("\n"):
         w = line.split(" ")
-        out += [" ".join(w[k : k + 8]) for k in range(0, len(w), 8)] if len(w) > 8 else [line]
+        ends = [k for k in range(1, len(w)) if len(w) > 8 and hashed(w[k - 1]) % 8 == 0]
+        out += [" ".join(w[a:b]) for a, b in zip([0, *ends], [*ends, len(w)], strict=True)]
     return Counter(p for p in out if p)
 
 
@@ -26,7 +32,7 @@ def test_peeling_recovers_the_difference():
     rng = np.random.default_rng(1)
     for n in (0, 1, 5, 40, 700):
         shared, a, b = (rng.integers(1, 2**64, k, np.uint64) for k in (300, n, n // 2))
-        only_a, only_b = differing(Version(np.r_[shared, a]), Version(np.r_[shared, b]))
+        only_a, only_b, _ = differing(Version(np.r_[shared, a]), Version(np.r_[shared, b]))
         assert set(only_a) == set(a) and set(only_b) == set(b)
     assert Sketch.of(rng.integers(1, 2**64, 500, np.uint64), 24).peel() is None
 
@@ -75,3 +81,18 @@ def test_each_row_meets_its_successor_over_many_parts(spark):
     ids.sort()
     assert got == {i: str(j) for i, j in zip(ids, [*ids[1:], ids[0]], strict=True)}
     assert len(paragraph_digests("x\nx")) == 2
+
+
+def test_a_word_put_in_changes_few_digests():
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(10**4)}" for _ in range(2000)]
+    a, b = (Version(paragraph_digests(" ".join(w))) for w in (words, ["new", *words]))
+    value, cells = near(a, b)
+    assert value > 0.98 and cells == 24 and len(a.digests) > 100
+
+
+def test_query_has_the_columns_of_the_operator(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b\nc", "x"), (2, None, "y"), (None, "d", "z")], "doc_id long, text string, part string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted(map(tuple, op5_fingerprints(spark, str(tmp_path)).collect()), key=str)
+    assert rows == sorted(map(tuple, fingerprints(docs).collect()), key=str) and len(rows) == 3
