@@ -4,7 +4,9 @@ All of it is DataFrame functions, without a shuffle or a Python worker. A patter
 wrapped in a mark that the text does not hold, with a copy of the characters that follow; splitting
 at the mark gives the piece before a match, the match and that copy in turn, and the running sum of
 the lengths gives each match its place. Patterns use possessive repeats or bounded ones, and start
-only at the head of a run or where the last match ended, so the time stays in proportion to the text.
+only at the head of a run or where the last match ended, so they cost as much as the text is long.
+Matches are walked in stretches of about the square root of their number, as a list that grew by
+one at a time would be copied for each: n matches cost n * sqrt(n) short steps at most.
 """
 
 from __future__ import annotations
@@ -83,6 +85,8 @@ def _iban_at_head(text: Column) -> Column:
     return F.coalesce(F.array_max(valid)["match"], F.lit(""))
 
 
+_SECRET = r"(?i)token|secret|passw|api[ _-]?key|private[ _-]?key|access[ _-]?key|bearer|credential"
+
 #: The first four kinds are the base kinds, in the order in which ties are listed.
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@[A-Za-z0-9-]", 0.9, r"(?i)mail|contact|write|address"),
@@ -90,44 +94,75 @@ KINDS = (
     Kind("card", r"(?:\G|(?<![0-9]))[0-9](?:[ -]?[0-9])++", r"[0-9][ -]?[0-9]", 0.7, r"(?i)card|visa|credit|pay|account", _card),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", 0.6, r"(?i)phone|call|tel|mobile|fax", _phone),
     Kind("iban", r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9]))", r"[A-Z]{2}[0-9]{2}", 0.8, r"(?i)iban|bank|account|konto", None, False, _iban_at_head, 66),
+    Kind("key", r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[opsru]_[A-Za-z0-9]{36,255}+|sk-[A-Za-z0-9_-]{20,200}+|xox[abprs]-[A-Za-z0-9-]{10,200}+)(?![A-Za-z0-9])", r"AKIA|gh[opsru]_|sk-|xox[abprs]-", 0.8, _SECRET, None, False),
+    Kind("secret", r"(?<![A-Za-z0-9])[0-9a-f]{32,128}+(?![A-Za-z0-9])", r"[0-9a-f]{32}", 0.3, _SECRET, None, False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-", 0.3, r"(?i)ssn|social|security|tax", None, False),
 )
 
 
+def _by_stretches(items: Column, start: Column, walk, finish) -> Column:
+    """``finish`` of the state that comes of ``start`` when ``walk(state, stretch)`` has gone over all stretches of ``items``, each of about the square root of their number."""
+
+    def over(width):
+        n = F.ceil(F.size(items) / width).cast("int")
+        indices = F.slice(F.sequence(F.lit(0), n), F.lit(1), n)
+        return F.aggregate(indices, start, lambda state, k: walk(state, F.slice(items, k * width + 1, width)), finish)
+
+    return let(F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(items))).cast("int")), over)
+
+
+def _walked(items: Column, state: Column, step, out_type: str) -> Column:
+    """What ``step(state, item)`` gives as ``out`` for each item in turn; its ``state`` goes on to the next. Nulls are left out."""
+    empty = F.expr(f"CAST(array() AS array<{out_type}>)")
+
+    def one(held, item):
+        return let(step(held["state"], item), lambda r: F.struct(r["state"].alias("state"), F.concat(held["out"], F.array(r["out"])).alias("out")))
+
+    def walk(held, stretch):
+        inner = F.aggregate(stretch, F.struct(held["state"].alias("state"), empty.alias("out")), one)
+        return let(inner, lambda r: F.struct(r["state"].alias("state"), F.concat(held["out"], F.array(r["out"])).alias("out")))
+
+    start = F.struct(state.alias("state"), F.expr(f"CAST(array() AS array<array<{out_type}>>)").alias("out"))
+    return F.filter(_by_stretches(items, start, walk, lambda held: F.flatten(held["out"])), lambda x: x.isNotNull())
+
+
 def _spans(text: Column, kind: Kind, rank: int) -> Column:
     """The confirmed spans of one kind in one text, in order; positions are code points from 0, ends exclusive."""
 
-    found_type = "array<struct<start:int,end:int,match:string,before:string,rest:string>>"
+    found_type = "struct<start:int,end:int,match:string,before:string,rest:string>"
 
-    def walk(parts):
+    def span(start, match, before, rest):
+        return F.struct(start.alias("start"), (start + F.length(match)).alias("end"), match.alias("match"), before.alias("before"), rest.alias("rest"))
+
+    def located(parts):
         """``parts`` come in threes: the text before a match, the match, and the characters from its end on."""
-        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), F.expr(f"CAST(array() AS {found_type})").alias("found"))
 
         def step(state, k):
             outside, match, rest = (F.get(parts, 3 * k + i) for i in range(3))
             begin = state["at"] + F.length(outside)
-            end = begin + F.length(match)
             before = F.right(F.concat(state["before"], outside), F.lit(CONTEXT))
-            span = F.struct(begin.alias("start"), end.alias("end"), match.alias("match"), before.alias("before"), rest.alias("rest"))
-            return F.struct(end.alias("at"), F.right(F.concat(before, match), F.lit(CONTEXT)).alias("before"), F.concat(state["found"], F.array(span)).alias("found"))
+            after = F.struct((begin + F.length(match)).alias("at"), F.right(F.concat(before, match), F.lit(CONTEXT)).alias("before"))
+            return F.struct(after.alias("state"), span(begin, match, before, rest).alias("out"))
 
-        matches = F.floor(F.size(parts) / 3).cast("int")
-        return F.aggregate(F.slice(F.sequence(F.lit(0), matches), F.lit(1), matches), start, step, lambda state: state["found"])
+        n = F.floor(F.size(parts) / 3).cast("int")
+        return _walked(F.slice(F.sequence(F.lit(0), n), F.lit(1), n), F.struct(F.lit(0).alias("at"), F.lit("").alias("before")), step, found_type)
 
     def fitted(s):
-        end = lambda match: s["start"] + F.length(match)
-        rest = lambda match: F.substr(s["rest"], F.length(match) + 1)
-        return let(kind.fit(s["rest"]), lambda m: F.struct(s["start"].alias("start"), end(m).alias("end"), m.alias("match"), s["before"].alias("before"), rest(m).alias("rest")))
+        return let(kind.fit(s["rest"]), lambda m: span(s["start"], m, s["before"], F.substr(s["rest"], F.length(m) + 1)))
 
     def apart(spans):
         """``spans`` without those that start within an earlier one."""
-        last = lambda kept: F.coalesce(F.try_element_at(kept, F.lit(-1))["end"], F.lit(0))
-        return F.aggregate(spans, F.expr(f"CAST(array() AS {found_type})"), lambda kept, s: F.when(s["start"] >= last(kept), F.concat(kept, F.array(s))).otherwise(kept))
+
+        def step(last, s):
+            free = s["start"] >= last
+            return F.struct(F.when(free, s["end"]).otherwise(last).alias("state"), F.when(free, s).alias("out"))
+
+        return _walked(spans, F.lit(0), step, found_type)
 
     marked = F.regexp_replace(text, f"({kind.pattern})(?=((?s:.{{0,{kind.reach + CONTEXT}}})))", f"{MARK}$1{MARK}$2{MARK}")
-    found = let(F.split(marked, MARK, -1), walk)
+    found = let(F.split(marked, MARK, -1), located)
     if kind.fit is not None:
-        found = apart(F.filter(F.transform(found, fitted), lambda s: s["match"] != ""))
+        found = let(F.filter(F.transform(found, fitted), lambda s: s["match"] != ""), apart)
     if kind.confirm is not None:
         found = F.filter(found, lambda s: kind.confirm(s["match"]))
 
@@ -139,56 +174,83 @@ def _spans(text: Column, kind: Kind, rank: int) -> Column:
     return F.when(text.rlike(kind.hint), F.transform(found, scored)).otherwise(F.expr(f"CAST(array() AS {SPAN})"))
 
 
+def _rows_and_spans(docs: DataFrame, min_score: float) -> DataFrame:
+    """(row, spans): the columns of ``docs`` as one struct, so that none of their names can clash, and the spans of ``text``."""
+    clean = F.when(F.col("text").contains(MARK), F.translate("text", MARK, "\u0002")).otherwise(F.coalesce("text", F.lit("")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), clean.alias("clean"))
+    found = rows.select("row", *(_spans(F.col("clean"), k, i).alias(k.name) for i, k in enumerate(KINDS)))
+    more = [F.filter(k.name, lambda s: s["score"] >= min_score) for k in KINDS if not k.base]
+    return found.select("row", F.array_sort(F.concat(*(F.col(k.name) for k in KINDS if k.base), *more)).alias("spans"))
+
+
 def find_pii(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     """``docs`` with a column ``pii``: its spans as (start, rank, kind, end, score), by start and then kind.
 
-    Base kinds (email, ip, card, phone) stay whatever their score; spans of the other kinds (iban,
-    confirmed modulo 97, and ssn, which needs a context word) stay from ``min_score`` on. A word of
-    the kind's context in the 48 characters before a span or after it moves its score halfway to 1,
-    other spans in between or not.
+    Base kinds (email, ip, card, phone) stay whatever their score; spans of the other kinds stay
+    from ``min_score`` on: iban (confirmed modulo 97), key (secrets of known forms), and secret
+    (32 hexadecimal digits or more) and ssn, which need a context word. A word of the kind's
+    context in the 48 characters before a span or after it moves its score halfway to 1, other
+    spans in between or not.
 
-    Null and empty texts have no spans. Every row gives one row. Spans of different kinds may
-    overlap; those of one kind do not.
+    Null and empty texts have no spans; very long ones are searched whole. Every row gives one
+    row, repeated rows and null doc_ids too; an empty table none. Spans of different kinds may
+    overlap; those of one kind do not. Columns of any name pass through, but for one that is
+    called ``pii`` already, whose place the spans take.
     """
-    clean = F.when(F.col("text").contains(MARK), F.translate("text", MARK, "\u0002")).otherwise(F.coalesce("text", F.lit("")))
-    marked = docs.withColumn("_clean", clean)
-    found = marked.withColumns({f"_{k.name}": _spans(F.col("_clean"), k, i) for i, k in enumerate(KINDS)})
-    more = [F.filter(f"_{k.name}", lambda s: s["score"] >= min_score) for k in KINDS if not k.base]
-    spans = F.array_sort(F.concat(*(F.col(f"_{k.name}") for k in KINDS if k.base), *more))
-    return found.withColumn("pii", spans).drop("_clean", *(f"_{k.name}" for k in KINDS))
+    found = _rows_and_spans(docs, min_score)
+    return found.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c != "pii"), F.col("spans").alias("pii"))
 
 
 def mask_pii(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     """``docs`` with every span of personal data in ``text`` replaced by its kind, as in ``<EMAIL>``, and ``n_chars`` counted anew.
 
     Overlapping spans are replaced together, by the kind that starts first. Texts without spans,
-    null texts among them, stay as they are.
+    null and empty ones among them, stay as they are, and so do all other columns, whatever their
+    names. Every row gives one row.
     """
+    text = F.col("row").getField("text")
 
     def masked(spans):
-        start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<string>)").alias("out"))
+        empty = F.expr("CAST(array() AS array<string>)")
+
+        def walk(state, stretch):
+            """The stretch's part of the text is cut out once, and its spans are looked up within that."""
+            base = state["at"]
+            reach = F.greatest(F.array_max(F.transform(stretch, lambda s: s["end"])) - base, F.lit(0))
+
+            def within(part):
+                def step(held, s):
+                    between = F.substr(part, held["at"] - base + 1, s["start"] - held["at"])
+                    new = F.struct(s["end"].alias("at"), F.concat(held["out"], F.array(between, F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))).alias("out"))
+                    longer = F.struct(F.greatest(held["at"], s["end"]).alias("at"), held["out"].alias("out"))
+                    return F.when(s["start"] >= held["at"], new).otherwise(longer)
+
+                return F.aggregate(stretch, F.struct(base.alias("at"), empty.alias("out")), step)
 
-        def step(state, s):
-            between = F.substr("text", state["at"] + 1, s["start"] - state["at"])
-            new = F.struct(s["end"].alias("at"), F.concat(state["out"], F.array(between, F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))).alias("out"))
-            longer = F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["out"].alias("out"))
-            return F.when(s["start"] >= state["at"], new).otherwise(longer)
+            inner = let(F.substr(text, base + 1, reach), within)
+            return let(inner, lambda r: F.struct(r["at"].alias("at"), F.concat(state["out"], F.array(F.array_join(r["out"], ""))).alias("out")))
 
-        return F.aggregate(spans, start, step, lambda state: F.concat(F.array_join(state["out"], ""), F.substr("text", state["at"] + 1)))
+        start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+        return _by_stretches(spans, start, walk, lambda state: F.concat(F.array_join(state["out"], ""), F.substr(text, state["at"] + 1)))
 
-    found = find_pii(docs, min_score)
-    found = found.withColumn("text", F.when(F.size("pii") > 0, masked(F.col("pii"))).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        counted = F.when(F.size("pii") > 0, F.length("text")).otherwise(F.col("n_chars"))
-        found = found.withColumn("n_chars", counted.cast(docs.schema["n_chars"].dataType))
-    return found.select(docs.columns)
+    found = _rows_and_spans(docs, min_score)
+    found = found.select("row", "spans", F.when(F.size("spans") > 0, masked(F.col("spans"))).otherwise(text).alias("masked"))
+    columns = {c: F.col("row").getField(c) for c in docs.columns} | {"text": F.col("masked")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.size("spans") > 0, F.length("masked").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return found.select(*(columns[c].alias(c) for c in docs.columns))
 
 
 def op7_pii_spans(spark, sf_dir):
-    """Counts and places of the personal data in every document."""
+    """Counts, places and scores of the personal data in every document: the base kinds' counts, ``n_other`` of the others, and each span's score in the order of ``spans``."""
     found = find_pii(documents(spark, sf_dir).select("doc_id", "text"))
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = [k.name for k in KINDS if k.base]
     counts = {f"n_{k}": F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("long") for k in base}
-    out = found.withColumns(counts | {"base_sha256": F.sha2(listed(F.filter("pii", lambda s: s["kind"].isin(base))), 256), "spans": listed(F.col("pii"))})
-    return out.select("doc_id", *counts, "base_sha256", "spans")
+    more = {
+        "base_sha256": F.sha2(listed(F.filter("pii", lambda s: s["kind"].isin(base))), 256),
+        "spans": listed(F.col("pii")),
+        "n_other": F.size(F.filter("pii", lambda s: ~s["kind"].isin(base))).cast("long"),
+        "scores": F.array_join(F.transform("pii", lambda s: F.format_string("%.2f", s["score"])), ","),
+    }
+    return found.select("doc_id", *(c.alias(n) for n, c in (counts | more).items()))
