@@ -1,9 +1,13 @@
 """License scans: a positional index of rare licence words, and phrases that a licence must hold.
 
-The index maps each word of the licence templates to its places in them. A file looks up the
-licence words with the highest inverse document frequency among those it has; each of their
-places in the file and in a template votes for one alignment of the two. An alignment with enough
-votes is verified word by word, and accepted if the template's mandatory phrase stands within it.
+The index maps each word of the licence templates to its places in them. A file looks up its own
+licence words, those with the highest inverse document frequency first, until enough places of
+every template that it can hold are covered; each place of such a word in the file and in a
+template votes for one alignment of the two. An alignment with enough votes is verified word by
+word, and accepted if the template's mandatory phrase stands within it.
+
+Texts are read once. That pass writes, of each file that can hold some template, the places of its
+licence words, and counts in how many files each licence word stands; the rest works on those.
 """
 
 from __future__ import annotations
@@ -11,31 +15,20 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import documents
+from ledgerlark.llm.common import documents, saved, slices, small_batches
+from ledgerlark.llm.license_texts import TEMPLATES
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+#: A row is a file, with the places and numbers of its licence words if a template can be in it; or, with ``word`` 0 and more, in how many files of a task a licence word stands, with -1 how many they are.
+SCANNED = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, found binary, word int, n long"
 
 #: Phrases and the labels that they give wherever they stand.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Label, mandatory phrase and text of public licence notices.
-TEMPLATES = (
-    ("mit", "mit license", "Released under the MIT License."),
-    ("mit", "permission is hereby granted free of charge", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
-    ("apache", "apache license", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("apache", "apache license version 2 0", "Licensed under the Apache License, Version 2.0."),
-    ("gpl", "gnu general public license", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("gpl", "gnu general public license", "This work is licensed under the GNU General Public License, version 3."),
-    ("lgpl", "gnu lesser general public license", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    ("mpl", "mozilla public license", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("bsd", "redistribution and use in source and binary forms", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("isc", "permission to use copy modify", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("cc-by-nc", "cc by nc", "Licensed under CC BY-NC 4.0."),
-)
-
 _KEEP = b"0123456789abcdefghijklmnopqrstuvwxyz"
 _SPLIT = bytes(b if b in _KEEP or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
@@ -59,94 +52,123 @@ def places(words: list[bytes], phrase: list[bytes], start: int = 0, end: int | N
 
 
 class TemplateIndex:
-    """Postings (template, place) of each template's rarest words.
+    """Postings (template, place) of every licence word, and the search for the templates in a file.
 
-    Of a template with n words, those with the highest inverse document frequency go in that fill
-    floor((1 - coverage) * n) + min_votes places: any alignment with ``coverage`` of the words in
-    place has min_votes of these in place, so none is lost by looking up the rare words alone.
+    An alignment with ``coverage`` of a template's n words in place has at most floor((1 - coverage)
+    * n) places out of place. Those whose words the file lacks are among them, so a file that lacks
+    more can't hold the template. Once its rarest words cover min_votes places more than may be
+    out of place besides, any such alignment has min_votes of them: none is lost by looking up
+    the rarest words alone.
     """
 
-    def __init__(self, templates, idf: dict[bytes, float], min_votes: int, coverage: float):
+    def __init__(self, templates, min_votes: int, coverage: float):
         self.templates = [(label, license_words(phrase), license_words(text)) for label, phrase, text in templates]
-        self.min_votes, self.coverage = min_votes, coverage
+        self.words = sorted({w for _, phrase, words in self.templates for w in (*phrase, *words)})
+        self.number = {w: k for k, w in enumerate(self.words)}
+        self.min_votes = min_votes
+        self.slack = [math.floor((1 - coverage) * len(words) + 1e-9) for _, _, words in self.templates]
         self.postings = defaultdict(list)
         for t, (_, _, words) in enumerate(self.templates):
-            order = sorted(range(len(words)), key=lambda place: (-idf.get(words[place], 0.0), words[place], place))
-            for place in order[: math.floor((1 - coverage) * len(words) + 1e-9) + min_votes]:
-                self.postings[words[place]].append((t, place))
-
-    def scan(self, words: list[bytes]) -> dict[str, float]:
-        """The accepted labels of a file, each with its best share of template words in place."""
-        here = set(words)
-        possible = {t for t, (_, phrase, _) in enumerate(self.templates) if here.issuperset(phrase)}
-        if not possible:
-            return {}
-        rare = {w: own for w in here.intersection(self.postings) if (own := [p for p in self.postings[w] if p[0] in possible])}
-        votes = Counter((t, at - place) for at, w in enumerate(words) if w in rare for t, place in rare[w])
+            for place, w in enumerate(words):
+                self.postings[w].append((t, place))
+        self.times = [Counter(words) for _, _, words in self.templates]
+
+    def possible(self, here: set[bytes]) -> dict[int, int]:
+        """The templates that a file with the words ``here`` can hold, and how many of their places its rarest words must cover."""
+        out = {}
+        for t, (_, phrase, words) in enumerate(self.templates):
+            if here.issuperset(phrase):
+                lacking = sum(n for w, n in self.times[t].items() if w not in here)
+                if lacking <= self.slack[t]:
+                    out[t] = min(self.slack[t] - lacking + self.min_votes, len(words) - lacking)
+        return out
+
+    def scan(self, places: list[tuple[int, bytes]], idf: dict[bytes, float]) -> dict[str, float]:
+        """The accepted labels of a file, given the places of its licence words, each with its best share of template words in place."""
+        at = dict(places)
+        where = defaultdict(list)
+        for i, w in places:
+            where[w].append(i)
+        wanted = self.possible(set(where))
+        uncovered, votes = dict(wanted), Counter()
+        for w in sorted(where, key=lambda w: (-idf[w], w)):
+            if not uncovered:
+                break
+            for t, place in self.postings[w]:
+                if t in wanted:
+                    votes.update((t, i - place) for i in where[w])
+                    if t in uncovered:
+                        uncovered[t] -= 1
+            uncovered = {t: n for t, n in uncovered.items() if n > 0}
         accepted: dict[str, float] = {}
         for (t, shift), n in votes.items():
             label, phrase, template = self.templates[t]
-            if n < min(self.min_votes, math.ceil(self.coverage * len(template))):
+            if n < min(self.min_votes, len(template) - self.slack[t]):
                 continue
-            start, end = max(0, shift), min(len(words), shift + len(template))
-            share = sum(words[i] == template[i - shift] for i in range(start, end)) / len(template)
-            if share >= self.coverage and places(words, phrase, start, end):
-                accepted[label] = max(share, accepted.get(label, 0.0))
+            inside = sum(at.get(shift + k) == w for k, w in enumerate(template))
+            if inside >= len(template) - self.slack[t] and any(all(at.get(shift + k + j) == w for j, w in enumerate(phrase)) for k in range(len(template) - len(phrase) + 1)):
+                accepted[label] = max(inside / len(template), accepted.get(label, 0.0))
         return accepted
 
 
-def word_rarity(docs: DataFrame, templates=TEMPLATES) -> dict[bytes, float]:
-    """The inverse document frequency of each template word over all documents; as many values as the templates have words."""
-    words = frozenset(w for _, _, text in templates for w in license_words(text))
-
-    def count(batches):
-        import pyarrow as pa
-
-        total, seen = 0, Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total += 1
-                seen.update(words.intersection(license_words(text)))
-        yield pa.RecordBatch.from_arrays([pa.array([b"", *seen], pa.binary()), pa.array([total, *seen.values()], pa.int64())], names=["word", "n"])
-
-    counts = {bytes(r.word): r.n for r in docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    total = counts.get(b"", 0)
-    return {w: math.log((1 + total) / (1 + counts.get(w, 0))) for w in words}
-
-
 def license_scan(docs: DataFrame, templates=TEMPLATES, min_votes: int = 3, coverage: float = 0.7) -> DataFrame:
     """One row per document: doc_id, n_words, the base phrases' places, base_labels, labels and score.
 
-    Each file looks up the rare licence words that it has, in all their places; an alignment with
-    ``min_votes`` votes of which ``coverage`` of the template's words are in place, with its
-    mandatory phrase, gives its label. Labels of base
-    phrases are always given. ``score`` is the best share of template words in place among
-    accepted alignments; for a file with nothing but a base phrase, 0.5; without labels, 0.
+    An alignment with ``coverage`` of a template's words in place, found by ``min_votes`` votes of
+    the file's rarest licence words, gives the template's label if its mandatory phrase stands
+    within it. Labels of base phrases are always given. ``score`` is the best share of template
+    words in place among accepted alignments; for a file with nothing but a base phrase, 0.5;
+    without labels, 0.
 
-    Null and empty texts have no words. Every row gives one row, null doc_ids and repeated rows
-    too. Ties in rarity go by the word. No shuffle but that of the template words' counts.
+    Null and empty texts have no words; very long ones are read whole. Every row gives one row,
+    null doc_ids and repeated rows too; an empty table gives none. Words in as many files as
+    others go by the word. Other columns, whatever their names, are not read. Nothing is shuffled
+    but the counts of the licence words, which are the only thing that the driver gets.
     """
-    index = TemplateIndex(templates, word_rarity(docs, templates), min_votes, coverage)
+    index = TemplateIndex(templates, min_votes, coverage)
     phrases = [(license_words(p), label) for p, label in BASE_PHRASES.items()]
+    known = frozenset(index.words)
+    scanned_names, names = ([c.split()[0] for c in x.split(", ")] for x in (SCANNED, SCHEMA))
 
-    def run(batches):
+    def read(batches):
         import pyarrow as pa
 
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
-        types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64()]
-        for batch in batches:
+        types = [pa.int64()] * 5 + [pa.string(), pa.binary(), pa.int32(), pa.int64()]
+        table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(types), types, strict=True)], names=scanned_names)
+        files, seen = 0, Counter()
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = license_words(text)
                 base = {label: places(words, p) for p, label in phrases}
                 starts = [at for found in base.values() for at in found]
-                labels = sorted(label for label, found in base.items() if found)
-                scanned = index.scan(words)
-                score = max(scanned.values(), default=0.5 if labels else 0.0)
-                rows.append((doc_id, len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(labels), ",".join(sorted({*labels, *scanned})), score))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 8, types, strict=True)], names=names)
+                here = known.intersection(words)
+                files += 1
+                seen.update(here)
+                found = b""
+                if index.possible(here):
+                    found = np.array([(i, index.number[w]) for i, w in enumerate(words) if w in here], "<i4").tobytes()
+                rows.append((doc_id, len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(label for label, x in base.items() if x)), found, None, None))
+            yield table(rows)
+        yield table([*((*[None] * 7, index.number[w], n) for w, n in seen.items()), (*[None] * 7, -1, files)])
+
+    rows = saved(small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, SCANNED), "license-places")
+    counts = {r.word: r.n for r in rows.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    idf = {w: math.log((1 + counts.get(-1, 0)) / (1 + counts.get(k, 0))) for w, k in index.number.items()}
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches):
+            labels, scores = [], []
+            for base, found in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True):
+                own = base.split(",") if base else []
+                scanned = index.scan([(i, index.words[k]) for i, k in np.frombuffer(found, "<i4").reshape(-1, 2).tolist()], idf) if found else {}
+                labels.append(",".join(sorted({*own, *scanned})))
+                scores.append(max(scanned.values(), default=0.5 if own else 0.0))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return rows.filter("word IS NULL").drop("word", "n").mapInArrow(run, SCHEMA)
 
 
 def op9_license_scan(spark, sf_dir):

@@ -1,7 +1,8 @@
 import random
 import re
 
-from ledgerlark.llm.licenses import BASE_PHRASES, TEMPLATES, license_scan
+from ledgerlark.llm.license_texts import TEMPLATES
+from ledgerlark.llm.licenses import BASE_PHRASES, license_scan
 
 PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -48,3 +49,17 @@ def test_scan_equals_all_templates_at_all_places(spark):
         assert r.base_labels == ",".join(sorted(base)) and r.labels == ",".join(sorted(base | brute_labels(words))), text
         assert 0 <= r.score <= 1 and (r.score > 0) == bool(r.labels)
     assert license_scan(spark.createDataFrame(rows[:0], "doc_id long, text string, labels string")).count() == 0
+
+
+def test_common_licences_are_told_apart(spark):
+    asked = {
+        "Licensed under CC BY 4.0.": "cc-by", "Licensed under CC BY-NC-SA 4.0.": "cc-by-nc-sa", "Licensed under CC BY-NC 3.0": "cc-by-nc", "is licensed under CC BY-SA 2.0": "cc-by-sa",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.": "cc-by-nd",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation": "agpl,gpl",
+        "This is free and unencumbered software released into the public domain.": "unlicense", "Distributed under the Boost Software License, Version 1.0.": "bsl",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0": "epl", "a word about cc by nc and others": "",
+    }
+    asked |= {text: label for label, _, text in TEMPLATES if len(text) > 700 and label in ("mit", "apache", "bsd", "zlib")}
+    docs = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in license_scan(docs).collect()}
+    assert got == dict(enumerate(asked.values()))
