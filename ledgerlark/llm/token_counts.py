@@ -12,8 +12,9 @@ import functools
 from collections import deque
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import documents, words_of
+from ledgerlark.llm.common import documents, slices, small_batches, words_of
 
 SCHEMA = "doc_id long, n_words long, n_tokens long, n_unknown long"
 
@@ -87,16 +88,17 @@ def token_counts(docs: DataFrame, vocabulary: str, remember: int = 500_000) -> D
     """One row per document: doc_id, n_words, n_tokens (word pieces; an uncoverable word counts as one) and n_unknown.
 
     Words are the runs of other than ASCII white space of the whole text. ``vocabulary`` is a
-    SentencePiece model file. Null and empty texts count 0 words; rows with a null doc_id and
-    repeated rows each give a row; other columns are not read. No shuffle. A worker remembers
-    the counts of up to ``remember`` words.
+    SentencePiece model file. Null and empty texts count 0 words; very long ones are counted
+    whole; rows with a null doc_id and repeated rows each give a row; an empty table gives none.
+    Greedy pieces are unique, so there are no ties. Other columns, whatever their names, are not
+    read. No shuffle. A worker remembers the counts of up to ``remember`` words.
     """
 
     def count(batches):
         import pyarrow as pa
 
         counter, known = _counter(vocabulary), {}
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
@@ -114,7 +116,7 @@ def token_counts(docs: DataFrame, vocabulary: str, remember: int = 500_000) -> D
                 rows.append((len(words), total, unknown))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ([], [], [])))], names=["doc_id", "n_words", "n_tokens", "n_unknown"])
 
-    return docs.select("doc_id", "text").mapInArrow(count, SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(count, SCHEMA)
 
 
 def op10_token_counts(spark, sf_dir):
