@@ -48,6 +48,11 @@ def literal_map(values: dict) -> Column:
     return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
 
 
+def once(value, body) -> Column:
+    """``body(value)``, with ``value`` evaluated once however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(x) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(as_column(x), r"(?U)^\s+|\s+$", "")
@@ -69,16 +74,23 @@ def snippet(x, length: int = 500) -> Column:
 
 def parse_amount(label) -> Column:
     """(lo, hi, label) of a disclosed bracket: two amounts, one with 'less', or one with 'over', 'more' or '+'; else null."""
-    clean = collapse(F.regexp_replace(as_column(label), "[‐-―−]", "-"))
-    lowered = F.lower(clean)
-    found = F.transform(F.regexp_extract_all(clean, F.lit(r"\$\s*([0-9,]+)"), 1), lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("long"))
     dollars = lambda n: F.concat(F.lit("$"), F.format_number(n, 0))
-    lo, hi = F.try_element_at(found, F.lit(1)), F.try_element_at(found, F.lit(2))
     row = lambda a, b, text: F.struct(a.alias("lo"), b.alias("hi"), text.alias("label"))
     none = F.lit(None).cast("long")
-    one = F.when(lowered.contains("less"), row(F.lit(0).cast("long"), lo, F.concat(dollars(lo), F.lit(" or less"))))
-    one = one.when(lowered.contains("over") | clean.contains("+") | lowered.contains("more"), row(lo, none, F.concat(dollars(lo), F.lit(" +"))))
-    return F.when(F.exists(found, lambda n: n.isNull()), None).when(F.size(found) == 2, row(lo, hi, F.concat(dollars(lo), F.lit(" - "), dollars(hi)))).when(F.size(found) == 1, one)
+
+    def parsed(clean):
+        lowered = F.lower(clean)
+
+        def bracket(found):
+            lo, hi = F.try_element_at(found, F.lit(1)), F.try_element_at(found, F.lit(2))
+            one = F.when(lowered.contains("less"), row(F.lit(0).cast("long"), lo, F.concat(dollars(lo), F.lit(" or less"))))
+            one = one.when(lowered.contains("over") | clean.contains("+") | lowered.contains("more"), row(lo, none, F.concat(dollars(lo), F.lit(" +"))))
+            return F.when(F.exists(found, lambda n: n.isNull()), None).when(F.size(found) == 2, row(lo, hi, F.concat(dollars(lo), F.lit(" - "), dollars(hi)))).when(F.size(found) == 1, one)
+
+        amounts = F.regexp_extract_all(clean, F.lit(r"\$\s*([0-9,]+)"), 1)
+        return once(F.transform(amounts, lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("long")), bracket)
+
+    return once(collapse(F.regexp_replace(as_column(label), "[‐-―−]", "-")), parsed)
 
 
 def parse_tx_type(raw) -> Column:
@@ -216,13 +228,38 @@ def percent_text(p, digits: int = 1) -> Column:
 
 
 def exact_round(x, digits: int) -> Column:
-    """Rounded as the exact binary value, ties to even: for byte-exact export. It runs in Arrow batches; round() is the choice elsewhere."""
+    """Rounded as the exact binary value, ties to even, as Python's round(); round() takes a double's shortest decimal form instead.
+
+    The value is scaled by a power of ten as a product and its rounding error (Dekker's product
+    of split factors), so it is known on which side of a half it lies.
+    """
+    scale = float(10**digits)
+    split = lambda v: v * 134_217_729.0 - (v * 134_217_729.0 - v)  # noqa: E731 - the upper half of the bits
+    upper = scale * 134_217_729.0 - (scale * 134_217_729.0 - scale)
+
+    def rounded(v):
+        def with_product(product):
+            high = split(v)
+            error = high * upper - product + high * (scale - upper) + (v - high) * upper + (v - high) * (scale - upper)
+
+            def at(whole):
+                past = (product - whole - 0.5) + error
+                return (whole + F.when((past > 0) | ((past == 0) & (whole % 2 == 1)), 1.0).otherwise(0.0)) / scale
+
+            return once(F.floor(product).cast("double"), at)
+
+        return F.when(F.isnan(v) | (v * scale >= 2.0**52), v).otherwise(once(v * scale, with_product))
+
+    x = as_column(x).cast("double")
+    return once(x, lambda v: F.when(v < 0, -rounded(-v)).otherwise(rounded(v)))
 
-    @F.pandas_udf("double")
-    def rounded(values):
-        return values.map(lambda v: v if v != v else round(v, digits))
 
-    return rounded(as_column(x).cast("double"))
+def html_escape(x) -> Column:
+    """With & < > and both quotes as character references; null as an empty text."""
+    out = F.coalesce(as_column(x), F.lit(""))
+    for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(plain), F.lit(escaped))
+    return out
 
 
 def poisson_pmf(k, mean) -> Column:

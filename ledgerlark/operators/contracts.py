@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlark.functions.scalars import once
+
 RULE = "path string, key string, kind string, const string, required boolean"
 
 # The unauthenticated answer of the token-refresh endpoint.
@@ -32,40 +34,55 @@ def _prefixed(words: str):
 def violations(payloads: DataFrame, rules: list[tuple], payload: str = "payload") -> DataFrame:
     """``payloads`` with ``violations``: every breach of the rules, sorted; empty if the payload conforms.
 
-    Rules are few and fixed, so they are unrolled into one expression and nothing is joined.
+    Rules are few and fixed, so they are unrolled into one expression and nothing is joined. Each
+    payload is parsed once; its objects are maps of values from then on.
     """
-    text, root = F.col(payload), F.try_parse_json(F.col(payload))
     paths = list(dict.fromkeys(path for path, *_ in rules))
+    at = {path: f"_contract_{k}" for k, path in enumerate(paths)}
+    root = F.try_parse_json(F.col(payload))
+    parsed = payloads.withColumn("_contract", root)
+    parsed = parsed.withColumns({c: F.try_variant_get("_contract", path, "map<string,variant>") for path, c in at.items()})
     found = []
     for path in paths:
         own = [r for r in rules if r[0] == path]
-        held = F.get_json_object(text, path) if path != "$" else text
-        keys = F.json_object_keys(held)
-        there = keys.isNotNull()
-        extra = F.array_except(keys, F.array(*(F.lit(k) for _, k, *_ in own)))
-        found.append(F.when(there, F.transform(extra, _prefixed(f"{path}: extra "))))
-        for _, key, kind, const, required in own:
-            value = F.try_variant_get(root, f"{path}.{key}", "variant")
-            has = there & F.array_contains(keys, key)
-            shape = F.schema_of_variant(value)
-            plain = F.try_variant_get(root, f"{path}.{key}", "string")
-            number = F.try_variant_get(root, f"{path}.{key}", "double")
+        held = F.col(at[path])
+        extra = F.array_except(F.map_keys(held), F.array(*(F.lit(k) for _, k, *_ in own)))
+        found.append(F.transform(extra, _prefixed(f"{path}: extra ")))
+        found += [_breach(held, f"{path}.{key}", key, kind, const, required) for _, key, kind, const, required in own]
+    none = F.expr("CAST(array() AS array<string>)")
+    every = F.flatten(F.array(*(F.coalesce(f, none) for f in found)))
+    invalid = F.try_variant_get("_contract", "$", "map<string,variant>").isNull()
+    out = F.when(invalid, F.array(F.lit("$: not an object"))).otherwise(F.array_sort(every))
+    return parsed.withColumn("violations", out).drop("_contract", *at.values())
+
+
+def _breach(held: Column, name: str, key: str, kind: str, const: str | None, required: bool) -> Column:
+    """The breach of one rule as an array of one text; null if there is none."""
+    told = lambda what: F.array(F.lit(f"{name}: {what}"))
+
+    def judged(value):
+        plain, number = F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "double")
+
+        def of_shape(shape):
             good = {
                 "string": shape == "STRING",
                 "integer": (shape.isin("BIGINT", "DOUBLE") | shape.startswith("DECIMAL")) & (number == F.floor(number)),
                 "object": shape.startswith("OBJECT"),
                 "date-time": (shape == "STRING") & plain.rlike(r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:?\d\d)$") & F.try_to_timestamp(plain).isNotNull(),
             }[kind]
-            one = lambda condition, what, p=path, k=key: F.when(condition, F.array(F.lit(f"{p}.{k}: {what}")))
-            if required:
-                found.append(one(there & ~has, "missing"))
-            found.append(one(has & ~F.coalesce(good, F.lit(False)), f"not a {kind}"))
-            if const is not None:
-                found.append(one(has & F.coalesce(good, F.lit(False)) & (plain != const), f"not {const}"))
-    none = F.expr("CAST(array() AS array<string>)")
-    every = F.flatten(F.array(*(F.coalesce(f, none) for f in found)))
-    invalid = F.json_object_keys(text).isNull()
-    return payloads.withColumn("violations", F.when(invalid, F.array(F.lit("$: not an object"))).otherwise(F.array_sort(every)))
+            wrong = F.when(~F.coalesce(good, F.lit(False)), told(f"not a {kind}"))
+            return wrong if const is None else wrong.when(plain != const, told(f"not {const}"))
+
+        return once(F.schema_of_variant(value), of_shape)
+
+    missing = F.when(held.isNotNull() & ~F.map_contains_key(held, F.lit(key)), told("missing")) if required else F.lit(None).cast("array<string>")
+    return F.coalesce(missing, F.when(F.map_contains_key(held, F.lit(key)), once(F.try_element_at(held, F.lit(key)), judged)))
+
+
+def health_gate(pages: DataFrame) -> DataFrame:
+    """One row: how many pages of page_health() are healthy and how many aren't, and whether all are."""
+    counts = pages.agg(F.count_if("healthy").alias("healthy"), F.count_if(~F.col("healthy")).alias("unhealthy"))
+    return counts.withColumn("all_pass", F.col("unhealthy") == 0)
 
 
 def unexpected_failures(responses: DataFrame, expected: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.functions.scalars import as_column, literal_map, low_score_factor, poisson_pmf
+from ledgerlark.functions.scalars import as_column, exact_round, literal_map, low_score_factor, poisson_pmf
 
 # Defaults of the model, rho by style, confidence levels and bounds.
 DEFAULTS = {"base_home": 1.35, "base_away": 1.15, "rho": -0.06, "factor": 1.0}
@@ -19,12 +19,22 @@ HIGH, MEDIUM, DIVERGENCE = 0.60, 0.45, 0.07
 GOAL_LINES, CORNER_LINES, CARD_LINES = (1.5, 2.5, 3.5), (8.5, 9.5, 10.5), (3.5, 4.5, 5.5)
 CORNERS = {"home_corners": 5.2, "away_corners": 4.3}
 CARDS = {"referee_yellow_avg": 4.0, "wc_discount": 0.85, "mismatch_bump": 1.0}
+# Words of flags, reasons and sources.
+ALIGNED, REVIEW = "OK (aligned)", "REVIEW calibration (>7 pts)"
+REASONS = {
+    "favourite": "1X2 favorite at %.0f%%",
+    "far": "market diverges %.0f pts (down one level)",
+    "near": "aligned with the market",
+    "shaky": "unstable base data (down one level)",
+    "even": "even match: the model has NO strong read",
+}
+SOURCES = ("Own model", "Market (de-vig)", "Supercomputer")
 
 
 def lambdas(matches: DataFrame) -> DataFrame:
     """Mean scores from base rates and attack, defence and context factors, missing ones by default, to 3 digits; given ones stay."""
     get = lambda c, default: F.coalesce(F.col(c), F.lit(default))
-    own = lambda us, them: F.round(get(f"base_{us}", DEFAULTS[f"base_{us}"]) * get(f"{us}_attack", 1.0) * get(f"{them}_defense", 1.0) * get(f"{us}_context", 1.0), 3)
+    own = lambda us, them: exact_round(get(f"base_{us}", DEFAULTS[f"base_{us}"]) * get(f"{us}_attack", 1.0) * get(f"{them}_defense", 1.0) * get(f"{us}_context", 1.0), 3)
     given = F.col("override_home").isNotNull() & F.col("override_away").isNotNull()
     return matches.withColumns({
         "lam_home": F.when(given, F.col("override_home")).otherwise(own("home", "away")),
@@ -98,7 +108,7 @@ def divergence(model, market) -> Column:
 
 
 def divergence_flag(d) -> Column:
-    return F.when(as_column(d) <= DIVERGENCE, "OK (aligned)").otherwise("REVIEW calibration (>7 pts)")
+    return F.when(as_column(d) <= DIVERGENCE, ALIGNED).otherwise(REVIEW)
 
 
 def confidence(top, market_divergence=None, unstable=None) -> Column:
@@ -112,10 +122,10 @@ def confidence(top, market_divergence=None, unstable=None) -> Column:
     points = as_column(market_divergence) * 100 if market_divergence is not None else F.lit(None).cast("double")
     reason = F.concat_ws(
         "; ",
-        F.concat(F.lit("1X2 favorite at "), F.format_string("%.0f%%", top * 100)),
-        F.when(far, F.concat(F.lit("market diverges "), F.format_string("%.0f", points), F.lit(" pts (down one level)"))).when(known, "aligned with the market"),
-        F.when(shaky, "unstable base data (down one level)"),
-        F.when(index == 0, "even match: the model has NO strong read"),
+        F.format_string(REASONS["favourite"], top * 100),
+        F.when(far, F.format_string(REASONS["far"], points)).when(known, REASONS["near"]),
+        F.when(shaky, REASONS["shaky"]),
+        F.when(index == 0, REASONS["even"]),
     )
     return F.struct(F.element_at(F.array(*map(F.lit, LEVELS)), index + 1).alias("level"), reason.alias("reason"))
 
@@ -156,6 +166,27 @@ def predict(matches: DataFrame, key: str = "match_id") -> DataFrame:
     return out.withColumns({"confidence": confidence(F.greatest("p_home", "p_draw", "p_away"), "divergence", "data_unstable"), "recommended": modal_result("p_home", "p_draw", "p_away")})
 
 
+def full_results(matches: DataFrame, key: str = "match_id", with_knockout: bool = False, samples: int = 0) -> DataFrame:
+    """predict() with all that a report or a JSON result shows: calibration, scores, validation and extras as arrays, and knockout and sampled as structs, null unless asked for.
+
+    ``matches``: as for predict(), and home, away, corners, cards and supercomputer.
+    """
+    ready = lambdas(matches)
+    matrix = score_matrix(ready, key)
+    out = predict(matches, key).withColumn("calibration", calibration_text())
+    listed = lambda order, *columns: F.transform(F.array_sort(F.collect_list(F.struct(order, *columns))), lambda x: F.struct(*(x[c].alias(c) for c in columns)))
+    scores = top_scores(matrix, key).groupBy(key).agg(listed("rank", "score", "p").alias("scores"))
+    validation = validation_rows(out, key).groupBy(key).agg(listed("place", "source", "home", "draw", "away").alias("validation"))
+    lines = extra_markets(matches, key).groupBy(key, "market", "mean").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "over"))), lambda x: x["over"]).alias("overs"))
+    extras = lines.groupBy(key).agg(F.collect_list(F.struct("market", "mean", "overs")).alias("extras"))
+    out = out.join(scores, key).join(validation, key).join(extras, key, "left").withColumn("extras", F.coalesce("extras", F.expr("CAST(array() AS array<struct<market:string,mean:double,overs:array<double>>>)")))
+    odds = knockout(ready, key)
+    as_struct = F.struct(*(F.col(c) for c in odds.columns if c != key))
+    out = out.join(odds.select(key, as_struct.alias("knockout")), key, "left") if with_knockout else out.withColumn("knockout", F.lit(None).cast(odds.select(as_struct.alias("x")).schema["x"].dataType))
+    sampled = convergence(matrix, samples, key=key).select(key, F.struct("max_difference").alias("sampled")) if samples else None
+    return out.join(sampled, key, "left") if samples else out.withColumn("sampled", F.lit(None).cast("struct<max_difference:double>"))
+
+
 def simulate(matrix: DataFrame, n: int = 200_000, seed: int = 42, key: str = "match_id") -> DataFrame:
     """Frequencies of home, draw and away among ``n`` draws of each match's matrix.
 
@@ -183,11 +214,11 @@ def extra_markets(matches: DataFrame, key: str = "match_id") -> DataFrame:
 
 def validation_rows(predictions: DataFrame, key: str = "match_id") -> DataFrame:
     """(key, place, source, home, draw, away): the model's probabilities, the market's and a third source's, where there are such."""
-    own = predictions.select(key, F.lit(0).alias("place"), F.lit("Own model").alias("source"), F.col("p_home").alias("home"), F.col("p_draw").alias("draw"), F.col("p_away").alias("away"))
-    market = predictions.filter("fair IS NOT NULL").select(key, F.lit(1), F.lit("Market (de-vig)"), "fair.home", "fair.draw", "fair.away")
+    own = predictions.select(key, F.lit(0).alias("place"), F.lit(SOURCES[0]).alias("source"), F.col("p_home").alias("home"), F.col("p_draw").alias("draw"), F.col("p_away").alias("away"))
+    market = predictions.filter("fair IS NOT NULL").select(key, F.lit(1), F.lit(SOURCES[1]), "fair.home", "fair.draw", "fair.away")
     out = own.union(market)
     if "supercomputer" in predictions.columns:
-        third = predictions.filter("size(supercomputer) = 3").select(key, F.lit(2), F.lit("Supercomputer"), *(F.element_at("supercomputer", k) for k in (1, 2, 3)))
+        third = predictions.filter("size(supercomputer) = 3").select(key, F.lit(2), F.lit(SOURCES[2]), *(F.element_at("supercomputer", k) for k in (1, 2, 3)))
         out = out.union(third)
     return out
 
@@ -200,7 +231,7 @@ def convergence(matrix: DataFrame, n: int = 200_000, seed: int = 42, key: str =
     return exact.join(drawn, key).withColumn("max_difference", gap)
 
 
-def calibration_text(predictions: DataFrame) -> Column:
+def calibration_text() -> Column:
     """A line for each side on how its mean score came about."""
 
     def side(us: str, them: str) -> Column:

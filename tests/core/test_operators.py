@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -30,20 +31,28 @@ def test_returns_need_a_price_before_the_trade(spark):
     got = returns.buy_returns(trades, prices)
     assert {r.id: r.pct for r in got.collect()} == {"1": 10.0, "3": 0.0}
     assert tuple(returns.coverage(trades, got).first()) == (5, 2, 1)
-    assert [r.ticker for r in returns.buy_tickers(trades).collect()] == ["A", "B", "Z"]
+    assert [r.ticker for r in returns.buy_tickers(trades).collect()] == ["A", "B", "Z"] and [r.ticker for r in returns.buy_tickers(trades, 2).collect()] == ["A", "B"]
+    assert [tuple(r) for r in returns.ticker_prices(got).collect()] == [("A", d(3), 110.0)]
+
+
+def test_returns_come_of_the_closes_as_they_are(spark):
+    prices = spark.createDataFrame([("A", DAY, 0.00123), ("A", DAY + dt.timedelta(1), 0.00187), ("B", DAY, 0.00004), ("B", DAY + dt.timedelta(1), 0.00005)], "ticker string, day date, close double")
+    trades = spark.createDataFrame([("1", "A", DAY, "buy"), ("2", "B", DAY, "buy")], "id string, ticker string, tx_date date, type string")
+    got = {r.id: (r.entry_close, r.latest_close, r.pct) for r in returns.buy_returns(trades, prices).collect()}
+    assert got == {"1": (0.0012, 0.0019, 52.0), "2": (0.0, round(0.00005, 4), 25.0)}
 
 
 def roster(spark):
-    rows = [("Michael McCaul", "house", "R", "TX", "TX-10", ["Mike McCaul"]), ("Tommy Tuberville", "senate", "R", "AL", None, ["Tuberville, Thomas H."]), ("Mitch McConnell", "senate", "R", "KY", None, ["Mitchell McConnell"]), ("Any One", None, "", None, None, None), ("Mike McCaul", "senate", "D", "ZZ", None, None)]
+    rows = [("Osric Vantongeren", "house", "R", "QT", "QT-10", ["Os Vantongeren"]), ("Amby Pellwether", "senate", "R", "QA", None, ["Pellwether, Ambrose H."]), ("This Quarrington", "senate", "R", "QK", None, ["Thistle Quarrington"]), ("Any One", None, "", None, None, None), ("Os Vantongeren", "senate", "D", "ZZ", None, None)]
     return spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "name string, chamber string, party string, state string, district string, aliases array<string>, position int")
 
 
 def test_roster_lookup_and_enrichment(spark):
-    asked = [("Hon. Michael T. McCaul", "house"), ("Tuberville, Thomas H.", "senate"), ("A. Mitchell McConnell, Jr.", "senate"), ("Mike McCaul", "senate"), ("Any One", "house"), ("Nobody", "house"), (None, "house")]
+    asked = [("Hon. Osric T. Vantongeren", "house"), ("Pellwether, Ambrose H.", "senate"), ("A. Thistle Quarrington, Jr.", "senate"), ("Os Vantongeren", "senate"), ("Any One", "house"), ("Nobody", "house"), (None, "house")]
     trades = spark.createDataFrame([(k, m, c, "X", None, None) for k, (m, c) in enumerate(asked)], "k int, member string, chamber string, party string, state string, district string")
     got = [tuple(r)[1:] for r in joins.enrich(trades, roster(spark)).orderBy("k").collect()]
-    assert got[0] == ("Michael McCaul", "house", "R", "TX", "TX-10") and got[1][0] == "Tommy Tuberville" and got[2][0] == "Mitch McConnell"
-    assert got[3] == ("Mike McCaul", "senate", "X", None, None)  # the first of that name is in the other chamber
+    assert got[0] == ("Osric Vantongeren", "house", "R", "QT", "QT-10") and got[1][0] == "Amby Pellwether" and got[2][0] == "This Quarrington"
+    assert got[3] == ("Os Vantongeren", "senate", "X", None, None)  # the first of that name is in the other chamber
     assert got[4] == ("Any One", "house", "X", None, None) and got[5][0] == "Nobody" and got[6][0] is None
 
 
@@ -86,8 +95,6 @@ def test_upserts_and_changes(spark):
 def test_contracts(spark):
     good = {k: "s" for k in ("environ", "error", "eventDescription", "ip", "logLevelName", "node", "pod", "request")} | dict.fromkeys(("application", "endpoint", "event", "logLevel"), 1)
     good |= {"applicationName": "login", "endpointName": "refresh", "eventCode": "unauthorized", "eventName": "Unauthorized", "when": "2026-01-01T00:00:00Z"}
-    import json
-
     of = lambda **change: json.dumps({"event": {k: v for k, v in (good | change).items() if v is not None}})
     cases = [of(), of(node=None), of(more="x"), of(event="1"), of(eventName="other"), of(when="2026-13-01T00:00:00Z"), of(application=1.0), of(application=1.5), "nonsense", "{}"]
     rows = contracts.violations(spark.createDataFrame(list(enumerate(cases)), "k int, payload string"), contracts.LOGIN_REFRESH).orderBy("k").collect()
@@ -98,7 +105,7 @@ def test_contracts(spark):
         contracts.rollout(probes, {"dev": True}).collect()
     failures = contracts.unexpected_failures(spark.createDataFrame([("p", 404, "/x"), ("p", 401, "/refresh"), ("q", 200, "/")], "page string, status int, url string"), "refresh")
     health = contracts.page_health(spark.createDataFrame([("p",), ("q",)], "page string"), failures.limit(0), failures)
-    assert {r.page: r.healthy for r in health.collect()} == {"p": False, "q": True}
+    assert {r.page: r.healthy for r in health.collect()} == {"p": False, "q": True} and tuple(contracts.health_gate(health).first()) == (1, 1, False)
     reach = contracts.reachability(spark.createDataFrame([(None, None), ("deny", None), (None, "timeout")], "deny string, error string"))
     assert sorted((r.outcome, r.ok) for r in reach.collect()) == [("blocked", False), ("reachable", True), ("unreachable", False)]
 
@@ -146,7 +153,21 @@ def test_extra_markets_and_validation(spark):
     assert sorted((r.match_id, r.place) for r in probability.validation_rows(p).collect()) == [(1, 0), (1, 1), (1, 2), (2, 0)]
 
 
-def test_entry_points(spark, capsys):
+def test_entry_points(spark, capsys, tmp_path):
     from ledgerlark.__main__ import main
 
-    assert main(["quick", "1.5", "1.0"]) == 0 and "p_home" in capsys.readouterr().out
+    assert main(["quick", "1.5", "1.0", "--odds", "2.0", "3.4", "4.1", "--knockout"]) == 0
+    shown = capsys.readouterr().out
+    assert "[4] VALIDATION" in shown and "Market (de-vig)" in shown and "[K] KNOCKOUT" in shown
+    assert main(["quick", "1.5", "1.0", "--home", "X", "--json"]) == 0 and json.loads(capsys.readouterr().out)["match"] == "X vs Away"
+    (tmp_path / "a.html").write_text("<table><tr><th>Transaction Date</th><th>Amount</th></tr><tr><td>1</td><td>05/04/2026</td><td>Self</td><td>Q</td><td>Quill</td><td>Stock</td><td>Purchase</td><td>$1,001 - $15,000</td></tr></table>")
+    assert main(["parse-ptr", f"{tmp_path}/a.html", "--member", "M"]) == 0
+    trade = json.loads(capsys.readouterr().out)
+    assert (trade["id"], trade["member"], trade["amount_hi"], trade["party"]) == ("senate:local:0", "M", 15000, None)
+    (tmp_path / "a.txt").write_text("scan")
+    assert main(["parse-ptr", f"{tmp_path}/a.txt"]) == 1 and main(["parse-ptr", f"{tmp_path}/a.pdf"]) == 2
+    (tmp_path / "l.json").write_text(json.dumps([{"name": {"first": "Ann", "last": "Lee"}, "terms": [{"type": "sen", "state": "QQ", "party": "Democrat"}]}]))
+    (tmp_path / "old.json").write_text(json.dumps({"members": [{"name": "Bo Old", "aliases": ["B"]}, {"name": "Ann Lee", "aliases": ["A. L."]}]}))
+    assert main(["roster", f"{tmp_path}/l.json", f"{tmp_path}/old.json", f"{tmp_path}/new"]) == 0
+    made = json.loads("".join(p.read_text() for p in sorted((tmp_path / "new").glob("part-*"))))["members"]
+    assert [(m["name"], m["aliases"]) for m in made] == [("Ann Lee", ["A. L.", "Lee, Ann"]), ("Bo Old", ["B"])]

@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,18 +28,18 @@ def test_types_and_dates(spark):
 
 
 def test_names(spark):
-    names = ["Hon. Michael T. McCaul", "Tuberville, Thomas H.", "A. Mitchell McConnell, Jr.", " sen.  Dr. Jane  Doe III", "Fields, Cleo, MD", "Senator", ""]
-    assert values(spark, names, s.canonical_name) == ["michael t. mccaul", "thomas h. tuberville", "a. mitchell mcconnell", "jane doe", "cleo, md fields", "", ""]
-    assert values(spark, ["michael t. mccaul", "jane doe"], s.first_last_key) == ["michael mccaul", "jane doe"]
-    assert values(spark, ["a. mitchell mcconnell", "ab mitchell mcconnell", "a. b"], s.without_initial) == ["mitchell mcconnell", None, None]
+    names = ["Hon. Osric T. Vantongeren", "Pellwether, Ambrose H.", "A. Thistle Quarrington, Jr.", " sen.  Dr. Jane  Doe III", "Fenwick, Odo, MD", "Senator", ""]
+    assert values(spark, names, s.canonical_name) == ["osric t. vantongeren", "ambrose h. pellwether", "a. thistle quarrington", "jane doe", "odo, md fenwick", "", ""]
+    assert values(spark, ["osric t. vantongeren", "jane doe"], s.first_last_key) == ["osric vantongeren", "jane doe"]
+    assert values(spark, ["a. thistle quarrington", "ab thistle quarrington", "a. b"], s.without_initial) == ["thistle quarrington", None, None]
 
 
 def test_filing_fields(spark):
     assert values(spark, ["Self", " spouse", "Dependent Child", "Trust", "", None], s.owner_code) == [None, "SP", "DC", "Trust", None, None]
     assert values(spark, ["--", " -BRK-B- ", "", None], s.clean_ticker) == [None, "BRK-B", None, None]
     assert values(spark, ["TX10", "WY00", "CA05", "T10", None], s.state_district) == [("TX", "TX-10"), ("WY", "WY-0"), ("CA", "CA-5"), None, None]
-    asset = ["Core ETF (ITOT) [EF] F S", "Bills [GS] -", "Odd [ZZ] (A) (B.C)"]
-    assert values(spark, asset, s.listed_ticker, s.listed_asset_type, s.plain_asset) == [("ITOT", "ETF", "Core ETF"), (None, "Government Security", "Bills"), ("A", "ZZ", "Odd")]
+    asset = ["Tarn ETF (QTRN) [EF] F S", "Bills [GS] -", "Odd [ZZ] (A) (B.C)"]
+    assert values(spark, asset, s.listed_ticker, s.listed_asset_type, s.plain_asset) == [("QTRN", "ETF", "Tarn ETF"), (None, "Government Security", "Bills"), ("A", "ZZ", "Odd")]
     assert values(spark, [" brk.b ", "BF/B-"], s.market_symbol) == ["BRK-B", "BF-B"]
     assert values(spark, ["Acme  Inc - Class A Common Stock $200?", "New Common Stock", "Beta - Ordinary Shares"], s.company_name) == ["Acme Inc", "", "Beta"]
 
@@ -46,11 +47,23 @@ def test_filing_fields(spark):
 def test_numbers(spark):
     df = spark.createDataFrame([(12_345_678.0,), (1_250_000.0,), (999_950.0,), (1500.0,), (12.0,)], "x double")
     assert [r[0] for r in df.select(s.money_text("x")).collect()] == ["$12M", "$1.3M", "$1000k", "$2k", "$12"]
-    df = spark.createDataFrame([(1.15,), (0.25,), (2.675,), (None,)], "x double")
-    assert [r[0] for r in df.select(s.exact_round("x", 1)).collect()][:3] == [round(x, 1) for x in (1.15, 0.25, 2.675)]
+    rng = random.Random(3)
+    drawn = [1.15, 0.25, 0.35, 2.675, -0.04, -2.5, 1.35 * 0.95, 1e22, 5e-324, 0.0] + [rng.uniform(-1e4, 1e4) for _ in range(500)] + [rng.randrange(-4000, 4000) / 8 for _ in range(500)]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(drawn)], "k int, x double")
+    for digits in (0, 1, 3, 4):
+        assert [r[1] for r in df.select("k", s.exact_round("x", digits)).orderBy("k").collect()] == [round(x, digits) for x in drawn]
+    odd = spark.createDataFrame([(float("inf"),), (None,), (float("nan"),)], "x double").select(s.exact_round("x", 1)).collect()
+    assert odd[0][0] == float("inf") and odd[1][0] is None and odd[2][0] != odd[2][0]
     assert spark.range(1).select(s.prune_cutoff(F.lit("2026-07-02").cast("date"))).first()[0] == dt.date(2025, 1, 1)
 
 
+def test_shown_texts(spark):
+    assert values(spark, ["  a \n b\t", None, "x" * 600], s.snippet) == ["a b", None, "x" * 500]
+    assert values(spark, ["<a href='x'>&\"", None], s.html_escape) == ["&lt;a href=&#39;x&#39;&gt;&amp;&quot;", ""]
+    row = spark.range(1).select(s.us_date(F.lit("2026-03-04").cast("date")), s.buy_share(F.lit(1), F.lit(7)), s.buy_share(F.lit(0), F.lit(0)), s.percent_text(F.lit(0.1234)), s.percent_text(F.lit(0.5), 0)).first()
+    assert tuple(row) == ("03/04/2026", 13, 0, "12.3%", "50%")
+
+
 @pytest.mark.parametrize("mean", [0.0, 0.4, 2.2, 9.5])
 def test_poisson(spark, mean):
     got = [r[0] for r in spark.range(31).select(s.poisson_pmf(F.col("id").cast("int"), F.lit(mean))).collect()]
