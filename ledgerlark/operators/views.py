@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.functions.scalars import notional_mid
+from ledgerlark.functions.scalars import blank_to_null, notional_mid
 from ledgerlark.operators.scratch import numbered
 
 PAGE = 200
@@ -27,6 +27,8 @@ class TradeQuery:
     party: str = ""
     type: str = ""
     member: str = ""
+    ticker: str = ""
+    since: str = ""
     days: int = 0
     as_of: str = ""
     sort: str = "filing_date"
@@ -44,10 +46,12 @@ def days_ago(as_of, days: int) -> Column:
 
 def matching(trades: DataFrame, q: TradeQuery) -> DataFrame:
     """Trades that meet every given condition; the text is looked for in member and ticker, in any case."""
-    conditions = [F.col(c) == v for c, v in (("member", q.member), ("chamber", q.chamber), ("party", q.party), ("type", q.type)) if v]
+    conditions = [F.col(c) == v for c, v in (("member", q.member), ("ticker", q.ticker), ("chamber", q.chamber), ("party", q.party), ("type", q.type)) if v]
     if q.text:
         needle = F.lit(q.text.lower())
         conditions.append(F.contains(F.lower("member"), needle) | F.contains(F.lower(F.coalesce("ticker", F.lit(""))), needle))
+    if q.since:
+        conditions.append(F.col("tx_date") >= F.lit(q.since).cast("date"))
     if q.days:
         conditions.append(F.col("tx_date") >= days_ago(q.as_of, q.days))
     return trades.filter(reduce(and_, conditions)) if conditions else trades
@@ -76,6 +80,27 @@ def return_of(trades: DataFrame, returns: DataFrame) -> DataFrame:
     return joined.withColumn("pct", F.when(shown, F.col("pct")))
 
 
+def ticker_trades(trades: DataFrame, ticker: str, since: str = "") -> DataFrame:
+    """The trades of one ticker, since a day if given, the latest first; of one day in the order of their ids."""
+    return matching(trades, TradeQuery(ticker=ticker, since=since)).orderBy(F.desc("tx_date"), "id")
+
+
+def display(trades: DataFrame, returns: DataFrame, prices: DataFrame) -> DataFrame:
+    """(id, type_text, member_text, member_chip, return_text, return_tip): what a table shows of each trade.
+
+    ``returns``: id, entry_date, entry_close, pct. ``prices``: ticker, asof_date, asof_close. The
+    chip is the party and the district, or else the state; trades whose return isn't shown have a dash and no tip.
+    """
+    shown = return_of(trades, returns).join(returns.select("id", "entry_date", "entry_close"), "id", "left").join(prices, "ticker", "left")
+    sale = (F.col("type") == "sell") & F.coalesce("partial", F.lit(False))
+    chip = F.concat_ws(" · ", blank_to_null("party"), F.coalesce(blank_to_null("district"), blank_to_null("state")))
+    up = F.col("pct") >= 0
+    text = F.concat(F.when(up, "+").otherwise(""), F.format_number("pct", 1), F.lit("%"))
+    at = F.when(F.col("asof_close").isNotNull(), F.concat(F.lit(", now $"), F.col("asof_close").cast("string"), F.lit(" on "), F.col("asof_date").cast("string"))).otherwise("")
+    tip = F.concat(F.when(up, "up").otherwise("down"), F.lit(" since $"), F.col("entry_close").cast("string"), F.lit(" on "), F.col("entry_date").cast("string"), at)
+    return shown.select("id", F.when(sale, "sell (partial)").otherwise(F.col("type")).alias("type_text"), F.col("member").alias("member_text"), chip.alias("member_chip"), F.coalesce(text, F.lit("—")).alias("return_text"), F.when(F.col("pct").isNotNull(), tip).alias("return_tip"))
+
+
 def modal_asset(trades: DataFrame, by: str, position: str = "order_pos") -> DataFrame:
     """Each key's most frequent asset name; of equally frequent ones the one seen first."""
     counts = trades.groupBy(by, "asset").agg(F.count("*").alias("n"), F.min(position).alias("first"))

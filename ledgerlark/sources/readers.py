@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlark.functions import scalars as s
+from ledgerlark.operators.upserts import merge_rosters
 
 TRADE_SCHEMA = (
     "id string, chamber string, member string, party string, state string, district string, ticker string, asset string, asset_type string, "
@@ -22,12 +23,17 @@ PROCESSED_SCHEMA = "chamber string, filing_id string, filing_date date"
 INDEX_COLUMNS = ("Prefix", "Last", "First", "Suffix", "FilingType", "StateDst", "Year", "FilingDate", "DocID")
 MEMBER_SCHEMA = "struct<name:string,chamber:string,party:string,state:string,district:string,aliases:array<string>>"
 TEAM = "struct<name:string,attack:double,defense:double,context:double>"
+CORNERS = "struct<home_corners:double,away_corners:double>"
+CARDS = "struct<referee_yellow_avg:double,wc_discount:double,mismatch_bump:double>"
 MATCH_SCHEMA = (
     "meta struct<home:string,away:string,venue:string,date:string,stage:string,stakes:string>, "
     f"calibration struct<base_home:double,base_away:double,rho:double,home:{TEAM},away:{TEAM}>, "
     "market struct<odds:array<double>,supercomputer:array<double>>, lambdas_override struct<home:double,away:double>, data_unstable boolean, "
-    "corners struct<home_corners:double,away_corners:double>, cards struct<referee_yellow_avg:double,wc_discount:double,mismatch_bump:double>"
+    f"corners {CORNERS}, cards {CARDS}"
 )
+LEGISLATORS = "name struct<first:string,middle:string,last:string,official_full:string,nickname:string>, terms array<struct<type:string,state:string,district:int,party:string>>"
+#: Parties by their names.
+PARTIES = {"Democrat": "D", "Republican": "R", "Independent": "I"}
 #: Fewest characters, blanks apart, of a document with a text layer.
 MIN_TEXT = 50
 
@@ -37,14 +43,34 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names in the folder ``path``; none if it isn't there."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = found.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(found)] if files.exists(found) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def read_json_dataset(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """trades, skipped_filings and meta of a published JSON document; empty if it is missing or a sample."""
+    """trades, skipped_filings and meta of a published JSON document; empty if it is missing or a sample.
+
+    One document is one row, read by one task, as its format has it; read_json_lines() reads what grows.
+    """
     schema = f"meta struct<{META_SCHEMA.replace(' string', ':string').replace(' date', ':date').replace(' struct', ':struct').replace(' array', ':array').replace(' boolean', ':boolean')}>, trades array<struct<{_fields(TRADE_SCHEMA)}>>, skipped_filings array<struct<{_fields(SKIP_SCHEMA)}>>"
     whole = spark.read.schema(schema).option("multiLine", True).json(path) if exists(spark, path) else spark.createDataFrame([], T._parse_datatype_string(schema))
     real = whole.filter(~F.coalesce("meta._sample", F.lit(False)))
     return {name: real.select(F.inline(name)) for name in ("trades", "skipped_filings")} | {"meta": real.select("meta.*")}
 
 
+def read_json_lines(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """trades and skipped_filings of line files under ``path`` (sinks.publish_lines()): the form for datasets too large for one document, read side by side."""
+    return {name: spark.read.schema(schema).json(f"{path}/{name}") for name, schema in (("trades", TRADE_SCHEMA), ("skipped_filings", SKIP_SCHEMA))}
+
+
 def _fields(ddl: str) -> str:
     return ",".join(":".join(column.split(" ", 1)) for column in ddl.split(", "))
 
@@ -63,16 +89,26 @@ def read_featured(spark: SparkSession, path: str) -> DataFrame:
 
 
 def build_roster(legislators: DataFrame) -> DataFrame:
-    """A roster from legislators' records (name{first,last,official_full,nickname}, terms[{type,state,district,party}]): by the last term, with aliases."""
+    """A roster from legislators' records (name{first,middle,last,official_full,nickname}, terms[{type,state,district,party}]): by the last term, with an alias for each way in which the names may be put together."""
     term, n = F.element_at("terms", -1), F.col("name")
-    name = F.coalesce(n["official_full"], F.concat_ws(" ", n["first"], n["last"]))
-    chamber = s.literal_map({"sen": "senate", "rep": "house"})[term["type"]]
-    party = F.coalesce(F.try_element_at(s.literal_map({"Democrat": "D", "Republican": "R", "Independent": "I"}), term["party"]), F.left(term["party"], F.lit(1)))
-    aliases = F.array(F.concat_ws(" ", n["first"], n["last"]), F.when(n["nickname"].isNotNull(), F.concat_ws(" ", n["nickname"], n["last"])))
-    district = F.when(term["type"] == "rep", F.concat_ws("-", term["state"], term["district"].cast("string")))
+    first, last = (F.coalesce(n[c], F.lit("")) for c in ("first", "last"))
+    middle, nickname = s.blank_to_null(n["middle"]), s.blank_to_null(n["nickname"])
+    name = F.coalesce(n["official_full"], F.concat(first, F.lit(" "), last))
+    senate = term["type"] == "sen"
+    chamber = F.when(senate, "senate").otherwise("house")
+    party = F.coalesce(F.try_element_at(s.literal_map(PARTIES), term["party"]), term["party"])
+    spaced = lambda *parts: F.concat(*(x for p in parts for x in (p, F.lit(" "))), last)
+    before = lambda given: F.concat(last, F.lit(", "), given)
+    aliases = F.array(before(first), spaced(first), spaced(first, middle), spaced(middle), spaced(nickname), before(nickname), spaced(nickname, middle))
+    district = F.when(~senate, F.concat(term["state"], F.lit("-"), term["district"].cast("string")))
     return legislators.select(name.alias("name"), chamber.alias("chamber"), party.alias("party"), term["state"].alias("state"), district.alias("district"), F.array_sort(F.array_remove(F.array_distinct(F.array_compact(aliases)), name)).alias("aliases"))
 
 
+def merged_roster(spark: SparkSession, legislators: DataFrame, old: str) -> DataFrame:
+    """build_roster() with the aliases of the roster document at ``old``, and its members that are no longer among the records."""
+    return merge_rosters(read_roster(spark, old).drop("position"), build_roster(legislators))
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """A tab-separated index with a header; short rows have nulls, and a header that lacks columns is an error."""
     index = spark.read.option("sep", "\t").option("header", True).option("mode", "PERMISSIVE").csv(path)
@@ -120,21 +156,26 @@ def layered_text(text) -> F.Column:
 
 
 def read_prices(payloads: DataFrame) -> DataFrame:
-    """(ticker, day, close) of chart answers (ticker, body): adjusted closes where the answer has them, else closes; the last of a day; nothing of a malformed one."""
+    """(ticker, day, close) of chart answers (ticker, body): adjusted closes where the answer has them, else closes, as they are; the last of a day; nothing of a malformed one."""
     shape = "chart struct<result:array<struct<timestamp:array<long>,indicators:struct<quote:array<struct<close:array<double>>>,adjclose:array<struct<adjclose:array<double>>>>>>,error:string>"
     result = F.try_element_at(F.from_json("body", shape)["chart"]["result"], F.lit(1))
     closes = F.coalesce(F.try_element_at(result["indicators"]["adjclose"], F.lit(1))["adjclose"], F.try_element_at(result["indicators"]["quote"], F.lit(1))["close"])
     pairs = payloads.select("ticker", F.posexplode(F.arrays_zip(result["timestamp"].alias("ts"), closes.alias("close"))).alias("pos", "x"))
     known = pairs.filter("x.ts IS NOT NULL AND x.close IS NOT NULL").select("ticker", F.timestamp_seconds("x.ts").cast("date").alias("day"), "pos", F.col("x.close").alias("close"))
-    return known.groupBy("ticker", "day").agg(F.round(F.max_by("close", "pos"), 4).alias("close"))
+    return known.groupBy("ticker", "day").agg(F.max_by("close", "pos").alias("close"))
 
 
 def read_matches(spark: SparkSession, path: str) -> DataFrame:
     """Match configurations, one document each, as columns for probability.predict(); notes (keys with a leading underscore) are left out."""
     raw = spark.read.schema(MATCH_SCHEMA).option("multiLine", True).json(path).withColumn("path", F.input_file_name())
+    return match_columns(raw, F.regexp_extract("path", r"([^/]+)\.json$", 1))
+
+
+def match_columns(raw: DataFrame, key: F.Column) -> DataFrame:
+    """Match documents, parsed by MATCH_SCHEMA, as columns for probability.predict(), missing names and texts by default."""
     c, odds = F.col("calibration"), F.col("market.odds")
     return raw.select(
-        F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("match_id"),
+        key.alias("match_id"),
         F.coalesce("meta.home", "calibration.home.name", F.lit("Home")).alias("home"),
         F.coalesce("meta.away", "calibration.away.name", F.lit("Away")).alias("away"),
         *(F.coalesce(f"meta.{k}", F.lit("")).alias(k) for k in ("venue", "date", "stage", "stakes")),
