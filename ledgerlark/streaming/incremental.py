@@ -12,14 +12,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ledgerlark.functions.scalars import prune_cutoff
 from ledgerlark.operators.filings import TRADE_COLUMNS
 from ledgerlark.operators.joins import enrich, new_rows, roster_lookup
-from ledgerlark.operators.scratch import saved
+from ledgerlark.operators.scratch import mark, release, saved
 from ledgerlark.operators.upserts import changed, expire, upsert
-from ledgerlark.sources.readers import META_SCHEMA, PROCESSED_SCHEMA, SKIP_SCHEMA, TRADE_SCHEMA, exists
+from ledgerlark.sources.readers import META_SCHEMA, PROCESSED_SCHEMA, SKIP_SCHEMA, TRADE_SCHEMA, children, exists, remove
 
 TABLES = {"trades": TRADE_SCHEMA, "skipped_filings": SKIP_SCHEMA, "processed": PROCESSED_SCHEMA, "meta": META_SCHEMA}
 FILING_KEYS = ["chamber", "filing_id"]
@@ -45,12 +44,13 @@ class Dataset:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def versions(self) -> list[int]:
+        """The numbers of the versions that are there, by one listing of the folder, the last first."""
+        return sorted((int(n[1:]) for n in children(self.spark, self.path) if n[:1] == "v" and n[1:].isdigit()), reverse=True)
+
     def latest(self) -> int:
         """The last whole version; 0 if there is none."""
-        n = 0
-        while exists(self.spark, f"{self.path}/v{n + 1}/meta/_SUCCESS"):
-            n += 1
-        return n
+        return next((v for v in self.versions() if exists(self.spark, f"{self.path}/v{v}/meta/_SUCCESS")), 0)
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
         version = self.latest() if version is None else version
@@ -58,16 +58,22 @@ class Dataset:
             return self.spark.createDataFrame([], TABLES[table])
         return self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/v{version}/{table}")
 
-    def write(self, tables: dict[str, DataFrame]) -> int:
+    def write(self, tables: dict[str, DataFrame], keep: int = 3) -> int:
+        """Write the next version; of the older ones ``keep`` stay, for readers that are at them."""
         version = self.latest() + 1
         for name in TABLES:  # meta last
             tables[name].write.mode("overwrite").parquet(f"{self.path}/v{version}/{name}")
+        for old in self.versions():
+            if old < version - keep:
+                remove(self.spark, f"{self.path}/v{old}")
         return version
 
 
 def candidates(filings: DataFrame, processed: DataFrame, cutoff, limit: int | None = None) -> DataFrame:
-    """Filings in the window that aren't processed; at most ``limit`` of each chamber in listing order, if given."""
+    """Filings in the window that aren't processed, each once, as it was listed last; at most ``limit`` of each chamber in listing order, if given."""
     found = new_rows(expire(filings, cutoff), processed, FILING_KEYS)
+    listed = F.col("listed") if "listed" in filings.columns else F.lit(0)
+    found = found.groupBy(FILING_KEYS).agg(F.max_by(F.struct(*(F.col(c) for c in filings.columns)), F.struct(listed, "filing_date")).alias("_f")).select("_f.*")
     if limit is None:
         return found
     from pyspark.sql import Window
@@ -76,6 +82,18 @@ def candidates(filings: DataFrame, processed: DataFrame, cutoff, limit: int | No
     return found.withColumn("_rank", rank).filter(F.col("_rank") <= limit).drop("_rank")
 
 
+def planned(dataset: Dataset, filings: DataFrame, as_of: str, limit: int | None = None) -> DataFrame:
+    """(chamber, filing_id, member, filing_date) of the filings that run() would fetch; nothing is parsed or written."""
+    cutoff = prune_cutoff(F.lit(as_of).cast("date"))
+    recent = filings.filter(F.col("filing_date") >= cutoff)
+    return candidates(recent, dataset.read("processed"), "0001-01-01", limit).select("chamber", "filing_id", "member", "filing_date")
+
+
+def processed_by_chamber(processed: DataFrame) -> DataFrame:
+    """How many processed filings each chamber has."""
+    return processed.groupBy("chamber").agg(F.count("*").alias("n"))
+
+
 def run(dataset: Dataset, filings: DataFrame, parse: Callable[[DataFrame], DataFrame], members: DataFrame, as_of: str, generated_at: str, featured: list[str] = (), limit: int | None = None) -> RunResult:
     """Bring the dataset up to date with ``filings`` and write a version if its content has changed.
 
@@ -85,7 +103,7 @@ def run(dataset: Dataset, filings: DataFrame, parse: Callable[[DataFrame], DataF
     failed ones are skipped and tried again in the next run. All stored rows are enriched anew,
     and rows, skips and processed filings before the year before ``as_of`` go.
     """
-    spark = dataset.spark
+    spark, began = dataset.spark, mark()
     cutoff = spark.range(1).select(prune_cutoff(F.lit(as_of).cast("date")).alias("d")).first().d
     version = dataset.latest()
     old = {name: dataset.read(name, version) for name in TABLES}
@@ -96,14 +114,14 @@ def run(dataset: Dataset, filings: DataFrame, parse: Callable[[DataFrame], DataF
     skip = lambda rows, reason: rows.select("chamber", "member", "filing_date", F.lit(reason).alias("reason"), "filing_id", "source_url")
     skips = skip(new.filter("is_paper"), "paper").union(skip(new.join(failed, FILING_KEYS), "parse_error"))
     read = new.filter("NOT is_paper").join(failed, FILING_KEYS, "left_anti")
-    done = read.union(new.filter("is_paper")).select("chamber", "filing_id", "filing_date")
+    done = read.unionByName(new.filter("is_paper")).select("chamber", "filing_id", "filing_date")
 
-    trades = saved(expire(enrich(upsert(old["trades"], good, ["id"]), members), cutoff), "trades")
+    merged = saved(upsert(old["trades"], good, ["id"]), "merged")
+    trades = saved(expire(enrich(merged, members), cutoff), "trades")
     kept = upsert(old["skipped_filings"].join(read.select("filing_id"), "filing_id", "left_anti").select(old["skipped_filings"].columns), skips, ["filing_id"])
     named = roster_lookup(kept, members).withColumn("member", F.coalesce("found.name", "member")).drop("found")
     skipped = saved(expire(named, cutoff), "skips")
     processed = saved(expire(upsert(old["processed"], done, FILING_KEYS), cutoff), "processed")
-    all_trades = upsert(old["trades"], good, ["id"]).count()
     result = RunResult(
         changed=changed(old["trades"], trades) or changed(old["skipped_filings"], skipped),
         fetched=new.count(),
@@ -111,12 +129,13 @@ def run(dataset: Dataset, filings: DataFrame, parse: Callable[[DataFrame], DataF
         paper_skips=new.filter("is_paper").count(),
         parse_errors=failed.count(),
         recovered_errors=old["skipped_filings"].join(read.select("filing_id").distinct(), "filing_id", "left_semi").count(),
-        pruned_trades=all_trades - trades.count(),
+        pruned_trades=merged.count() - trades.count(),
     )
     if result.changed:
         meta = build_meta(trades, skipped, processed, old["meta"], members, as_of, cutoff, generated_at, featured)
         result.version = meta.first().data_version
         dataset.write({"trades": trades, "skipped_filings": skipped, "processed": processed, "meta": meta})
+    release(spark, began)
     return result
 
 
@@ -145,16 +164,24 @@ def build_meta(trades, skipped, processed, old_meta, members, as_of, cutoff, gen
 def run_stream(dataset: Dataset, source: DataFrame, parse, members: DataFrame, as_of: str, generated_at: str, checkpoint: str, featured: list[str] = ()):
     """Feed a stream of filings through run(), all that is there by now, and return the finished query.
 
-    Each batch is stored under its number before it is run, so that filings that failed are tried
-    again with the next batch, and a batch that is repeated after a failure is stored once.
+    The filings that failed are stored after each batch, under its number, and tried again with
+    the next; so a batch reads itself and those, however long the stream has gone on. A batch that
+    is repeated after a failure finds what the one before it left.
     """
-    received = f"{dataset.path}/received"
+    waiting = f"{dataset.path}/waiting"
 
     def handle(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{received}/batch={number}")
-        filings = batch.sparkSession.read.schema(StructType([*batch.schema.fields, StructField("batch", LongType())])).parquet(received)
-        last = filings.groupBy(FILING_KEYS).agg(F.max_by(F.struct(*batch.columns), "batch").alias("f")).select("f.*")
+        spark = batch.sparkSession
+        earlier = sorted(int(n) for n in children(spark, waiting) if n.isdigit() and int(n) < number)
+        both = batch.withColumn("_batch", F.lit(1))
+        if earlier:
+            both = both.unionByName(spark.read.schema(batch.schema).parquet(f"{waiting}/{earlier[-1]}").withColumn("_batch", F.lit(0)))
+        last = both.groupBy(FILING_KEYS).agg(F.max_by(F.struct(*batch.columns), "_batch").alias("f")).select("f.*")
         run(dataset, last, parse, members, as_of, generated_at, featured)
+        failed = dataset.read("skipped_filings").filter("reason = 'parse_error'").select(FILING_KEYS)
+        last.join(failed, FILING_KEYS, "left_semi").select(batch.columns).write.mode("overwrite").parquet(f"{waiting}/{number}")
+        for old in earlier[:-1]:
+            remove(spark, f"{waiting}/{old}")
 
     query = source.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

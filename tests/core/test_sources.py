@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 import zipfile
 
 import pytest
@@ -10,22 +11,34 @@ from ledgerlark.operators import probability
 from ledgerlark.sources import html_tables, readers, sinks
 from ledgerlark.streaming import incremental as inc
 
-TEXT = """Office of Records
-State/District: QQ01
-ID Owner Asset Transaction Date Notification Amount
-Type Date
-SP Vega Systems Inc - Common Stock P 05/04/2026 05/05/2026 $15,001 - $50,000
-(VEGA) [ST]
-F      S     : New
-JT Broad Market Stock S (partial) 05/06/2026 05/07/2026 $1,001 -
-Index ETF (BMX) [EF] $15,000
-F\x00\x00 S\x00: New
-D          : Sold to pay a bill.
-Pear Inc. (PEAR) [ST] F S S 05/08/2026 05/09/2026 $100,001 - $250,000
-Treasury Notes [GS] E 05/10/2026 05/11/2026 $250,001 - $500,000
-* For the list of codes see the site.
-I CERTIFY that all of this is true.
-"""
+CODES = {"ST": "Stock", "MF": "Mutual Fund", "CS": "Corporate Security", "CT": "Cryptocurrency", "ZZ": "ZZ"}
+KINDS = {"E": ("exchange", False), "P": ("buy", False), "S (partial)": ("sell", True), "S": ("sell", False)}
+
+
+def drawn_filing(rng, n):
+    """A filing of ``n`` rows drawn from the grammar of text filings, and its trades: (owner, asset, ticker, asset_type, type, partial, day, lo, hi)."""
+    lines, trades = [], []
+    for k in range(n):
+        words = [rng.choice(["Quill", "Ombra", "Tarn", "Hollow", "Zephyr", "Lumen"]) for _ in range(rng.randint(1, 5))]
+        owner, ticker, code = rng.choice([None, "DC", "JT", "SP"]), rng.choice([None, f"Q{k}", "ZX.A"]), rng.choice([None, *CODES])
+        kind, day, low = rng.choice(list(KINDS)), rng.randint(1, 28), rng.randint(1, 900) * 1000 + 1
+        marks = "".join(f" {m}" for m in (ticker and f"({ticker})", code and f"[{code}]") if m)
+        first = rng.randint(1, len(words))
+        head, rest = " ".join(words[:first]), " ".join(words[first:]) + marks
+        fields = f"{owner + ' ' if owner else ''}{head} {kind} 03/{day:02}/2026 04/01/2026 "
+        form = rng.randrange(3)
+        if form == 0:
+            lines.append(f"{owner + ' ' if owner else ''}{head} {rest.strip()} {kind} 03/{day:02}/2026 04/01/2026 ${low:,} - ${low + 4999:,}".replace("  ", " "))
+        elif form == 1:
+            lines += [f"{fields}${low:,} -", f"{rest.strip()} ${low + 4999:,}".strip()]
+        else:
+            lines += [f"{fields}${low:,} - ${low + 4999:,}", *([rest.strip()] if rest.strip() else [])]
+        lines += rng.choice([[], ["D: for the record", "words after a note"], ["F\x00S\x00: New", "S O: Trust Q"], ["* see the list of codes", "Page 2"], ["C: none", "", "  "]])
+        trades.append((owner, " ".join(words), ticker, CODES.get(code), *KINDS[kind], day, low, low + 4999))
+    return "\n".join(["Filing ID #77", "Name: Someone", *lines, "Digitally Signed: Someone"]), trades
+
+
+TEXT, TRADES = drawn_filing(random.Random(5), 4)
 HTML = """<html><table><tr><td>menu</td></tr></table><table class=x><thead><tr><th>#</th><th>Transaction Date</th><th>Owner</th><th>Ticker</th>
 <th>Asset Name</th><th>Asset Type</th><th>Type</th><th>Amount</th></tr></thead>
 <tr><td>1.</td><td>05/04/2026</td><td>Spouse</td><td><a href="#">VEGA</a></td><td>Vega &amp; Sons</td><td>Stock</td><td>Purchase</td><td>$1,001 -
@@ -42,16 +55,19 @@ def test_text_filings(spark):
     bad = "Odd Inc P 05/04/2026 05/05/2026 None"
     docs = spark.createDataFrame([filing("f1", TEXT), filing("f2", "nothing here"), filing("f3", TEXT + bad), filing("f4", None)], FILING)
     rows = f.text_trades(docs).orderBy("id").collect()
-    good = [(r.id, r.owner, r.asset, r.ticker, r.asset_type, r.type, r.partial, r.tx_date.day, r.amount_lo, r.amount_hi) for r in rows if r.error is None]
-    assert good == [
-        ("house:f1:0", "SP", "Vega Systems Inc - Common Stock", "VEGA", "Stock", "buy", False, 4, 15001, 50000),
-        ("house:f1:1", "JT", "Broad Market Stock Index ETF", "BMX", "ETF", "sell", True, 6, 1001, 15000),
-        ("house:f1:2", None, "Pear Inc.", "PEAR", "Stock", "sell", False, 8, 100001, 250000),
-        ("house:f1:3", None, "Treasury Notes", None, "Government Security", "exchange", False, 10, 250001, 500000),
-    ]
+    good = {r.id: (r.owner, r.asset, r.ticker, r.asset_type, r.type, r.partial, r.tx_date.day, r.amount_lo, r.amount_hi) for r in rows if r.error is None}
+    assert good == {f"house:f1:{k}": t for k, t in enumerate(TRADES)}
     assert {r.filing_id: r.error for r in rows if r.error} == {"f2": "no transaction rows", "f3": "unreadable row", "f4": "no transaction rows"}
 
 
+def test_drawn_text_filings(spark):
+    rng = random.Random(11)
+    drawn = {f"d{k}": drawn_filing(rng, rng.randint(1, 12)) for k in range(150)}
+    docs = spark.createDataFrame([filing(k, text) for k, (text, _) in drawn.items()], FILING)
+    got = {r.id: (r.owner, r.asset, r.ticker, r.asset_type, r.type, r.partial, r.tx_date.day, r.amount_lo, r.amount_hi) for r in f.text_trades(docs).collect()}
+    assert got == {f"house:{fid}:{k}": t for fid, (_, trades) in drawn.items() for k, t in enumerate(trades)}
+
+
 def test_page_filings(spark):
     pages = spark.createDataFrame([("s1", HTML), ("s2", "<table><tr><td>1</td><td>short</td></tr></table>"), ("s3", None)], "filing_id string, html string")
     docs = spark.createDataFrame([filing(k, "") for k in ("s1", "s2", "s3")], FILING)
@@ -83,7 +99,7 @@ def test_prices(spark):
     body = lambda adj: json.dumps({"chart": {"result": [{"timestamp": [1780000000, 1780000060, 1780090000, 1780180000], "indicators": {"quote": [{"close": [1.0, 2.0, None, 4.0]}], **({"adjclose": [{"adjclose": [9.0, None, 8.12345]}]} if adj else {})}}], "error": None}})
     got = readers.read_prices(spark.createDataFrame([("Q", body(False)), ("A", body(True)), ("X", "oops"), ("Y", '{"chart":{"result":null}}')], "ticker string, body string"))
     found = sorted((r.ticker, r.close) for r in got.collect())
-    assert found == [("A", 8.1235), ("A", 9.0), ("Q", 2.0), ("Q", 4.0)]
+    assert found == [("A", 8.12345), ("A", 9.0), ("Q", 2.0), ("Q", 4.0)]
 
 
 def test_documents_and_datasets(spark, tmp_path):
@@ -107,8 +123,8 @@ def test_documents_and_datasets(spark, tmp_path):
     assert [r[0] for r in spark.createDataFrame([("x" * 49 + "  \n",), ("x" * 50,)], "t string").select(readers.layered_text("t")).collect()] == ["", "x" * 50]
     people = [{"name": {"first": "Ann", "last": "Lee", "nickname": "Annie"}, "terms": [{"type": "sen", "state": "QQ", "party": "Other"}, {"type": "rep", "state": "QQ", "district": 4, "party": "Democrat"}]}]
     (tmp_path / "l.json").write_text(json.dumps(people))
-    built = readers.build_roster(spark.read.option("multiLine", True).schema("name struct<first:string,last:string,official_full:string,nickname:string>, terms array<struct<type:string,state:string,district:int,party:string>>").json(f"{tmp_path}/l.json")).first()
-    assert tuple(built) == ("Ann Lee", "house", "D", "QQ", "QQ-4", ["Annie Lee"])
+    built = readers.build_roster(spark.read.option("multiLine", True).schema(readers.LEGISLATORS).json(f"{tmp_path}/l.json")).first()
+    assert tuple(built) == ("Ann Lee", "house", "D", "QQ", "QQ-4", ["Annie Lee", "Lee, Ann", "Lee, Annie"])
 
 
 def test_match_files_to_reports(spark, tmp_path):
@@ -116,8 +132,14 @@ def test_match_files_to_reports(spark, tmp_path):
     (tmp_path / "h_a.json").write_text(json.dumps(config))
     found = readers.read_matches(spark, f"{tmp_path}/h_a.json")
     got = probability.predict(found).first()
-    assert (got.match_id, got.home, got.away, got.lam_home) == ("h_a", "H", "a", 1.62)
-    assert "Confidence" in sinks.match_report(probability.predict(found)).first().report
+    assert (got.match_id, got.home, got.away, got.lam_home) == ("h_a", "H", "a", round(1.35 * 1.2, 3))
+    full = probability.full_results(found, with_knockout=True, samples=2000)
+    report = sinks.match_report(full).first().report
+    assert [f"[{k}]" in report for k in "123456789K+"] == [True] * 11 and "[5b]" not in report
+    result = json.loads(sinks.result_json(full).first().result)
+    assert result["match"] == "H vs a" and result["knockout"]["advance"]["home"] > 0.5 and len(result["markets"]["top_scorelines"]) == 7
+    plain = probability.full_results(found)
+    assert "[K]" not in sinks.match_report(plain).first().report and "knockout" not in json.loads(sinks.result_json(plain).first().result)
 
 
 def members(spark):
@@ -140,6 +162,8 @@ def test_incremental_runs(spark, tmp_path):
     r = go([filing("bad", TEXT)])
     assert (r.recovered_errors, r.new_trades, r.version) == (1, 4, "2026-07-02.2")
     assert [s.filing_id for s in data.read("skipped_filings").collect()] == ["p"]
+    assert [tuple(p)[:3] for p in inc.planned(data, spark.createDataFrame([filing("f1", TEXT), filing("next", TEXT)], FILING), "2026-07-02").collect()] == [("house", "next", "Ann Lee")]
+    assert [tuple(c) for c in inc.processed_by_chamber(data.read("processed")).collect()] == [("house", 3)]
     later = go([filing("n", TEXT, dt.date(2028, 1, 5))], "2028-01-06")
     assert (later.pruned_trades, later.new_trades, later.version) == (8, 4, "2028-01-06.1")
 
@@ -157,6 +181,32 @@ def test_stream_of_filings(spark, tmp_path):
     assert data.read("trades").count() == 8 and data.read("skipped_filings").isEmpty() and data.latest() == 2
 
 
+def test_old_versions_go(spark, tmp_path):
+    data = inc.Dataset(spark, f"{tmp_path}/data")
+    empty = {name: spark.createDataFrame([], schema) for name, schema in inc.TABLES.items()}
+    for k in range(1, 6):
+        assert data.write(empty, keep=2) == k
+    assert data.versions() == [5, 4, 3] and data.latest() == 5
+
+
+def test_published_documents(spark, tmp_path):
+    trades = spark.createDataFrame([(f"t{k}", f"m{k % 3}", dt.date(2026, 1, 1 + k % 5), dt.date(2026, 2, 1 + k % 2), None) for k in range(40)], "id string, member string, tx_date date, filing_date date, ticker string").repartition(4)
+    skipped = spark.createDataFrame([("a", dt.date(2026, 1, 1)), ("b", dt.date(2026, 1, 1)), ("c", dt.date(2026, 1, 2))], "filing_id string, filing_date date")
+    sinks.publish_document(trades, skipped, spark.createDataFrame([("2026-01-01.1", 40)], "data_version string, n int"), f"{tmp_path}/doc")
+    whole = json.loads("".join(p.read_text() for p in sorted((tmp_path / "doc").glob("part-*"))))
+    assert whole["meta"] == {"data_version": "2026-01-01.1", "n": 40} and [s["filing_id"] for s in whole["skipped_filings"]] == ["c", "b", "a"]
+    assert whole["trades"] == sorted(whole["trades"], key=lambda t: (-dt.date.fromisoformat(t["filing_date"]).toordinal(), t["member"], -dt.date.fromisoformat(t["tx_date"]).toordinal(), t["id"])) and len(whole["trades"]) == 40
+    assert whole["trades"][0]["ticker"] is None
+    sinks.publish_document(trades.limit(0), skipped.limit(0), spark.createDataFrame([("x",)], "data_version string"), f"{tmp_path}/none")
+    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "none").glob("part-*"))))["trades"] == []
+    sinks.publish_roster(members(spark), f"{tmp_path}/roster")
+    (tmp_path / "roster.json").write_text("".join(p.read_text() for p in sorted((tmp_path / "roster").glob("part-*"))))
+    assert [r.name for r in readers.read_roster(spark, f"{tmp_path}/roster.json").collect()] == ["Annabel Lee"]
+    sinks.publish_lines(trades, skipped, f"{tmp_path}/lines")
+    back = readers.read_json_lines(spark, f"{tmp_path}/lines")
+    assert back["trades"].count() == 40 and back["skipped_filings"].count() == 3
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(2, "b"), (1, "a")], "k int, v string")
     assert sinks.publish(rows, f"{tmp_path}/p") and not sinks.publish(rows, f"{tmp_path}/q", spark.read.parquet(f"{tmp_path}/p"))
