@@ -41,14 +41,10 @@ def table(spark, sf_dir: str, name: str):
 )
 def top_split_tickers(spark, sf_dir):
     """The ten most traded brands of the last 90 days, with their buys and sells."""
-    trades = table(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") >= F.lit("2001-08-06").cast("timestamp"))
-    split = (
-        trades.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy(F.col("p_brand").alias("ticker"))
-        .agg(F.count_if(F.col("l_returnflag") == "A").alias("buys"), F.count_if(F.col("l_returnflag") == "R").alias("sells"))
-        .withColumn("total", F.col("buys") + F.col("sells"))
-    )
-    return split.filter("total > 0").orderBy(F.desc("total"), "ticker").limit(10)
+    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    kind = F.when(F.col("l_returnflag") == "A", "buy").when(F.col("l_returnflag") == "R", "sell").otherwise("exchange")
+    rows = items.select(F.col("p_brand").alias("ticker"), kind.alias("type"), F.col("l_shipdate").alias("tx_date"))
+    return views.top_tickers(rows, "2001-11-04").select("ticker", "buys", "sells", "total")
 
 
 TRADES = """
@@ -65,7 +61,7 @@ def trades(spark, sf_dir: str):
     orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     status = F.col("o_orderstatus")
     floor = (F.floor(F.col("o_totalprice") / 1000) * 1000).cast("long")
-    joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.select(
         F.col("o_orderkey").alias("id"),
         F.col("c_name").alias("member"),
@@ -163,7 +159,7 @@ def asof_entry(spark, sf_dir):
          buys AS (SELECT o_orderkey AS id, 'Brand#' || CAST(1 + o_custkey % 5 AS VARCHAR) || CAST(1 + o_orderkey % 5 AS VARCHAR) AS ticker, CAST(o_orderdate AS DATE) AS tx_date FROM orders WHERE o_orderstatus = 'F'),
          latest AS (SELECT ticker, max(d) AS asof_date, arg_max(c, d) AS latest_close FROM prices GROUP BY 1)
     SELECT id, buys.ticker AS ticker, prices.d AS entry_date, prices.c AS entry_close, latest_close, asof_date,
-           round((latest_close - prices.c) / prices.c * 100, 1) AS pct
+           CAST(format('{:.1f}', (latest_close - prices.c) / prices.c * 100) AS DOUBLE) AS pct
     FROM buys ASOF JOIN prices ON buys.ticker = prices.ticker AND buys.tx_date >= prices.d JOIN latest ON latest.ticker = buys.ticker WHERE prices.c > 0
     """
 )

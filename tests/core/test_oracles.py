@@ -2,6 +2,7 @@ import os
 
 import pytest
 
+from ledgerlark.plans import filing_queries, model_queries  # noqa: F401 - they register their queries
 from ledgerlark.plans.registry import ORACLES, QUERIES
 from tests.oracle import SF_DIR, same
 
