@@ -34,7 +34,7 @@ class WordEncoder:
     found again once a generation is full. No chunk of more than 64 bytes is remembered beyond its text.
     """
 
-    def __init__(self, path: str, limit: int = 48_000_000):
+    def __init__(self, path: str, limit: int = 72_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side already
         from tokenizers import Tokenizer
 
@@ -79,29 +79,32 @@ class WordEncoder:
                 word = stem.decode("utf-8", "replace")
                 if stem.isalpha():
                     ids = _packed([t.id for t in tokenize(word)])
-                elif word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:
+                elif self._latin(word):
                     ids = _packed([t.id for t in tokenize(word.lower().encode().decode("latin-1").translate(_BYTE_CHARS))])
                 else:
-                    others.append((chunk, stem, mark, word))
+                    others.append((chunk, chunk.decode("utf-8", "replace")))
                     continue
                 if len(stem) <= 64:
                     self._keep(stem, ids)
             self._keep(chunk, ids + self.marks[mark])
-        for (chunk, stem, mark, _), ids in zip(others, self._ids([word for *_, word in others]), strict=True):
-            self._keep(chunk, ids + self.marks[mark])
-            if len(stem) <= 64:
-                self._keep(stem, ids)
+        for (chunk, _), ids in zip(others, self._ids([word for _, word in others]), strict=True):
+            self._keep(chunk, ids)
 
     def _ids(self, words: list[str]) -> list[bytes]:
         return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     @staticmethod
-    def _stem(chunk: bytes) -> tuple[bytes, bytes]:
-        """The chunk without a final comma or full stop after an ASCII letter, and that mark; their ids are the chunk's. ASCII is lower-cased as the tokenizer does."""
+    def _latin(word: str) -> bool:
+        return word.isalpha() and max(word) < "\u0250" and "\u0130" not in word
+
+    def _stem(self, chunk: bytes) -> tuple[bytes, bytes]:
+        """The chunk without a final comma or full stop after a word of Latin letters, and that mark; their ids are the chunk's. ASCII is lower-cased as the tokenizer does."""
         if chunk.isascii() and b"<|" not in chunk:
             chunk = chunk.lower()
-        if chunk[-1:] in (b",", b".") and chunk[-2:-1].isalpha():
-            return chunk[:-1], chunk[-1:]
+        if chunk[-1:] in (b",", b"."):
+            stem = chunk[:-1]
+            if stem[-1:].isalpha() or self._latin(stem.decode("utf-8", "replace")):
+                return stem, chunk[-1:]
         return chunk, b""
 
 
