@@ -19,6 +19,7 @@ TRADE_COLUMNS = (
     "id", "chamber", "member", "party", "state", "district", "ticker", "asset", "asset_type", "type", "partial", "owner",
     "tx_date", "filing_date", "amount_lo", "amount_hi", "amount_label", "filing_id", "source_url",
 )
+FILING_COLUMNS = ["chamber", "filing_id", "member", "state", "district", "filing_date", "source_url", "is_paper", "text", "html"]
 LINK = r"(?s)href=['\"]([^'\"]+)['\"][^>]*>(.*?)</a>"
 
 
@@ -132,6 +133,20 @@ def listing_rows(pages: DataFrame, base: str, payload: str = "payload") -> DataF
     )
 
 
+def house_filings(index: DataFrame, texts: DataFrame, base: str, layered) -> DataFrame:
+    """What incremental.run() reads of the house: the index's filings with their extracted texts (filing_id, text). One whose text ``layered`` makes empty is a scan, so a paper filing."""
+    rows = index_filings(index, base).join(texts, "filing_id").withColumn("text", layered("text"))
+    return rows.withColumns({"chamber": F.lit("house"), "is_paper": F.coalesce(F.col("text"), F.lit("")) == "", "html": F.lit(None).cast("string")}).select(FILING_COLUMNS)
+
+
+def senate_filings(listing: DataFrame, pages: DataFrame) -> DataFrame:
+    """What incremental.run() reads of the senate: the filings of listing_rows() without an error, with their pages (filing_id, html), which paper filings lack."""
+    none = F.lit(None).cast("string")
+    rows = listing.filter("error IS NULL").join(pages, "filing_id", "left").filter("is_paper OR html IS NOT NULL")
+    named = {"chamber": F.lit("senate"), "member": F.col("name"), "state": none, "district": none, "filing_date": F.col("filed_date"), "source_url": F.col("url"), "text": none}
+    return rows.withColumns(named).select(FILING_COLUMNS)
+
+
 def index_filings(index: DataFrame, base: str) -> DataFrame:
     """Transaction filings of a yearly index (Prefix, Last, First, Suffix, FilingType, StateDst, Year, FilingDate, DocID)."""
     lacking = {"Last", "First", "FilingType", "StateDst", "FilingDate", "DocID"} - set(index.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from operator import and_
 
@@ -13,6 +13,18 @@ from ledgerlark.functions.scalars import blank_to_null, notional_mid
 from ledgerlark.operators.scratch import numbered
 
 PAGE = 200
+#: The columns of a table of trades by key: heading, whether it is a number or day, and whether one can sort by it (``pct`` stands for the return since the buy).
+COLUMNS = {
+    "member": ("Member", False, True),
+    "ticker": ("Ticker", False, True),
+    "asset": ("Asset", False, True),
+    "type": ("Type", False, True),
+    "amount_lo": ("Amount", True, True),
+    "pct": ("Since buy", True, True),
+    "tx_date": ("Traded", True, True),
+    "filing_date": ("Filed", True, True),
+    "source_url": ("Filing", False, False),
+}
 #: Columns whose first click sorts upwards; asset types whose returns aren't shown.
 ASCENDING_FIRST = ("member", "ticker")
 NO_RETURN_TYPES = ("Option", "Cryptocurrency")
@@ -35,6 +47,12 @@ class TradeQuery:
     descending: bool | None = None
     pages: int = 1
 
+    def sorted_by(self, column: str) -> TradeQuery:
+        """The query after a click on a heading: the same column turns round, another one starts in its own direction; one that can't be sorted by changes nothing."""
+        if not COLUMNS.get(column, ("", False, False))[2]:
+            return self
+        return replace(self, sort=column, descending=not self.downwards if column == self.sort else None)
+
     @property
     def downwards(self) -> bool:
         return self.descending if self.descending is not None else self.sort not in ASCENDING_FIRST

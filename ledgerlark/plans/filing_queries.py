@@ -468,3 +468,61 @@ def scalar_texts(spark, sf_dir):
         scalars.buy_share(key % 7, key % 5).alias("buy_share"), scalars.percent_text((key % 8) / 8).alias("percent"), scalars.money_text((key * F.when(key >= 10, 1000).otherwise(100)).cast("double")).alias("money"),
         divergence_flag((key % 10) / 100).alias("flag"),
     )
+
+
+def _scratch(spark, name: str) -> str:
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH m AS ({MEMBERS}) SELECT name, chamber, party, state, district, 'a ' || name AS aliases, row_number() OVER (ORDER BY name, chamber) - 1 AS position FROM m")
+def roster_round_trip(spark, sf_dir):
+    """A roster document, written by name and read back."""
+    path = _scratch(spark, "roster")
+    sinks.publish_roster(members(spark, sf_dir).withColumn("aliases", F.array(F.concat(F.lit("a "), "name"))), path)
+    found = readers.read_roster(spark, path)
+    return found.withColumn("aliases", F.array_join("aliases", "|"))
+
+
+@query(f"WITH t AS ({TRADES}) SELECT 'trade' AS what, CAST(id AS VARCHAR) AS id, member, ticker, type, tx_date, amount_lo, amount_hi FROM t UNION ALL SELECT 'skip', 'f' || CAST(c_custkey AS VARCHAR), c_name, NULL, 'paper', DATE '2001-01-01', NULL, NULL FROM customer")
+def line_round_trip(spark, sf_dir):
+    """Trades and skipped filings, written as lines and read back side by side."""
+    path = _scratch(spark, "lines")
+    rows = trades(spark, sf_dir).withColumn("id", F.col("id").cast("string")).withColumn("filing_date", F.col("tx_date"))
+    skipped = table(spark, sf_dir, "customer").select(F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("filing_id"), F.col("c_name").alias("member"), F.lit("2001-01-01").cast("date").alias("filing_date"), F.lit("paper").alias("reason"))
+    sinks.publish_lines(rows, skipped, path)
+    back, none = readers.read_json_lines(spark, path), F.lit(None)
+    found = back["trades"].select(F.lit("trade").alias("what"), "id", "member", "ticker", "type", "tx_date", "amount_lo", "amount_hi")
+    return found.union(back["skipped_filings"].select(F.lit("skip"), "filing_id", "member", none.cast("string"), "reason", "filing_date", none.cast("long"), none.cast("long")))
+
+
+@query(
+    """
+    SELECT CAST(c_custkey AS VARCHAR) AS filing_id, c_mktsegment || ' ' || c_name AS member, 'TX' AS state, 'TX-' || CAST(c_custkey % 40 AS VARCHAR) AS district, make_date(2000 + c_custkey % 2, 3, CAST(1 + c_custkey % 28 AS INT)) AS filing_date,
+           'https://p/' || CAST(2000 + c_custkey % 2 AS VARCHAR) || '/' || CAST(c_custkey AS VARCHAR) || '.pdf' AS source_url, c_custkey % 4 = 1 AS is_paper FROM customer WHERE c_custkey % 5 <> 0
+    """
+)
+def yearly_indexes(spark, sf_dir):
+    """Two yearly indexes, written with tabs and read back with the filings' texts; every fourth filing is a scan."""
+    path, key = _scratch(spark, "indexes"), F.col("c_custkey")
+    say = lambda x: F.lit(x)
+    for year in (1999, 2000, 2001):  # the first is outside the window
+        day = F.date_format(F.make_date(F.lit(year), F.lit(3), (1 + key % 28).cast("int")), "M/d/yyyy")
+        values = (say("Hon."), F.col("c_name"), F.col("c_mktsegment"), say(""), F.when(key % 5 != 0, "P").otherwise("A"), F.format_string("TX%02d", key % 40), say(str(year)), day, key.cast("string"))
+        rows = table(spark, sf_dir, "customer").filter(F.lit(year) == 2000 + key % 2 if year > 1999 else key % 3 == 0)
+        rows.select(*(v.alias(c) for v, c in zip(values, readers.INDEX_COLUMNS, strict=True))).write.option("sep", "\t").option("header", True).csv(f"{path}/{year}FD.txt")
+    texts = table(spark, sf_dir, "customer").select(key.cast("string").alias("filing_id"), F.when(key % 4 == 1, "scan").otherwise(F.repeat(F.lit("text "), 30)).alias("text"))
+    found = filings.house_filings(readers.read_yearly_indexes(spark, path, "2001-08-01"), texts, "https://p", readers.layered_text)
+    return found.select("filing_id", "member", "state", "district", "filing_date", "source_url", "is_paper")
+
+
+@query(f"WITH {PRICED} SELECT 'return' AS what, CAST(p.id AS VARCHAR) AS key, b.tx_date >= e.d AS dated, CAST(format('{{:.4f}}', e.c) AS DOUBLE) AS close, CAST(format('{{:.1f}}', (p.close - e.c) / e.c * 100) AS DOUBLE) AS pct FROM priced p JOIN buys b USING (id) ASOF JOIN prices e ON b.ticker = e.ticker AND b.tx_date >= e.d UNION ALL SELECT 'price', ticker, true, CAST(format('{{:.4f}}', any_value(close)) AS DOUBLE), NULL FROM priced GROUP BY ticker")
+def returns_round_trip(spark, sf_dir):
+    """The returns document, written by key and read back."""
+    path = _scratch(spark, "returns")
+    bought, prices = _buys(spark, sf_dir)
+    found = returns.buy_returns(bought, prices)
+    sinks.publish_returns_document(found, returns.ticker_prices(found), {"source": "charts"}, path)
+    back = readers.read_returns_lines(spark, path)
+    dated = back["returns"].join(bought.select(F.col("id").cast("string").alias("id"), "tx_date"), "id")
+    out = dated.select(F.lit("return").alias("what"), F.col("id").alias("key"), (F.col("tx_date") >= F.col("entry_date")).alias("dated"), F.col("entry_close").alias("close"), "pct")
+    return out.union(back["prices"].select(F.lit("price"), "ticker", F.col("asof_date").isNotNull(), "asof_close", F.lit(None).cast("double")))

@@ -314,12 +314,15 @@ def _won(side: str) -> str:
     f"""
     WITH r AS ({MATRIX} SELECT match_id, sum(p) FILTER (i > j) AS w, sum(p) FILTER (i = j) AS d FROM p GROUP BY match_id),
          e AS ({_won("late")} SELECT match_id, sum(p) FILTER (i > j) AS w, sum(p) FILTER (i = j) AS d FROM p GROUP BY match_id)
-    SELECT match_id, round(r.w + r.d * e.w + r.d * e.d * 0.5, 9) AS adv_home, round(1 - (r.w + r.d * e.w + r.d * e.d * 0.5), 9) AS adv_away, round(r.d * e.d, 9) AS p_pens
+    SELECT match_id, round(r.w + r.d * e.w + r.d * e.d * 0.5, 9) AS adv_home, round(1 - (r.w + r.d * e.w + r.d * e.d * 0.5), 9) AS adv_away, round(r.d * e.d, 9) AS p_pens,
+           round(r.w, 9) AS win_reg, round(r.d, 9) AS p_draw_reg, round(r.d * e.w, 9) AS win_et, round(r.d * e.d * 0.5, 9) AS win_pens
     FROM r JOIN e USING (match_id)
     """
 )
 def knockout(spark, sf_dir):
-    return probability.knockout(matches(spark, sf_dir)).select("match_id", *(F.round(c, 9).alias(c) for c in ("adv_home", "adv_away", "p_pens")))
+    """Who advances, and by which way."""
+    odds = probability.knockout(matches(spark, sf_dir))
+    return odds.select("match_id", *(F.round(c, 9).alias(c) for c in odds.columns if c != "match_id"))
 
 
 @query(

@@ -6,6 +6,8 @@ Spark reads.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,6 +68,29 @@ def read_json_dataset(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: real.select(F.inline(name)) for name in ("trades", "skipped_filings")} | {"meta": real.select("meta.*")}
 
 
+def read_returns(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """returns (id, entry_date, entry_close, pct) and prices (ticker, asof_date, asof_close) of a published returns document; both empty if it is missing, as it may be."""
+    shape = "returns map<string,struct<entry_date:date,entry_close:double,pct:double>>, prices map<string,struct<asof_date:date,asof_close:double>>"
+    whole = spark.read.schema(shape).option("multiLine", True).json(path) if exists(spark, path) else spark.createDataFrame([], T._parse_datatype_string(shape))
+    return {name: whole.select(F.explode(name).alias(key, "v")).select(key, "v.*") for name, key in (("returns", "id"), ("prices", "ticker"))}
+
+
+def read_returns_lines(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """What read_returns() gives, of a document as sinks.publish_returns_document() writes it: its lines are read side by side."""
+    lines = spark.read.text(path).select(F.regexp_extract("value", r'^  ("(?:[^"\\]|\\.)*"): (\{.*\}),?$', 1).alias("key"), F.regexp_extract("value", r'^  "(?:[^"\\]|\\.)*": (\{.*\}),?$', 1).alias("body")).filter("key <> ''")
+    key = F.from_json(F.concat(F.lit('{"k":'), "key", F.lit("}")), "k string")["k"]
+    found = lines.select(key.alias("key"), F.from_json("body", "entry_date date, entry_close double, pct double, asof_date date, asof_close double").alias("v")).select("key", "v.*")
+    gains = found.filter("entry_date IS NOT NULL").select(F.col("key").alias("id"), "entry_date", "entry_close", "pct")
+    return {"returns": gains, "prices": found.filter("asof_date IS NOT NULL").select(F.col("key").alias("ticker"), "asof_date", "asof_close")}
+
+
+def read_yearly_indexes(spark: SparkSession, folder: str, as_of: str) -> DataFrame:
+    """The indexes ``<year>FD.txt`` under ``folder`` of the years from the retention cutoff to ``as_of``, one after the other; years without one are left out."""
+    paths = [f"{folder}/{year}FD.txt" for year in range(int(as_of[:4]) - 1, int(as_of[:4]) + 1)]
+    found = [read_index(spark, p) for p in paths if exists(spark, p)]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], ", ".join(f"{c} string" for c in INDEX_COLUMNS))
+
+
 def read_json_lines(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """trades and skipped_filings of line files under ``path`` (sinks.publish_lines()): the form for datasets too large for one document, read side by side."""
     return {name: spark.read.schema(schema).json(f"{path}/{name}") for name, schema in (("trades", TRADE_SCHEMA), ("skipped_filings", SKIP_SCHEMA))}

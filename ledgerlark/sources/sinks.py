@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,11 @@ def json_lines(rows: DataFrame, path: str, order: list) -> None:
     rows.orderBy(*order).select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
+def dump_payloads(payloads: DataFrame, path: str) -> None:
+    """Raw payloads (name, body) for looking into: a JSON object a line, by name."""
+    json_lines(payloads.select("name", "body"), path, ["name"])
+
+
 def publish_lines(trades: DataFrame, skipped: DataFrame, path: str) -> None:
     """The dataset as line files, which readers.read_json_lines() reads side by side."""
     json_lines(trades, f"{path}/trades", trade_order())
@@ -74,12 +81,31 @@ def publish_document(trades: DataFrame, skipped: DataFrame, meta: DataFrame, pat
     document_lines(trades, skipped, meta).orderBy("section", "pos").select("line").write.mode("overwrite").text(path)
 
 
+def publish_returns_document(returns: DataFrame, prices: DataFrame, stats: dict, path: str) -> bool:
+    """The returns document: meta, then each ticker's last close and each priced buy's return by key, a line each. Not written if nothing was priced."""
+    if returns.isEmpty():
+        return False
+    spark = returns.sparkSession
+    fixed = lambda section, text: spark.createDataFrame([(section, 0, text)], "section int, pos long, line string")
+
+    def entries(rows: DataFrame, key: str, columns: list[str], section: int) -> DataFrame:
+        placed = with_positions(rows.select(key, *columns), [F.asc(key)], "_pos")
+        comma = F.when(F.col("_pos") == F.lit(placed.count() - 1), "").otherwise(",")
+        name = F.regexp_extract(F.to_json(F.struct(F.col(key).cast("string").alias("k"))), r"^\{\"k\":(.*)\}$", 1)
+        return placed.select(F.lit(section).alias("section"), F.col("_pos").alias("pos"), F.concat(F.lit("  "), name, F.lit(": "), F.to_json(F.struct(*columns), NULLS), comma).alias("line"))
+
+    lines = fixed(0, f'{{\n"meta": {json.dumps(stats)},\n"prices": {{').unionByName(entries(prices, "ticker", ["asof_date", "asof_close"], 1))
+    lines = lines.unionByName(fixed(2, '},\n"returns": {')).unionByName(entries(returns, "id", ["entry_date", "entry_close", "pct"], 3)).unionByName(fixed(4, "}\n}"))
+    lines.orderBy("section", "pos").select("line").write.mode("overwrite").text(path)
+    return True
+
+
 def publish_roster(members: DataFrame, path: str) -> None:
-    """A roster document, its members by name, one a line."""
+    """A roster document, its members by name, one a line, in one file: its members are those of two chambers."""
     spark, own = members.sparkSession, members.drop("position")
     fixed = lambda section, text: spark.createDataFrame([(section, 0, text)], "section int, pos long, line string")
     lines = fixed(0, '{\n"members": [').unionByName(_array_lines(own, [F.asc("name"), F.asc("chamber")], 1)).unionByName(fixed(2, "]\n}"))
-    lines.orderBy("section", "pos").select("line").write.mode("overwrite").text(path)
+    lines.repartition(1).sortWithinPartitions("section", "pos").select("line").write.mode("overwrite").text(path)
 
 
 def _pct(x) -> Column:

@@ -62,6 +62,9 @@ def test_filters_sorts_and_pages(spark):
     ids = lambda **q: [r.id for r in views.page(trades, views.TradeQuery(**q)).collect()]
     assert ids(text="NV", sort="member") == ["1", "3"] and ids(text="v%", sort="member") == ["3"]
     assert ids(sort="amount_lo") == ["3", "1", "2"] and ids(sort="amount_lo", descending=False) == ["2", "1", "3"]
+    asked = views.TradeQuery().sorted_by("member")
+    assert not asked.downwards and asked.sorted_by("member").downwards and asked.sorted_by("amount_lo").downwards and asked.sorted_by("source_url") == asked
+    assert [r.id for r in views.ticker_trades(trades, "X").collect()] == ["3"] and views.ticker_trades(trades, "X", "2026-01-01").isEmpty()
     assert ids(as_of="2026-01-01", days=10, sort="member") == ["1", "2"] and ids(chamber="senate", sort="member") == ["3"]
 
 

@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlark.__main__ import parse_filings
 from ledgerlark.operators import filings as f
 from ledgerlark.operators import probability
 from ledgerlark.sources import html_tables, readers, sinks
@@ -95,6 +96,34 @@ def test_listing_and_index(spark, tmp_path):
         readers.read_index(spark, f"{tmp_path}/bad.txt")
 
 
+def test_filings_of_both_chambers_make_one_table(spark, tmp_path):
+    header = "\t".join(readers.INDEX_COLUMNS)
+    (tmp_path / "2026FD.txt").write_text(f"{header}\nHon.\tLee\tAnn\t\tP\tQQ01\t2026\t6/20/2026\t11\nHon.\tFox\tBo\t\tP\tQQ02\t2026\t6/21/2026\t12\n")
+    texts = spark.createDataFrame([("11", TEXT), ("12", "scan")], "filing_id string, text string")
+    house = f.house_filings(readers.read_yearly_indexes(spark, str(tmp_path), "2026-07-02"), texts, "https://p", readers.layered_text)
+    row = ["Ida ", "Moe", "Office", "<a href='/search/view/ptr/ab-1/'>Report</a>", "06/22/2026"]
+    listing = f.listing_rows(spark.createDataFrame([(json.dumps({"data": [row, row[:3]]}),)], "payload string"), "https://h")
+    senate = f.senate_filings(listing, spark.createDataFrame([("ab-1", HTML)], "filing_id string, html string"))
+    both = house.unionByName(senate)
+    assert {(r.chamber, r.filing_id, r.is_paper) for r in both.collect()} == {("house", "11", False), ("house", "12", True), ("senate", "ab-1", False)}
+    data = inc.Dataset(spark, f"{tmp_path}/data")
+    result = inc.run(data, both, parse_filings, members(spark), "2026-07-02", "now")
+    assert (result.fetched, result.new_trades, result.paper_skips, result.parse_errors) == (3, 6, 1, 0)
+    assert readers.read_yearly_indexes(spark, f"{tmp_path}/none", "2026-07-02").isEmpty()
+    sinks.dump_payloads(spark.createDataFrame([("b", "2"), ("a", "1")], "name string, body string"), f"{tmp_path}/dump")
+    assert [json.loads(r.value)["name"] for r in spark.read.text(f"{tmp_path}/dump").collect()] == ["a", "b"]
+
+
+def test_returns_documents(spark, tmp_path):
+    gains = spark.createDataFrame([("i1", dt.date(2026, 1, 1), 1.5, 2.0)], "id string, entry_date date, entry_close double, pct double")
+    prices = spark.createDataFrame([('Q"x', dt.date(2026, 2, 1), 3.0)], "ticker string, asof_date date, asof_close double")
+    assert not sinks.publish_returns_document(gains.limit(0), prices, {}, f"{tmp_path}/r") and sinks.publish_returns_document(gains, prices, {"source": "s"}, f"{tmp_path}/r")
+    (tmp_path / "r.json").write_text("".join(p.read_text() for p in sorted((tmp_path / "r").glob("part-*"))))
+    for back in (readers.read_returns(spark, f"{tmp_path}/r.json"), readers.read_returns_lines(spark, f"{tmp_path}/r")):
+        assert [tuple(r) for r in back["returns"].collect()] == [tuple(gains.first())] and [tuple(r) for r in back["prices"].collect()] == [tuple(prices.first())]
+    assert readers.read_returns(spark, f"{tmp_path}/missing.json")["prices"].isEmpty()
+
+
 def test_prices(spark):
     body = lambda adj: json.dumps({"chart": {"result": [{"timestamp": [1780000000, 1780000060, 1780090000, 1780180000], "indicators": {"quote": [{"close": [1.0, 2.0, None, 4.0]}], **({"adjclose": [{"adjclose": [9.0, None, 8.12345]}]} if adj else {})}}], "error": None}})
     got = readers.read_prices(spark.createDataFrame([("Q", body(False)), ("A", body(True)), ("X", "oops"), ("Y", '{"chart":{"result":null}}')], "ticker string, body string"))
