@@ -1,5 +1,6 @@
+import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ pytest.importorskip("tokenizers")
 from tokenizers import Tokenizer, models  # noqa: E402
 
 from ledgerlark.llm.encoder import WordEncoder, vocabulary_path  # noqa: E402
-from ledgerlark.llm.packing import least_slack, pack  # noqa: E402
+from ledgerlark.llm.packing import least_slack, op8_pack_sequences, pack  # noqa: E402
 from ledgerlark.llm.token_counts import PieceCounter, sentencepiece_vocabulary, token_counts  # noqa: E402
 
 DOCS = [
@@ -66,6 +67,34 @@ def test_least_slack_is_the_best_subset_sum():
         assert sum(n * k for n, k in taken.items()) == max(s for s in sums if s <= room)
 
 
+def test_query_packs_all_documents_with_little_padding(spark, tmp_path):
+    rng = random.Random(9)
+    words = ["One", "two,", "<|endoftext|>", "É", "12", "don't", "naïveté.", "x-y", "OF!!"]
+    rows = [(k if k % 40 else None, " ".join(rng.choices(words, k=rng.choice([0, 5, 60, 900, 9000])))) for k in range(160)] + [(7, None), (7, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    whole = Tokenizer.from_file(vocabulary_path())
+    got = op8_pack_sequences(spark, str(tmp_path)).collect()
+    ids_of = defaultdict(list)
+    for d, text in rows:
+        ids_of[d].append(np.array([*whole.encode(text or "", add_special_tokens=False).ids, 2], "<u4"))
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in got:
+        pieces[r.doc_id].append(r)
+        sequences[r.sequence_id].append(r)
+    for d, all_ids in ids_of.items():  # each piece is one of a document of that doc_id, and they hold its ids as often as it stands there
+        assert sum(r.length for r in pieces[d]) == sum(map(len, all_ids))
+        for r in pieces[d]:
+            assert any(len(ids) == r.doc_tokens and zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for ids in all_ids)
+        starts = Counter((r.start, r.length, r.doc_tokens) for r in pieces[d])
+        assert sum(n * length for (_, length, _), n in starts.items()) == sum(map(len, all_ids))
+        assert Counter(len(ids) for ids in all_ids) == Counter(r.doc_tokens for r in pieces[d] if r.start == 0)
+    fills = [sum(r.length for r in s) for s in sequences.values()]
+    assert max(fills) <= 4096 and sum(4096 - n for n in fills) < 3 * 4096
+    for s in sequences.values():
+        s.sort(key=lambda r: r.offset)
+        assert [r.offset for r in s] == [sum(x.length for x in s[:k]) for k in range(len(s))]
+
+
 def test_every_id_is_packed_once(docs):
     whole = Tokenizer.from_file(vocabulary_path())
     rows = pack(docs.coalesce(1), vocabulary_path(), capacity=256, pool=8).collect()
@@ -85,3 +114,28 @@ def test_every_id_is_packed_once(docs):
     for s in sequences.values():
         s.sort(key=lambda r: r.offset)
         assert [r.offset for r in s] == [sum(x.length for x in s[:k]) for k in range(len(s))]
+
+
+def test_words_of_letters_and_marks_equal_whole_texts():
+    path, rng = vocabulary_path(), random.Random(6)
+    whole = Tokenizer.from_file(path)
+    letters = "abzAZ" * 3 + "éÉñßçÀœŁıİǆʰͅαΣжδ你0.,'!-_<|>#\x1c\x85"
+    for limit in (400, 3_000, 10**9):  # generations end within, between and never
+        by_word = WordEncoder(path, limit=limit)
+        for _ in range(800):
+            text = " ".join("".join(rng.choices(letters, k=rng.randint(1, 7))) + rng.choice(["", "", ",", ".", ".,"]) for _ in range(rng.randint(0, 9)))
+            assert np.frombuffer(by_word.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_count_query_equals_word_piece_splitting(spark, tmp_path):
+    from ledgerlark.llm.token_counts import op10_token_counts
+
+    spark.createDataFrame(DOCS, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    initial, continuing = sentencepiece_vocabulary(vocabulary_path("piece_bpe_32k.model"))
+    vocab = {p: i for i, p in enumerate(dict.fromkeys(["[UNK]", *initial, *("##" + p for p in continuing)]))}
+    brute = models.WordPiece(vocab, unk_token="[UNK]", max_input_chars_per_word=10**6, continuing_subword_prefix="##")
+    expected = Counter()
+    for d, text in DOCS:
+        pieces = [[t.value for t in brute.tokenize(w.decode())] for w in (text or "").encode().split()]
+        expected[d, len(pieces), sum(map(len, pieces)), sum(p == ["[UNK]"] for p in pieces)] += 1
+    assert Counter((r.doc_id, r.n_words, r.n_tokens, r.n_unknown) for r in op10_token_counts(spark, str(tmp_path)).collect()) == expected
