@@ -14,6 +14,8 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Bytes of a generation of remembered words. A worker has two.
+MEMORY = 120_000_000
 #: How byte-level tokenizers write bytes: printable ones as themselves, the others from U+0100 on.
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_CHARS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
@@ -34,7 +36,7 @@ class WordEncoder:
     found again once a generation is full. No chunk of more than 64 bytes is remembered beyond its text.
     """
 
-    def __init__(self, path: str, limit: int = 72_000_000):
+    def __init__(self, path: str, limit: int = MEMORY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side already
         from tokenizers import Tokenizer
 
@@ -109,6 +111,6 @@ class WordEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, limit: int = MEMORY) -> WordEncoder:
     """One encoder for each vocabulary file and Python worker."""
-    return WordEncoder(path)
+    return WordEncoder(path, limit)

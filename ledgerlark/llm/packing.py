@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.common import documents, slices, small_batches
-from ledgerlark.llm.encoder import encoder, vocabulary_path
+from ledgerlark.llm.encoder import MEMORY, encoder, vocabulary_path
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -79,7 +79,7 @@ class Packer:
         return chosen
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2, pool: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2, pool: int = 4096, memory: int = MEMORY) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit).
 
     A document is the ids of its whole text and then ``end_id``; a null or empty text is the end
@@ -88,7 +88,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2
     fills a sequence, so that only a task's last sequence needs padding. Each row of the input is
     packed once, repeated rows and null doc_ids too; an empty table gives no rows. Very long texts
     are encoded whole. Of pieces of one length the last that came goes first; of subsets that come
-    as near, that of longer pieces. Other columns, whatever their names, are not read. A sequence
+    as near, that of longer pieces. A worker remembers words in two generations of ``memory`` bytes. Other columns, whatever their names, are not read. A sequence
     lies in one task: its number is the task's partition times 2**32 plus its rank there.
     """
     end = end_id.to_bytes(4, "little")
@@ -98,7 +98,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2
         from pyspark import TaskContext
 
         schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())])
-        encode, packer, rows, held = encoder(vocabulary).encode, Packer(capacity), [], 0
+        encode, packer, rows, held = encoder(vocabulary, memory).encode, Packer(capacity), [], 0
         number = TaskContext.get().partitionId() << 32
 
         def put(pieces):

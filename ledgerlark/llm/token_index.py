@@ -1,11 +1,12 @@
 """Token-ID output: raw id payloads in shards, and a minimal perfect hash index from document keys into them.
 
-A written folder holds two Parquet tables. ``payload``: one row per shard with the raw ids of
+A written folder holds three Parquet tables. ``payload``: one row per shard with the raw ids of
 consecutive documents (little-endian, 16 bits where the vocabulary allows it, else 32), their keys
 and lengths, and the shard's place in the order of all ids. ``index``: one row per bucket of keys
 with a hash function that gives each of its keys another slot of 0..n-1, and for each slot a
 32-bit fingerprint of its key, the shard, the offset there and the length. A lookup hashes
 the key to a bucket and a slot and compares one fingerprint, whatever the number of documents.
+``parts``: a row for each task that wrote payload, with what lies before it.
 
 The key of a document is its doc_id and its occurrence: 0 for the first document with that doc_id,
 1 for the second, and so on. So every row can be read, and a doc_id that most rows have is spread
@@ -20,13 +21,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import documents, mix64, scratch_dir, slices, small_batches
+from ledgerlark.llm.common import documents, mix64, saved, scratch_dir, slices, small_batches
 from ledgerlark.llm.encoder import encoder, vocabulary_path
 
 SHARD_IDS = 1 << 20
 BUCKET_KEYS = 1 << 14
 NULL_KEY = -(1 << 63)
 PAYLOAD = "part int, shard long, shard_start long, n_ids long, first_key long, first_seen long, last_key long, last_seen long, width int, doc_ids binary, lengths binary, ids binary"
+PARTS = "part int, first_key long, base long, carried long"
 INDEX = "bucket int, n_keys int, seed int, displacements binary, fingerprints binary, shards binary, offsets binary, lengths binary"
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _KEY_SALT, _PRINT_SALT, _BUCKET_SALT = np.uint64(0x51ED270B270B4F13), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
@@ -149,8 +151,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, s
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     ordered.mapInArrow(shards, PAYLOAD).write.option("compression", "zstd").parquet(f"{path}/payload")
+    payload = docs.sparkSession.read.schema(PAYLOAD).parquet(f"{path}/payload")
+    _parts(payload.drop("ids", "doc_ids", "lengths")).write.parquet(f"{path}/parts")
     keys = stored_keys(docs.sparkSession, path)
-    buckets = max(1, keys.count() // BUCKET_KEYS)
+    buckets = max(1, int(payload.agg(F.sum(F.octet_length("lengths") / 8)).first()[0] or 0) // BUCKET_KEYS)
 
     @F.pandas_udf("int")
     def bucket(ids, seen):
@@ -175,20 +179,22 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, s
 
 
 def _parts(payload: DataFrame) -> DataFrame:
-    """(part, base, first_key, carried): the number of ids before each part, and of rows before it that have its first key. One row per task that wrote."""
+    """(part, first_key, base, carried): the number of ids before each part, and of rows before it that have its first key. One row per task that wrote."""
     last = F.max_by(F.struct("last_key", "last_seen"), "shard")
     parts = payload.groupBy("part").agg(F.sum("n_ids").alias("n_ids"), F.min_by("first_key", "shard").alias("first_key"), last.alias("last"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = saved(parts, "parts")
     bases = parts.select("part", "first_key", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     tails = parts.select(F.col("part").alias("earlier"), F.col("last.last_key").alias("first_key"), (F.col("last.last_seen") + 1).alias("n"))
     carried = bases.join(tails, "first_key").filter("earlier < part").groupBy("part").agg(F.sum("n").alias("carried"))
-    return bases.join(carried, "part", "left").withColumn("carried", F.coalesce("carried", F.lit(0)))
+    return bases.join(carried, "part", "left").select("part", "first_key", "base", F.coalesce("carried", F.lit(0)).alias("carried"))
 
 
 def stored_keys(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, occurrence, key, shard, offset, length) of every document written under ``path``; ``key`` is the doc_id, or NULL_KEY for null."""
     payload = spark.read.schema(PAYLOAD).parquet(f"{path}/payload").drop("ids")
-    known = payload.join(_parts(payload).select("part", F.col("first_key").alias("part_key"), "carried"), "part")
+    parts = spark.read.schema(PARTS).parquet(f"{path}/parts")
+    known = payload.join(F.broadcast(parts.select("part", F.col("first_key").alias("part_key"), "carried")), "part")  # a row a task
 
     def entries(batches):
         import pyarrow as pa
@@ -242,7 +248,8 @@ def read_tokens(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     asked for several times give a row each.
     """
     payload = spark.read.schema(PAYLOAD).parquet(f"{path}/payload")
-    shards = payload.join(_parts(payload.drop("ids")).select("part", "base"), "part").select("shard", (F.col("base") + F.col("shard_start")).alias("shard_start"), "width", "ids")
+    parts = spark.read.schema(PARTS).parquet(f"{path}/parts").select("part", "base")
+    shards = payload.join(F.broadcast(parts), "part").select("shard", (F.col("base") + F.col("shard_start")).alias("shard_start"), "width", "ids")
 
     def cut(wanted, shard):
         import pandas as pd
