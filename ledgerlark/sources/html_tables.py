@@ -5,7 +5,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 class _Rows(HTMLParser):
@@ -58,10 +58,17 @@ def table_rows(html: str | None) -> list[tuple[int, int, list[str]]]:
 
 
 def html_rows(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """(key, table_no, row_no, cells) of every table row of every page; a null page has none."""
+    """(key, table_no, row_no, cells) of every table row of every page; a null page has none. Pages are parsed in Arrow batches."""
+    schema = StructType([pages.schema[key], *StructType.fromDDL("table_no int, row_no int, cells array<string>")])
 
-    @F.udf("array<struct<table_no:int,row_no:int,cells:array<string>>>")
-    def rows(text):
-        return table_rows(text)
+    def run(batches):
+        import pyarrow as pa
 
-    return pages.select(key, F.inline(rows(html)))
+        types = [pa.int32(), pa.int32(), pa.list_(pa.string())]
+        for batch in batches:
+            found = [table_rows(text) for text in batch.column(1).to_pylist()]
+            at = pa.array([k for k, rows in enumerate(found) for _ in rows], pa.int64())
+            columns = list(zip(*(row for rows in found for row in rows), strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=schema.names)
+
+    return pages.select(key, html).mapInArrow(run, schema)

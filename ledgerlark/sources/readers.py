@@ -146,8 +146,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 def read_zipped_index(spark: SparkSession, path: str) -> DataFrame:
     """The index in the first .txt member of each archive at ``path``; bytes that aren't UTF-8 are replaced."""
 
-    @F.udf("array<array<string>>")
-    def rows(content):
+    def rows(content: bytes) -> list[list[str | None]]:
         import csv
         import io
         import zipfile
@@ -162,8 +161,15 @@ def read_zipped_index(spark: SparkSession, path: str) -> DataFrame:
         at = [found[0].index(c) for c in INDEX_COLUMNS]
         return [[row[k] if k < len(row) else None for k in at] for row in found[1:] if any(row)]
 
-    cells = spark.read.format("binaryFile").load(path).select(F.explode(rows("content")).alias("c"))
-    return cells.select(*(F.element_at("c", k + 1).alias(name) for k, name in enumerate(INDEX_COLUMNS)))
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for content in batch.column(0):
+                columns = list(zip(*rows(content.as_py()), strict=True)) or [()] * len(INDEX_COLUMNS)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=list(INDEX_COLUMNS))
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ", ".join(f"{c} string" for c in INDEX_COLUMNS))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
