@@ -526,3 +526,79 @@ def returns_round_trip(spark, sf_dir):
     dated = back["returns"].join(bought.select(F.col("id").cast("string").alias("id"), "tx_date"), "id")
     out = dated.select(F.lit("return").alias("what"), F.col("id").alias("key"), (F.col("tx_date") >= F.col("entry_date")).alias("dated"), F.col("entry_close").alias("close"), "pct")
     return out.union(back["prices"].select(F.lit("price"), "ticker", F.col("asof_date").isNotNull(), "asof_close", F.lit(None).cast("double")))
+
+
+@query(
+    f"""
+    WITH r AS ({ROWS}), n AS (SELECT f, count(*) AS n FROM r GROUP BY f),
+         s AS (SELECT c_custkey AS f, c_name, coalesce(n, 0) AS n, c_custkey % 50 = 7 AS bad, CASE WHEN c_custkey % 10 = 3 THEN 'paper' WHEN c_custkey % 50 = 7 OR n IS NULL THEN 'parse_error' ELSE 'read' END AS state FROM customer LEFT JOIN n ON f = c_custkey WHERE NOT {OLD}),
+         t AS (SELECT * FROM s WHERE state = 'read' OR (state = 'parse_error' AND n > 0))
+    SELECT '1 fetched' AS what, CAST(count(*) AS VARCHAR) AS value FROM s
+    UNION ALL SELECT '1 new trades', CAST(coalesce(sum(n) FILTER (state = 'read'), 0) AS VARCHAR) FROM s UNION ALL SELECT '1 paper', CAST(count(*) FILTER (state = 'paper') AS VARCHAR) FROM s
+    UNION ALL SELECT '1 errors', CAST(count(*) FILTER (state = 'parse_error') AS VARCHAR) FROM s UNION ALL SELECT '1 recovered', '0' UNION ALL SELECT '1 version', '2001-08-01.1'
+    UNION ALL SELECT '2 fetched', CAST(count(*) FILTER (state = 'parse_error') AS VARCHAR) FROM s UNION ALL SELECT '2 new trades', CAST(coalesce(sum(n) FILTER (state = 'parse_error'), 0) AS VARCHAR) FROM s UNION ALL SELECT '2 paper', '0'
+    UNION ALL SELECT '2 errors', CAST(count(*) FILTER (state = 'parse_error' AND n = 0) AS VARCHAR) FROM s UNION ALL SELECT '2 recovered', CAST(count(*) FILTER (state = 'parse_error' AND n > 0) AS VARCHAR) FROM s UNION ALL SELECT '2 version', '2001-08-01.2'
+    UNION ALL SELECT 'trades', CAST(coalesce(sum(n), 0) AS VARCHAR) FROM t UNION ALL SELECT 'members', CAST(count(*) FILTER (n > 0) AS VARCHAR) FROM t
+    UNION ALL SELECT 'processed', CAST(count(*) FILTER (state = 'paper' OR state = 'read' OR n > 0) AS VARCHAR) FROM s UNION ALL SELECT 'skipped', CAST(count(*) FILTER (state = 'paper' OR (state = 'parse_error' AND n = 0)) AS VARCHAR) FROM s
+    UNION ALL SELECT 'featured', 'AFRICA Q. NATION_0|Nobody Known'
+    UNION ALL SELECT 'window', '2000-01-01 2001-08-01'
+    """.replace("AFRICA Q. NATION_0|", "' || (SELECT r_name || ' Q. ' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = 0) || '|")
+)
+def run_counters(spark, sf_dir):
+    """What two runs of one day count, the second with the unreadable filings mended, and the dataset's meta."""
+    data = incremental.Dataset(spark, _scratch(spark, "dataset"))
+    rows, roster = _as_filings(spark, sf_dir), members(spark, sf_dir)
+    mended = rows.withColumn("text", F.regexp_replace("text", "\nOdd Corp .*$", ""))
+    first = roster.filter("position = 0").first().name  # one name of the roster
+    found = []
+    for k, given in enumerate((rows, mended), 1):
+        r = incremental.run(data, given, filings.text_trades, roster, "2001-08-01", "now", [f"Hon. {first}", "Nobody Known"])
+        counts = {"fetched": r.fetched, "new trades": r.new_trades, "paper": r.paper_skips, "errors": r.parse_errors, "recovered": r.recovered_errors, "version": r.version}
+        found += [(f"{k} {name}", str(value)) for name, value in counts.items()]
+    counts = {"trades": "trades", "members": "members", "processed": "filings_processed", "skipped": "filings_skipped"}
+    told = {name: F.col(f"counts.{c}").cast("string") for name, c in counts.items()}
+    told |= {"featured": F.array_join("featured", "|"), "window": F.concat_ws(" ", F.col("window.from").cast("string"), F.col("window.to").cast("string"))}
+    meta = data.read("meta").select(F.explode(F.array(*(F.struct(F.lit(n).alias("what"), c.alias("value")) for n, c in told.items()))).alias("x")).select("x.*")
+    return spark.createDataFrame(found, "what string, value string").unionByName(meta)
+
+
+@query(
+    f"WITH t AS ({TRADES}), x AS (SELECT ticker, count(*) FILTER (type = 'buy') AS buys, count(*) FILTER (type = 'sell') AS sells FROM t WHERE tx_date >= DATE '2001-05-03' GROUP BY 1), "
+    "y AS (SELECT ticker, buys, sells, buys + sells AS total FROM x WHERE buys + sells > 0 ORDER BY total DESC, ticker LIMIT 10) SELECT *, total / CAST(max(total) OVER () AS DOUBLE) AS bar FROM y"
+)
+def ticker_bars(spark, sf_dir):
+    """The ten most traded tickers of the last 90 days, with their share of the first one's trades."""
+    return views.top_tickers(trades(spark, sf_dir), "2001-08-01")
+
+
+@query(f"WITH p AS (SELECT *, row_number() OVER (ORDER BY c_custkey) AS k FROM customer WHERE NOT {OLD}) SELECT 'house' AS chamber, 'f' || CAST(c_custkey AS VARCHAR) AS filing_id, c_name AS member, DATE '2001-07-01' AS filing_date FROM p WHERE k <= 25")
+def capped_run(spark, sf_dir):
+    """The first 25 filings of the listing that a capped run would fetch."""
+    return incremental.planned(incremental.Dataset(spark, _scratch(spark, "dataset")), _as_filings(spark, sf_dir), "2001-08-01", 25)
+
+
+@query("SELECT n_nationkey AS position, n_name AS name FROM nation")
+def featured_list(spark, sf_dir):
+    """A list of names, written as a JSON array and read back with places."""
+    path = _scratch(spark, "featured")
+    names = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"])
+    table(spark, sf_dir, "nation").agg(F.to_json(names).alias("value")).write.text(path)
+    return readers.read_featured(spark, path)
+
+
+@query("SELECT 'txt' AS kind, CAST(sum(length(c_name) + length(c_mktsegment) + 2) AS BIGINT) AS n_bytes FROM customer")
+def stored_documents(spark, sf_dir):
+    """Files told apart by their suffix, and the bytes in them."""
+    path = _scratch(spark, "documents")
+    table(spark, sf_dir, "customer").select(F.concat_ws(" ", "c_name", "c_mktsegment").alias("value")).write.text(path)
+    return readers.read_documents(spark, f"{path}/part-*").groupBy("kind").agg(F.sum(F.octet_length("content")).alias("n_bytes"))
+
+
+@query("SELECT event_type, count(*) AS n, sum(CASE event_type WHEN 'click' THEN -8 WHEN 'error' THEN -3 ELSE -6 END) AS hundredths FROM events GROUP BY 1")
+def style_rho(spark, sf_dir):
+    """Kinds of events as styles of play: two known ones and others."""
+    from ledgerlark.operators import probability
+
+    style = F.when(F.col("event_type") == "click", "low_block").when(F.col("event_type") == "error", "end_to_end").otherwise("unknown")
+    rows = table(spark, sf_dir, "events").select("event_type", F.round(probability.style_rho(style) * 100).cast("long").alias("r"))
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("r").alias("hundredths"))

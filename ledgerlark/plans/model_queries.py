@@ -117,3 +117,24 @@ def result_documents(spark, sf_dir):
     found = sinks.result_json(full).select("match_id", F.from_json("result", shape).alias("r")).join(full.select("match_id", F.split("calibration", "\n")[0].alias("calibration")), "match_id")
     out = found.select("match_id", F.col("r.match").alias("title"), F.col("r.markets.1x2.home").alias("p_home"), F.col("r.markets.expected_total_goals").alias("goals"), F.col("r.confidence.level").alias("level"), F.size("r.markets.top_scorelines").alias("n_scores"), "calibration")
     return _rounded(out, "p_home", "goals")
+
+
+@query(
+    MODEL
+    + """
+    SELECT match_id, 'Home ' || format('{:.1f}', p_home * 100) || '%  Draw ' || format('{:.1f}', p_draw * 100) || '%  Away ' || format('{:.1f}', p_away * 100) || '%' AS result, match_id % 4 = 1 AS has_corners, match_id % 4 = 2 AS has_cards, true AS has_knockout,
+           9 AS n_sections, CASE WHEN fh IS NOT NULL OR match_id % 2 = 0 THEN 1 + CAST(fh IS NOT NULL AS INT) + CAST(match_id % 2 = 0 AS INT) ELSE 0 END AS n_sources
+    FROM r
+    """
+)
+def report_texts(spark, sf_dir):
+    """The text report of each match: its result line, which sections it has and how many sources."""
+    from ledgerlark.sources import sinks
+
+    report = sinks.match_report(probability.full_results(matches(spark, sf_dir), with_knockout=True))
+    text = F.col("report")
+    sources = F.regexp_count(text, F.lit(r"\n  (Own model|Market \(de-vig\)|Supercomputer): "))
+    return report.select(
+        "match_id", F.regexp_extract(text, r"\[3\] 1X2\n  ([^\n]*)", 1).alias("result"), text.contains("[5b] CORNERS").alias("has_corners"), text.contains("[5c] CARDS").alias("has_cards"),
+        text.contains("[K] KNOCKOUT").alias("has_knockout"), F.regexp_count(text, F.lit(r"(^|\n)\[[1-9]\] ")).alias("n_sections"), sources.alias("n_sources"),
+    )
