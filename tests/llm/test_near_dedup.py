@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from ledgerlark.llm.near_dedup import fewest_matches, near_duplicates, shingle_set
+from ledgerlark.llm.near_dedup import SHARED, block_pairs, fewest_matches, near_duplicates, shingle_set
 
 
 def brute(rows, width, percent):
@@ -95,3 +95,25 @@ def test_pruning_bound_is_the_beta_tail():
         draws = rng.beta(m + 1, n - m + 1, 2_000_000)
         assert (np.mean(draws >= 0.8) >= 1e-3) == (m >= least[0])
     assert math.isclose(len(shingle_set("a b a b a", 2)), 2)
+
+
+def test_blocks_of_one_component_do_not_meet(spark):
+    cells = [(1, 7, k) for k in range(16)] + [(1, SHARED, 0)]  # a large component and a few strays
+    cells += [(2, SHARED, k) for k in range(3)] + [(3, 5, 0), (3, 5, 1), (3, 9, 0)] + [(4, 8, k) for k in range(5)]
+    pairs = [tuple(r) for r in block_pairs(spark.createDataFrame(cells, "band long, owner long, chunk int")).collect()]
+    assert len(pairs) == len(set(pairs))
+    by_band = {b: sorted(p[1:] for p in pairs if p[0] == b) for b in range(1, 5)}
+    assert len(by_band[1]) == 17 and len(by_band[2]) == 6 and by_band[3] == [(5, 0, 9, 0), (5, 1, 9, 0)] and by_band[4] == []
+
+
+def test_a_large_component_and_strays_equal_all_pairs(spark):
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for k in range(600):  # near copies of one text, and near copies of texts that share two thirds of it
+        copy = base[:60] + [f"y{k % 3}v{i}" for i in range(30)] if k >= 560 else list(base)
+        for _ in range(rng.randint(0, 4)):
+            copy[rng.randrange(90)] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(copy)))
+    got = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect())
+    assert got == sorted(brute(rows, 2, 80))
