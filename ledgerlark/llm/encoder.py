@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import os
-import struct
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -14,17 +13,13 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-#: Bytes of a generation of remembered words. A worker has two.
-MEMORY = 120_000_000
+#: Words of a generation that a worker remembers, some 200 bytes each. It has two generations.
+REMEMBER = 500_000
 #: How byte-level tokenizers write bytes: printable ones as themselves, the others from U+0100 on.
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_CHARS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
-def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 class WordEncoder:
     """Encodes texts with a tokenizer that never joins characters across ASCII white space.
 
@@ -32,68 +27,60 @@ class WordEncoder:
     A word of Latin letters alone is one unit for its model, which then is asked directly.
     For such a tokenizer the ids of a text are the ids of its white-space-separated chunks, in
     order, so a chunk met before costs one dictionary lookup. The memory is bounded: a generation
-    of about ``limit`` bytes of chunks, and the one before it, which is where those in use are
-    found again once a generation is full. No chunk of more than 64 bytes is remembered beyond its text.
+    of about ``remember`` chunks, and the one before it, which is where those in use are found
+    again once a generation is full. None of more than 64 bytes is remembered beyond its text.
     """
 
-    def __init__(self, path: str, limit: int = MEMORY):
+    def __init__(self, path: str, remember: int = REMEMBER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.limit, self.size = limit, 0
+        self.remember = remember
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
-        self.marks = {mark: self._ids([mark.decode()])[0] for mark in (b",", b".")} | {b"": b""}
+        self.marks = {mark: self._ids([mark.decode()])[0] for mark in (b",", b".")}
 
     def encode(self, text: str | None, end: bytes = b"") -> bytes:
         """The ids as little-endian unsigned 32-bit integers, then ``end``. A null text is empty."""
         chunks = (text or "").encode("utf-8", "surrogatepass").split()
-        try:
-            return b"".join(map(self.known.__getitem__, chunks)) + end
-        except KeyError:
-            pass
-        if self.size > self.limit:
-            self.known, self.before, self.size = {}, self.known, 0
-        lacking = set(chunks).difference(self.known)
-        new = lacking.difference(self.before)
+        if len(self.known) > self.remember:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        lacking = set(chunks).difference(known)
+        if not lacking:
+            return b"".join(map(known.__getitem__, chunks)) + end
+        new = lacking.difference(before)
         for chunk in lacking.difference(new):
-            self._keep(chunk, self.before[chunk])
+            known[chunk] = before[chunk]
         self._learn(new)
-        ids = b"".join(map(self.known.__getitem__, chunks)) + end
+        ids = b"".join(map(known.__getitem__, chunks)) + end
         for chunk in new:
             if len(chunk) > 64:
-                del self.known[chunk]
-        return ids
-
-    def _keep(self, chunk: bytes, ids: bytes) -> bytes:
-        self.size += len(chunk) + len(ids) + 200
-        self.known[chunk] = ids
+                known.pop(chunk, None)
+                known.pop(self._stem(chunk)[0], None)
         return ids
 
     def _learn(self, chunks: set[bytes]) -> None:
-        known, tokenize, others = self.known, self.model.tokenize, []
+        known, tokenize, packed, marks, others = self.known, self.model.tokenize, self.packed, self.marks, []
         for chunk in chunks:
             stem, mark = self._stem(chunk)
             ids = known.get(stem)
             if ids is None:
                 word = stem.decode("utf-8", "replace")
-                if stem.isalpha():
-                    ids = _packed([t.id for t in tokenize(word)])
-                elif self._latin(word):
-                    ids = _packed([t.id for t in tokenize(word.lower().encode().decode("latin-1").translate(_BYTE_CHARS))])
-                else:
-                    others.append((chunk, chunk.decode("utf-8", "replace")))
-                    continue
-                if len(stem) <= 64:
-                    self._keep(stem, ids)
-            self._keep(chunk, ids + self.marks[mark])
-        for (chunk, _), ids in zip(others, self._ids([word for _, word in others]), strict=True):
-            self._keep(chunk, ids)
+                if not stem.isalpha():
+                    if not self._latin(word):
+                        others.append(chunk)
+                        continue
+                    word = word.lower().encode().decode("latin-1").translate(_BYTE_CHARS)
+                ids = known[stem] = b"".join([packed[t.id] for t in tokenize(word)])
+            known[chunk] = ids + marks[mark] if mark else ids
+        known.update(zip(others, self._ids([c.decode("utf-8", "replace") for c in others]), strict=True))
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return [b"".join([self.packed[i] for i in e.ids]) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     @staticmethod
     def _latin(word: str) -> bool:
@@ -103,14 +90,15 @@ class WordEncoder:
         """The chunk without a final comma or full stop after a word of Latin letters, and that mark; their ids are the chunk's. ASCII is lower-cased as the tokenizer does."""
         if chunk.isascii() and b"<|" not in chunk:
             chunk = chunk.lower()
-        if chunk[-1:] in (b",", b"."):
+        mark = chunk[-1:]
+        if mark == b"," or mark == b".":
             stem = chunk[:-1]
             if stem[-1:].isalpha() or self._latin(stem.decode("utf-8", "replace")):
-                return stem, chunk[-1:]
+                return stem, mark
         return chunk, b""
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str, limit: int = MEMORY) -> WordEncoder:
+def encoder(path: str, remember: int = REMEMBER) -> WordEncoder:
     """One encoder for each vocabulary file and Python worker."""
-    return WordEncoder(path, limit)
+    return WordEncoder(path, remember)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ledgerlark.llm.common import documents, saved, slices, small_batches
 from ledgerlark.llm.encoder import vocabulary_path
 
-GIANT = 16_384
+GIANT = 32_768
 CHUNK = 4_096
 FAN = 64
 MARK = "▁"
@@ -330,32 +330,37 @@ def scan_states(matrices: list[list[int]], entry: int = 0, exit_: int | None = N
 
 
 def _settled(matrices: DataFrame, last: int, fan: int) -> DataFrame:
-    """(row, place, entry, exit) of the matrices (row, place, matrix; places 0 to ``last`` at most) on the one path of each row."""
-    stretch = F.floor(F.col("place") / fan).cast("int")
-    numbers = lambda column: [[int(x) for x in m] for m in column]
+    """(row, place, entry, exit) of the matrices (row, place, matrix; places 0 to ``last`` at most) on the one path of each row. At most ``fan`` matrices are in a row of any table on the way."""
 
-    def multiply(own):
-        import pandas as pd
+    def numbers(matrices):
+        return [[int(x) for x in m["matrix"]] for m in matrices]
 
-        own = own.sort_values("place")
-        total = functools.reduce(product, numbers(own["matrix"]))
-        return pd.DataFrame({"row": own["row"].iloc[:1], "place": own["stretch"].iloc[:1], "matrix": [[str(x) for x in total]]})
+    def multiply(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches, 16):
+            rows, stretches, parts = (c.to_pylist() for c in batch.columns)
+            totals = [[str(x) for x in functools.reduce(product, numbers(p))] for p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(stretches, pa.int32()), pa.array(totals, pa.list_(pa.string()))], names=["row", "place", "matrix"])
 
-    def scan(own):
-        import pandas as pd
+    def scan(batches):
+        import pyarrow as pa
 
-        own = own.sort_values("place")
-        ends = (int(own["first"].iloc[0]), int(own["last"].iloc[0])) if "first" in own else ()
-        entries, exits = zip(*scan_states(numbers(own["matrix"]), *ends), strict=True)
-        return pd.DataFrame({"row": own["row"], "place": own["place"], "entry": entries, "exit": exits})
+        for batch in slices(batches, 16):
+            found = []
+            for row, parts, first, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found += [(row, p["place"], *states) for p, states in zip(parts, scan_states(numbers(parts), first, end), strict=True)]
+            columns = list(zip(*found, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["row", "place", "entry", "exit"])
 
-    states = "row long, place int, entry int, exit int"
+    states, none = "row long, place int, entry int, exit int", F.lit(None).cast("int")
+    parts = F.array_sort(F.collect_list(F.struct("place", "matrix"))).alias("parts")
     if last < fan:
-        return matrices.groupBy("row").applyInPandas(scan, states)
-    matrices = saved(matrices, "matrices")
-    products = matrices.withColumn("stretch", stretch).groupBy("row", "stretch").applyInPandas(multiply, "row long, place int, matrix array<string>")
-    ends = _settled(products, last // fan, fan).select("row", F.col("place").alias("stretch"), F.col("entry").alias("first"), F.col("exit").alias("last"))
-    return matrices.withColumn("stretch", stretch).join(ends, ["row", "stretch"]).groupBy("row", "stretch").applyInPandas(scan, states)
+        return matrices.groupBy("row").agg(parts).select("row", "parts", F.lit(0).alias("first"), none.alias("end")).mapInArrow(scan, states)
+    stretched = saved(matrices.withColumn("stretch", F.floor(F.col("place") / fan).cast("int")).groupBy("row", "stretch").agg(parts), "matrices")
+    products = stretched.mapInArrow(multiply, "row long, place int, matrix array<string>")
+    ends = _settled(products, last // fan, fan).select("row", F.col("place").alias("stretch"), F.col("entry").alias("first"), F.col("exit").alias("end"))
+    return stretched.join(ends, ["row", "stretch"]).select("row", "parts", "first", "end").mapInArrow(scan, states)
 
 
 def _scanned(chunks: DataFrame, vocabulary: str, size: int, fan: int) -> DataFrame:

@@ -30,7 +30,7 @@ def docs(spark):
 
 def test_words_encoded_one_by_one_equal_whole_texts():
     path = vocabulary_path()
-    whole, by_word = Tokenizer.from_file(path), WordEncoder(path, limit=5)
+    whole, by_word = Tokenizer.from_file(path), WordEncoder(path, remember=5)
     for _, text in DOCS * 2:
         expected = whole.encode(text or "", add_special_tokens=False).ids
         assert np.frombuffer(by_word.encode(text), "<u4").tolist() == expected
@@ -120,8 +120,8 @@ def test_words_of_letters_and_marks_equal_whole_texts():
     path, rng = vocabulary_path(), random.Random(6)
     whole = Tokenizer.from_file(path)
     letters = "abzAZ" * 3 + "éÉñßçÀœŁıİǆʰͅαΣжδ你0.,'!-_<|>#\x1c\x85"
-    for limit in (400, 3_000, 10**9):  # generations end within, between and never
-        by_word = WordEncoder(path, limit=limit)
+    for remember in (2, 15, 10**9):  # generations end within, between and never
+        by_word = WordEncoder(path, remember=remember)
         for _ in range(800):
             text = " ".join("".join(rng.choices(letters, k=rng.randint(1, 7))) + rng.choice(["", "", ",", ".", ".,"]) for _ in range(rng.randint(0, 9)))
             assert np.frombuffer(by_word.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
