@@ -29,6 +29,8 @@ from ledgerlark.llm.encoder import vocabulary_path
 GIANT = 32_768
 CHUNK = 4_096
 FAN = 64
+SHORT = 32
+NONE = float("-inf")
 MARK = "▁"
 CHUNKS = "row long, doc_id long, chunk int, start long, n_chars long, text string"
 
@@ -68,16 +70,17 @@ class PieceModel:
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by merging, again and again, the first of the best-scored pairs."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                score = self.scores.get(parts[k] + parts[k + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, k
-            if best is None:
-                return parts
+        score, parts = self.scores.get, list(text)
+        pairs = [score(a + b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs and (best := max(pairs)) != NONE:
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = score(parts[at - 1] + parts[at], NONE)
+            if at < len(pairs):
+                pairs[at] = score(parts[at] + parts[at + 1], NONE)
+        return parts
 
     def compatible(self, left: str, right: str) -> bool:
         if left[-1] + right[0] not in self.bigrams:
@@ -152,10 +155,12 @@ class PieceModel:
         return np.array(ids, "<u4").tobytes()
 
     def whole(self, text: str) -> list[str]:
-        """The pieces of a closed run of text: its one compatible path, tried longest piece first.
+        """The pieces of a closed run of text. Of a short one they are merged, as that costs least; of a longer one they are its one compatible path, tried longest piece first.
 
         Each place is reached by one compatible path at most, so a place given up is dead for good.
         """
+        if len(text) <= SHORT:
+            return self.merged(text)
         out, at, n, dead = [], 0, len(text), set()
         waiting = [self.ends(text, 0)]
         while at < n:

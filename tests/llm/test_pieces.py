@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from ledgerlark.llm import pieces
 from ledgerlark.llm.encoder import vocabulary_path
 from ledgerlark.llm.pieces import Chunk, PieceModel, decode_pieces, encode_pieces, op4_piece_ids, product, scan_states
 
@@ -31,6 +32,16 @@ def test_lattice_path_equals_the_library(model):
         assert model.encode(model.normalize(text)) == library_ids(model, text)
 
 
+def test_lattice_path_of_short_runs_equals_merging(model):
+    rng = random.Random(9)
+    for _ in range(2000):
+        text = "".join(rng.choices("theingaosr☃é", k=rng.randint(1, pieces.SHORT)))
+        short, pieces.SHORT = pieces.SHORT, 0
+        path = model.whole(text)
+        pieces.SHORT = short
+        assert path == model.merged(text) == model.whole(text)
+
+
 def test_scan_of_chunks_equals_the_library(model):
     rng, n = random.Random(2), model.longest
     for _ in range(300):
