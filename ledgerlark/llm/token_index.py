@@ -18,7 +18,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.common import documents, mix64, saved, scratch_dir, slices, small_batches
@@ -31,7 +31,7 @@ PAYLOAD = "part int, shard long, shard_start long, n_ids long, first_key long, f
 PARTS = "part int, first_key long, base long, carried long"
 INDEX = "bucket int, n_keys int, seed int, displacements binary, fingerprints binary, shards binary, offsets binary, lengths binary"
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_KEY_SALT, _PRINT_SALT, _BUCKET_SALT = np.uint64(0x51ED270B270B4F13), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
+_KEY_SALT, _PRINT_SALT = np.uint64(0x51ED270B270B4F13), np.uint64(0xD1B54A32D192ED03)
 
 
 def key_hash(keys: np.ndarray, seen: np.ndarray, salt: np.uint64) -> np.ndarray:
@@ -43,8 +43,8 @@ def key_fingerprint(keys: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return (key_hash(keys, seen, _PRINT_SALT) >> np.uint64(32)).astype(np.uint32)
 
 
-def bucket_of(keys: np.ndarray, seen: np.ndarray, buckets: int) -> np.ndarray:
-    return ((key_hash(keys, seen, _BUCKET_SALT) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("key", "occurrence"), F.lit(buckets)).cast("int")
 
 
 def seeded(keys: np.ndarray, seen: np.ndarray, seed: int) -> np.ndarray:
@@ -109,11 +109,11 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, s
     ``path`` may be in any store that Spark writes. A shard holds whole documents, up to
     ``shard_ids`` ids or one longer document, whatever its length. Null texts are empty. Null
     doc_ids come first, under NULL_KEY (which no doc_id may be). Of equal doc_ids, null ones too,
-    the order is by a hash of the text, and of equal texts, whose ids are the same anyway, by their
-    place in the table. Other columns are not read. Of an empty table both tables are empty.
+    the order is by their place in the table, which is the same however often a task is run. Other
+    columns are not read. Of an empty table all tables are empty.
 
-    Texts are shuffled once, by ranges of doc_id, hash and place, so that rows of one doc_id are
-    spread as well; the index is built from keys and lengths alone, by bucket.
+    Texts are shuffled once, by ranges of doc_id and place, so that rows of one doc_id are spread
+    as well; the index is built from keys and lengths alone, by bucket.
     """
 
     def shards(batches):
@@ -132,23 +132,23 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, s
             known = np.array([NULL_KEY if k is None else k for k in keys], "<i8")
             first_seen = seen + 1 if last == known[0] else 0
             last, seen = int(known[-1]), int(occurrences(known, first_seen)[-1])
-            row = (part, (part << 32) + number, start, held, int(known[0]), first_seen, last, seen, int(dtype[-1]), known.tobytes(), np.array(lengths, "<i8").tobytes(), b"".join(parts))
+            row = (part, (part << 32) + number, start, held, int(known[0]), first_seen, last, seen, int(dtype[-1]), known.tobytes(), np.array(lengths, "<i8").tobytes(), np.frombuffer(b"".join(parts), "<u4").astype(dtype).tobytes())
             start, number, held = start + held, number + 1, 0
             keys.clear(), lengths.clear(), parts.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
 
         for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(encode(text, end), "<u4")
-                if keys and held + len(ids) > shard_ids:
+                ids = encode(text, end)
+                if keys and held + len(ids) // 4 > shard_ids:
                     yield flush()
-                keys.append(doc_id), lengths.append(len(ids)), parts.append(ids.astype(dtype).tobytes())
-                held += len(ids)
+                keys.append(doc_id), lengths.append(len(ids) // 4), parts.append(ids)
+                held += len(ids) // 4
         if keys:
             yield flush()
 
-    order = [F.asc_nulls_first("doc_id"), F.asc("hash"), F.asc("place")]
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    order = [F.asc_nulls_first("doc_id"), F.asc("place")]
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("place"))
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     ordered.mapInArrow(shards, PAYLOAD).write.option("compression", "zstd").parquet(f"{path}/payload")
     payload = docs.sparkSession.read.schema(PAYLOAD).parquet(f"{path}/payload")
@@ -156,12 +156,6 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, s
     keys = stored_keys(docs.sparkSession, path)
     buckets = max(1, int(payload.agg(F.sum(F.octet_length("lengths") / 8)).first()[0] or 0) // BUCKET_KEYS)
 
-    @F.pandas_udf("int")
-    def bucket(ids, seen):
-        import pandas as pd
-
-        return pd.Series(bucket_of(ids.to_numpy(), seen.to_numpy(), buckets))
-
     def build(rows):
         import pandas as pd
 
@@ -174,7 +168,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, s
         values = (int(rows["bucket"].iloc[0]), len(keys), seed, perfect.displacements.astype("<i4").tobytes(), column(key_fingerprint(keys, seen), "<u4"), *(column(rows[c].to_numpy(), "<i8") for c in ("shard", "offset", "length")))
         return pd.DataFrame([values], columns=[c.split()[0] for c in INDEX.split(", ")])
 
-    placed = keys.withColumn("bucket", bucket("key", "occurrence"))
+    placed = keys.withColumn("bucket", _bucket(buckets))
     placed.groupBy("bucket").applyInPandas(build, INDEX).write.option("compression", "zstd").parquet(f"{path}/index")
 
 
@@ -216,12 +210,6 @@ def _located(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     buckets = (index.agg(F.max("bucket")).first()[0] or 0) + 1
     names = ["key", "occurrence", "shard", "offset", "length"]
 
-    @F.pandas_udf("int")
-    def bucket(ids, seen):
-        import pandas as pd
-
-        return pd.Series(bucket_of(ids.to_numpy(), seen.to_numpy(), buckets))
-
     def find(wanted, blobs):
         import pandas as pd
 
@@ -235,7 +223,7 @@ def _located(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
         return pd.DataFrame({"key": ids[hit], "occurrence": seen[hit]} | columns)
 
     seen = F.col("occurrence").cast("long") if "occurrence" in keys.columns else F.lit(0).cast("long")
-    wanted = keys.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), seen.alias("occurrence")).withColumn("bucket", bucket("key", "occurrence"))
+    wanted = keys.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), seen.alias("occurrence")).withColumn("bucket", _bucket(buckets))
     return wanted.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(find, ", ".join(f"{c} long" for c in names))
 
 
@@ -258,8 +246,8 @@ def read_tokens(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
         if not len(wanted) or not len(shard):
             return pd.DataFrame({c: [] for c in names})
         row = shard.iloc[0]
-        ids = np.frombuffer(row.ids, f"<u{row.width}")
-        cuts = [ids[o : o + n].astype("<u4").tobytes() for o, n in zip(wanted["offset"], wanted["length"], strict=True)]
+        ids = np.frombuffer(row.ids, f"<u{row.width}").astype("<u4").tobytes()
+        cuts = [ids[4 * o : 4 * (o + n)] for o, n in zip(wanted["offset"], wanted["length"], strict=True)]
         return pd.DataFrame({"doc_id": wanted["key"], "occurrence": wanted["occurrence"], "start": row.shard_start + wanted["offset"], "n_tokens": wanted["length"], "ids": cuts})
 
     found = _located(spark, path, keys).groupBy("shard").cogroup(shards.groupBy("shard")).applyInPandas(cut, "doc_id long, occurrence long, start long, n_tokens long, ids binary")

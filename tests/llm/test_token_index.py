@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -14,14 +15,17 @@ def test_perfect_hash_is_minimal():
         assert sorted(PerfectHash.of(hashes).slots(hashes).tolist()) == list(range(n))
 
 
-def expected(rows):
-    """(doc_id, start, n_tokens, crc32 of the ids) of rows (doc_id, text), by whole-text encoding; equal doc_ids in any order of their texts."""
-    whole, start, out = Tokenizer.from_file(vocabulary_path()), 0, []
+def holds(got, rows):
+    """Whether ``got`` (start, doc_id, n_tokens, crc32 of the ids) are the rows (doc_id, text) by whole-text encoding, one after the other in ascending doc_id order, null first."""
+    whole, expected = Tokenizer.from_file(vocabulary_path()), Counter()
     for doc_id, text in rows:
         ids = np.array([*whole.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
-        out.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
-        start += len(ids)
-    return out
+        expected[doc_id, len(ids), zlib.crc32(ids.tobytes())] += 1
+    got = sorted(got)
+    assert Counter(g[1:] for g in got) == expected
+    assert [g[0] for g in got] == [sum(g[2] for g in got[:k]) for k in range(len(got))]
+    order = [(g[1] is not None, g[1] or 0) for g in got]
+    assert order == sorted(order)
 
 
 def made():
@@ -33,22 +37,15 @@ def made():
     return rows
 
 
-def by_place(rows, order):
-    """``rows`` in ascending doc_id order, null first, equal doc_ids in that of ``order``."""
-    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, order[r[0], r[1]]))
-
-
 def test_every_row_comes_back_with_its_place(spark, tmp_path):
     rows = made()
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, start int").repartition(6)
-    hashes = {(r.doc_id, r.text): r.h for r in docs.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()}
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one part
     write_tokens(docs, f"{tmp_path}/t", vocabulary_path(), shard_ids=300)
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     keys = stored_keys(spark, f"{tmp_path}/t")
     assert spark.read.parquet(f"{tmp_path}/t/payload").select("part").distinct().count() > 2
-    got = sorted((r.start, r.doc_id, r.n_tokens, zlib.crc32(bytes(r.ids))) for r in read_tokens(spark, f"{tmp_path}/t", keys).collect())
-    assert got == [(start, doc_id, n, crc) for doc_id, start, n, crc in expected(by_place(rows, hashes))]
+    holds([(r.start, r.doc_id, r.n_tokens, zlib.crc32(bytes(r.ids))) for r in read_tokens(spark, f"{tmp_path}/t", keys).collect()], rows)
     seen = {(r.doc_id, r.occurrence) for r in keys.collect()}
     assert {k for d, k in seen if d is None} == {0, 1, 2} and {k for d, k in seen if d == 5 * 10**6} == set(range(900)) and len(seen) == len(rows)
     asked = spark.createDataFrame([(987654321,), (rows[0][0],)], "doc_id long")
@@ -59,9 +56,7 @@ def test_query_equals_whole_text_encoding(spark, tmp_path):
     rows = made()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    hashes = {(r.doc_id, r.text): r.h for r in docs.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()}
-    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in op3_token_index(spark, str(tmp_path)).collect())
-    assert got == [(start, doc_id, n, crc) for doc_id, start, n, crc in expected(by_place(rows, hashes))]
+    holds([(r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in op3_token_index(spark, str(tmp_path)).collect()], rows)
 
 
 def test_empty_table(spark, tmp_path):
