@@ -594,7 +594,7 @@ def stored_documents(spark, sf_dir):
     return readers.read_documents(spark, f"{path}/part-*").groupBy("kind").agg(F.sum(F.octet_length("content")).alias("n_bytes"))
 
 
-@query("SELECT event_type, count(*) AS n, sum(CASE event_type WHEN 'click' THEN -8 WHEN 'error' THEN -3 ELSE -6 END) AS hundredths FROM events GROUP BY 1")
+@query("SELECT event_type, count(*) AS n, CAST(sum(CASE event_type WHEN 'click' THEN -8 WHEN 'error' THEN -3 ELSE -6 END) AS BIGINT) AS hundredths FROM events GROUP BY 1")
 def style_rho(spark, sf_dir):
     """Kinds of events as styles of play: two known ones and others."""
     from ledgerlark.operators import probability
