@@ -14,7 +14,7 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 
 #: Words of a generation that a worker remembers, some 200 bytes each. It has two generations.
-REMEMBER = 400_000
+REMEMBER = 700_000
 #: How byte-level tokenizers write bytes: printable ones as themselves, the others from U+0100 on.
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_CHARS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
