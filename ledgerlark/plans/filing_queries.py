@@ -445,7 +445,7 @@ def incremental_run(spark, sf_dir):
            CASE c_custkey % 4 WHEN 0 THEN 'SP' WHEN 1 THEN 'Trust' WHEN 2 THEN NULL ELSE 'DC' END AS owner, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'A' || CAST(c_custkey AS VARCHAR) END AS ticker, 'A' || CAST(c_custkey AS VARCHAR) || '-B' AS symbol,
            CASE c_custkey % 3 WHEN 0 THEN 'sell' WHEN 1 THEN 'buy' END AS kind, DATE '2001-01-01' + CAST(c_custkey % 300 AS INT) AS day, c_name || ' Inc' AS company,
            CASE WHEN c_custkey % 2 = 0 THEN 'http://x/' ELSE 'https://b/x/' END || CAST(c_custkey AS VARCHAR) AS url, CAST(floor(100.0 * (c_custkey % 7) / greatest(c_custkey % 7 + c_custkey % 5, 1) + 0.5) AS BIGINT) AS buy_share,
-           format('{:.1f}%', (c_custkey % 8) / 8.0 * 100) AS percent, CASE WHEN c_custkey >= 10 THEN '$' || CAST(c_custkey AS VARCHAR) || 'k' ELSE '$' || CAST(c_custkey * 100 AS VARCHAR) END AS money,
+           format('{:.1f}%', (c_custkey % 8) / 8.0 * 100) AS percent, CASE WHEN c_custkey % 900 >= 10 THEN '$' || CAST(c_custkey % 900 AS VARCHAR) || 'k' ELSE '$' || CAST(c_custkey % 900 * 100 AS VARCHAR) END AS money,
            CASE WHEN (c_custkey % 10) / 100.0 <= 0.07 THEN 'OK (aligned)' ELSE 'REVIEW calibration (>7 pts)' END AS flag
     FROM customer
     """
@@ -465,7 +465,7 @@ def scalar_texts(spark, sf_dir):
         scalars.clean_ticker(F.when(key % 3 == 0, " -- ").otherwise(say("- A", text, " -"))).alias("ticker"), scalars.market_symbol(say(" a", text, "./b ")).alias("symbol"),
         scalars.parse_tx_type(F.when(key % 3 == 0, "Sale  (Full).").when(key % 3 == 1, " p ").otherwise("gift"))["type"].alias("kind"), scalars.parse_date(F.when(key % 2 == 0, F.date_format(day, "M/d/yyyy")).otherwise(F.date_format(day, "yyyy-M-d"))).alias("day"),
         scalars.company_name(say(name, "  Inc - Class A Common Stock $200?")).alias("company"), scalars.absolute_url(F.when(key % 2 == 0, say("http://x/", text)).otherwise(say("/x/", text)), "https://b").alias("url"),
-        scalars.buy_share(key % 7, key % 5).alias("buy_share"), scalars.percent_text((key % 8) / 8).alias("percent"), scalars.money_text((key * F.when(key >= 10, 1000).otherwise(100)).cast("double")).alias("money"),
+        scalars.buy_share(key % 7, key % 5).alias("buy_share"), scalars.percent_text((key % 8) / 8).alias("percent"), scalars.money_text((key % 900 * F.when(key % 900 >= 10, 1000).otherwise(100)).cast("double")).alias("money"),
         divergence_flag((key % 10) / 100).alias("flag"),
     )
 
