@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerlark.llm import licenses, near_dedup, quality
+from ledgerlark.llm import decontamination, licenses, near_dedup, quality
+from ledgerlark.llm.decontamination import op13_decontamination
 from ledgerlark.llm.fingerprints import op5_fingerprints
 from ledgerlark.llm.licenses import op9_license_scan
 from ledgerlark.llm.near_dedup import op1_near_duplicates
@@ -14,5 +15,5 @@ from ledgerlark.llm.sharding import op2_balanced_shards
 from ledgerlark.llm.token_counts import op10_token_counts
 from ledgerlark.llm.token_index import op3_token_index
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_balanced_shards, op3_token_index, op4_piece_ids, op5_fingerprints, op6_line_quality, op7_pii_spans, op8_pack_sequences, op9_license_scan, op10_token_counts)}
-ORACLES: dict[str, str] = {"op1_near_duplicates": near_dedup.ORACLE, "op6_line_quality": quality.ORACLE, "op9_license_scan": licenses.oracle_sql()}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_balanced_shards, op3_token_index, op4_piece_ids, op5_fingerprints, op6_line_quality, op7_pii_spans, op8_pack_sequences, op9_license_scan, op10_token_counts, op13_decontamination)}
+ORACLES: dict[str, str] = {"op1_near_duplicates": near_dedup.ORACLE, "op6_line_quality": quality.ORACLE, "op9_license_scan": licenses.oracle_sql(), "op13_decontamination": decontamination.ORACLE}
