@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import filings, probability, returns
-from ledgerlark.sources import html_tables, readers, sinks
+from ledgerlark.sources import html_tables, pdf, readers, sinks
 from ledgerlark.streaming import incremental
 
 CHAMBERS = ("house", "senate")
@@ -48,7 +48,7 @@ def parser() -> argparse.ArgumentParser:
         fetch.add_argument("--limit", type=int)
         fetch.add_argument("--dry-run", action="store_true", help="list what would be fetched, write nothing")
         fetch.add_argument("--document", help="write the published document there")
-    parse = add("parse-ptr", "trades of one stored filing (.html or .txt) as JSON lines")
+    parse = add("parse-ptr", "trades of one stored filing (.html, .txt or .pdf) as JSON lines")
     parse.add_argument("file")
     parse.add_argument("--member", default="Local Filer")
     roster = add("roster", "a roster document from legislators' records (JSON) and an older roster")
@@ -97,11 +97,11 @@ def _ingest(spark: SparkSession, args) -> int:
 def _parse_ptr(spark: SparkSession, args) -> int:
     """0; 1 for a file without a text layer, 2 for one of another kind."""
     kind = os.path.splitext(args.file)[1].lower()
-    if kind not in (".html", ".txt"):
+    if kind not in (".html", ".txt", ".pdf"):
         print(f"no reader for {kind or args.file}", file=sys.stderr)
         return 2
-    text = spark.read.option("wholetext", True).text(args.file).select(F.col("value").alias("text"))
-    if kind == ".txt" and text.filter(readers.layered_text("text") != "").isEmpty():
+    text = pdf.read_pdfs(spark, args.file).select("text") if kind == ".pdf" else spark.read.option("wholetext", True).text(args.file).select(F.col("value").alias("text"))
+    if kind != ".html" and text.filter(readers.layered_text("text") != "").isEmpty():
         print("no text layer", file=sys.stderr)
         return 1
     fixed = {"filing_id": "local", "member": args.member, "source_url": args.file, "chamber": "senate" if kind == ".html" else "house"}

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from ledgerlark.functions import scalars
 from ledgerlark.operators import contracts, filings, joins, returns, upserts, views
 from ledgerlark.operators.scratch import scratch_dir
+from ledgerlark.plans.pdf_files import pdf_files
 from ledgerlark.plans.registry import TRADES, query, table, trades
-from ledgerlark.sources import html_tables, readers, sinks
+from ledgerlark.sources import html_tables, pdf, readers, sinks
 from ledgerlark.streaming import incremental
 
 #: The rows of all filings as SQL and, below, as a DataFrame.
@@ -118,6 +119,29 @@ def text_trades(spark, sf_dir):
     return _found(filings.text_trades(text_filings(spark, sf_dir)))
 
 
+@query(_expected("house", "'Nova ' || CAST(k AS VARCHAR) || ' Corp'", "CASE WHEN k % 5 = 4 THEN 'Government Security' ELSE 'Stock' END", "c_custkey % 50 = 7"))
+def pdf_trades(spark, sf_dir):
+    """Trades of the text filings as PDF files: words set one by one, put together again by their places on the pages."""
+    texts = text_filings(spark, sf_dir)
+    files = pdf_files(texts.select(F.col("filing_id").alias("path"), F.concat("text", F.lit("\nDigitally signed by nobody in particular, on paper")).alias("text")))
+    return _found(filings.text_trades(texts.drop("text").join(pdf.pdf_texts(files).withColumnRenamed("path", "filing_id").drop("error"), "filing_id")))
+
+
+@query(
+    f"""
+    WITH r AS ({ROWS}) SELECT 'f' || CAST(f AS VARCHAR) AS path, CAST(1 + place // 40 AS INTEGER) AS page, place % 40 AS line,
+           'row ' || CAST(k AS VARCHAR) || '|' || coalesce(ticker, '--') || '|' || type || '|$' || CAST(lo AS VARCHAR) AS cells FROM r
+    """
+)
+def pdf_cells(spark, sf_dir):
+    """The cells of tables in PDF files, told by the gaps between them."""
+    part = lambda c, n: F.rpad(c, n, " ")
+    row = F.concat(part(F.concat(F.lit("row "), F.col("k").cast("string")), 20), part(F.coalesce("ticker", F.lit("--")), 12), part(F.col("type"), 14), F.lit("$"), F.col("lo").cast("string"))
+    texts = _joined(filing_rows(spark, sf_dir), row, "text").select(F.concat(F.lit("f"), F.col("f").cast("string")).alias("path"), "text")
+    lines = pdf.page_lines(pdf.glyph_runs(pdf_files(texts)))
+    return lines.select("path", "page", "line", F.array_join("cells", "|").alias("cells"))
+
+
 @query(_expected("senate", "'Nova ' || CAST(k AS VARCHAR) || ' & Sons'", "'Stock'", "false"))
 def table_trades(spark, sf_dir):
     """Trades of filings that are HTML pages."""

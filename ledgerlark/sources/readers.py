@@ -182,8 +182,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def layered_text(text) -> F.Column:
     """The text, or an empty one where it has too few characters not to be a scan."""
-    plain = F.length(F.regexp_replace(s.as_column(text), r"(?U)\s+", ""))
-    return F.when(plain < MIN_TEXT, F.lit("")).otherwise(s.as_column(text))
+    return F.when(F.length(s.strip(text)) < MIN_TEXT, F.lit("")).otherwise(s.as_column(text))
 
 
 def read_prices(payloads: DataFrame) -> DataFrame:

@@ -168,7 +168,7 @@ def test_entry_points(spark, capsys, tmp_path):
     trade = json.loads(capsys.readouterr().out)
     assert (trade["id"], trade["member"], trade["amount_hi"], trade["party"]) == ("senate:local:0", "M", 15000, None)
     (tmp_path / "a.txt").write_text("scan")
-    assert main(["parse-ptr", f"{tmp_path}/a.txt"]) == 1 and main(["parse-ptr", f"{tmp_path}/a.pdf"]) == 2
+    assert main(["parse-ptr", f"{tmp_path}/a.txt"]) == 1 and main(["parse-ptr", f"{tmp_path}/a.rtf"]) == 2
     (tmp_path / "l.json").write_text(json.dumps([{"name": {"first": "Ann", "last": "Lee"}, "terms": [{"type": "sen", "state": "QQ", "party": "Democrat"}]}]))
     (tmp_path / "old.json").write_text(json.dumps({"members": [{"name": "Bo Old", "aliases": ["B"]}, {"name": "Ann Lee", "aliases": ["A. L."]}]}))
     assert main(["roster", f"{tmp_path}/l.json", f"{tmp_path}/old.json", f"{tmp_path}/new"]) == 0
