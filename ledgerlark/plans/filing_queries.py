@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import scalars
-from ledgerlark.operators import contracts, filings, joins, returns, upserts, views
+from ledgerlark.operators import contracts, filings, joins, returns, schemas, upserts, views
 from ledgerlark.operators.scratch import scratch_dir
 from ledgerlark.plans.pdf_files import pdf_files
 from ledgerlark.plans.registry import TRADES, query, table, trades
@@ -626,3 +626,49 @@ def style_rho(spark, sf_dir):
     style = F.when(F.col("event_type") == "click", "low_block").when(F.col("event_type") == "error", "end_to_end").otherwise("unknown")
     rows = table(spark, sf_dir, "events").select("event_type", F.round(probability.style_rho(style) * 100).cast("long").alias("r"))
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("r").alias("hundredths"))
+
+
+#: What a conversation as a document must look like.
+CONVERSATION = {
+    "type": "object", "additionalProperties": False, "required": ["id", "kind", "when", "turns"],
+    "properties": {
+        "id": {"type": "integer", "minimum": 0}, "kind": {"const": "chat"}, "when": {"type": "string", "format": "date-time"}, "name": {"type": "string", "pattern": "^c-[0-9]+$"},
+        "score": {"type": "number", "exclusiveMaximum": 100},
+        "turns": {"type": "array", "minItems": 1, "items": {"$ref": "#/definitions/turn"}},
+    },
+    "definitions": {"turn": {"type": "object", "additionalProperties": False, "required": ["turn", "text"], "properties": {"turn": {"type": "integer"}, "role": {"enum": ["user", "assistant"]}, "text": {"type": "string"}}}},
+}
+
+
+@query(
+    """
+    WITH c AS (SELECT conv_id, count(*) AS n, conv_id % 14 AS k FROM conversations GROUP BY conv_id),
+         t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations),
+         w AS (SELECT conv_id, string_agg('/turns/' || CAST(place AS VARCHAR) || '/turn type', '; ' ORDER BY CAST(place AS VARCHAR)) AS typed FROM t GROUP BY conv_id)
+    SELECT conv_id, CASE k WHEN 1 THEN ' required' WHEN 2 THEN ' additionalProperties' WHEN 3 THEN '/id type' WHEN 4 THEN '/kind const' WHEN 5 THEN '/turns/0/role enum' WHEN 6 THEN '/turns/' || CAST(n - 1 AS VARCHAR) || ' required' WHEN 7 THEN '/when format'
+           WHEN 8 THEN '/turns minItems' WHEN 9 THEN ' json' WHEN 10 THEN '/score exclusiveMaximum' WHEN 11 THEN '/name pattern' WHEN 12 THEN '/turns/0 additionalProperties' WHEN 13 THEN typed ELSE '' END AS breaches
+    FROM c JOIN w USING (conv_id)
+    """
+)
+def schema_breaches(spark, sf_dir):
+    """Conversations as JSON documents, thirteen in fourteen of them changed in one way, and what of a schema each breaks."""
+    turns = table(spark, sf_dir, "conversations")
+    k = F.col("conv_id") % 14
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    last = F.count("*").over(Window.partitionBy("conv_id")) - 1
+    placed = turns.select("conv_id", place.alias("place"), last.alias("last"), F.col("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    own = F.to_json(F.struct(
+        F.when(k != 13, F.col("turn")).alias("turn"), F.when(k == 13, F.col("turn").cast("string")).alias("_turn"), F.when((k == 5) & (F.col("place") == 0), "robot").otherwise(F.when(F.col("role").isin("user", "assistant"), F.col("role"))).alias("role"),
+        F.when((k != 6) | (F.col("place") < F.col("last")), F.col("text")).alias("text"), F.when((k == 12) & (F.col("place") == 0), True).alias("odd"),
+    ))
+    listed = placed.select("conv_id", "place", F.replace(own, F.lit('"_turn"'), F.lit('"turn"')).alias("own"))
+    listed = listed.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "own"))), lambda x: x["own"]), ",").alias("turns"))
+    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    name = F.col("conv_id").cast("string")
+    body = say(
+        '{"id":', F.when(k == 3, say('"', name, '"')).otherwise(name), F.when(k == 1, "").when(k == 4, ',"kind":"talk"').otherwise(',"kind":"chat"'), F.when(k == 2, ',"more":[]').otherwise(""),
+        ',"when":"', F.when(k == 7, "2026-13-01T00:00:00Z").otherwise("2026-03-01T00:00:00Z"), '","score":', F.when(k == 10, "100").otherwise("99.5"), ',"name":"', F.when(k == 11, "C-").otherwise("c-"), name,
+        '","turns":[', F.when(k == 8, "").otherwise(F.col("turns")), F.when(k == 9, "").otherwise("]}"),
+    )
+    found = schemas.checked(listed.select("conv_id", body.alias("payload")), CONVERSATION)
+    return found.select("conv_id", F.array_join(F.transform("breaches", lambda b: F.concat_ws(" ", b["path"], b["keyword"])), "; ").alias("breaches"))
