@@ -4,13 +4,23 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Paths of the tables that saved() has written and that are still there, in the order of writing.
-_written: list[str] = []
+
+class _Written(threading.local):
+    """Paths that this thread's queries have written and not deleted, in order: queries of other threads are not among them."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_written = _Written()
+#: All paths of all threads that are still there; they go when the driver's interpreter ends.
+_left: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -34,31 +44,45 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back; it goes with release(), or when the driver's interpreter ends."""
-    spark = df.sparkSession
+def _sweep(spark: SparkSession) -> None:
+    for path in list(_left):
+        _remove(spark, path)
+    _left.clear()
+
+
+def owned(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver's interpreter ends."""
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _left:
+        atexit.unregister(_sweep)
+        atexit.register(_sweep, spark)
+    _left.add(path)
+    return path
+
+
+def saved(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back; it goes with this thread's release(), or when the driver's interpreter ends."""
+    path = owned(df.sparkSession, label)
     df.write.parquet(path)
-    if not _written:
-        atexit.register(release, spark)
-    _written.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    _written.paths.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out
 
 
 def mark() -> int:
-    """Where release() may begin: at the tables that saved() writes from now on."""
-    return len(_written)
+    """Where release() may begin: at the tables that saved() writes from now on, in this thread."""
+    return len(_written.paths)
 
 
 def release(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
-    """Delete the tables that saved() has written since ``since``, but for those of ``keep``. Nothing that still reads them may be used any more."""
+    """Delete the tables that this thread has written with saved() since ``since``, but for those of ``keep``. Nothing that still reads them may be used any more."""
     kept = [df._saved_at for df in keep]
-    for path in _written[since:]:
+    for path in _written.paths[since:]:
         if path not in kept:
             _remove(spark, path)
-    _written[since:] = [path for path in _written[since:] if path in kept]
+            _left.discard(path)
+    _written.paths[since:] = [path for path in _written.paths[since:] if path in kept]
 
 
 def numbered(df: DataFrame, column: str) -> DataFrame:

@@ -6,14 +6,12 @@ from the orders what the parsers must find again.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import scalars
 from ledgerlark.operators import contracts, filings, joins, returns, schemas, upserts, views
-from ledgerlark.operators.scratch import scratch_dir
+from ledgerlark.operators.scratch import owned
 from ledgerlark.plans.pdf_files import pdf_files
 from ledgerlark.plans.registry import TRADES, query, table, trades
 from ledgerlark.sources import html_tables, pdf, readers, sinks
@@ -437,7 +435,7 @@ OLD = "c_custkey % 6 = 0"
 @query(f"SELECT 'house' AS chamber, 'f' || CAST(c_custkey AS VARCHAR) AS filing_id, c_name AS member, DATE '2001-07-01' AS filing_date FROM customer WHERE NOT {OLD}")
 def planned_run(spark, sf_dir):
     """What a run over all filings would fetch into an empty dataset."""
-    data = incremental.Dataset(spark, f"{scratch_dir(spark)}/dataset-{uuid.uuid4().hex}")
+    data = incremental.Dataset(spark, owned(spark, "dataset"))
     return incremental.planned(data, _as_filings(spark, sf_dir), "2001-08-01")
 
 
@@ -452,7 +450,7 @@ def planned_run(spark, sf_dir):
 )
 def incremental_run(spark, sf_dir):
     """A dataset after two runs over all filings, of which the second finds only what failed: its trades, skipped filings and number of processed ones."""
-    data = incremental.Dataset(spark, f"{scratch_dir(spark)}/dataset-{uuid.uuid4().hex}")
+    data = incremental.Dataset(spark, owned(spark, "dataset"))
     rows = _as_filings(spark, sf_dir)
     for _ in range(2):
         incremental.run(data, rows, filings.text_trades, members(spark, sf_dir), "2001-08-01", "2001-08-01T00:00:00Z")
@@ -494,14 +492,10 @@ def scalar_texts(spark, sf_dir):
     )
 
 
-def _scratch(spark, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"WITH m AS ({MEMBERS}) SELECT name, chamber, party, state, district, 'a ' || name AS aliases, row_number() OVER (ORDER BY name, chamber) - 1 AS position FROM m")
 def roster_round_trip(spark, sf_dir):
     """A roster document, written by name and read back."""
-    path = _scratch(spark, "roster")
+    path = owned(spark, "roster")
     sinks.publish_roster(members(spark, sf_dir).withColumn("aliases", F.array(F.concat(F.lit("a "), "name"))), path)
     found = readers.read_roster(spark, path)
     return found.withColumn("aliases", F.array_join("aliases", "|"))
@@ -510,7 +504,7 @@ def roster_round_trip(spark, sf_dir):
 @query(f"WITH t AS ({TRADES}) SELECT 'trade' AS what, CAST(id AS VARCHAR) AS id, member, ticker, type, tx_date, amount_lo, amount_hi FROM t UNION ALL SELECT 'skip', 'f' || CAST(c_custkey AS VARCHAR), c_name, NULL, 'paper', DATE '2001-01-01', NULL, NULL FROM customer")
 def line_round_trip(spark, sf_dir):
     """Trades and skipped filings, written as lines and read back side by side."""
-    path = _scratch(spark, "lines")
+    path = owned(spark, "lines")
     rows = trades(spark, sf_dir).withColumn("id", F.col("id").cast("string")).withColumn("filing_date", F.col("tx_date"))
     skipped = table(spark, sf_dir, "customer").select(F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("filing_id"), F.col("c_name").alias("member"), F.lit("2001-01-01").cast("date").alias("filing_date"), F.lit("paper").alias("reason"))
     sinks.publish_lines(rows, skipped, path)
@@ -527,7 +521,7 @@ def line_round_trip(spark, sf_dir):
 )
 def yearly_indexes(spark, sf_dir):
     """Two yearly indexes, written with tabs and read back with the filings' texts; every fourth filing is a scan."""
-    path, key = _scratch(spark, "indexes"), F.col("c_custkey")
+    path, key = owned(spark, "indexes"), F.col("c_custkey")
     say = lambda x: F.lit(x)
     for year in (1999, 2000, 2001):  # the first is outside the window
         day = F.date_format(F.make_date(F.lit(year), F.lit(3), (1 + key % 28).cast("int")), "M/d/yyyy")
@@ -542,7 +536,7 @@ def yearly_indexes(spark, sf_dir):
 @query(f"WITH {PRICED} SELECT 'return' AS what, CAST(p.id AS VARCHAR) AS key, b.tx_date >= e.d AS dated, CAST(format('{{:.4f}}', e.c) AS DOUBLE) AS close, CAST(format('{{:.1f}}', (p.close - e.c) / e.c * 100) AS DOUBLE) AS pct FROM priced p JOIN buys b USING (id) ASOF JOIN prices e ON b.ticker = e.ticker AND b.tx_date >= e.d UNION ALL SELECT 'price', ticker, true, CAST(format('{{:.4f}}', any_value(close)) AS DOUBLE), NULL FROM priced GROUP BY ticker")
 def returns_round_trip(spark, sf_dir):
     """The returns document, written by key and read back."""
-    path = _scratch(spark, "returns")
+    path = owned(spark, "returns")
     bought, prices = _buys(spark, sf_dir)
     found = returns.buy_returns(bought, prices)
     sinks.publish_returns_document(found, returns.ticker_prices(found), {"source": "charts"}, path)
@@ -570,7 +564,7 @@ def returns_round_trip(spark, sf_dir):
 )
 def run_counters(spark, sf_dir):
     """What two runs of one day count, the second with the unreadable filings mended, and the dataset's meta."""
-    data = incremental.Dataset(spark, _scratch(spark, "dataset"))
+    data = incremental.Dataset(spark, owned(spark, "dataset"))
     rows, roster = _as_filings(spark, sf_dir), members(spark, sf_dir)
     mended = rows.withColumn("text", F.regexp_replace("text", "\nOdd Corp .*$", ""))
     first = roster.filter("position = 0").first().name  # one name of the roster
@@ -598,13 +592,13 @@ def ticker_bars(spark, sf_dir):
 @query(f"WITH p AS (SELECT *, row_number() OVER (ORDER BY c_custkey) AS k FROM customer WHERE NOT {OLD}) SELECT 'house' AS chamber, 'f' || CAST(c_custkey AS VARCHAR) AS filing_id, c_name AS member, DATE '2001-07-01' AS filing_date FROM p WHERE k <= 25")
 def capped_run(spark, sf_dir):
     """The first 25 filings of the listing that a capped run would fetch."""
-    return incremental.planned(incremental.Dataset(spark, _scratch(spark, "dataset")), _as_filings(spark, sf_dir), "2001-08-01", 25)
+    return incremental.planned(incremental.Dataset(spark, owned(spark, "dataset")), _as_filings(spark, sf_dir), "2001-08-01", 25)
 
 
 @query("SELECT n_nationkey AS position, n_name AS name FROM nation")
 def featured_list(spark, sf_dir):
     """A list of names, written as a JSON array and read back with places."""
-    path = _scratch(spark, "featured")
+    path = owned(spark, "featured")
     names = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"])
     table(spark, sf_dir, "nation").agg(F.to_json(names).alias("value")).write.text(path)
     return readers.read_featured(spark, path)
@@ -613,7 +607,7 @@ def featured_list(spark, sf_dir):
 @query("SELECT 'txt' AS kind, CAST(sum(length(c_name) + length(c_mktsegment) + 2) AS BIGINT) AS n_bytes FROM customer")
 def stored_documents(spark, sf_dir):
     """Files told apart by their suffix, and the bytes in them."""
-    path = _scratch(spark, "documents")
+    path = owned(spark, "documents")
     table(spark, sf_dir, "customer").select(F.concat_ws(" ", "c_name", "c_mktsegment").alias("value")).write.text(path)
     return readers.read_documents(spark, f"{path}/part-*").groupBy("kind").agg(F.sum(F.octet_length("content")).alias("n_bytes"))
 
