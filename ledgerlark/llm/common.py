@@ -7,9 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.operators.scratch import mark, numbered, release, saved, scratch_dir
+from ledgerlark.operators.scratch import mark, numbered, owned, release, saved
 
-__all__ = ["documents", "hash_words", "let", "lower_words_of", "mark", "mix64", "numbered", "release", "saved", "scratch_dir", "slices", "small_batches", "window_hashes", "words_of"]
+__all__ = ["documents", "hash_words", "let", "lower_words_of", "mark", "mix64", "numbered", "owned", "release", "saved", "slices", "small_batches", "window_hashes", "words_of"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

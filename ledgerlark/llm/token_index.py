@@ -21,11 +21,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import documents, mix64, saved, scratch_dir, slices, small_batches
+from ledgerlark.llm.common import documents, mix64, owned, saved, slices, small_batches
 from ledgerlark.llm.encoder import encoder, vocabulary_path
 
 SHARD_IDS = 1 << 20
 BUCKET_KEYS = 1 << 14
+#: Keys whose buckets and shards are looked up by number; of more, the tables are read whole.
+FEW_KEYS = 4_096
 NULL_KEY = -(1 << 63)
 PAYLOAD = "part int, shard long, shard_start long, n_ids long, first_key long, first_seen long, last_key long, last_seen long, width int, doc_ids binary, lengths binary, ids binary"
 PARTS = "part int, first_key long, base long, carried long"
@@ -168,7 +170,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, s
         values = (int(rows["bucket"].iloc[0]), len(keys), seed, perfect.displacements.astype("<i4").tobytes(), column(key_fingerprint(keys, seen), "<u4"), *(column(rows[c].to_numpy(), "<i8") for c in ("shard", "offset", "length")))
         return pd.DataFrame([values], columns=[c.split()[0] for c in INDEX.split(", ")])
 
-    placed = keys.withColumn("bucket", _bucket(buckets))
+    placed = keys.withColumn("bucket", _bucket(buckets)).repartitionByRange("bucket")  # so a file has neighbouring buckets
     placed.groupBy("bucket").applyInPandas(build, INDEX).write.option("compression", "zstd").parquet(f"{path}/index")
 
 
@@ -178,10 +180,14 @@ def _parts(payload: DataFrame) -> DataFrame:
     parts = payload.groupBy("part").agg(F.sum("n_ids").alias("n_ids"), F.min_by("first_key", "shard").alias("first_key"), last.alias("last"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = saved(parts, "parts")
+    # parts follow each other by key, so those before a part that end with its first key are the ones just before it
+    same = Window.partitionBy("end_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = parts.select("part", "first_key", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    tails = parts.select(F.col("part").alias("earlier"), F.col("last.last_key").alias("first_key"), (F.col("last.last_seen") + 1).alias("n"))
-    carried = bases.join(tails, "first_key").filter("earlier < part").groupBy("part").agg(F.sum("n").alias("carried"))
-    return bases.join(carried, "part", "left").select("part", "first_key", "base", F.coalesce("carried", F.lit(0)).alias("carried"))
+    ends = parts.select("part", F.col("last.last_key").alias("end_key"), (F.col("last.last_seen") + 1).alias("n"), F.lit(True).alias("counts"))
+    asks = parts.select("part", F.col("first_key").alias("end_key"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("counts"))
+    carried = ends.union(asks).groupBy("part", "end_key").agg(F.sum("n").alias("n"), F.min("counts").alias("only_ends"))
+    carried = carried.withColumn("carried", F.coalesce(F.sum("n").over(same), F.lit(0))).filter("NOT only_ends").select("part", "carried")
+    return bases.join(carried, "part").select("part", "first_key", "base", "carried")
 
 
 def stored_keys(spark: SparkSession, path: str) -> DataFrame:
@@ -204,8 +210,8 @@ def stored_keys(spark: SparkSession, path: str) -> DataFrame:
     return found.select(F.nullif("key", F.lit(NULL_KEY)).alias("doc_id"), "occurrence", "key", "shard", "offset", "length")
 
 
-def _located(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """(key, occurrence, shard, offset, length) of those keys that the index under ``path`` has."""
+def _located(spark: SparkSession, path: str, keys: DataFrame, few: bool) -> DataFrame:
+    """(key, occurrence, shard, offset, length) of those keys that the index under ``path`` has; of ``few`` keys, only their buckets are read."""
     index = spark.read.schema(INDEX).parquet(f"{path}/index")
     buckets = (index.agg(F.max("bucket")).first()[0] or 0) + 1
     names = ["key", "occurrence", "shard", "offset", "length"]
@@ -224,6 +230,8 @@ def _located(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
 
     seen = F.col("occurrence").cast("long") if "occurrence" in keys.columns else F.lit(0).cast("long")
     wanted = keys.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), seen.alias("occurrence")).withColumn("bucket", _bucket(buckets))
+    if few:
+        index = index.filter(F.col("bucket").isin([r.bucket for r in wanted.select("bucket").distinct().collect()]))
     return wanted.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(find, ", ".join(f"{c} long" for c in names))
 
 
@@ -234,8 +242,16 @@ def read_tokens(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     each doc_id is meant. ``start`` is the number of ids of all documents before it, ``ids``
     little-endian unsigned 32-bit integers. Unknown keys give no row, but for one in 2**32; keys
     asked for several times give a row each.
+
+    For up to FEW_KEYS keys, the numbers of their buckets, and then of their shards, go to the scans
+    as filters: both tables are written in the order of these numbers, so only files and row groups
+    that hold some are read. More keys read both tables whole.
     """
-    payload = spark.read.schema(PAYLOAD).parquet(f"{path}/payload")
+    few = keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+    payload, found = spark.read.schema(PAYLOAD).parquet(f"{path}/payload"), _located(spark, path, keys, few)
+    if few:
+        found = saved(found, "located")
+        payload = payload.filter(F.col("shard").isin([r.shard for r in found.select("shard").distinct().collect()]))
     parts = spark.read.schema(PARTS).parquet(f"{path}/parts").select("part", "base")
     shards = payload.join(F.broadcast(parts), "part").select("shard", (F.col("base") + F.col("shard_start")).alias("shard_start"), "width", "ids")
 
@@ -250,15 +266,13 @@ def read_tokens(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
         cuts = [ids[4 * o : 4 * (o + n)] for o, n in zip(wanted["offset"], wanted["length"], strict=True)]
         return pd.DataFrame({"doc_id": wanted["key"], "occurrence": wanted["occurrence"], "start": row.shard_start + wanted["offset"], "n_tokens": wanted["length"], "ids": cuts})
 
-    found = _located(spark, path, keys).groupBy("shard").cogroup(shards.groupBy("shard")).applyInPandas(cut, "doc_id long, occurrence long, start long, n_tokens long, ids binary")
+    found = found.groupBy("shard").cogroup(shards.groupBy("shard")).applyInPandas(cut, "doc_id long, occurrence long, start long, n_tokens long, ids binary")
     return found.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_KEY)))
 
 
 def op3_token_index(spark, sf_dir):
     """All documents written as token ids and read back by key, each occurrence of a doc_id its own."""
-    import uuid
-
-    path = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = owned(spark, "tokens")
     write_tokens(documents(spark, sf_dir), path, vocabulary_path())
     found = read_tokens(spark, path, stored_keys(spark, path).select("doc_id", "occurrence"))
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "occurrence")
