@@ -55,4 +55,5 @@ def pdf_files(texts: DataFrame) -> DataFrame:
             made = [pdf_file(text or "", len(text or "")) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["path", "content"])
 
-    return texts.select("path", "text").mapInArrow(run, "path string, content binary")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: texts are small, making and reading files of them isn't
+    return texts.select("path", "text").repartition(parts, "path").mapInArrow(run, "path string, content binary")

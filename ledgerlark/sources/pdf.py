@@ -25,6 +25,8 @@ _WHITE = rb"\x00\t\n\x0c\r "
 _TOKEN = re.compile(rb"%[^\r\n]*|<<|>>|[\[\]{}()]|/[^" + _WHITE + rb"()<>\[\]{}/%]*|<[0-9A-Fa-f" + _WHITE + rb"]*>|[^" + _WHITE + rb"()<>\[\]{}/%]+")
 _IN_STRING = re.compile(rb"\\([0-7]{1,3}|\r\n|[\s\S])|[()]")
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b"", b"\r": b"", b"\r\n": b""}
+_DIGITS, _CONSTANTS = b"0123456789+-.", {b"true": True, b"false": False, b"null": None}
+_HEX, _NO_HEX, _IMAGE_END = re.compile(rb"#([0-9A-Fa-f]{2})"), re.compile(rb"[^0-9A-Fa-f]"), re.compile(rb"\sEI(?=[\s\x00]|$)")
 _NUMBER = re.compile(rb"[+-]?(\d+\.?\d*|\.\d+)$")
 
 
@@ -58,42 +60,43 @@ def _string(data: bytes, at: int) -> tuple[bytes, int]:
 
 
 def values(data: bytes, at: int = 0):
-    """(value, where it ends) of each value or word in ``data``; arrays and dictionaries whole, references as Ref."""
-    open_: list[list] = [[]]
-    while m := _TOKEN.search(data, at):
+    """(value, where it ends) of each value or word in ``data``; arrays and dictionaries whole, references within them as Ref."""
+    open_: list[list] = []
+    find = _TOKEN.search
+    while m := find(data, at):
         token, at = m[0], m.end()
-        if token[:1] == b"%":
-            continue
-        if token in (b"[", b"<<"):
+        first = token[0]
+        if first in _DIGITS and _NUMBER.match(token):
+            value = float(token) if b"." in token else int(token)
+        elif first == 0x2F:  # a slash
+            value = Name(_HEX.sub(lambda h: bytes([int(h[1], 16)]), token[1:]).decode("latin-1"))
+        elif first == 0x28:  # an opening bracket
+            value, at = _string(data, at)
+        elif token in (b"[", b"<<"):
             open_.append([])
             continue
-        if token in (b"]", b">>"):
-            if len(open_) == 1:
+        elif token in (b"]", b">>"):
+            if not open_:
                 continue
             held = open_.pop()
-            value = held if token == b"]" else {k: v for k, v in zip(held[::2], held[1::2], strict=False) if isinstance(k, Name)}
-        elif token == b"(":
-            value, at = _string(data, at)
-        elif token[:1] == b"<":
-            digits = re.sub(rb"\s|\x00", b"", token[1:-1])
+            value = held if first == 0x5D else {k: v for k, v in zip(held[::2], held[1::2], strict=False) if isinstance(k, Name)}
+        elif first == 0x3C:  # hexadecimal digits
+            digits = _NO_HEX.sub(b"", token)
             value = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
-        elif token[:1] == b"/":
-            value = Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda h: bytes([int(h[1], 16)]), token[1:]).decode("latin-1"))
-        elif _NUMBER.match(token):
-            value = float(token) if b"." in token else int(token)
-        elif token == b"R" and len(open_[-1]) >= 2:
+        elif first == 0x25:  # a comment
+            continue
+        elif token == b"R" and open_ and len(open_[-1]) >= 2:
             value = Ref(open_[-1][-2])
             del open_[-1][-2:]
         else:
-            value = {b"true": True, b"false": False, b"null": None}.get(token, Word(token.decode("latin-1")))
-        open_[-1].append(value)
-        if len(open_) == 1:
-            if value == "ID" and isinstance(value, Word):  # an inline image
-                end = re.compile(rb"\sEI(?=[\s\x00]|$)").search(data, at)
-                at = end.end() if end else len(data)
-            yield value, at
-            if not (isinstance(value, int) and not isinstance(value, (bool, Ref))):
-                open_[0].clear()
+            value = _CONSTANTS[token] if token in _CONSTANTS else Word(token.decode("latin-1"))
+        if open_:
+            open_[-1].append(value)
+            continue
+        yield value, at
+        if value == "ID" and isinstance(value, Word):  # an inline image
+            end = _IMAGE_END.search(data, at)
+            at = end.end() if end else len(data)
 
 
 class Document:
@@ -175,7 +178,7 @@ class Font:
 
     def __init__(self, doc: Document, about: dict):
         self.wide = about.get("Subtype") == "Type0"
-        self.texts, self.widths = {}, {}
+        self.texts, self.widths, self.known = {}, {}, {}
         first = doc.get((doc.get(about.get("DescendantFonts")) or [{}])[0]) if self.wide else about
         self.usual = float(doc.get(first.get("DW", 1000)) if self.wide else 0)
         if self.wide:
@@ -225,14 +228,18 @@ class Font:
                         self.texts[code] = text(to[k]) if isinstance(to, list) else text(to[:-1]) + chr(to[-1] + k) if len(to) < 2 else text(to[:-2] + ((int.from_bytes(to[-2:]) + k) & 0xFFFF).to_bytes(2))
             held = []
 
-    def glyphs(self, codes: bytes):
-        """(text, width in thousandths, whether it is the one-byte space) of each code."""
-        for k in range(0, len(codes), 2 if self.wide else 1):
-            code = int.from_bytes(codes[k : k + 2]) if self.wide else codes[k]
-            text = self.texts.get(code)
-            if text is None:
-                text = "" if self.wide else bytes([code]).decode(self.codec, "replace")
-            yield text, self.widths.get(code, self.usual) or self._guessed(text), code == 32 and not self.wide
+    def shown(self, codes: bytes) -> tuple[str, float, int, int]:
+        """Of a string of codes: the text, the width in thousandths, how many codes and how many one-byte spaces there are."""
+        known = self.known
+        found = [known[c] if c in known else self._glyph(c) for c in ([int.from_bytes(codes[k : k + 2]) for k in range(0, len(codes), 2)] if self.wide else codes)]
+        return "".join([t for t, _ in found]), sum([w for _, w in found]), len(found), 0 if self.wide else codes.count(b" ")
+
+    def _glyph(self, code: int) -> tuple[str, float]:
+        text = self.texts.get(code)
+        if text is None:
+            text = "" if self.wide else bytes([code]).decode(self.codec, "replace")
+        self.known[code] = text, self.widths.get(code, self.usual) or self._guessed(text)
+        return self.known[code]
 
     def _guessed(self, text: str) -> float:
         """The width of a glyph of a standard font, which a file need not give: about what it is in a sans serif."""
@@ -245,6 +252,11 @@ def _times(m: tuple, n: tuple) -> tuple:
     return (a * p + b * r, a * q + b * t, c * p + d * r, c * q + d * t, e * p + f * r + u, e * q + f * t + v)
 
 
+def _along(m: tuple, dx: float) -> tuple:
+    """A matrix moved ``dx`` along its base line."""
+    return (*m[:4], m[4] + dx * m[0], m[5] + dx * m[1])
+
+
 ONE = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 
 
@@ -267,21 +279,24 @@ class Reader:
 
         def show(parts) -> None:
             nonlocal tm
-            texts, start, end = [], None, None
-            flush = lambda: self.runs.append((start[4], start[5], end[4], abs(size) * math.hypot(start[2], start[3]), "".join(texts))) if "".join(texts).strip() else None
+            texts, start, x_end = [], None, 0.0
+
+            def flush() -> None:
+                if text := "".join(texts).strip():
+                    self.runs.append((start[4], start[5], x_end, abs(size) * math.hypot(start[2], start[3]), text))
+
             for part in parts:
                 if isinstance(part, bytes) and font is not None:
-                    for text, width, space in font.glyphs(part):
-                        here = _times((1, 0, 0, 1, 0, rise), _times(tm, ctm))
-                        start = start or here
-                        tm = _times((1, 0, 0, 1, (width / 1000 * size + tc + (tw if space else 0)) * tz, 0), tm)
-                        end = _times((1, 0, 0, 1, -tc * tz, 0), _times(tm, ctm))
-                        texts.append(text)
+                    text, width, n, spaces = font.shown(part)
+                    start = start or _times((1, 0, 0, 1, 0, rise), _times(tm, ctm))
+                    texts.append(text)
+                    tm = _along(tm, (width / 1000 * size + n * tc + spaces * tw) * tz)
+                    x_end = _times(_along(tm, -tc * tz), ctm)[4]
                 elif isinstance(part, (int, float)):
                     if abs(part) > 180 and start:  # wider than the letters' fit: its own run
                         flush()
                         texts, start = [], None
-                    tm = _times((1, 0, 0, 1, -part / 1000 * size * tz, 0), tm)
+                    tm = _along(tm, -part / 1000 * size * tz)
             if start:
                 flush()
 
