@@ -1,6 +1,7 @@
 """Near-duplicates by MinHash, with sequential Bayesian verification of the candidates.
 
-Documents with equal shingle sets form a class and go on as one. Bands of MinHash values put the
+Documents with equal shingle sets form a class and go on as one, under a number of its own: a doc_id
+may stand for several texts, so rows are told apart by their doc_id and two hashes of their text. Bands of MinHash values put the
 classes into buckets. Candidate pairs compare their signatures batch by batch; a pair is pruned
 as soon as its matches so far make a similarity of the threshold or more less probable than the
 chosen miss probability, and what survives is verified on the full shingle sets.
@@ -20,7 +21,7 @@ import functools
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.common import documents, hash_words, lower_words_of, mark, mix64, release, saved, slices, small_batches, window_hashes
@@ -29,7 +30,9 @@ BANDS, ROWS = 32, 6
 HASHES = BANDS * ROWS
 BATCH = 32
 BLOCK = 256
-DESCRIBED = "doc_id long, n_shingles long, set_hi long, set_lo long, signature binary, bands array<long>"
+#: Shingles that count as one member of a block; a longer document counts as several, so a block's sets take some 16 MB.
+MEMBER_SHINGLES = 8_192
+DESCRIBED = "doc_id long, text_a long, text_b long, n_shingles long, set_hi long, set_lo long, signature binary, bands array<long>"
 
 
 @functools.cache
@@ -109,9 +112,14 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
                 keys = window_hashes_by_band(low) + offsets
                 bands.append(mix64(keys).view(np.int64))
             lists = pa.array(bands, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(signatures, pa.binary()), lists], names=["doc_id", "n_shingles", "set_hi", "set_lo", "signature", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(signatures, pa.binary()), lists], names=["doc_id", "text_a", "text_b", "n_shingles", "set_hi", "set_lo", "signature", "bands"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, DESCRIBED)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *text_hashes(F.col("text"))).mapInArrow(run, DESCRIBED)
+
+
+def text_hashes(text: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a text, text_a and text_b."""
+    return F.xxhash64(text).alias("text_a"), F.xxhash64(F.lit(1), text).alias("text_b")
 
 
 def window_hashes_by_band(low: np.ndarray) -> np.ndarray:
@@ -143,10 +151,10 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _shingle_sets(docs: DataFrame, ids: DataFrame, width: int, few: int = 1_000_000) -> DataFrame:
-    """(id, shingles) of the documents in ``ids`` (id), made again from their texts and written.
+def _shingle_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int, few: int = 500_000) -> DataFrame:
+    """(id, shingles) of the classes in ``ids`` (id), made again from the texts of their heads and written.
 
-    Fewer than ``few`` ids (8 MB at the default) are broadcast to the texts; for more, ids and texts are shuffled.
+    Fewer than ``few`` (16 MB at the default) are broadcast to the texts; for more, they and the texts are shuffled.
     """
 
     def sets(batches):
@@ -156,9 +164,10 @@ def _shingle_sets(docs: DataFrame, ids: DataFrame, width: int, few: int = 1_000_
             made = [shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["id", "shingles"])
 
-    wanted = saved(ids, "wanted")
+    wanted = saved(classes.select(F.col("node").alias("id"), "head.*").join(ids, "id", "left_semi"), "wanted")
     small = wanted.count() < few
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(wanted) if small else wanted, "id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_hashes(F.col("text")), "text")
+    texts = texts.join(F.broadcast(wanted) if small else wanted, ["doc_id", "text_a", "text_b"]).select("id", "text")
     return saved(texts.mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"]), "shingles")
 
 
@@ -246,43 +255,68 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
 
     Documents without words, null texts among them, are linked with nothing. Rows with a null
     doc_id are linked with nothing, have a null component_id and are kept. Repeated rows have
-    equal sets, so they share a component. Of very long texts the whole set is compared, made in
-    one task each. Ties (equal sets) go to the smallest doc_id. Other columns, whatever their
+    equal sets, so they share a component. Rows of one doc_id with different texts are documents
+    of their own: each has the component of its text. Of very long texts the whole set is compared,
+    made in one task each. Ties (equal sets) go to the smallest doc_id. Other columns, whatever their
     names, are not read. An empty table gives no rows.
 
     Texts are read once for the signatures and once for the candidates' sets, and shuffled only
-    where there are more than a million candidates; a third time for members of blocks that were no candidates before.
+    where there are half a million candidates; a third time for members of blocks that were no candidates before.
+    """
+    return _judged(docs, width, percent, miss).drop("text_a", "text_b")
+
+
+def unique_documents(docs: DataFrame, width: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that near_duplicates() keeps.
+
+    A row is judged by its doc_id and text, so rows with the doc_id of a dropped one but another
+    text stay, and so do repeated rows of a kept one. Up to 500,000 dropped texts (16 MB) are
+    broadcast; of more, they and the rows are shuffled.
     """
+    dropped = _judged(docs, width, percent, miss).filter("NOT kept").select("doc_id", "text_a", "text_b").distinct()
+    dropped = saved(dropped.toDF("_dropped", "_dropped_a", "_dropped_b"), "dropped")
+    few = dropped.count() <= 500_000
+    a, b = text_hashes(docs["text"])
+    same = (docs["doc_id"].cast("long") == dropped["_dropped"]) & (a == dropped["_dropped_a"]) & (b == dropped["_dropped_b"])
+    return docs.join(F.broadcast(dropped) if few else dropped, same, "left_anti")
+
+
+def _judged(docs: DataFrame, width: int, percent: int, miss: float) -> DataFrame:
+    """What near_duplicates() returns, and the hashes of each row's text."""
     began = mark()
     described = saved(describe(docs, width), "signatures")
     usable = described.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = saved(usable.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("class_id")), "classes")
-    heads = usable.join(classes.select("set_hi", "set_lo", F.col("class_id").alias("doc_id")), ["set_hi", "set_lo", "doc_id"], "left_semi").dropDuplicates(["set_hi", "set_lo"])
-    heads = saved(heads.select(F.col("doc_id").alias("id"), "n_shingles", "signature", "bands"), "heads")
+    head = F.min(F.struct("doc_id", "text_a", "text_b")).alias("head")
+    classes = saved(usable.groupBy("set_hi", "set_lo").agg(head).withColumn("node", F.monotonically_increasing_id()), "classes")
+    keys = ["set_hi", "set_lo", "doc_id", "text_a", "text_b"]
+    heads = usable.join(classes.select("set_hi", "set_lo", "head.*", "node"), keys).dropDuplicates(["node"])
+    heads = saved(heads.select(F.col("node").alias("id"), "n_shingles", "signature", "bands"), "heads")
     members = heads.select("id", "n_shingles", F.explode("bands").alias("band"))
     by_hash = F.struct(F.xxhash64("id", "band"), "id")
     buckets = saved(members.groupBy("band").agg(F.min("id").alias("first"), F.min(by_hash)["id"].alias("other"), F.count("*").alias("n")).filter("n > 1"), "buckets")
     members = saved(members.join(buckets, "band"), "members")
 
     met = _met(heads, members, percent, miss)
-    sets = _shingle_sets(docs, _ends(met), width)
+    sets = _shingle_sets(docs, classes, _ends(met), width)
     links = saved(_verified(met, sets, percent), "verified")
     labels = components(links)
     more, dense = _across(heads, members, labels, percent, miss)
     in_blocks = saved(dense.select(*_SIDES["a"], F.explode("ids_a").alias("id")).union(dense.select(*_SIDES["b"], F.explode("ids_b"))).distinct(), "dense-members")
     new = saved(_ends(more).union(in_blocks.select("id")).distinct().join(sets.select("id"), "id", "left_anti"), "new")
     if not new.isEmpty():
-        sets = sets.union(_shingle_sets(docs, new, width))
+        sets = sets.union(_shingle_sets(docs, classes, new, width))
     found = [f for pairs, f in ((more, _verified(more, sets, percent)), (dense, _within(dense, in_blocks, sets, percent, miss))) if not pairs.isEmpty()]
     if found:
         extra = saved(functools.reduce(DataFrame.union, found), "verified")
         labels = components(links.union(extra)) if not extra.isEmpty() else labels
-    release(docs.sparkSession, began, (described, classes, labels))
+    least = classes.select(F.col("node").alias("id"), "head.doc_id").join(labels, "id").groupBy("component").agg(F.min("doc_id").alias("least"))
+    lowest = saved(labels.join(least, "component").select(F.col("id").alias("node"), "least"), "lowest")
+    release(docs.sparkSession, began, (described, classes, lowest))
 
-    joined = classes.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").select("set_hi", "set_lo", F.coalesce("component", "class_id").alias("class_component"))
-    placed = described.select("doc_id", "n_shingles", "set_hi", "set_lo").join(joined, ["set_hi", "set_lo"], "left")
+    joined = classes.join(lowest, "node", "left").select("set_hi", "set_lo", F.coalesce("least", "head.doc_id").alias("class_component"))
+    placed = described.select("doc_id", "text_a", "text_b", "n_shingles", "set_hi", "set_lo").join(joined, ["set_hi", "set_lo"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id"))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return placed.select("doc_id", "text_a", "text_b", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def _met(heads: DataFrame, members: DataFrame, percent: int, miss: float, likeliest: int = 4) -> DataFrame:
@@ -343,7 +377,8 @@ def _across(heads: DataFrame, members: DataFrame, labels: DataFrame, percent: in
     """What is left to compare in buckets that hold several components: surviving pairs (a, b), and the pairs of blocks with more of them than members."""
     fewest = fewest_matches(percent, miss)
     labelled = members.select("id", "n_shingles", "band", "first").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    shares = saved(labelled.groupBy("band", "component").agg(F.count("*").alias("n_own")), "shares")
+    weight = F.greatest(F.lit(1), F.ceil(F.col("n_shingles") / MEMBER_SHINGLES))
+    shares = saved(labelled.groupBy("band", "component").agg(F.sum(weight).alias("n_own")), "shares")
     small = F.sum(F.when(F.col("n_own") < BLOCK, F.col("n_own")).otherwise(0))
     split = shares.groupBy("band").agg(F.count("*").alias("parts"), small.alias("n_small")).filter("parts > 1").select("band", "n_small")
     dealt = shares.join(split, "band").withColumn("owner", F.when(F.col("n_own") < BLOCK, F.lit(SHARED)).otherwise(F.col("component")))
@@ -400,18 +435,19 @@ def op1_near_duplicates(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir), width=2)
 
 
-#: The same in DuckDB, by comparing all pairs that share a shingle.
+#: The same in DuckDB, by comparing all pairs of rows that share a shingle.
 ORACLE = """
     WITH RECURSIVE w AS (
-      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
-    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS shingle FROM w),
-    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-    t AS (SELECT s.doc_id, shingle, n FROM s JOIN n USING (doc_id)),
-    p AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) + any_value(b.n) AS sizes, count(*) AS shared
-          FROM t a JOIN t b ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+      SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    s AS (SELECT DISTINCT rid, doc_id IS NOT NULL AS known, unnest(CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS shingle FROM w),
+    n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+    t AS (SELECT s.rid, shingle, n FROM s JOIN n USING (rid) WHERE known),
+    p AS (SELECT a.rid AS x, b.rid AS y, any_value(a.n) + any_value(b.n) AS sizes, count(*) AS shared
+          FROM t a JOIN t b ON a.shingle = b.shingle AND a.rid < b.rid AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
     e AS (SELECT x, y FROM p WHERE 100 * shared >= 80 * (sizes - shared)),
     links AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
-    r AS (SELECT x AS doc_id, x AS reached FROM links UNION SELECT r.doc_id, links.y FROM r JOIN links ON r.reached = links.x)
-    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.low, d.doc_id) AS component_id, coalesce(c.low, d.doc_id) = d.doc_id AS kept
-    FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(reached) AS low FROM r GROUP BY doc_id) c USING (doc_id)
+    r AS (SELECT x AS rid, x AS reached FROM links UNION SELECT r.rid, links.y FROM r JOIN links ON r.reached = links.x),
+    c AS (SELECT r.rid, min(o.doc_id) AS low FROM r JOIN w o ON o.rid = r.reached GROUP BY r.rid)
+    SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.low, w.doc_id) AS component_id, coalesce(coalesce(c.low, w.doc_id) = w.doc_id, true) AS kept
+    FROM w LEFT JOIN n USING (rid) LEFT JOIN c USING (rid)
 """

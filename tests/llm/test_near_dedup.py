@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from ledgerlark.llm.near_dedup import SHARED, block_pairs, fewest_matches, near_duplicates, shingle_set
+from ledgerlark.llm.near_dedup import SHARED, block_pairs, fewest_matches, near_duplicates, shingle_set, unique_documents
 
 
 def brute(rows, width, percent):
@@ -70,6 +70,31 @@ def test_components_equal_all_pairs(spark):
         assert got == sorted(brute(rows, width, 80), key=key)
 
 
+def test_rows_of_one_doc_id_are_documents_of_their_own(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    rows = [(3, a), (5, f"{a} more"), (5, b), (9, f"{b} more"), (9, None), (5, b), (None, b)]
+    docs = spark.createDataFrame([(*r, k, "x") for k, r in enumerate(rows)], "doc_id long, text string, text_a int, _dropped string")
+    got = sorted((tuple(r) for r in near_duplicates(docs).collect()), key=key)
+    assert got == sorted(brute(rows, 5, 80), key=key)
+    assert sorted((d, c) for d, _, c, _ in got if d == 5) == [(5, 3), (5, 5), (5, 5)]
+    kept = unique_documents(docs)
+    assert kept.columns == docs.columns and sorted(r.text_a for r in kept.collect()) == [0, 2, 4, 5, 6]
+
+
+def test_one_doc_id_of_most_rows(spark):
+    rows = [(7 if k % 4 else d, t) for k, (d, t) in enumerate(corpus(5))]
+    got = sorted((tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()), key=key)
+    assert got == sorted(brute(rows, 2, 80), key=key)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(6)
+    base = rng.choices([f"w{i}" for i in range(5000)], k=60_000)
+    rows = [(k, " ".join(base[: 60_000 - 3000 * k])) for k in range(8)] + [(20, "short " + " ".join(base[:50]))]
+    got = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect())
+    assert got == sorted(brute(rows, 2, 80))
+
+
 def test_large_groups_are_compared_block_by_block(spark):
     rng = random.Random(9)
     base = [f"w{i}" for i in range(120)]
