@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm.common import documents, mark, release, saved
 from ledgerlark.llm.encoder import vocabulary_path
-from ledgerlark.llm.near_dedup import near_duplicates
+from ledgerlark.llm.near_dedup import unique_documents
 from ledgerlark.llm.packing import pack
 from ledgerlark.llm.pii import mask_pii
 from ledgerlark.llm.quality import clean_documents
@@ -30,12 +30,9 @@ def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each component of near-duplicates (five words, 80 per cent).
 
     Rows with a null doc_id and documents without words stay; so do repeated rows of a kept
-    doc_id. An empty table gives none. Up to a million ids to drop (8 MB) are broadcast; of more,
-    ids and rows are shuffled.
+    text. Rows of one doc_id with different texts are judged each by its own. An empty table gives none.
     """
-    dropped = saved(near_duplicates(docs).filter("NOT kept").select("doc_id").distinct(), "dropped")
-    few = dropped.count() <= 1_000_000
-    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(docs.columns)
+    return unique_documents(docs)
 
 
 def pii(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
