@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions import scalars
 from ledgerlark.operators import contracts, filings, joins, returns, schemas, upserts, views
-from ledgerlark.operators.scratch import owned
+from ledgerlark.operators.scratch import owned, saved
 from ledgerlark.plans.pdf_files import pdf_files
 from ledgerlark.plans.registry import TRADES, query, table, trades
 from ledgerlark.sources import html_tables, pdf, readers, sinks
@@ -122,7 +122,8 @@ def pdf_trades(spark, sf_dir):
     """Trades of the text filings as PDF files: words set one by one, put together again by their places on the pages."""
     texts = text_filings(spark, sf_dir)
     files = pdf_files(texts.select(F.col("filing_id").alias("path"), F.concat("text", F.lit("\nDigitally signed by nobody in particular, on paper")).alias("text")))
-    return _found(filings.text_trades(texts.drop("text").join(pdf.pdf_texts(files).withColumnRenamed("path", "filing_id").drop("error"), "filing_id")))
+    read = saved(texts.drop("text").join(pdf.pdf_texts(files).withColumnRenamed("path", "filing_id").drop("error"), "filing_id"), "pdf-texts")  # files are read once
+    return _found(filings.text_trades(read))
 
 
 @query(

@@ -385,14 +385,8 @@ def glyph_runs(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, RUN)
 
 
-def page_lines(runs: DataFrame) -> DataFrame:
-    """(path, page, line, text, cells) from the places of the runs: base lines that differ by no more than LINE_TOLERANCE from the one above are one line, and gaps of more than WORD_TOLERANCE are spaces.
-
-    ``cells`` are the parts of a line with gaps of more than twice the letters' size between them.
-    Runs are ordered by their places, not by their order in the file. A page is the largest thing
-    that one task orders; all windows share one shuffle.
-    """
-    placed = runs.filter("page IS NOT NULL")
+def _lined(placed: DataFrame) -> DataFrame:
+    """(path, page, line, cells, error) of the runs, those without a page too: a line without cells."""
     down = Window.partitionBy("path", "page").orderBy(F.desc("y"), "x", "run")
     opens = F.coalesce(F.lag("y").over(down) - F.col("y") > LINE_TOLERANCE, F.lit(False)).cast("int")
     placed = placed.withColumn("_opens", opens).withColumn("line", F.sum("_opens").over(down.rowsBetween(Window.unboundedPreceding, 0)))
@@ -401,20 +395,29 @@ def page_lines(runs: DataFrame) -> DataFrame:
     placed = placed.withColumn("_gap", F.col("x") - F.max("x_end").over(upto))
     placed = placed.withColumn("_cell", F.sum(F.coalesce(F.col("_gap") > 2 * F.col("size"), F.lit(False)).cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
     piece = F.concat(F.when(F.col("_gap") > WORD_TOLERANCE, " ").otherwise(""), "text")
-    cells = placed.groupBy("path", "page", "line", "_cell").agg(F.array_sort(F.collect_list(F.struct("x", "run", piece.alias("piece")))).alias("_pieces"))
+    cells = placed.groupBy("path", "page", "line", "_cell").agg(F.array_sort(F.collect_list(F.struct("x", "run", piece.alias("piece")))).alias("_pieces"), F.max("error").alias("error"))
     text = s.collapse(F.array_join(F.transform("_pieces", lambda p: p["piece"]), ""))
-    lines = cells.groupBy("path", "page", "line").agg(F.array_sort(F.collect_list(F.struct("_cell", text.alias("cell")))).alias("_cells"))
-    lines = lines.withColumn("cells", F.filter(F.transform("_cells", lambda c: c["cell"]), lambda c: c != ""))
-    return lines.select("path", "page", "line", F.array_join("cells", " ").alias("text"), "cells").filter("text <> ''")
+    lines = cells.groupBy("path", "page", "line").agg(F.array_sort(F.collect_list(F.struct("_cell", text.alias("cell")))).alias("_cells"), F.max("error").alias("error"))
+    return lines.select("path", "page", "line", F.filter(F.transform("_cells", lambda c: c["cell"]), lambda c: c != "").alias("cells"), "error")
+
+
+def page_lines(runs: DataFrame) -> DataFrame:
+    """(path, page, line, text, cells) from the places of the runs: base lines that differ by no more than LINE_TOLERANCE from the one above are one line, and gaps of more than WORD_TOLERANCE are spaces.
+
+    ``cells`` are the parts of a line with gaps of more than twice the letters' size between them.
+    Runs are ordered by their places, not by their order in the file. A page is the largest thing
+    that one task orders; all windows share one shuffle.
+    """
+    return _lined(runs.filter("page IS NOT NULL")).filter(F.size("cells") > 0).select("path", "page", "line", F.array_join("cells", " ").alias("text"), "cells")
 
 
 def pdf_texts(files: DataFrame) -> DataFrame:
-    """(path, text, error) of the PDF files (path, content): their lines, page by page; an empty text of one that is a scan, or that can't be read, which ``error`` tells."""
+    """(path, text, error) of the PDF files (path, content): their lines, page by page; an empty text of one that is a scan, or that can't be read, which ``error`` tells. Files are taken apart once."""
     from ledgerlark.sources.readers import layered_text
 
-    runs = glyph_runs(files)
-    lines = page_lines(runs).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    return runs.filter("page IS NULL").select("path", "error").join(lines, "path", "left").select("path", layered_text(F.coalesce("text", F.lit(""))).alias("text"), "error")
+    line = F.when(F.size("cells") > 0, F.struct("page", "line", F.array_join("cells", " ").alias("text")))
+    found = _lined(glyph_runs(files)).groupBy("path").agg(F.array_sort(F.collect_list(line)).alias("_lines"), F.max("error").alias("error"))
+    return found.select("path", layered_text(F.array_join(F.transform("_lines", lambda x: x["text"]), "\n")).alias("text"), "error")
 
 
 def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
