@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import argparse
+import json
 import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.operators import filings, probability, returns
-from ledgerlark.sources import html_tables, pdf, readers, sinks
+from ledgerlark.functions import scalars
+from ledgerlark.operators import contracts, filings, probability, returns, schemas
+from ledgerlark.sources import html_tables, pdf, readers, sinks, web
 from ledgerlark.streaming import incremental
 
 CHAMBERS = ("house", "senate")
@@ -48,6 +50,22 @@ def parser() -> argparse.ArgumentParser:
         fetch.add_argument("--limit", type=int)
         fetch.add_argument("--dry-run", action="store_true", help="list what would be fetched, write nothing")
         fetch.add_argument("--document", help="write the published document there")
+    live = add("fetch", "bring a dataset up to date from the chambers' sites")
+    for given in ("dataset", "sites", "roster", "as_of"):
+        live.add_argument(given, help="JSON: senate {home, search, base}, house {index with {year}, base}, and manners" if given == "sites" else None)
+    live.add_argument("--chamber", choices=("both", *CHAMBERS), default="both")
+    live.add_argument("--limit", type=int)
+    live.add_argument("--dry-run", action="store_true", help="list what would be fetched, write nothing")
+    live.add_argument("--document", help="write the published document there")
+    priced = add("charts", "download the chart answers of a dataset's buys as Parquet (ticker, body)")
+    for given in ("dataset", "sites", "out"):
+        priced.add_argument(given, help="JSON: prices {chart with {symbol}, cookie, crumb}, and manners" if given == "sites" else None)
+    priced.add_argument("--limit", type=int, help="at most so many tickers")
+    check = add("check", "hold an endpoint's answer against a schema")
+    for given in ("environments", "schemas", "schema", "path"):
+        check.add_argument(given, help="JSON: base addresses by environment" if given == "environments" else None)
+    check.add_argument("--env", help="the environment; dev by default")
+    check.add_argument("--status", type=int, help="the expected status; any of 2xx by default")
     parse = add("parse-ptr", "trades of one stored filing (.html, .txt or .pdf) as JSON lines")
     parse.add_argument("file")
     parse.add_argument("--member", default="Local Filer")
@@ -94,6 +112,53 @@ def _ingest(spark: SparkSession, args) -> int:
     return 0
 
 
+def _sites(path: str) -> tuple[dict, dict]:
+    """The sites in a JSON file, and the manners towards them."""
+    with open(path, encoding="utf-8") as file:
+        given = json.load(file)
+    return given, {k: str(v) for k, v in given.items() if not isinstance(v, dict)}
+
+
+def _fetch(spark: SparkSession, args) -> int:
+    given, manners = _sites(args.sites)
+    data = incremental.Dataset(spark, args.dataset)
+    cutoff = spark.range(1).select(scalars.prune_cutoff(F.lit(args.as_of).cast("date")).alias("d")).first().d
+    asked = dict(manners)
+    if args.chamber in ("both", "senate"):
+        asked |= {k: given["senate"][k] for k in ("home", "search") if k in given["senate"]} | {"from": f"{cutoff:%m/%d/%Y}"}
+    if args.chamber in ("both", "house"):
+        asked |= {"index": given["house"]["index"], "first_year": str(cutoff.year), "last_year": args.as_of[:4]}
+    web.register(spark)
+    rows = web.listed_filings(spark.read.format("chamber_listings").options(**asked).load(), *(given.get(c, {}).get("base", "") for c in ("senate", "house")))
+    if args.dry_run:
+        incremental.planned(data, rows, args.as_of, args.limit).orderBy("chamber", "filing_id").show(truncate=False)
+        return 0
+    stamp = spark.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")).first()[0]
+    print(incremental.run(data, rows, parse_filings, readers.read_roster(spark, args.roster), args.as_of, stamp, limit=args.limit, fetch=lambda new: web.fetched_filings(new, **manners)))
+    if args.document:
+        sinks.publish_document(data.read("trades"), data.read("skipped_filings"), data.read("meta"), args.document)
+    return 0
+
+
+def _charts(spark: SparkSession, args) -> int:
+    given, manners = _sites(args.sites)
+    tickers = returns.buy_tickers(incremental.Dataset(spark, args.dataset).read("trades"), args.limit)
+    web.price_charts(tickers, **given["prices"], **manners).write.mode("overwrite").parquet(args.out)
+    return 0
+
+
+def _check(spark: SparkSession, args) -> int:
+    """0 for an answer as expected, else 1 and what is wrong with it."""
+    with open(args.environments, encoding="utf-8") as file:
+        base = contracts.environment(json.load(file), args.env)
+    web.register(spark)
+    answers = spark.read.format("polite_fetch").option("urls", base.rstrip("/") + args.path).load().withColumn("body", F.decode("body", "UTF-8"))
+    found = schemas.checked_answers(answers, schemas.named(spark, args.schemas, args.schema), args.status).select("status", "error", "ok", schemas.detail("breaches").alias("detail")).first()
+    if not found.ok:
+        print(f"{args.path}: status {found.status}{f' ({found.error})' if found.error else ''}\n{found.detail}", file=sys.stderr)
+    return 0 if found.ok else 1
+
+
 def _parse_ptr(spark: SparkSession, args) -> int:
     """0; 1 for a file without a text layer, 2 for one of another kind."""
     kind = os.path.splitext(args.file)[1].lower()
@@ -126,8 +191,8 @@ def main(argv: list[str] | None = None) -> int:
         trades = incremental.Dataset(spark, args.dataset).read("trades")
         prices = readers.read_prices(spark.read.parquet(args.charts).join(returns.buy_tickers(trades, args.limit), "ticker", "left_semi"))
         return 0 if sinks.publish_returns(returns.buy_returns(trades, prices), args.out) else 1
-    elif args.command == "parse-ptr":
-        return _parse_ptr(spark, args)
+    elif args.command in ("fetch", "charts", "check", "parse-ptr"):
+        return {"fetch": _fetch, "charts": _charts, "check": _check, "parse-ptr": _parse_ptr}[args.command](spark, args)
     elif args.command == "roster":
         legislators = spark.read.schema(readers.LEGISLATORS).option("multiLine", True).json(args.legislators)
         sinks.publish_roster(readers.merged_roster(spark, legislators, args.old), args.out)

@@ -20,6 +20,14 @@ LOGIN_REFRESH = [
 ]
 
 
+def environment(known: dict[str, str], name: str | None = None, usual: str = "dev") -> str:
+    """What is ``known`` of the environment ``name``, or of the ``usual`` one; an unknown name is an error that lists the valid ones."""
+    name = name or usual
+    if name not in known:
+        raise ValueError(f"unknown environment {name}; valid ones: {', '.join(known)}")
+    return known[name]
+
+
 def _prefixed(words: str):
     return lambda k: F.concat(F.lit(words), k)
 

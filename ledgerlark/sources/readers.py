@@ -143,30 +143,32 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return index.toDF(*(c.lstrip("﻿") for c in index.columns))
 
 
+def index_rows(content: bytes) -> list[list[str | None]]:
+    """The rows, as INDEX_COLUMNS, of the first .txt member of an archive; bytes that aren't UTF-8 are replaced, and an index without one of the columns is an error."""
+    import csv
+    import io
+    import zipfile
+
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        name = next(n for n in archive.namelist() if n.lower().endswith(".txt"))
+        text = archive.read(name).decode("utf-8-sig", "replace")
+    found = list(csv.reader(io.StringIO(text), delimiter="\t", quoting=csv.QUOTE_NONE))
+    lacking = set(INDEX_COLUMNS) - set(found[0] if found else ())
+    if lacking:
+        raise ValueError(f"index without columns {sorted(lacking)}")
+    at = [found[0].index(c) for c in INDEX_COLUMNS]
+    return [[row[k] if k < len(row) else None for k in at] for row in found[1:] if any(row)]
+
+
 def read_zipped_index(spark: SparkSession, path: str) -> DataFrame:
-    """The index in the first .txt member of each archive at ``path``; bytes that aren't UTF-8 are replaced."""
-
-    def rows(content: bytes) -> list[list[str | None]]:
-        import csv
-        import io
-        import zipfile
-
-        with zipfile.ZipFile(io.BytesIO(content)) as archive:
-            name = next(n for n in archive.namelist() if n.lower().endswith(".txt"))
-            text = archive.read(name).decode("utf-8-sig", "replace")
-        found = list(csv.reader(io.StringIO(text), delimiter="\t", quoting=csv.QUOTE_NONE))
-        lacking = set(INDEX_COLUMNS) - set(found[0] if found else ())
-        if lacking:
-            raise ValueError(f"index without columns {sorted(lacking)}")
-        at = [found[0].index(c) for c in INDEX_COLUMNS]
-        return [[row[k] if k < len(row) else None for k in at] for row in found[1:] if any(row)]
+    """The indexes in the archives at ``path`` (index_rows())."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for content in batch.column(0):
-                columns = list(zip(*rows(content.as_py()), strict=True)) or [()] * len(INDEX_COLUMNS)
+                columns = list(zip(*index_rows(content.as_py()), strict=True)) or [()] * len(INDEX_COLUMNS)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=list(INDEX_COLUMNS))
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ", ".join(f"{c} string" for c in INDEX_COLUMNS))

@@ -94,12 +94,13 @@ def processed_by_chamber(processed: DataFrame) -> DataFrame:
     return processed.groupBy("chamber").agg(F.count("*").alias("n"))
 
 
-def run(dataset: Dataset, filings: DataFrame, parse: Callable[[DataFrame], DataFrame], members: DataFrame, as_of: str, generated_at: str, featured: list[str] = (), limit: int | None = None) -> RunResult:
+def run(dataset: Dataset, filings: DataFrame, parse: Callable[[DataFrame], DataFrame], members: DataFrame, as_of: str, generated_at: str, featured: list[str] = (), limit: int | None = None, fetch: Callable[[DataFrame], DataFrame] | None = None) -> RunResult:
     """Bring the dataset up to date with ``filings`` and write a version if its content has changed.
 
     ``filings``: chamber, filing_id, member, state, district, filing_date, source_url, is_paper,
     and what ``parse`` reads; ``parse`` gives the trades of non-paper filings, with a column
-    ``error`` that is null or tells why a filing has none. Paper filings are skipped for good;
+    ``error`` that is null or tells why a filing has none. ``fetch`` may bring the texts and pages
+    of the filings that are read (web.fetched_filings()), and tell more of them to be paper. Paper filings are skipped for good;
     failed ones are skipped and tried again in the next run. All stored rows are enriched anew,
     and rows, skips and processed filings before the year before ``as_of`` go.
     """
@@ -108,6 +109,8 @@ def run(dataset: Dataset, filings: DataFrame, parse: Callable[[DataFrame], DataF
     version = dataset.latest()
     old = {name: dataset.read(name, version) for name in TABLES}
     new = saved(candidates(filings, old["processed"], cutoff, limit), "candidates")
+    if fetch is not None:
+        new = saved(fetch(new), "fetched")
     parsed = saved(parse(new.filter("NOT is_paper")), "parsed")
     failed = parsed.filter("error IS NOT NULL").select(*FILING_KEYS).distinct()
     good = parsed.filter("error IS NULL").select(*TRADE_COLUMNS)
@@ -161,7 +164,7 @@ def build_meta(trades, skipped, processed, old_meta, members, as_of, cutoff, gen
     )
 
 
-def run_stream(dataset: Dataset, source: DataFrame, parse, members: DataFrame, as_of: str, generated_at: str, checkpoint: str, featured: list[str] = ()):
+def run_stream(dataset: Dataset, source: DataFrame, parse, members: DataFrame, as_of: str, generated_at: str, checkpoint: str, featured: list[str] = (), fetch: Callable[[DataFrame], DataFrame] | None = None):
     """Feed a stream of filings through run(), all that is there by now, and return the finished query.
 
     The filings that failed are stored after each batch, under its number, and tried again with
@@ -177,7 +180,7 @@ def run_stream(dataset: Dataset, source: DataFrame, parse, members: DataFrame, a
         if earlier:
             both = both.unionByName(spark.read.schema(batch.schema).parquet(f"{waiting}/{earlier[-1]}").withColumn("_batch", F.lit(0)))
         last = both.groupBy(FILING_KEYS).agg(F.max_by(F.struct(*batch.columns), "_batch").alias("f")).select("f.*")
-        run(dataset, last, parse, members, as_of, generated_at, featured)
+        run(dataset, last, parse, members, as_of, generated_at, featured, fetch=fetch)
         failed = dataset.read("skipped_filings").filter("reason = 'parse_error'").select(FILING_KEYS)
         last.join(failed, FILING_KEYS, "left_semi").select(batch.columns).write.mode("overwrite").parquet(f"{waiting}/{number}")
         for old in earlier[:-1]:
