@@ -6,8 +6,11 @@ exploding two sequences, so all matches run in one stage and meet again by their
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ledgerlark.functions.scalars import as_column, exact_round, literal_map, low_score_factor, poisson_pmf
 
@@ -190,16 +193,29 @@ def full_results(matches: DataFrame, key: str = "match_id", with_knockout: bool
 def simulate(matrix: DataFrame, n: int = 200_000, seed: int = 42, key: str = "match_id") -> DataFrame:
     """Frequencies of home, draw and away among ``n`` draws of each match's matrix.
 
-    Each draw is a uniform number looked up among the running sums of the match's cells, which are
-    one array of a kilobyte; draws are made side by side and counted before the shuffle.
+    How often each of a match's cells is drawn is itself drawn, all at once: a multinomial number
+    for each cell, whatever ``n`` is. The same seed and match give the same numbers on any cluster.
     """
-    order = Window.partitionBy(key).orderBy("i", "j")
-    sums = matrix.withColumn("upto", F.sum("p").over(order)).groupBy(key).agg(F.array_sort(F.collect_list("upto")).alias("sums"), (F.max("j") + 1).alias("side"))
-    draws = sums.select(key, "sums", "side", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("draw")).withColumn("u", F.rand(seed))
-    at = F.least(F.size("sums") - 1, F.size(F.filter("sums", lambda s: s <= F.col("u"))))
-    hit = draws.select(key, F.floor(at / F.col("side")).alias("i"), (at % F.col("side")).alias("j"))
-    share = lambda condition, name: (F.count_if(condition) / F.count("*")).alias(name)
-    return hit.groupBy(key).agg(share(F.col("i") > F.col("j"), "p_home"), share(F.col("i") == F.col("j"), "p_draw"), share(F.col("i") < F.col("j"), "p_away"))
+    cells = matrix.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "j", "p"))).alias("cells"))
+    cells = cells.select(key, *(F.col(f"cells.{name}").cast("array<double>").alias(name) for name in ("i", "j", "p")))
+    outcomes = ("p_home", "p_draw", "p_away")
+    schema = StructType([matrix.schema[key], *(StructField(name, DoubleType()) for name in outcomes)])
+
+    def draw(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for name, i, j, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rng = np.random.default_rng([seed, zlib.crc32(str(name).encode())])
+                share, away = np.array(p), np.sign(np.array(j) - np.array(i))
+                hits = rng.multinomial(n, share / share.sum()) / n
+                rows.append([float(hits[away == side].sum()) for side in (-1, 0, 1)])
+            columns = [pa.array([r[k] for r in rows], pa.float64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, *outcomes])
+
+    return cells.mapInArrow(draw, schema)
 
 
 def extra_markets(matches: DataFrame, key: str = "match_id") -> DataFrame:

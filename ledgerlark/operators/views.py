@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.scalars import blank_to_null, notional_mid
+from ledgerlark.operators.ranks import ranked
 from ledgerlark.operators.scratch import numbered
 
 PAGE = 200
@@ -158,8 +159,16 @@ def member_split(trades: DataFrame, position: str = "order_pos") -> DataFrame:
 
 
 def median_return(returns: DataFrame, by: str) -> DataFrame:
-    """The exact median of ``pct`` for each key."""
-    return returns.groupBy(by).agg(F.median("pct").alias("median_pct"), F.count("pct").alias("n"))
+    """The exact median of ``pct`` for each key, and how many it has; null and 0 for a key without one.
+
+    The one or two rows in the middle are picked by their rank, so a key with most of the rows is
+    no more work for a task than others.
+    """
+    found = ranked(returns.select(by, "pct").filter("pct IS NOT NULL"), by, "pct")
+    middle = found.filter((F.col("rank") == F.floor((F.col("n") - 1) / 2)) | (F.col("rank") == F.floor(F.col("n") / 2)))
+    medians = middle.groupBy(F.col(by).alias("_by")).agg(F.avg("pct").alias("median_pct"), F.first("n").alias("n"))
+    keys = returns.select(by).distinct()
+    return keys.join(medians, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "median_pct", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def featured_cards(trades: DataFrame, skipped: DataFrame, featured: DataFrame, as_of: str, days: int = 90, position: str = "order_pos") -> DataFrame:

@@ -15,7 +15,7 @@ from ledgerlark.operators.scratch import owned, saved
 from ledgerlark.plans.pdf_files import pdf_files
 from ledgerlark.plans.registry import TRADES, query, table, trades
 from ledgerlark.sources import html_tables, pdf, readers, sinks
-from ledgerlark.streaming import incremental
+from ledgerlark.streaming import incremental, versions
 
 #: The rows of all filings as SQL and, below, as a DataFrame.
 ROWS = """
@@ -667,3 +667,38 @@ def schema_breaches(spark, sf_dir):
     )
     found = schemas.checked(listed.select("conv_id", body.alias("payload")), CONVERSATION)
     return found.select("conv_id", F.array_join(F.transform("breaches", lambda b: F.concat_ws(" ", b["path"], b["keyword"])), "; ").alias("breaches"))
+
+
+def _order_versions(spark, sf_dir: str) -> versions.VersionedTable:
+    """Orders as three versions of a table: all, some changed and new ones merged, some deleted."""
+    k = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select(k, k.cast("string").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
+    held = versions.VersionedTable(spark, owned(spark, "versions"), "id string, price double, status string", buckets=64)
+    held.merge(orders.drop("o_orderkey"))
+    changed = orders.filter(k % 50 == 1).withColumn("price", F.col("price") + 1)
+    new = orders.filter(k % 500 == 7).withColumn("id", F.concat(F.lit("n"), "id"))
+    held.merge(changed.unionByName(new).drop("o_orderkey"))
+    held.delete(lambda rows: rows.filter(F.col("id").try_cast("long") % 70 == 3))
+    return held
+
+
+@query(
+    """
+    SELECT CAST(o_orderkey AS VARCHAR) AS id, o_totalprice + CASE WHEN o_orderkey % 50 = 1 THEN 1 ELSE 0 END AS price, o_orderstatus AS status FROM orders WHERE o_orderkey % 70 <> 3
+    UNION ALL SELECT 'n' || CAST(o_orderkey AS VARCHAR), o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 500 = 7
+    """
+)
+def merged_versions(spark, sf_dir):
+    """What a table of orders holds after a merge and a deletion that rewrite only some of its files."""
+    return _order_versions(spark, sf_dir).read()
+
+
+@query(
+    """
+    SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderkey % 70 = 3 THEN 'removed' ELSE 'changed' END AS change FROM orders WHERE o_orderkey % 70 = 3 OR o_orderkey % 50 = 1
+    UNION ALL SELECT 'n' || CAST(o_orderkey AS VARCHAR), 'added' FROM orders WHERE o_orderkey % 500 = 7
+    """
+)
+def version_changes(spark, sf_dir):
+    """The orders by which the first and the last version differ, found by going down their hash trees."""
+    return _order_versions(spark, sf_dir).changes(1, 3)
