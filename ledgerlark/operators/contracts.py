@@ -91,6 +91,22 @@ def unexpected_failures(responses: DataFrame, expected: str) -> DataFrame:
     return responses.filter((F.col("status") >= 400) & ~F.col("url").rlike(expected))
 
 
+def browser_problems(log: DataFrame, expected: str, event: str = "event") -> DataFrame:
+    """(page, what, text) of the problems in a log of browser events (page, and ``event``, a JSON object with its kind): uncaught errors, and requests that failed or were answered with 400 or more, but for addresses that match ``expected``.
+
+    ``what`` is error or failure, as page_health() takes them. Events that aren't JSON, and other
+    kinds, are no problem. The log may be a stream.
+    """
+    e = F.from_json(event, "kind string, message string, method string, url string, status int, error string")
+    rows = log.select("page", e.alias("e"))
+    told = lambda *parts: F.concat_ws(" ", *(F.coalesce(F.col(f"e.{p}").cast("string"), F.lit("")) for p in parts))
+    unexpected = ~F.coalesce(F.col("e.url").rlike(expected), F.lit(False))
+    text = F.when(F.col("e.kind") == "pageerror", F.concat(F.lit("Uncaught: "), told("message")))
+    text = text.when(unexpected & (F.col("e.kind") == "requestfailed"), F.concat(told("method", "url"), F.lit(" — "), F.coalesce("e.error", F.lit("failed"))))
+    text = text.when(unexpected & (F.col("e.kind") == "response") & (F.col("e.status") >= 400), told("status", "method", "url"))
+    return rows.select("page", F.when(F.col("e.kind") == "pageerror", "error").otherwise("failure").alias("what"), text.alias("text")).filter("text IS NOT NULL")
+
+
 def page_health(pages: DataFrame, errors: DataFrame, failures: DataFrame) -> DataFrame:
     """For each page its errors, unexpected failures and whether it is healthy: without either."""
     n = lambda df, name: df.groupBy("page").agg(F.count("*").alias(name))

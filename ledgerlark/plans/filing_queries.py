@@ -702,3 +702,24 @@ def merged_versions(spark, sf_dir):
 def version_changes(spark, sf_dir):
     """The orders by which the first and the last version differ, found by going down their hash trees."""
     return _order_versions(spark, sf_dir).changes(1, 3)
+
+
+@query(
+    """
+    WITH e AS (SELECT user_id AS page, event_id, event_id % 4 AS k, CAST(200 + event_id % 300 AS INT) AS status, '/a/' || event_type AS url FROM events)
+    SELECT page, CASE k WHEN 0 THEN 'error' ELSE 'failure' END AS what,
+           CASE k WHEN 0 THEN 'Uncaught: no ' || CAST(event_id AS VARCHAR) WHEN 1 THEN 'GET ' || url || ' — ' || CASE WHEN event_id % 3 = 0 THEN 'failed' ELSE 'reset' END ELSE CAST(status AS VARCHAR) || ' POST ' || url END AS text
+    FROM e WHERE k = 0 OR (url <> '/a/click' AND (k = 1 OR (k = 2 AND status >= 400)))
+    """
+)
+def browser_problems(spark, sf_dir):
+    """Events as a log of browser events: errors, failed requests and answers, those of clicks being expected to fail."""
+    k = F.col("event_id") % 4
+    url = F.concat(F.lit("/a/"), "event_type")
+    kind = F.when(k == 0, "pageerror").when(k == 1, "requestfailed").when(k == 2, "response").otherwise("console")
+    event = F.to_json(F.struct(
+        kind.alias("kind"), F.when(k == 0, F.concat(F.lit("no "), F.col("event_id").cast("string"))).alias("message"), F.when(k == 1, "GET").otherwise("POST").alias("method"), url.alias("url"),
+        (200 + F.col("event_id") % 300).cast("int").alias("status"), F.when(F.col("event_id") % 3 != 0, "reset").alias("error"),
+    ))
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("page"), event.alias("event"))
+    return contracts.browser_problems(log, r"/a/click\b")

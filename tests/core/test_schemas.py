@@ -112,3 +112,15 @@ def test_answers_of_endpoints(spark):
     assert ok(checked_answers(answers, {"required": ["k"]}, 401)) == [True, False, False, False]
     assert ok(checked_answers(answers, {"required": ["k"]})) == [False, True, False, False]
     assert checked_answers(answers.limit(0), {"required": ["k"]}).count() == 0
+
+
+def test_problems_of_browser_events(spark):
+    from ledgerlark.operators.contracts import browser_problems, page_health
+
+    events = [{"kind": "pageerror", "message": "x is undefined"}, {"kind": "requestfailed", "method": "GET", "url": "/a.js"}, {"kind": "requestfailed", "method": "GET", "url": "/api/login/refresh", "error": "reset"},
+              {"kind": "response", "status": 404, "method": "GET", "url": "/b"}, {"kind": "response", "status": 399, "method": "GET", "url": "/c"}, {"kind": "response", "status": 401, "method": "POST", "url": "/api/login/refresh?x"}, {"kind": "console"}]
+    log = spark.createDataFrame([("p", json.dumps(e)) for e in events] + [("q", "no json"), ("q", None)], "page string, event string")
+    found = browser_problems(log, r"/api/login/refresh\b")
+    assert sorted((r.page, r.what, r.text) for r in found.collect()) == [("p", "error", "Uncaught: x is undefined"), ("p", "failure", "404 GET /b"), ("p", "failure", "GET /a.js — failed")]
+    health = page_health(log.select("page").distinct(), found.filter("what = 'error'"), found.filter("what = 'failure'"))
+    assert {r.page: (r.errors, r.failures, r.healthy) for r in health.collect()} == {"p": (1, 2, False), "q": (0, 0, True)}
