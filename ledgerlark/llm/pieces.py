@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ledgerlark.llm.common import documents, saved, slices, small_batches
 from ledgerlark.llm.encoder import vocabulary_path
 
-GIANT = 32_768
+GIANT = 8_192
 CHUNK = 4_096
 FAN = 64
 SHORT = 32
@@ -35,6 +35,39 @@ MARK = "▁"
 CHUNKS = "row long, doc_id long, chunk int, start long, n_chars long, text string"
 
 
+#: Kinds of models by the number that their file gives; 1 if it gives none.
+MODEL_TYPES = {1: "unigram", 2: "byte-pair", 3: "word", 4: "character"}
+
+
+def _fields(message: bytes):
+    """(number, value) of the fields of a protocol buffer: numbers, or the bytes of what has a length."""
+
+    def number(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            byte = message[at]
+            value |= (byte & 127) << shift
+            at, shift = at + 1, shift + 7
+            if byte < 128:
+                return value, at
+
+    at = 0
+    while at < len(message):
+        key, at = number(at)
+        if key & 7 == 0:
+            value, at = number(at)
+        else:
+            length, at = number(at) if key & 7 == 2 else ({1: 8, 5: 4}[key & 7], at)
+            value, at = message[at : at + length], at + length
+        yield key >> 3, value
+
+
+def model_type(proto: bytes) -> str:
+    """What kind of model a SentencePiece file holds: its trainer's model_type."""
+    found = [v for field, spec in _fields(proto) if field == 2 for k, v in _fields(spec) if k == 3]
+    return MODEL_TYPES.get(found[-1] if found else 1, "unknown")
+
+
 class PieceModel:
     """A SentencePiece byte-pair model with byte fallback: its vocabulary, and the lattice of a text.
 
@@ -47,6 +80,8 @@ class PieceModel:
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         m = self.library
+        if (kind := model_type(m.serialized_model_proto())) != "byte-pair":
+            raise ValueError(f"a byte-pair model is needed; {path} is a {kind} model")
         kinds = range(m.vocab_size())
         self.bytes = {int(m.id_to_piece(i)[1:-1], 16): i for i in kinds if m.is_byte(i)}
         self.ids = {m.id_to_piece(i): i for i in kinds if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))}
@@ -402,8 +437,9 @@ def encode_pieces(docs: DataFrame, vocabulary: str, giant: int = GIANT, chunk: i
     over ``giant`` characters are scanned in chunks of ``chunk`` side by side; what meets in one task
     of those are ``fan`` matrices and, at last, the ids of one document. Null and empty texts have no ids. Every row gives one row,
     null doc_ids and repeated rows too; an empty table gives none. The path is unique, so there are no ties. Other columns, whatever
-    their names, are not read.
+    their names, are not read. A model of another type than byte-pair is an error.
     """
+    piece_model(vocabulary)
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     long_ = F.coalesce(F.length("text") > giant, F.lit(False))
     chunks = saved(_chunks(rows.filter(long_), vocabulary, chunk), "chunks")

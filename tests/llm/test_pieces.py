@@ -88,3 +88,21 @@ def test_products_of_matrices_are_associative(sizes, rng):
                 assert path[0][0] == entry and path[-1][1] == exit_
                 assert all(m[i] >> j & 1 for m, (i, j) in zip((a, b, c), path, strict=True))
                 assert all(x[1] == y[0] for x, y in zip(path, path[1:], strict=False))
+
+
+def test_other_models_than_byte_pair_are_refused(spark, monkeypatch):
+    import sentencepiece
+
+    from ledgerlark.llm import pieces
+
+    path = vocabulary_path("piece_bpe_32k.model")
+    proto = sentencepiece.SentencePieceProcessor(model_file=path).serialized_model_proto()
+    assert pieces.model_type(proto) == "byte-pair"
+    # field 2 (trainer) with field 3 (model_type), or without it
+    assert [pieces.model_type(b"\x12\x02\x18" + bytes([k])) for k in (1, 2, 3, 4, 9)] == ["unigram", "byte-pair", "word", "character", "unknown"]
+    assert pieces.model_type(b"\x12\x00") == pieces.model_type(b"\x0a\x03abc") == "unigram"
+    monkeypatch.setattr(pieces, "model_type", lambda proto: "unigram")
+    pieces.piece_model.cache_clear()
+    with pytest.raises(ValueError, match="is a unigram model"):
+        pieces.encode_pieces(spark.createDataFrame([(1, "a")], "doc_id long, text string"), path)
+    pieces.piece_model.cache_clear()
