@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import scalars
-from ledgerlark.operators import contracts, filings, joins, returns, schemas, upserts, views
+from ledgerlark.operators import contracts, filings, joins, returns, schemas, trigrams, upserts, views
 from ledgerlark.operators.scratch import owned, saved
 from ledgerlark.plans.pdf_files import pdf_files
 from ledgerlark.plans.registry import TRADES, query, table, trades
@@ -723,3 +723,13 @@ def browser_problems(spark, sf_dir):
     ))
     log = table(spark, sf_dir, "events").select(F.col("user_id").alias("page"), event.alias("event"))
     return contracts.browser_problems(log, r"/a/click\b")
+
+
+@query("SELECT p_partkey AS id, p_name AS name, p_brand AS brand FROM part WHERE contains(lower(p_name), 'd wi') OR contains(lower(p_brand), 'd#13')")
+def indexed_search(spark, sf_dir):
+    """Parts found by a piece of their name or brand, through an index of trigrams."""
+    path = owned(spark, "searchable")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
+    trigrams.write_searchable(parts, path, ["name", "brand"], ["brand"])
+    found = trigrams.search(spark, path, ["brand"], "D#13")
+    return found.union(trigrams.search(spark, path, ["name"], "D Wi")).distinct()
