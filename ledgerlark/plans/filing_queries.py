@@ -145,7 +145,8 @@ def pdf_cells(spark, sf_dir):
 def table_trades(spark, sf_dir):
     """Trades of filings that are HTML pages."""
     pages = page_filings(spark, sf_dir)
-    return _found(filings.table_trades(pages, html_tables.html_rows(pages, "filing_id")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # by number: pages are small, parsing them isn't
+    return _found(filings.table_trades(pages, html_tables.html_rows(pages.repartition(parts, "f"), "filing_id")))
 
 
 @query(
