@@ -40,6 +40,10 @@ HONORIFICS = "hon\\.?|mr\\.?|mrs\\.?|ms\\.?|dr\\.?|senator|sen\\.?|rep\\.?|repre
 SUFFIXES = "jr\\.?|sr\\.?|ii|iii|iv|v|md|m\\.d\\."
 
 
+# Unicode white space, as trim takes it and within a class of a pattern.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def as_column(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -55,12 +59,12 @@ def once(value, body) -> Column:
 
 def strip(x) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(as_column(x), r"(?U)^\s+|\s+$", "")
+    return F.btrim(as_column(x), F.lit(BLANKS))
 
 
 def collapse(x) -> Column:
     """Stripped, with every run of white space as one blank."""
-    return strip(F.regexp_replace(as_column(x), r"(?U)\s+", " "))
+    return strip(F.regexp_replace(as_column(x), f"[{BLANKS}]{{2,}}|[{BLANKS.replace(' ', '')}]", " "))  # single blanks stay
 
 
 def blank_to_null(x) -> Column:
@@ -96,9 +100,8 @@ def parse_amount(label) -> Column:
 def parse_tx_type(raw) -> Column:
     """(type, partial) of a transaction word or code; null if unknown."""
     key = collapse(F.regexp_replace(F.lower(strip(raw)), r"\.+$", ""))
-    kinds = literal_map({k: t for k, (t, _) in TX_TYPES.items()})
-    kind = F.try_element_at(kinds, key)
-    return F.when(kind.isNotNull(), F.struct(kind.alias("type"), key.isin([k for k, (_, p) in TX_TYPES.items() if p]).alias("partial")))
+    kinds = F.create_map(*(x for k, (t, p) in TX_TYPES.items() for x in (F.lit(k), F.struct(F.lit(t).alias("type"), F.lit(p).alias("partial")))))
+    return F.try_element_at(kinds, key)
 
 
 def parse_date(raw) -> Column:
