@@ -29,6 +29,8 @@ FILE = "file string, bucket int, n long, low string, high string, bloom binary,
 FANOUT = 16
 #: Bits of a Bloom filter for a key, and how many of them are set: one in 120 other keys is taken for one of the file's.
 BITS, PROBES = 10, 7
+#: The most rows of a file, and about the most keys that are asked of a bucket's files at once, so no task holds more however large the table is.
+FILE_ROWS = 50_000
 
 
 class Conflict(Exception):
@@ -91,6 +93,12 @@ class VersionedTable:
     def _bucket(self) -> F.Column:
         return F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.buckets)).cast("int").alias("bucket")
 
+    def _written(self, rows: DataFrame, name: str) -> None:
+        """Write rows by bucket and key, so the files of a bucket have FILE_ROWS rows at most and ranges of keys of their own."""
+        tasks = min(self.buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        dealt = rows.withColumn("bucket", self._bucket()).repartition(tasks, "bucket").sortWithinPartitions("bucket", self.key)
+        dealt.write.partitionBy("bucket").option("maxRecordsPerFile", FILE_ROWS).parquet(f"{self.path}/data/{name}")
+
     def merge(self, incoming: DataFrame, sequence: str | None = None, tries: int = 5) -> dict[str, int]:
         """Publish a version with the ``incoming`` rows in place of those with their keys, and tell what it took.
 
@@ -119,12 +127,12 @@ class VersionedTable:
         told = {"version": version, "files": files.count(), "rewritten": 0, "rows_read": 0, "rows_written": 0}
         if not n:
             return told
-        touched = [(r.file, r.n) for r in self._touched(last, files).collect()]  # names of files, as a listing has them
-        stay = self._rows([f for f, _ in touched]).join(last.select(self.key), self.key, "left_anti").select(self.schema.names)
+        touched = [(r.file, r.n) for r in self._touched(last, files, n).collect()]  # names of files, as a listing has them
+        rows = last
+        if touched:  # else no key of a new table needs to be held against its rows
+            rows = self._rows([f for f, _ in touched]).join(last.select(self.key), self.key, "left_anti").select(self.schema.names).unionByName(last)
         name = uuid.uuid4().hex
-        tasks = min(self.buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        rows = stay.unionByName(last).withColumn("bucket", self._bucket())
-        rows.repartition(tasks, "bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/{name}")
+        self._written(rows, name)
         kept = files.filter(~F.col("file").isin([f for f, _ in touched])) if touched else files
         self._published(version + 1, kept, self._described(name))
         told |= {"version": version + 1, "rewritten": len(touched), "rows_read": sum(k for _, k in touched)}
@@ -133,9 +141,10 @@ class VersionedTable:
     def _described_rows(self, version: int, name: str) -> int:
         return self.manifest(version).filter(F.col("file").startswith(name)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
-    def _touched(self, last: DataFrame, files: DataFrame) -> DataFrame:
-        """(file, n) of the files that may hold one of the keys, and of all files of buckets that have too many."""
-        key, crowded = self.key, self.most_files
+    def _touched(self, last: DataFrame, files: DataFrame, keys: int) -> DataFrame:
+        """(file, n) of the files that may hold one of the ``keys`` keys, and of all small files of buckets that have too many of these."""
+        key, crowded, small = self.key, self.most_files, FILE_ROWS // 2
+        slices = -(-keys // (self.buckets * FILE_ROWS)) or 1
 
         def run(wanted, held):
             import pyarrow as pa
@@ -143,14 +152,18 @@ class VersionedTable:
             found = []
             if wanted.num_rows:
                 hashes, keys = wanted.column("h").to_numpy(), np.array(wanted.column(key).to_pylist(), object)
+                many = sum(n < small for n in held.column("n").to_pylist()) >= crowded
                 for file, n, low, high, filter_ in zip(*(held.column(c).to_pylist() for c in ("file", "n", "low", "high", "bloom")), strict=True):
                     between = (keys >= low) & (keys <= high)
-                    if held.num_rows >= crowded or may_hold(filter_, hashes[between]).any():
+                    if (many and n < small) or may_hold(filter_, hashes[between]).any():
                         found.append((file, n))
             return pa.Table.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["file", "n"])
 
-        wanted = last.select(key, F.xxhash64(key).alias("h"), self._bucket())
-        return wanted.groupBy("bucket").cogroup(files.groupBy("bucket")).applyInArrow(run, "file string, n long")
+        part = F.pmod(F.shiftrightunsigned(F.xxhash64(key), 32), F.lit(slices)).cast("int").alias("slice")
+        wanted = last.select(key, F.xxhash64(key).alias("h"), self._bucket(), part)
+        asked = files.select("*", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+        by = ["bucket", "slice"]
+        return wanted.groupBy(by).cogroup(asked.groupBy(by)).applyInArrow(run, "file string, n long").distinct()
 
     def _described(self, name: str) -> DataFrame:
         """FILE of the files just written under ``name``."""
@@ -234,13 +247,14 @@ class VersionedTable:
         began, version = mark(), self.latest()
         gone = saved(rows(self.read(version)).select(self.key).distinct(), "gone")
         files = self.manifest(version)
-        touched = [r.file for r in self._touched(gone, files).select("file").collect()]
-        if gone.isEmpty():
+        n = gone.count()
+        touched = [r.file for r in self._touched(gone, files, n).select("file").collect()]
+        if not n:
             release(self.spark, began)
             return version
         name = uuid.uuid4().hex
-        stay = self._rows(touched).join(gone, self.key, "left_anti").withColumn("bucket", self._bucket())
-        stay.repartition(min(self.buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), "bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/{name}")
+        stay = self._rows(touched).join(gone, self.key, "left_anti").select(self.schema.names)
+        self._written(stay, name)
         new = self._described(name) if not stay.isEmpty() else self.spark.createDataFrame([], FILE)
         self._published(version + 1, files.filter(~F.col("file").isin(touched)), new)
         release(self.spark, began)

@@ -105,3 +105,21 @@ def test_enrichment_at_read_follows_the_roster(spark, tmp_path):
     table.merge(one)
     roster = lambda party: spark.createDataFrame([(0, "Ann Lee", "house", party, "QQ", None, [])], "position int, name string, chamber string, party string, state string, district string, aliases array<string>")
     assert [table.enriched(roster(p)).first().party for p in "DR"] == ["D", "R"] and table.latest() == 1
+
+
+def test_no_task_holds_more_than_a_file_or_a_slice_of_the_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(versions, "FILE_ROWS", 50, raising=False)
+    table = VersionedTable(spark, f"{tmp_path}/t", SCHEMA, buckets=4, most_files=4)
+    keys = [f"k{k}" for k in range(2000)]
+    table.merge(rows(spark, keys))
+    files = table.manifest().collect()
+    assert max(f.n for f in files) <= 50 and sum(f.n for f in files) == 2000
+    for bucket in range(4):  # files of a bucket have ranges of their own
+        ranges = sorted((f.low, f.high) for f in files if f.bucket == bucket)
+        assert len(ranges) > 4 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+    told = table.merge(rows(spark, ["k7"], 1))  # many files make no bucket crowded, many small ones do
+    assert told["rewritten"] <= 3 and told["rows_read"] <= 150
+    table.merge(rows(spark, keys[::2], 2))  # several slices of keys for each bucket
+    table.delete(lambda df: df.filter("n = 0 AND id < 'k5'"))
+    assert held(table) == {k: 2 if i % 2 == 0 else int(k == "k7") for i, k in enumerate(keys) if i % 2 == 0 or k == "k7" or k >= "k5"}
+    assert max(f.n for f in table.manifest().collect()) <= 50
