@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from decimal import Decimal
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -172,23 +173,22 @@ class VersionedTable:
         def run(_, table):
             import pyarrow as pa
 
-            keys, hashes = table.column(key).to_pylist(), table.column("h").to_numpy()
-            return pa.table({"file": [table.column("file")[0].as_py()], "bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "n": [len(keys)], "low": [min(keys)], "high": [max(keys)], "bloom": pa.array([bloom(hashes)], pa.binary())})
+            keys, hashes, digests = table.column(key).to_pylist(), table.column("h").to_numpy(), table.column("_x").to_numpy()
+            about = {"file": [table.column("file")[0].as_py()], "bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "n": [len(keys)], "low": [min(keys)], "high": [max(keys)], "bloom": pa.array([bloom(hashes)], pa.binary())}
+            return pa.table(about | {"total": pa.array([Decimal(sum(digests.tolist()))], pa.decimal128(38, 0)), "mix": [int(np.bitwise_xor.reduce(digests))]})
 
         rows = self.spark.read.schema(StructType([*self.schema.fields, *StructType.fromDDL("bucket int")])).parquet(f"{self.path}/data/{name}")
         file = F.concat(F.lit(f"{name}/"), F.regexp_extract(F.input_file_name(), r"(bucket=[^/]+/[^/]+)$", 1)).alias("file")
         marked = rows.select(file, "bucket", key, F.xxhash64(key).alias("h"), self._row_hash().alias("_x"))
-        sums = marked.groupBy("file").agg(F.sum(F.col("_x").cast("decimal(38,0)")).alias("total"), F.bit_xor("_x").alias("mix"))
-        filters = marked.groupBy("file").applyInArrow(run, "file string, bucket int, n long, low string, high string, bloom binary")
-        return filters.join(sums, "file").select(*(c.split()[0] for c in FILE.split(", ")))
+        return marked.groupBy("file").applyInArrow(run, FILE)
 
     def _row_hash(self) -> F.Column:
         return F.xxhash64(F.to_json(F.struct(*self.schema.names), {"ignoreNullFields": "false"}))
 
     def _published(self, version: int, kept: DataFrame, new: DataFrame) -> None:
-        """Write the manifest, then create the file that makes it the version; Conflict where that is there."""
+        """Write the manifest, described in as many tasks as there are, then create the file that makes it the version; Conflict where that is there."""
         name = uuid.uuid4().hex
-        kept.unionByName(new).coalesce(1).write.parquet(f"{self.path}/manifests/{name}")
+        kept.unionByName(new).hint("rebalance").write.parquet(f"{self.path}/manifests/{name}")
         jvm, path = self.spark._jvm, f"{self.path}/versions/{version}"
         target = jvm.org.apache.hadoop.fs.Path(path)
         files = target.getFileSystem(self.spark._jsc.hadoopConfiguration())

@@ -123,3 +123,12 @@ def test_no_task_holds_more_than_a_file_or_a_slice_of_the_keys(spark, tmp_path,
     table.delete(lambda df: df.filter("n = 0 AND id < 'k5'"))
     assert held(table) == {k: 2 if i % 2 == 0 else int(k == "k7") for i, k in enumerate(keys) if i % 2 == 0 or k == "k7" or k >= "k5"}
     assert max(f.n for f in table.manifest().collect()) <= 50
+
+
+def test_files_are_described_side_by_side(spark, tmp_path, monkeypatch):
+    from pyspark import TaskContext
+
+    table = VersionedTable(spark, f"{tmp_path}/t", SCHEMA, buckets=32)
+    monkeypatch.setattr(VersionedTable, "_described", lambda self, name, plain=VersionedTable._described: plain(self, name).repartition(4).mapInArrow(lambda bs: ((tmp_path / f"task{TaskContext.get().partitionId()}").touch() or b for b in bs), versions.FILE))
+    table.merge(rows(spark, [f"k{k}" for k in range(2000)]))
+    assert len(list(tmp_path.glob("task*"))) > 1
