@@ -41,8 +41,8 @@ def pii(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 4096 tokens, with their ids; a null or empty text is its end id alone, each repeated row is packed. Workers that have run the stages before remember fewer words."""
-    return pack(docs, vocabulary_path(), remember=250_000)
+    """The pieces of all documents in sequences of 4096 tokens, with their ids; a null or empty text is its end id alone, each repeated row is packed. Workers that run the other stages too remember fewer words, and forget them when a task ends."""
+    return pack(docs, vocabulary_path(), remember=250_000, forget=True)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("pii", pii), ("packing", packing)]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.operators.scratch import mark, numbered, owned, release, saved
 
-__all__ = ["documents", "hash_words", "let", "lower_words_of", "mark", "mix64", "numbered", "owned", "release", "saved", "slices", "small_batches", "window_hashes", "words_of"]
+__all__ = ["documents", "hash_words", "let", "lower_words_of", "mark", "mix64", "numbered", "owned", "release", "saved", "slices", "small_batches", "trimmed", "window_hashes", "words_of"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +41,22 @@ def slices(batches, rows: int = 256):
             yield batch.slice(k, rows)
 
 
+def trimmed(run):
+    """``run``, a function over Arrow batches, that gives free memory back to the machine when a task ends: a worker that waits, or goes on with another stage, then holds what that one needs."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        import pyarrow as pa
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return wrapped
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The runs of ``[^\\x20\\x09-\\x0D]`` of a text, as UTF-8 bytes; bytes.split() parts at exactly these six characters."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

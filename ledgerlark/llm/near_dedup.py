@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import documents, hash_words, lower_words_of, mark, mix64, release, saved, slices, small_batches, window_hashes
+from ledgerlark.llm.common import documents, hash_words, lower_words_of, mark, mix64, release, saved, slices, small_batches, trimmed, window_hashes
 
 BANDS, ROWS = 32, 6
 HASHES = BANDS * ROWS
@@ -114,7 +114,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
             lists = pa.array(bands, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(signatures, pa.binary()), lists], names=["doc_id", "text_a", "text_b", "n_shingles", "set_hi", "set_lo", "signature", "bands"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *text_hashes(F.col("text"))).mapInArrow(run, DESCRIBED)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *text_hashes(F.col("text"))).mapInArrow(trimmed(run), DESCRIBED)
 
 
 def text_hashes(text: Column) -> tuple[Column, Column]:
@@ -168,7 +168,7 @@ def _shingle_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: in
     small = wanted.count() < few
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_hashes(F.col("text")), "text")
     texts = texts.join(F.broadcast(wanted) if small else wanted, ["doc_id", "text_a", "text_b"]).select("id", "text")
-    return saved(texts.mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"]), "shingles")
+    return saved(texts.mapInArrow(trimmed(sets), "id long, shingles binary").dropDuplicates(["id"]), "shingles")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     left, right = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(trimmed(compare), "a long, b long")
 
 
 def linked_sets(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
@@ -335,7 +335,7 @@ def _met(heads: DataFrame, members: DataFrame, percent: int, miss: float, likeli
     pairs = pairs[0].union(pairs[1]).groupBy("a", "b").agg(F.max("first").alias("first"))
     left, right = (heads.select(F.col("id").alias(c), F.col("signature").alias(f"s_{c}"), F.col("n_shingles").alias(f"n_{c}")) for c in "ab")
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    alive = pairs.join(right, "b").join(left, "a").filter(fits).select("a", "b", "first", "s_a", "s_b").mapInArrow(prune, "a long, b long, first boolean, matches int")
+    alive = pairs.join(right, "b").join(left, "a").filter(fits).select("a", "b", "first", "s_a", "s_b").mapInArrow(trimmed(prune), "a long, b long, first boolean, matches int")
     ranked = alive.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("matches"), "a")))
     return saved(ranked.filter(F.col("first") | (F.col("rank") <= likeliest)).select("a", "b"), "candidates")
 
@@ -405,7 +405,7 @@ def _across(heads: DataFrame, members: DataFrame, labels: DataFrame, percent: in
             columns = zip(*rows, strict=True) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if t == "int" else pa.int64()) for c, t in zip(columns, names.values(), strict=True)], names=list(names))
 
-    found = saved(_with_blocks(pairs, blocks).mapInArrow(run, ", ".join(f"{c} {t}" for c, t in names.items())), "candidates")
+    found = saved(_with_blocks(pairs, blocks).mapInArrow(trimmed(run), ", ".join(f"{c} {t}" for c, t in names.items())), "candidates")
     dense = saved(found.filter("band IS NOT NULL").drop("a", "b"), "dense-pairs")
     return found.filter("band IS NULL").select("a", "b").distinct(), _with_blocks(dense, blocks)
 
@@ -427,7 +427,7 @@ def _within(dense: DataFrame, members: DataFrame, sets: DataFrame, percent: int,
     for s in "ab":
         dense = dense.join(_side(known, s, "sets").withColumnRenamed(f"sets_{s}", "sets"), list(_SIDES[s]))
         dense = dense.withColumn(f"shingles_{s}", F.transform(f"ids_{s}", lambda i: F.element_at("sets", i))).drop("sets")
-    return dense.mapInArrow(run, "a long, b long")
+    return dense.mapInArrow(trimmed(run), "a long, b long")
 
 
 def op1_near_duplicates(spark, sf_dir):

@@ -13,7 +13,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import documents, slices, small_batches
+from ledgerlark.llm.common import documents, slices, small_batches, trimmed
 from ledgerlark.llm.encoder import REMEMBER, encoder, vocabulary_path
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -79,7 +79,7 @@ class Packer:
         return chosen
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2, pool: int = 4096, remember: int = REMEMBER) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2, pool: int = 4096, remember: int = REMEMBER, forget: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit).
 
     A document is the ids of its whole text and then ``end_id``; a null or empty text is the end
@@ -88,7 +88,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2
     fills a sequence, so that only a task's last sequence needs padding. Each row of the input is
     packed once, repeated rows and null doc_ids too; an empty table gives no rows. Very long texts
     are encoded whole. Of pieces of one length the last that came goes first; of subsets that come
-    as near, that of longer pieces. A worker remembers words in two generations of ``remember``. Other columns, whatever their names, are not read. A sequence
+    as near, that of longer pieces. A worker remembers words in two
+    generations of ``remember``, and forgets them and the vocabulary at the end of a task if it shall ``forget``. Other columns, whatever their names, are not read. A sequence
     lies in one task: its number is the task's partition times 2**32 plus its rank there.
     """
     end = end_id.to_bytes(4, "little")
@@ -137,8 +138,11 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 2
                 yield flush()
         if rows:
             yield flush()
+        if forget:
+            del encode
+            encoder.cache_clear()
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), SCHEMA)
 
 
 def op8_pack_sequences(spark, sf_dir):

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from ledgerlark.llm.common import documents, hash_words, mark, release, saved, slices, small_batches, window_hashes, words_of
+from ledgerlark.llm.common import documents, hash_words, mark, release, saved, slices, small_batches, trimmed, window_hashes, words_of
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 PROFILE = f"host string, digest binary, doc_id long, {MEASURES}, version long, lines array<struct<hash:long,words:int>>"
@@ -104,7 +104,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
             columns = list(zip(*map(measure, batch.column(3).to_pylist()), strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], struct)], names=["host", "digest", "doc_id", *(c.split()[0] for c in MEASURES.split(", ")), "version", "lines"])
 
-    measured = small_batches(docs).select(_host().alias("host"), _digest().alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PROFILE)
+    measured = small_batches(docs).select(_host().alias("host"), _digest().alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), PROFILE)
     return saved(measured.withColumn("place", F.monotonically_increasing_id()), "line-profiles")
 
 
@@ -200,7 +200,7 @@ def clean_documents(docs: DataFrame, limits: Limits = Limits(), few: int = 200_0
 
     rest = StructType([docs.schema[c] for c in others])
     schema = StructType([StructField("rest", rest), StructField("text", StringType()), StructField("cut", BooleanType())])
-    kept = rows.mapInArrow(run, schema)
+    kept = rows.mapInArrow(trimmed(run), schema)
     columns = {c: F.col("rest").getField(c) for c in others} | {"text": F.col("text")}
     if "n_chars" in others:
         columns["n_chars"] = F.when(F.col("cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
