@@ -403,8 +403,13 @@ def _settled(matrices: DataFrame, last: int, fan: int) -> DataFrame:
     return stretched.join(ends, ["row", "stretch"]).select("row", "parts", "first", "end").mapInArrow(scan, states)
 
 
-def _scanned(chunks: DataFrame, vocabulary: str, size: int, fan: int) -> DataFrame:
-    """(doc_id, ids) of chunked documents: matrices by chunk, their scan, and each chunk's path."""
+def recoded(ids: bytes, kind: str, other: str) -> bytes:
+    """Numbers of one kind as those of another."""
+    return ids if kind == other else np.frombuffer(ids, kind).astype(other).tobytes()
+
+
+def _traced(chunks: DataFrame, vocabulary: str, size: int, fan: int, packed: str) -> DataFrame:
+    """(row, doc_id, chunk, ids) of chunked documents: matrices by chunk, their scan, and each chunk's path, its ids as numbers of the kind ``packed``."""
 
     def transfer(batches):
         import pyarrow as pa
@@ -421,13 +426,28 @@ def _scanned(chunks: DataFrame, vocabulary: str, size: int, fan: int) -> DataFra
         model = piece_model(vocabulary)
         for batch in slices(batches):
             row, doc_id, chunk, start, n_chars, text, entry, exit_ = (c.to_pylist() for c in batch.columns)
-            ids = [_chunk(model, size, s, n, t).ids(a, b) for s, n, t, a, b in zip(start, n_chars, text, entry, exit_, strict=True)]
+            ids = [recoded(_chunk(model, size, s, n, t).ids(a, b), "<u4", packed) for s, n, t, a, b in zip(start, n_chars, text, entry, exit_, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(chunk, pa.int32()), pa.array(ids, pa.binary())], names=["row", "doc_id", "chunk", "ids"])
 
     last = chunks.agg(F.max("chunk")).first()[0] or 0
     states = _settled(chunks.mapInArrow(transfer, "row long, place int, matrix array<string>"), last, fan).withColumnRenamed("place", "chunk")
-    traced = chunks.join(states, ["row", "chunk"]).select("row", "doc_id", "chunk", "start", "n_chars", "text", "entry", "exit").mapInArrow(trace, "row long, doc_id long, chunk int, ids binary")
-    return traced.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.expr("listagg(ids) WITHIN GROUP (ORDER BY chunk)").alias("ids")).select("doc_id", "ids")
+    return chunks.join(states, ["row", "chunk"]).select("row", "doc_id", "chunk", "start", "n_chars", "text", "entry", "exit").mapInArrow(trace, "row long, doc_id long, chunk int, ids binary")
+
+
+def _scanned(chunks: DataFrame, vocabulary: str, size: int, fan: int) -> DataFrame:
+    """(doc_id, ids) of chunked documents, whose chunks' ids take 16 bits on their way where the vocabulary fits."""
+    packed = "<u2" if piece_model(vocabulary).library.vocab_size() <= 1 << 16 else "<u4"
+
+    def widen(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches):
+            ids = [recoded(x, packed, "<u4") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+    traced = _traced(chunks, vocabulary, size, fan, packed)
+    whole = traced.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.expr("listagg(ids) WITHIN GROUP (ORDER BY chunk)").alias("ids")).select("doc_id", "ids")
+    return whole.mapInArrow(widen, "doc_id long, ids binary")
 
 
 def encode_pieces(docs: DataFrame, vocabulary: str, giant: int = GIANT, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:

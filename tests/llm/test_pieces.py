@@ -106,3 +106,13 @@ def test_other_models_than_byte_pair_are_refused(spark, monkeypatch):
     with pytest.raises(ValueError, match="is a unigram model"):
         pieces.encode_pieces(spark.createDataFrame([(1, "a")], "doc_id long, text string"), path)
     pieces.piece_model.cache_clear()
+
+
+def test_ids_of_chunks_take_two_bytes_on_their_way(spark, model):
+    text = "some words to be cut into chunks " * 40
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    traced = pieces._traced(pieces._chunks(docs, PATH, 64), PATH, 64, 4, "<u2").orderBy("chunk").collect()
+    ids = b"".join(bytes(r.ids) for r in traced)
+    want = model.encode(model.normalize(text))
+    assert len(ids) == len(want) // 2 and pieces.recoded(ids, "<u2", "<u4") == want
+    assert [bytes(r.ids) for r in encode_pieces(docs, PATH, giant=200, chunk=64, fan=4).collect()] == [want]
