@@ -74,11 +74,19 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     return pd.util.hash_array(np.array([*words, None], dtype=object)[:-1], categorize=False)
 
 
+_MIXED = tuple(map(np.uint64, (30, 0xBF58476D1CE4E5B9, 27, 0x94D049BB133111EB, 31)))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: a bijection of 64-bit integers whose bits all depend on all input bits."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    a, times, b, then, c = _MIXED
+    y = x >> a
+    y ^= x
+    y *= times
+    y ^= y >> b
+    y *= then
+    y ^= y >> c
+    return y
 
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:

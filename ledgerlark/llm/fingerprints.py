@@ -31,25 +31,54 @@ _EMPTY = pd.util.hash_array(np.array(["", None], dtype=object)[:-1], categorize=
 _SHIFTS, _LOW = np.arange(0, 21 * ROWS, 21, dtype=np.uint64)[:, None], np.uint64((1 << 21) - 1)
 
 
-def paragraph_digests(text: str, words: int = 8) -> np.ndarray:
+class Words:
+    """A text's words, parted by blanks and line ends: their hashes, and which are the last of a line."""
+
+    def __init__(self, hashed: np.ndarray, ends: np.ndarray):
+        self.hashed, self.ends = hashed, ends
+
+    @classmethod
+    def of(cls, text: str) -> Words:
+        ends = np.cumsum([line.count(" ") + 1 for line in text.split("\n")])
+        out = cls(_hashed(text.replace("\n", " ").split(" ")), np.zeros(ends[-1], bool))
+        out.ends[ends - 1] = True
+        return out
+
+    def edited(self, head: str, after: Words, tail: str) -> Words:
+        """The words of ``head + tail``, the starts of this text and of ``after``'s: only words that are cut are hashed anew."""
+        n, m = (x.count(" ") + x.count("\n") for x in (head, tail))
+        cut = _last(head) + tail.replace("\n", " ", 1).split(" ", 1)[0]
+        if not m:
+            return Words(np.append(self.hashed[:n], _hashed([cut])), np.append(self.ends[:n], True))
+        hashed = _hashed([cut, _last(tail)])
+        return Words(np.concatenate([self.hashed[:n], hashed[:1], after.hashed[1:m], hashed[1:]]), np.concatenate([self.ends[:n], after.ends[:m], [True]]))
+
+
+def _last(text: str) -> str:
+    """What follows the last blank or line end."""
+    return text[max(text.rfind(" "), text.rfind("\n")) + 1 :]
+
+
+def _hashed(words: list[str]) -> np.ndarray:
+    return pd.util.hash_array(np.array([*words, None], dtype=object)[:-1], categorize=False)
+
+
+def paragraph_digests(text: str | Words, words: int = 8) -> np.ndarray:
     """A 64-bit digest of each paragraph: a line, or where it has more than ``words`` blank-separated words the runs of them that end with a word whose hash ``words`` divides.
 
     As the words themselves say where a run ends, one put in or taken out changes one run or two
     and no other. The k-th of equal paragraphs has a digest of its own, so the digests are a set.
     """
-    flat, sizes = [], []
-    for line in text.split("\n"):
-        own = line.split(" ")
-        flat += own
-        sizes.append(len(own))
-    sizes = np.array(sizes)
-    hashed = pd.util.hash_array(np.array([*flat, None], dtype=object)[:-1], categorize=False)
+    own = Words.of(text) if isinstance(text, str) else text
+    hashed, ends = own.hashed, np.flatnonzero(own.ends) + 1
+    sizes = ends - np.concatenate([[0], ends[:-1]])
     last = np.repeat(sizes > words, sizes) & (hashed % np.uint64(words) == 0)
-    last[np.cumsum(sizes) - 1] = True
-    starts = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
-    lengths = np.diff(np.append(starts, len(flat)))
-    place = np.arange(len(flat)) - np.repeat(starts, lengths)
-    digests = np.add.reduceat(mix64(hashed + (place + 1).astype(np.uint64) * _GOLDEN), starts)
+    last |= own.ends
+    ends = np.flatnonzero(last) + 1
+    starts = np.concatenate([[0], ends[:-1]])
+    lengths = ends - starts
+    place = np.arange(1, len(hashed) + 1) - np.repeat(starts, lengths)
+    digests = np.add.reduceat(mix64(hashed + place.astype(np.uint64) * _GOLDEN), starts)
     digests = np.sort(digests[(lengths > 1) | (hashed[starts] != _EMPTY)])
     new = digests[1:] != digests[:-1]
     if new.all():
@@ -83,9 +112,9 @@ class Sketch:
 
     def add(self, digests: np.ndarray, signs, checks: np.ndarray) -> None:
         at = _cells(checks, len(self.counts)).ravel()
-        np.add.at(self.counts, at, np.tile(signs, ROWS))
-        np.bitwise_xor.at(self.keys, at, np.tile(digests, ROWS))
-        np.bitwise_xor.at(self.checks, at, np.tile(checks, ROWS))
+        np.add.at(self.counts, at, np.concatenate([signs] * ROWS))
+        np.bitwise_xor.at(self.keys, at, np.concatenate([digests] * ROWS))
+        np.bitwise_xor.at(self.checks, at, np.concatenate([checks] * ROWS))
 
     def minus(self, other: Sketch) -> Sketch:
         return Sketch(self.counts - other.counts, self.keys ^ other.keys, self.checks ^ other.checks)
@@ -98,11 +127,13 @@ class Sketch:
             pure = single[self.checks[single] == _checks(self.keys[single])]
             if not len(pure):
                 break
-            digests, first = np.unique(self.keys[pure], return_index=True)
-            own = self.counts[pure][first]
+            order = np.argsort(self.keys[pure], kind="stable")
+            digests = self.keys[pure[order]]
+            pure = pure[order[np.concatenate([[True], digests[1:] != digests[:-1]])]]  # each digest once
+            digests, own = self.keys[pure], self.counts[pure]
             found.append(digests)
             signs.append(own)
-            self.add(digests, -own, _checks(digests))
+            self.add(digests, -own, self.checks[pure])
         if self.counts.any() or self.keys.any():
             return None
         digests, own = np.concatenate(found), np.concatenate(signs)
@@ -125,6 +156,11 @@ class Version:
         return self.sketches[cells]
 
 
+def _described(text: str) -> tuple[Words, Version]:
+    words = Words.of(text)
+    return words, Version(paragraph_digests(words))
+
+
 def differing(a: Version, b: Version, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, int]:
     """The digests that only ``a`` and only ``b`` has, from sketches of ``cells`` cells and then eight times as many until they peel, and the number of cells that did.
 
@@ -165,7 +201,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         types = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64(), pa.int64(), pa.int64()]
-        rows, last = [], (None, None)
+        rows, last = [], (None, None, None)
 
         def flush():
             out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
@@ -176,9 +212,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             text, after = text or "", after or ""
             quarter = len(text) // 4
             edited = text[: len(text) - quarter] + after[:quarter]
-            own = last[1] if last[0] == text else Version(paragraph_digests(text))
-            changed, following = Version(paragraph_digests(edited)), Version(paragraph_digests(after))
-            last = after, following
+            words, own = last[1:] if last[0] == text else _described(text)
+            words_after, following = _described(after)
+            changed = Version(paragraph_digests(words.edited(text[: len(text) - quarter], words_after, after[:quarter])))
+            last = after, words_after, following
             sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
             (near_edited, cells_edited), (near_next, cells_next) = likeness(own, changed), likeness(own, following)
             rows.append((doc_id, len(text), sha, own.sketch(CELLS).text(), changed.sketch(CELLS).text(), near_edited, near_next, cells_edited, cells_next))

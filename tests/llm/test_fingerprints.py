@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 
-from ledgerlark.llm.fingerprints import Sketch, Version, differing, fingerprints, likeness as near, op5_fingerprints, paragraph_digests
+from ledgerlark.llm.fingerprints import Sketch, Version, Words, differing, fingerprints, likeness as near, op5_fingerprints, paragraph_digests
 from ledgerlark.llm.ordering import successive, with_successors
 
 
@@ -37,6 +37,17 @@ def test_peeling_recovers_the_difference():
     assert Sketch.of(rng.integers(1, 2**64, 500, np.uint64), 24).peel() is None
 
 
+def test_edited_words_are_those_of_the_edited_text():
+    rng = random.Random(5)
+    texts = ["", " ", "\n", *("".join(rng.choices(["ab", "c", "é", " ", " ", "\n"], k=rng.randrange(60))) for _ in range(60))]
+    for text in texts:
+        for after in texts:
+            cut = len(text) // 4
+            head, tail = text[: len(text) - cut], after[:cut]
+            got, want = Words.of(text).edited(head, Words.of(after), tail), Words.of(head + tail)
+            assert got.hashed.tolist() == want.hashed.tolist() and got.ends.tolist() == want.ends.tolist()
+
+
 def test_fingerprints_equal_brute_force(spark):
     rng = random.Random(4)
     texts = [None, "", "é", "a b\n\na b\na b"] + ["\n".join(" ".join(rng.choices("abcdefg", k=rng.randint(0, 30))) for _ in range(rng.randint(1, 40))) for _ in range(120)]
