@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], sequence: str | None = None) -> DataFrame:
@@ -26,8 +27,15 @@ def expire(rows: DataFrame, cutoff, day: str = "filing_date") -> DataFrame:
 
 
 def content_digest(rows: DataFrame) -> DataFrame:
-    """One row (n, digest) that is the same for the same rows in any order, repeats counted."""
-    h = F.xxhash64(*(F.to_json(F.struct(c)) for c in rows.columns))
+    """One row (n, digest) that is the same for the same rows in any order, repeats counted.
+
+    A hash passes over nulls, so each column is hashed with whether it is null; one that may hold nulls within goes in as JSON.
+    """
+    parts = []
+    for f in rows.schema:
+        column = F.col(f"`{f.name}`")
+        parts += [column.isNull(), column] if isinstance(f.dataType, AtomicType) else [F.to_json(F.struct(column))]
+    h = F.xxhash64(*parts)
     return rows.select(h.alias("h")).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).alias("digest"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("mix"))
 
 

@@ -453,7 +453,7 @@ def planned_run(spark, sf_dir):
 def incremental_run(spark, sf_dir):
     """A dataset after two runs over all filings, of which the second finds only what failed: its trades, skipped filings and number of processed ones."""
     data = incremental.Dataset(spark, owned(spark, "dataset"))
-    rows = _as_filings(spark, sf_dir)
+    rows = saved(_as_filings(spark, sf_dir), "filings")  # both runs read them
     for _ in range(2):
         incremental.run(data, rows, filings.text_trades, members(spark, sf_dir), "2001-08-01", "2001-08-01T00:00:00Z")
     none = lambda kind: F.lit(None).cast(kind)
@@ -567,7 +567,7 @@ def returns_round_trip(spark, sf_dir):
 def run_counters(spark, sf_dir):
     """What two runs of one day count, the second with the unreadable filings mended, and the dataset's meta."""
     data = incremental.Dataset(spark, owned(spark, "dataset"))
-    rows, roster = _as_filings(spark, sf_dir), members(spark, sf_dir)
+    rows, roster = saved(_as_filings(spark, sf_dir), "filings"), members(spark, sf_dir)
     mended = rows.withColumn("text", F.regexp_replace("text", "\nOdd Corp .*$", ""))
     first = roster.filter("position = 0").first().name  # one name of the roster
     found = []

@@ -62,7 +62,20 @@ class Dataset:
         """Write the next version; of the older ones ``keep`` stay, for readers that are at them."""
         version = self.latest() + 1
         for name in TABLES:  # meta last
-            tables[name].write.mode("overwrite").parquet(f"{self.path}/v{version}/{name}")
+            self.put(name, tables[name], version)
+        return self.prune(version, keep)
+
+    def put(self, table: str, rows: DataFrame, version: int) -> DataFrame:
+        """Write a table of a version that has no meta yet, and read it back."""
+        rows.write.mode("overwrite").parquet(f"{self.path}/v{version}/{table}")
+        return self.read(table, version)
+
+    def drop(self, version: int) -> None:
+        """Delete a version that has no meta yet."""
+        remove(self.spark, f"{self.path}/v{version}")
+
+    def prune(self, version: int, keep: int = 3) -> int:
+        """Delete all but ``keep`` of the versions older than ``version``, which is returned."""
         for old in self.versions():
             if old < version - keep:
                 remove(self.spark, f"{self.path}/v{old}")
@@ -102,7 +115,8 @@ def run(dataset: Dataset, filings: DataFrame, parse: Callable[[DataFrame], DataF
     ``error`` that is null or tells why a filing has none. ``fetch`` may bring the texts and pages
     of the filings that are read (web.fetched_filings()), and tell more of them to be paper. Paper filings are skipped for good;
     failed ones are skipped and tried again in the next run. All stored rows are enriched anew,
-    and rows, skips and processed filings before the year before ``as_of`` go.
+    and rows, skips and processed filings before the year before ``as_of`` go. The tables are written
+    where the next version has them, once; if nothing has changed they are deleted.
     """
     spark, began = dataset.spark, mark()
     cutoff = spark.range(1).select(prune_cutoff(F.lit(as_of).cast("date")).alias("d")).first().d
@@ -120,11 +134,11 @@ def run(dataset: Dataset, filings: DataFrame, parse: Callable[[DataFrame], DataF
     done = read.unionByName(new.filter("is_paper")).select("chamber", "filing_id", "filing_date")
 
     merged = saved(upsert(old["trades"], good, ["id"]), "merged")
-    trades = saved(expire(enrich(merged, members), cutoff), "trades")
+    trades = dataset.put("trades", expire(enrich(merged, members), cutoff), version + 1)
     kept = upsert(old["skipped_filings"].join(read.select("filing_id"), "filing_id", "left_anti").select(old["skipped_filings"].columns), skips, ["filing_id"])
     named = roster_lookup(kept, members).withColumn("member", F.coalesce("found.name", "member")).drop("found")
-    skipped = saved(expire(named, cutoff), "skips")
-    processed = saved(expire(upsert(old["processed"], done, FILING_KEYS), cutoff), "processed")
+    skipped = dataset.put("skipped_filings", expire(named, cutoff), version + 1)
+    processed = dataset.put("processed", expire(upsert(old["processed"], done, FILING_KEYS), cutoff), version + 1)
     result = RunResult(
         changed=changed(old["trades"], trades) or changed(old["skipped_filings"], skipped),
         fetched=new.count(),
@@ -136,8 +150,10 @@ def run(dataset: Dataset, filings: DataFrame, parse: Callable[[DataFrame], DataF
     )
     if result.changed:
         meta = build_meta(trades, skipped, processed, old["meta"], members, as_of, cutoff, generated_at, featured)
-        result.version = meta.first().data_version
-        dataset.write({"trades": trades, "skipped_filings": skipped, "processed": processed, "meta": meta})
+        result.version = dataset.put("meta", meta, version + 1).first().data_version
+        dataset.prune(version + 1)
+    else:
+        dataset.drop(version + 1)
     release(spark, began)
     return result
 

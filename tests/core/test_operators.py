@@ -174,3 +174,10 @@ def test_entry_points(spark, capsys, tmp_path):
     assert main(["roster", f"{tmp_path}/l.json", f"{tmp_path}/old.json", f"{tmp_path}/new"]) == 0
     made = json.loads("".join(p.read_text() for p in sorted((tmp_path / "new").glob("part-*"))))["members"]
     assert [(m["name"], m["aliases"]) for m in made] == [("Ann Lee", ["A. L.", "Lee, Ann"]), ("Bo Old", ["B"])]
+
+
+def test_digests_tell_nulls_and_their_places_apart(spark):
+    kind = "a string, b string, c array<string>"
+    one, other = (spark.createDataFrame([r], kind) for r in ((None, "x", ["y", None]), ("x", None, ["y", None])))
+    moved = spark.createDataFrame([(None, "x", [None, "y"])], kind)
+    assert upserts.changed(one, other) and upserts.changed(one, moved) and not upserts.changed(one, one.select("*"))

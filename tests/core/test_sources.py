@@ -249,3 +249,23 @@ def test_windowed_counts(spark, tmp_path):
     events = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(f"{tmp_path}/in")
     inc.windowed_counts(events).writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start().awaitTermination()
     assert sorted((r.event_type, r.n, r.value) for r in spark.table("counts").collect()) == [("click", 1, 3.0), ("view", 2, 3.0)]
+
+
+def test_a_run_without_news_leaves_no_version_and_writes_tables_once(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from ledgerlark.operators.filings import TRADE_COLUMNS
+    from ledgerlark.sources.readers import TRADE_SCHEMA
+    from ledgerlark.streaming import incremental
+
+    labels, saved = [], incremental.saved
+    monkeypatch.setattr(incremental, "saved", lambda df, label: labels.append(label) or saved(df, label))
+    listed = spark.createDataFrame([("house", "f1", "A B", None, None, "2001-07-01", "https://x/1", True)], "chamber string, filing_id string, member string, state string, district string, filing_date string, source_url string, is_paper boolean")
+    listed = listed.withColumn("filing_date", F.col("filing_date").cast("date"))
+    members = spark.createDataFrame([], "name string, chamber string, party string, state string, district string, aliases array<string>, position int")
+    data = incremental.Dataset(spark, str(tmp_path / "data"))
+    none = lambda rows: spark.createDataFrame([], TRADE_SCHEMA).select(*TRADE_COLUMNS).withColumn("error", F.lit(None).cast("string"))
+    results = [incremental.run(data, listed, none, members, "2001-08-01", "now") for _ in range(2)]
+    assert [(r.changed, r.fetched, r.version) for r in results] == [(True, 1, "2001-08-01.1"), (False, 0, "")]
+    assert data.versions() == [1] and data.read("skipped_filings").count() == 1
+    assert not {"trades", "skips", "processed"} & set(labels)
