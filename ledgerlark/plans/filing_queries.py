@@ -137,7 +137,7 @@ def pdf_cells(spark, sf_dir):
     part = lambda c, n: F.rpad(c, n, " ")
     row = F.concat(part(F.concat(F.lit("row "), F.col("k").cast("string")), 20), part(F.coalesce("ticker", F.lit("--")), 12), part(F.col("type"), 14), F.lit("$"), F.col("lo").cast("string"))
     texts = _joined(filing_rows(spark, sf_dir), row, "text").select(F.concat(F.lit("f"), F.col("f").cast("string")).alias("path"), "text")
-    lines = pdf.page_lines(pdf.glyph_runs(pdf_files(texts)))
+    lines = pdf.file_lines(pdf_files(texts))
     return lines.select("path", "page", "line", F.array_join("cells", "|").alias("cells"))
 
 
