@@ -42,6 +42,8 @@ SUFFIXES = "jr\\.?|sr\\.?|ii|iii|iv|v|md|m\\.d\\."
 
 # Unicode white space, as trim takes it and within a class of a pattern.
 BLANKS = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: The same but the blank itself as a pattern's ranges, of which there are fewer to try at each letter.
+BLANK_RANGES = r"\t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def as_column(x) -> Column:
@@ -64,7 +66,16 @@ def strip(x) -> Column:
 
 def collapse(x) -> Column:
     """Stripped, with every run of white space as one blank."""
-    return strip(F.regexp_replace(as_column(x), f"[{BLANKS}]{{2,}}|[{BLANKS.replace(' ', '')}]", " "))  # single blanks stay
+    return strip(F.regexp_replace(as_column(x), f"[ {BLANK_RANGES}]{{2,}}|[{BLANK_RANGES}]", " "))  # single blanks stay
+
+
+def untidy(x) -> Column:
+    """Whether collapse() may change a string: of ASCII letters without blanks that it would change, no; a pattern costs far more."""
+    text = as_column(x)
+    seen = (F.length(text) != F.octet_length(text)) | F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
+    for blank in ("  ", *BLANKS[:5]):
+        seen = seen | F.contains(text, F.lit(blank))
+    return seen
 
 
 def blank_to_null(x) -> Column:

@@ -52,7 +52,7 @@ def _filed(spark, sf_dir: str) -> DataFrame:
 
 def _joined(rows: DataFrame, line, name: str, between: str = "\n") -> DataFrame:
     """(f, ``name``) with the lines of each filing in order of its rows."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"])
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"])
     return rows.groupBy("f").agg(F.array_join(lines, between).alias(name))
 
 

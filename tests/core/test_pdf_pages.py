@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from ledgerlark.functions import scalars as s
 from ledgerlark.plans.pdf_files import pdf_file
 from ledgerlark.sources import pdf
 from tests.core.test_pdf import one_page
@@ -85,3 +86,11 @@ def test_what_a_worker_remembers_is_bounded(monkeypatch):
         assert wrong is None and [r[6] for r in runs][1:] == text.split()
     assert len(pdf._fonts) <= 3 and len(pdf._objects) <= 5
     assert all(len(f.strings) <= 10 and len(f.set) <= 2 and all(len(h) <= 70 for h in f.set.values()) for f in pdf._fonts.values())
+
+
+def test_tidy_text_is_told_without_a_pattern(spark):
+    blanks = [c + d for c in ("", "a", *s.BLANKS) for d in ("", "a", *s.BLANKS)]
+    texts = spark.createDataFrame([(b + "x" * k + c,) for b in blanks for k in (0, 1) for c in ("", "y", " ")] + [("a b c",), ("a\u200bb",), ("é",), (None,)], "t string")
+    changed = F.regexp_replace(F.regexp_replace("t", r"(?U)\s+", " "), r"(?U)^\s+|\s+$", "")
+    assert texts.filter(changed != s.collapse("t")).count() == 0
+    assert texts.filter((changed != F.col("t")) & ~s.untidy("t")).count() == 0 and texts.filter(~s.untidy("t")).count() > 3
